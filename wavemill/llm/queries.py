@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op9_byte_bpe
+from .chat import OP1_SQL, op1_chat_formatting
 from .language import op3_language_id
 from .quality import op10_quality_rules
+from .sharding import OP2_SQL, op2_hilbert_sharding
 from .toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op6_toxicity, op9_byte_bpe, op10_quality_rules)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_hilbert_sharding, op3_language_id, op6_toxicity, op9_byte_bpe, op10_quality_rules)}
+SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_hilbert_sharding": OP2_SQL}
