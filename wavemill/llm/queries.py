@@ -7,7 +7,8 @@ from .chat import OP1_SQL, op1_chat_formatting
 from .language import op3_language_id
 from .quality import op10_quality_rules
 from .sharding import OP2_SQL, op2_hilbert_sharding
+from .substrings import OP7_SQL, op7_substring_dedup
 from .toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_hilbert_sharding, op3_language_id, op6_toxicity, op9_byte_bpe, op10_quality_rules)}
-SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_hilbert_sharding": OP2_SQL}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_hilbert_sharding, op3_language_id, op6_toxicity, op7_substring_dedup, op9_byte_bpe, op10_quality_rules)}
+SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_hilbert_sharding": OP2_SQL, "op7_substring_dedup": OP7_SQL}
