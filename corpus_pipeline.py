@@ -1,4 +1,72 @@
-STAGES = []
-ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""A corpus from raw documents to token ids, in five stages of the numbered operators."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wavemill.llm.bpe import encode_texts
+from wavemill.llm.common import NULL_ID, shared_folder, table
+from wavemill.llm.decontaminate import find_leaks
+from wavemill.llm.jaccard import jaccard_join
+from wavemill.llm.language import UNKNOWN, fit, predicted
+from wavemill.llm.substrings import dedup_substrings
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language (no text, no letter) go."""
+    read = docs.select(*COLUMNS, predicted(fit(docs))(F.col("text")).alias("p"))
+    return read.where(F.col("p.lang_pred") != UNKNOWN).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of similar documents the one of smallest doc_id stays; equal rows stay once."""
+    first = jaccard_join(docs).where("id = class_id").select("id").distinct()
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), *COLUMNS)
+    return own.join(first, "id", "left_semi").dropDuplicates(["id", "text"]).select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that started earlier go; other texts stay as they are."""
+    out = dedup_substrings(docs, COLUMNS)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    return out.select("doc_id", text.alias("text"), "lang", "source", F.coalesce(F.length(text).cast("long"), F.col("n_chars")).alias("n_chars"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak")).distinct()
+    return docs.select(*COLUMNS).join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col("leak")), "left_anti")
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text, and digests of them and of what they decode to."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = encode_texts(docs, path, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source", "n_chars"))
+    return out.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("ngram_jaccard_join", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("benchmark_decontamination", decontaminated),
+    ("byte_bpe", token_ids),
+]
+
+#: A trained network and a vocabulary file decide what comes out: no SQL.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

@@ -7,10 +7,11 @@ from .chat import OP1_SQL, op1_chat_formatting
 from .decontaminate import op4_benchmark_decontamination
 from .jaccard import op5_ngram_jaccard_join
 from .language import op3_language_id
+from .licenses import op8_license_scan
 from .quality import op10_quality_rules
 from .sharding import OP2_SQL, op2_hilbert_sharding
 from .substrings import OP7_SQL, op7_substring_dedup
 from .toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_hilbert_sharding, op3_language_id, op4_benchmark_decontamination, op5_ngram_jaccard_join, op6_toxicity, op7_substring_dedup, op9_byte_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_hilbert_sharding, op3_language_id, op4_benchmark_decontamination, op5_ngram_jaccard_join, op6_toxicity, op7_substring_dedup, op8_license_scan, op9_byte_bpe, op10_quality_rules)}
 SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_hilbert_sharding": OP2_SQL, "op7_substring_dedup": OP7_SQL}
