@@ -2,9 +2,9 @@
 
 Seed: winnowing picks, from every run of W consecutive K-word grams of a document, the one of least
 hash; any two equal passages of LENGTH = W + K - 1 words share a picked gram at the same place. Only
-grams that two different texts pick, or one text picks twice, are seeds. Extend: around its seeds a
-document's passages of LENGTH words, to the left and right, are hashed (128 bits); a passage whose
-hash also starts earlier is a repeat, and neighbouring repeats merge into maximal ones.
+grams that two different texts pick, or one text picks twice, are seeds. Extend: to the left and
+right of its seeds, a document's passages of LENGTH words that picked a seed are hashed (95 bits); a
+passage whose hash also starts earlier is a repeat, and neighbouring repeats merge into maximal ones.
 
 Every gram and passage is one key whose rows only need a minimum, so no pairs are made. A document
 sends each gram and passage once, so a key holds a row for each document that has it at most. Exact
@@ -34,14 +34,15 @@ W = LENGTH - K + 1
 KEPT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
 
-def picked(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the grams that winnowing picks (none in fewer than LENGTH words)."""
+def picked(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the grams that winnowing picks (none in fewer than LENGTH words), and which of
+    them each passage of LENGTH words picks."""
     if len(h) < LENGTH:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     grams = window_hashes(h, K)
     runs = np.lib.stride_tricks.sliding_window_view(grams, W)
-    places = np.unique(runs.argmin(axis=1) + np.arange(len(runs)))
-    return places, grams[places]
+    places, own = np.unique(runs.argmin(axis=1) + np.arange(len(runs)), return_inverse=True)
+    return places, grams[places], own
 
 
 def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,7 +50,7 @@ def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found: list[tuple] = []
         for id_, key, text in zip(batch["id"], batch["key"], batch["text"], strict=True):
-            places, grams = picked(hashes.of(words(text)))
+            places, grams, _ = picked(hashes.of(words(text)))
             if len(grams):
                 value, first, n = np.unique(grams, return_index=True, return_counts=True)
                 found.append((value.view(np.int64), np.full(len(value), id_), np.full(len(value), key), places[first].astype(np.int32), n > 1))
@@ -64,16 +65,12 @@ def _passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[tuple] = []
         for id_, key, text, seeds in zip(batch["id"], batch["key"], batch["text"], batch["seeds"], strict=True):
             h = hashes.of(words(text))
-            places, grams = picked(h)
+            places, grams, own = picked(h)
             value, at, n = np.unique(grams, return_inverse=True, return_counts=True)
             seed = n > 1
             seed[at[np.searchsorted(places, np.asarray(seeds))]] = True
-            near = np.zeros(len(h) - LENGTH + 2, dtype=np.int64)
-            where = places[seed[at]]
-            np.add.at(near, np.maximum(0, where - (LENGTH - K)), 1)
-            np.add.at(near, np.minimum(where + 1, len(near) - 1), -1)
-            starts = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-            a, b = window_hashes(h, LENGTH)[starts].view(np.int64), window_hashes(h, LENGTH, 0xD1B54A32D192ED03)[starts].view(np.int64)
+            starts = np.flatnonzero(seed[at[own]])
+            a, b = window_hashes(h, LENGTH)[starts].view(np.int64), (window_hashes(h, LENGTH, 0xD1B54A32D192ED03)[starts] >> np.uint64(33)).astype(np.int32)
             order = np.lexsort((starts, b, a))
             again = np.zeros(len(starts), dtype=bool)
             again[order[1:]] = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
@@ -114,7 +111,7 @@ def dedup_substrings(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Da
     same = Over.partitionBy("anchor")
     seeds = anchors.withColumn("low", F.min("key").over(same)).withColumn("high", F.max("key").over(same)).where((F.col("low") != F.col("high")) | F.col("twice"))
     areas = seeds.groupBy("id", "key").agg(F.collect_set("place").alias("seeds")).join(copies, ["id", "key"], "left_anti")
-    passages = read.join(areas, ["id", "key"]).mapInPandas(_passages, "a long, b long, id long, key long, start int")
+    passages = read.join(areas, ["id", "key"]).mapInPandas(_passages, "a long, b int, id long, key long, start int")
     earliest = F.min("id").over(Over.partitionBy("a", "b", F.when(F.col("a").isNull(), F.col("start"))))
     repeats = passages.withColumn("earliest", earliest).where(F.col("a").isNull() | (F.col("id") > F.col("earliest")))
     gone = repeats.groupBy("id", "key").agg(F.collect_set("start").alias("starts"), F.lit(False).alias("copy"))
