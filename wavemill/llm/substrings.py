@@ -17,6 +17,7 @@ left out.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,7 +65,7 @@ def _passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found: list[tuple] = []
         for id_, key, text, seeds in zip(batch["id"], batch["key"], batch["text"], batch["seeds"], strict=True):
-            h = hashes.of(words(text))
+            h = hashes.of(unpacked(text))
             places, grams, own = picked(h)
             value, at, n = np.unique(grams, return_inverse=True, return_counts=True)
             seed = n > 1
@@ -80,12 +81,22 @@ def _passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"a": pd.array(a, dtype="Int64"), "b": b, "id": id_, "key": key, "start": starts}).assign(a=lambda x: x["a"].mask(again))
 
 
+@F.pandas_udf(T.BinaryType())
+def packed(texts: pd.Series) -> pd.Series:
+    """Texts travel compressed: they are most of what the joins by document move."""
+    return texts.map(lambda t: zlib.compress(t.encode("utf-8", "surrogatepass"), 1) if isinstance(t, str) else None)
+
+
+def unpacked(data: bytes | None) -> list[bytes]:
+    return zlib.decompress(data).split() if data is not None else []
+
+
 @F.pandas_udf(KEPT)
 def _kept(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for texts, starts, copy in batches:
         rows = []
         for text, at, whole in zip(texts, starts, copy, strict=True):
-            found = words(text)
+            found = unpacked(text)
             keep = np.ones(len(found), dtype=bool)
             if whole and len(found) >= LENGTH:
                 keep[:] = False
@@ -111,12 +122,12 @@ def dedup_substrings(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Da
     same = Over.partitionBy("anchor")
     seeds = anchors.withColumn("low", F.min("key").over(same)).withColumn("high", F.max("key").over(same)).where((F.col("low") != F.col("high")) | F.col("twice"))
     areas = seeds.groupBy("id", "key").agg(F.collect_set("place").alias("seeds")).join(copies, ["id", "key"], "left_anti")
-    passages = read.join(areas, ["id", "key"]).mapInPandas(_passages, "a long, b int, id long, key long, start int")
+    passages = read.select("id", "key", packed("text").alias("text")).join(areas, ["id", "key"]).mapInPandas(_passages, "a long, b int, id long, key long, start int")
     earliest = F.min("id").over(Over.partitionBy("a", "b", F.when(F.col("a").isNull(), F.col("start"))))
     repeats = passages.withColumn("earliest", earliest).where(F.col("a").isNull() | (F.col("id") > F.col("earliest")))
     gone = repeats.groupBy("id", "key").agg(F.collect_set("start").alias("starts"), F.lit(False).alias("copy"))
     gone = gone.unionByName(copies.select("id", "key", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
-    out = base.join(gone, ["id", "key"], "left").select(*keep, _kept(F.col("whole_text"), F.col("starts"), F.coalesce("copy", F.lit(False))).alias("k"))
+    out = base.select("id", "key", *keep, packed("whole_text").alias("packed_text")).join(gone, ["id", "key"], "left").select(*keep, _kept(F.col("packed_text"), F.col("starts"), F.coalesce("copy", F.lit(False))).alias("k"))
     return out.select(*keep, "k.n_words", "k.n_removed", "k.kept")
 
 
