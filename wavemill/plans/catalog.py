@@ -427,7 +427,7 @@ def _(t):
 
 @query("a32_distinct_listed", "SELECT DISTINCT trim(x) AS label FROM (SELECT unnest(string_split(p_type, ' ')) AS x FROM part) WHERE trim(x) <> ''")
 def _(t):
-    return t.part.select(L.strip(F.explode(F.split("p_type", " "))).alias("label")).where("label <> ''").distinct()
+    return t.part.select(F.explode(F.split("p_type", " ")).alias("x")).select(L.strip(F.col("x")).alias("label")).where("label <> ''").distinct()
 
 
 @query("a34_balanced_batch_count", "SELECT min(n) AS least, (min(n) // 2)::BIGINT AS batches FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)")
@@ -454,7 +454,7 @@ def _(t):
     return R.entity_windows(t.events, "user_id", "ts", 3600).groupBy("user_id", "window_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-@query("w02_window_majority", f"SELECT user_id, window_id, event_type AS label, n, total::BIGINT AS total FROM (SELECT user_id, window_id, event_type, count(*) AS n, sum(count(*)) OVER (PARTITION BY user_id, window_id) AS total, row_number() OVER (PARTITION BY user_id, window_id ORDER BY count(*) DESC, event_type) AS rn FROM {_WINDOW} GROUP BY ALL) WHERE rn = 1 AND n >= 0.5 * total")
+@query("w02_window_majority", f"SELECT user_id, window_id, event_type AS label, n, total::BIGINT AS total FROM (SELECT user_id, window_id, event_type, count(*) AS n, sum(count(*)) OVER (PARTITION BY user_id, window_id) AS total, row_number() OVER (PARTITION BY user_id, window_id ORDER BY count(*) DESC, event_type) AS rn FROM {_WINDOW} GROUP BY user_id, window_id, event_type) WHERE rn = 1 AND n >= 0.5 * total")
 def _(t):
     return R.window_majority(R.entity_windows(t.events, "user_id", "ts", 3600), "user_id", "event_type")
 
