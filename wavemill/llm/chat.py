@@ -1,10 +1,10 @@
 """Chat formatting: a declarative template, a finite-state machine over roles, loss flags by segment.
 
-Everything is a DataFrame expression. Each row becomes its own segments first. The machine's step is a
-map from state to state, and maps compose, so a conversation is checked in two levels: the rows of a
-run of turns compose into one map, then the runs of a conversation compose in order. No window over a
-whole conversation is needed, and a long conversation meets in one row only where its formatted text
-is asked for.
+Everything is a DataFrame expression. Rows are shuffled as they came, by conversation, and laid out
+after that. The first RUN_TURNS turns of a conversation go there directly; later turns (and those
+without a number) first meet in runs of RUN_TURNS, which are sorted apart, so most rows are shuffled
+once and a very long conversation is sorted in many tasks. It meets in one row only as its formatted
+text does.
 
 Order of rows: turn (null first), role, text. A null role is the empty role, which the machine
 rejects; a null text is empty. Repeated rows are formatted as often as they occur. A null conv_id is
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Turns of one run in the first level of aggregation.
+#: Turns of one run; those of the first run are shuffled once.
 RUN_TURNS = 64
 
 
@@ -69,42 +69,49 @@ def _unescaped_role(role: Column) -> Column:
     return F.replace(F.replace(unescaped(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def segments(rows: DataFrame, template: Template = CHATML) -> DataFrame:
-    """One row for each turn: conv_id, turn, role, text and `segments`, an array of (text, loss)."""
-    role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
+def _laid_out(role: Column, text: Column, template: Template) -> Column:
+    """The segments of one turn, an array of (text, loss)."""
     loss = role.isin(*template.loss_roles)
     piece = lambda c, flag: F.struct(c.alias("text"), flag.alias("loss"))
     head = F.concat(F.lit(template.start), _escaped_role(role), F.lit(template.middle))
-    made = F.array(piece(head, F.lit(False)), piece(escaped(text), loss), piece(F.lit(template.end + template.after), loss & F.lit(template.loss_on_end)))
-    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), made.alias("segments"))
+    return F.array(piece(head, F.lit(False)), piece(escaped(text), loss), piece(F.lit(template.end + template.after), loss & F.lit(template.loss_on_end)))
+
+
+def segments(rows: DataFrame, template: Template = CHATML) -> DataFrame:
+    """One row for each turn: conv_id, turn, role, text and `segments`, an array of (text, loss)."""
+    role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), _laid_out(role, text, template).alias("segments"))
 
 
-def _step_map(role: Column, template: Template) -> Column:
-    """The state that each state leads to on this role, as an array."""
-    out = []
-    for state in range(template.reject):
-        step = F.lit(template.reject)
+def _end_state(roles: Column, template: Template) -> Column:
+    """The state in which the machine stands after these roles; REJECT is never left."""
+
+    def step(state: Column, role: Column) -> Column:
+        out = F.lit(template.reject)
         for (s, r), to in template.steps.items():
-            step = F.when(role == r, to).otherwise(step) if s == state else step
-        out.append(step)
-    return F.array(*out, F.lit(template.reject))
+            out = F.when((state == s) & (role == r), to).otherwise(out)
+        return out
+
+    return F.aggregate(roles, F.lit(0), step)
 
 
-def _composed(maps: Column, template: Template) -> Column:
-    identity = F.array(*[F.lit(s) for s in range(template.reject + 1)])
-    return F.aggregate(maps, identity, lambda done, step: F.transform(done, lambda s: F.element_at(step, s + 1)))
+def _in_order(rows: DataFrame) -> DataFrame:
+    """conv_id and its rows, sorted: an array of (turn, role, text), a missing turn as the least number."""
+    least = F.lit(-(2**63))
+    row = F.struct(F.coalesce(F.col("turn").cast("long"), least).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    run = F.coalesce(F.floor(F.col("turn") / RUN_TURNS), least)
+    made = rows.select("conv_id", run.alias("run"), row.alias("row"))
+    first = made.where("run = 0").select("conv_id", "run", F.array("row").alias("rows"))
+    later = made.where("run != 0").groupBy("conv_id", "run").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    runs = F.array_sort(F.collect_list(F.struct("run", "rows")))
+    return first.unionByName(later).groupBy("conv_id").agg(runs.alias("runs")).select("conv_id", F.flatten("runs.rows").alias("rows"))
 
 
 def format_conversations(rows: DataFrame, template: Template = CHATML) -> DataFrame:
     """conv_id, n_turns, valid, end_state, formatted, and `segments` of the whole conversation in order."""
-    made = segments(rows, template).select("conv_id", "turn", "role", "text", "segments", _step_map(F.col("role"), template).alias("step"))
-    run = F.floor(F.col("turn") / RUN_TURNS)
-    inner = made.groupBy("conv_id", run.alias("run")).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(2**63))).alias("turn"), "role", "text", "segments", "step"))).alias("rows"))
-    inner = inner.select("conv_id", F.coalesce("run", F.lit(-(2**63))).alias("run"), F.size("rows").cast("long").alias("n"), F.flatten(F.col("rows.segments")).alias("segments"), _composed(F.col("rows.step"), template).alias("step"))
-    outer = inner.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.array_sort(F.collect_list(F.struct("run", "segments", "step"))).alias("runs"))
-    end = F.element_at(_composed(F.col("runs.step"), template), 1)
-    outer = outer.select("conv_id", "n_turns", end.alias("end_state"), F.flatten(F.col("runs.segments")).alias("segments"))
-    return outer.select("conv_id", "n_turns", F.col("end_state").isin(*template.final).alias("valid"), "end_state", F.array_join(F.col("segments.text"), "").alias("formatted"), "segments")
+    made = _in_order(rows)
+    made = made.select("conv_id", F.size("rows").cast("long").alias("n_turns"), _end_state(F.col("rows.role"), template).alias("end_state"), F.flatten(F.transform("rows", lambda r: _laid_out(r["role"], r["text"], template))).alias("segments"))
+    return made.select("conv_id", "n_turns", F.col("end_state").isin(*template.final).alias("valid"), "end_state", F.array_join(F.col("segments.text"), "").alias("formatted"), "segments")
 
 
 def parsed(formatted: Column, template: Template = CHATML) -> Column:
