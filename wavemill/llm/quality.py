@@ -3,7 +3,9 @@
 Statistics of each whole text become a vector of five transformed numbers. For each language and
 source the vectors' robust centre and covariance come from concentration steps: keep the share H of
 rows that lie nearest, take their mean and covariance, measure all rows by Mahalanobis distance and
-keep the nearest again. Every step is an aggregation over all rows; no group meets in one task.
+keep the nearest again. Every step is an aggregation over all rows. Rows meet their group's estimate
+by a broadcast of at most BROADCAST_ROWS estimates; where there are more, by a join on group and salt,
+so that no group meets in one task either way.
 A language and source with fewer than MIN_ROWS rows is pooled with the language's other small ones;
 where that is too small as well, only the base rules hold.
 
@@ -29,6 +31,8 @@ from .common import WordHashes, checkpointed, table, window_hashes, words
 REPEAT_WORDS, MIN_ROWS, H, STEPS = 8, 200, 0.75, 3
 #: Squared distances above this chi-square quantile (5 degrees, 1 - 4e-5) are outliers.
 CUTOFF = 28.0
+#: Groups whose estimates (some 300 bytes each) are broadcast at most; parts that each group is dealt out to where there are more.
+BROADCAST_ROWS, SALTS = 10_000, 64
 #: Transformed statistics, and the least standard deviation that each is given.
 DIMENSIONS = {"x_words": 0.35, "x_length": 0.06, "x_symbols": 0.5, "x_lines": 0.15, "x_repeats": 0.15}
 #: What the covariance of the nearest 75 % of normal vectors of 5 dimensions falls short by.
@@ -94,18 +98,26 @@ def _squared_distance(x: Column) -> Column:
     return sum((y[i] * y[j] * F.col("inverse")[i * d + j] for i in range(d) for j in range(d)), F.lit(0.0))
 
 
-def mcd(vectors: DataFrame) -> DataFrame:
-    """`vectors` has cell and x (array of the five numbers); returns cell, mean, inverse: one row a cell."""
+def _beside(rows: DataFrame, groups: DataFrame, key: str, n_groups: int, how: str = "inner") -> DataFrame:
+    """Each row (with its salt) beside the one row of `groups` that has its key; n_groups is how many there are."""
+    if n_groups <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), key, how)
+    salted = groups.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    return rows.join(salted, [key, "salt"], how)
+
+
+def mcd(vectors: DataFrame, n_cells: int) -> DataFrame:
+    """`vectors` has cell, x (array of the five numbers) and salt; returns cell, mean, inverse: one row a cell."""
     d = len(DIMENSIONS)
     x, floors = F.col("x"), list(DIMENSIONS.values())
     middle = vectors.groupBy("cell").agg(F.array(*[F.percentile_approx(x[i], 0.5, 1000) for i in range(d)]).alias("mean"))
-    spread = vectors.join(middle, "cell").groupBy("cell").agg(F.first("mean").alias("mean"), F.array(*[F.percentile_approx(F.abs(x[i] - F.col("mean")[i]), 0.5, 1000) for i in range(d)]).alias("mad"))
+    spread = _beside(vectors, middle, "cell", n_cells).groupBy("cell").agg(F.first("mean").alias("mean"), F.array(*[F.percentile_approx(F.abs(x[i] - F.col("mean")[i]), 0.5, 1000) for i in range(d)]).alias("mad"))
     flat = [F.when(F.lit(i == j), 1 / F.pow(F.greatest(1.4826 * F.col("mad")[i], F.lit(floors[i])), 2)).otherwise(0.0) for i in range(d) for j in range(d)]
     model = checkpointed(spread.select("cell", "mean", F.array(*flat).alias("inverse")))
     for _ in range(STEPS):
-        measured = vectors.join(model, "cell").select("cell", "x", _squared_distance(x).alias("d2"))
+        measured = _beside(vectors, model, "cell", n_cells).select("cell", "x", "salt", _squared_distance(x).alias("d2"))
         near = measured.groupBy("cell").agg(F.percentile_approx("d2", H, 1000).alias("limit"))
-        kept = measured.join(near, "cell").where(F.col("d2") <= F.col("limit"))
+        kept = _beside(measured, near, "cell", n_cells).where(F.col("d2") <= F.col("limit"))
         sums = kept.groupBy("cell").agg(F.array(*[F.avg(x[i]) for i in range(d)]).alias("mean"), F.array(*[F.avg(x[i] * x[j]) for i in range(d) for j in range(i, d)]).alias("products"))
         model = checkpointed(sums.mapInPandas(_inverses, "cell string, mean array<double>, inverse array<double>"))
     return model
@@ -114,14 +126,15 @@ def mcd(vectors: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the statistics, base_failed, distance2 (null where nothing was estimated) and kept."""
     found = docs.select("doc_id", F.to_json(F.struct("lang", "source")).alias("group"), F.to_json(F.struct("lang")).alias("pool"), text_statistics("text").alias("s")).select("doc_id", "group", "pool", "s.*")
-    found = checkpointed(found.withColumn("x", F.array(*_transformed().values())))
-    sizes = found.groupBy("group").agg(F.count(F.lit(1)).alias("rows"))
-    sized = found.join(sizes, "group").withColumn("cell", F.when(F.col("rows") >= MIN_ROWS, F.col("group")).otherwise(F.concat(F.lit("pool"), "pool"))).drop("rows", "group", "pool")
+    found = checkpointed(found.withColumn("x", F.array(*_transformed().values())).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")))
+    sizes = checkpointed(found.groupBy("group").agg(F.count(F.lit(1)).alias("rows")))
+    sized = _beside(found, sizes, "group", sizes.count()).withColumn("cell", F.when(F.col("rows") >= MIN_ROWS, F.col("group")).otherwise(F.concat(F.lit("pool"), "pool"))).drop("rows", "group", "pool")
     counts = sized.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
     cells = checkpointed(counts.where(F.col("rows") >= MIN_ROWS).select("cell"))
-    model = mcd(sized.select("cell", "x").join(cells, "cell"))
+    n_cells = cells.count()
+    model = mcd(_beside(sized.select("cell", "x", "salt"), cells, "cell", n_cells), n_cells)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = sized.join(model, "cell", "left").withColumn("distance2", F.when(F.col("inverse").isNotNull(), _squared_distance(F.col("x")))).withColumn("base_failed", base)
+    out = _beside(sized, model, "cell", n_cells, "left").withColumn("distance2", F.when(F.col("inverse").isNotNull(), _squared_distance(F.col("x")))).withColumn("base_failed", base)
     return out.select("doc_id", *STATISTICS.names, "base_failed", "distance2", (~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True))).alias("kept"))
 
 
