@@ -47,6 +47,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(True))
 
 
+def hash_below(eligible: DataFrame, sample: int) -> Column:
+    """True for about twice `sample` of the eligible rows, those of smallest doc_id hash (all, if there are no more).
+
+    A sample of the smallest hashes is then sorted from so few rows, however many tasks hold them."""
+    total = eligible.count()
+    return F.lit(True) if total <= 2 * sample else F.xxhash64("doc_id") < F.lit(-(2**63) + 2 * sample * 2**64 // total)
+
+
 def words(text: str | None) -> list[bytes]:
     """bytes.split() splits at exactly the six ASCII blanks that WORD excludes."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Numbered, chunks, held_out, table
+from .common import Numbered, chunks, hash_below, held_out, table
 
 UNKNOWN = "und"
 #: Labelled documents that the model is fitted on at most, and bytes of each that it looks at.
@@ -188,7 +188,8 @@ def worker_reader(net: BiGru) -> Reader:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> BiGru | None:
     """Train on at most `sample` documents with a language whose ids are not held out."""
-    chosen = docs.select("doc_id", "lang", F.substring("text", 1, SAMPLE_BYTES).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNKNOWN) & ~held_out(F.col("doc_id")))
+    labelled = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & ~held_out(F.col("doc_id")))
+    chosen = labelled.where(F.col("text").isNotNull() & hash_below(labelled.select("doc_id"), sample)).select("doc_id", "lang", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
     rows = chosen.orderBy(F.xxhash64(F.col("doc_id")), "text", "lang").limit(sample).collect()
     return train([(r["text"], r["lang"]) for r in rows])
 
