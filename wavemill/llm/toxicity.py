@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, held_out, mixed, table
+from .common import WordHashes, hash_below, held_out, mixed, table
 
 BITS = 18
 #: Bytes of a word's beginning that count as features too: inflected and compound words share these.
@@ -88,7 +88,7 @@ def distinct_features(texts: pd.Series) -> pd.Series:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float] | None:
     """Train on at most `sample` labelled documents whose ids are not held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "toxic").limit(sample)
+    known = known.where(hash_below(known, sample)).orderBy(F.xxhash64("doc_id"), "toxic").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "toxic", distinct_features("text").alias("found")).collect()  # `sample` rows, of 2 ** BITS numbers at most
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], len(r["found"])))
     return train([(np.frombuffer(r["found"], dtype="<i4"), int(r["toxic"] > 0)) for r in rows])
