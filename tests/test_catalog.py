@@ -9,13 +9,14 @@ from wavemill.functions import labels as L
 from wavemill.functions import series as S
 from wavemill.operators import relational as R
 from wavemill.operators import scoring as C
-from wavemill.plans import catalog, prompts
+from wavemill.plans import catalog, catalog_more, prompts  # noqa: F401 (the second adds to the first)
 from wavemill.sinks import writers
 from wavemill.sources import readers
 
 SF = "/root/testdata/sf0.001"
 #: A few of each kind; the driver compares all.
-NAMES = ["a08_open_vocabulary", "a14_template_f1", "a26_agreement", "f02b_answer_clean", "f25_znorm_n5", "j03_list_lookup", "p13_finite_series", "r01_random_split", "r02_stratified_split", "w02_window_majority", "w04_interpolated", "w06_balanced_batches"]
+NAMES = ["a11_support_only_macro", "f16_context", "f33_undigits", "f43_valid_series", "j10_stages_left", "p19_extra_columns"]
+NAMES += ["a08_open_vocabulary", "a14_template_f1", "a26_agreement", "f02b_answer_clean", "f25_znorm_n5", "j03_list_lookup", "p13_finite_series", "r01_random_split", "r02_stratified_split", "w02_window_majority", "w04_interpolated", "w06_balanced_batches"]
 
 
 @pytest.fixture(scope="module")
