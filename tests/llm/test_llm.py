@@ -197,6 +197,19 @@ def test_licenses(spark, docs, corpus):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_licenses_without_a_common_word(spark):
+    """Each text is found by one rule's own keyword alone."""
+    wanted = {
+        "released under the GNU GPL v3": "gpl-3.0", "BSD 3-Clause": "bsd-3-clause", "MIT No Attribution": "mit-0", "https://www.mozilla.org/mpl/2.0": "mpl-2.0",
+        "https://www.eclipse.org/legal/epl-2.0": "epl-2.0", "https://scripts.sil.org/ofl": "ofl-1.1", "this program is free software; you can redistribute it and/or modify": "gpl",
+        "permission to use, copy, modify, and distribute this software for any purpose": "isc", 'provided "as is"': "as-is", "no warranties, express or implied": "no-warranty",
+        "non-commercial use only": "commercial", "may not be redistributed": "no-redistribution", "may not be copied": "no-redistribution", "limit of accidents in discs 2.0": "",
+    }
+    out = rows(licenses.scan(spark.createDataFrame(list(enumerate(wanted)), "doc_id long, text string")))
+    assert [out[k]["labels"] for k in range(len(wanted))] == list(wanted.values())
+    assert [licenses.brute_force(t)[5] for t in wanted] == list(wanted.values())
+
+
 def test_bpe(spark, docs, corpus):
     import public_tokenizers as tokenizers
 

@@ -1,8 +1,7 @@
 """License scans: ordered signature rules with a keyword prefilter and containment suppression.
 
 A rule is a regular expression with a keyword that every match contains, a label and a level (1 is
-strongest). A text that has none of the TRIGGERS is never matched; of the rest, only rules whose
-keyword occurs run. A hit is suppressed if a hit of the same or a stronger level contains its
+strongest). Only rules whose keyword occurs in the text run. A hit is suppressed if a hit of the same or a stronger level contains its
 interval: of equal intervals the stronger level wins, then the earlier rule.
 
 Everything is an expression over one row: no shuffle, no join. Null and empty texts have no words and
@@ -24,9 +23,6 @@ _IN, _OUT = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 BASE = "(?<!" + _IN + ")(?:" + "|".join(p.replace(" ", _OUT) for p in PHRASES) + ")(?!" + _IN + ")"
 
-#: Every keyword of a rule implies that one of these occurs.
-TRIGGERS = ("licen", "copyright", "spdx", "rights reserved", "public domain", "creativecommons", "creative commons", "cc by", "cc-by", "cc0", "permission is hereby", "warranty", "opensource.org", "gnu.org", "copyleft", "proprietary", "redistribution", "apache.org", "trademark", "patent")
-
 #: label; SPDX identifier; the name as it is written in prose; an address; a keyword of the prose name.
 LICENSES = [
     ("mit", r"mit", r"(?:the )?mit(?:/x11)? licen[sc]e", r"opensource\.org/licenses/mit", "mit"),
@@ -105,7 +101,7 @@ OTHERS = [
     (2, "public-domain", "public domain", r"\b(?:in|into|to) the public domain\b"),
     (2, "proprietary", "proprietary", r"proprietary(?: and confidential)?(?: information| software| licen[sc]e)"),
     (2, "commercial", "commercial", r"commercial licen[sc]e|non-?commercial use only"),
-    (2, "no-redistribution", "redistribut", r"may not be (?:copied|reproduced|redistributed)(?:,? (?:or )?(?:copied|reproduced|redistributed))*"),
+    (2, "no-redistribution", "may not be", r"may not be (?:copied|reproduced|redistributed)(?:,? (?:or )?(?:copied|reproduced|redistributed))*"),
     (2, "patent-grant", "patent", r"patent (?:licen[sc]e|grant)"),
     (3, "licence-mention", "licen", r"\blicen[sc](?:e|es|ed|ing)\b"),
     (3, "copyright", "copyright", r"\bcopyright(?: \(c\)| ©)?(?: \d{4}(?:\s?[-,]\s?\d{4})*)?"),
@@ -131,6 +127,8 @@ def _rules() -> list[tuple[int, str, str, str]]:
 
 #: 229 ordered rules: (level, label, keyword, expression).
 RULES = _rules()
+#: Each keyword is looked for once in a text, however many rules have it.
+KEYWORDS = sorted({keyword for _, _, keyword, _ in RULES})
 _CONFIDENCE = {1: 1.0, 2: 0.8, 3: 0.4}
 _BASE_CONFIDENCE = 0.6
 
@@ -172,13 +170,11 @@ def scan(docs: DataFrame) -> DataFrame:
     maybe = F.contains("t", F.lit("cc")) | F.contains("t", F.lit("general")) | F.contains("t", F.lit("rights"))
     empty = F.expr("cast(array() as array<string>)")
     based = text.select("doc_id", "t", count(F.col("t")).alias("n_words"), F.when(maybe, F.regexp_extract_all("t", F.lit(BASE), F.lit(0))).otherwise(empty).alias("found"), F.when(maybe, F.split("t", BASE, -1)).otherwise(F.array("t")).alias("parts"))
-    triggered = F.lit(False)
-    for trigger in TRIGGERS:
-        triggered = triggered | F.contains("t", F.lit(trigger))
-    gated = F.filter(_rule_array(), lambda r: F.contains(F.col("t"), r["keyword"]))
+    present = F.filter(F.array(*[F.lit(k) for k in KEYWORDS]), lambda k: F.contains(F.col("t"), k))
+    gated = F.filter(_rule_array(), lambda r: F.array_contains(F.col("present"), r["keyword"]))
     none = F.expr("cast(array() as array<struct<start:int,end:int,level:int,rule:int,label:string>>)")
-    hits = F.when(triggered, F.flatten(F.transform(gated, lambda r: _hits(F.col("t"), r)))).otherwise(none)
-    placed = based.select("doc_id", "t", "n_words", "found", "parts", hits.alias("all_hits"))
+    hits = F.when(F.size("present") > 0, F.flatten(F.transform(gated, lambda r: _hits(F.col("t"), r)))).otherwise(none)
+    placed = based.withColumn("present", present).select("doc_id", "t", "n_words", "found", "parts", hits.alias("all_hits"))
     kept = placed.select("doc_id", "n_words", "found", "parts", _suppressed(F.col("all_hits")).alias("hits"))
     n = F.size("found")
     label = lambda m: F.when(F.startswith(m, F.lit("cc")), "cc-by").when(F.startswith(m, F.lit("general")), "gpl").otherwise("reserved")
@@ -208,7 +204,7 @@ def brute_force(text: str | None) -> tuple[int, int, int | None, int | None, str
     t = (text or "").lower()
     w = re.findall(WORDS, t)
     at = sorted((i, label) for phrase, label in PHRASES.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split())
-    hits = [(m.start(), m.end(), level, k, label) for k, (level, label, keyword, regex) in enumerate(RULES) if keyword in t for m in re.finditer(regex, t, re.ASCII)] if any(x in t for x in TRIGGERS) else []
+    hits = [(m.start(), m.end(), level, k, label) for k, (level, label, _, regex) in enumerate(RULES) for m in re.finditer(regex, t, re.ASCII)]
     stay = [h for h in hits if not any(g[2] <= h[2] and g[0] <= h[0] and g[1] >= h[1] and (g[0] < h[0] or g[1] > h[1] or g[2:4] < h[2:4]) for g in hits)]
     base = {label for _, label in at}
     return len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted(base)), ",".join(sorted(base | {h[4] for h in stay}))
