@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.llm.bpe import encode_texts
-from wavemill.llm.common import NULL_ID, shared_folder, table
+from wavemill.llm.common import shared_folder, table
 from wavemill.llm.decontaminate import find_leaks
-from wavemill.llm.jaccard import jaccard_join
+from wavemill.llm.jaccard import ROW_KEY, jaccard_join, row_key
 from wavemill.llm.language import UNKNOWN, fit, predicted
 from wavemill.llm.substrings import dedup_substrings
 
@@ -27,9 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of similar documents the one of smallest doc_id stays; equal rows stay once."""
-    first = jaccard_join(docs).where("id = class_id").select("id").distinct()
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), *COLUMNS)
-    return own.join(first, "id", "left_semi").dropDuplicates(["id", "text"]).select(*COLUMNS)
+    first = jaccard_join(docs).where("chosen").select(*ROW_KEY).distinct()
+    return docs.select(*row_key(), *COLUMNS).join(first, ROW_KEY, "left_semi").dropDuplicates(ROW_KEY).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

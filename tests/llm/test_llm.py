@@ -140,6 +140,23 @@ def test_jaccard_large_bucket_and_banding(spark):
     assert {k: (r["class_id"], r["n_links"]) for k, r in rows(jaccard.jaccard_join(df)).items()} == jaccard.brute_force(texts)
 
 
+def test_jaccard_null_and_repeated_ids(spark):
+    """Texts under one id, or none, are judged like texts with ids of their own."""
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    a, b = prose(rng, 60), prose(rng, 60)
+    texts = [a, a + " more", b, b + " more", prose(rng, 60), b]
+    wanted = jaccard.brute_force(list(enumerate(texts)))
+    for ids in ([None] * 6, [7] * 6, [None, None, 7, 7, 8, 7]):
+        df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip(ids, texts, strict=True)], DOCS)
+        hashes = {r["h"]: r["text"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+        out = jaccard.jaccard_join(df).collect()
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0, hashes[r["text_key"]], r["n_links"]) for r in out) == sorted((i is None, i or 0, t, wanted[k][1]) for k, (i, t) in enumerate(zip(ids, texts, strict=True)))
+        stay = [r["text"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+        assert len(stay) == 3 and {t in (a, a + " more") for t in stay} == {True, False} and texts[4] in stay
+
+
 def test_toxicity(spark, docs):
     rng = random.Random(5)
     texts = [(k, prose(rng, 40) + (" vile wretch " if k % 4 == 0 else " ") + prose(rng, 40), None, None, 0) for k in range(400)]

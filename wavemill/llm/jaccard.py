@@ -1,7 +1,8 @@
 """N-gram Jaccard join: MinHash bands find candidates, full five-word shingle sets verify them.
 
-Documents of equal shingle sets form a class first; one representative of each class (its smallest
-doc_id) goes on. `bands` x `rows` hash functions are chosen for a target recall at the threshold. A
+Rows are told apart by doc_id and two hashes of the text, so rows without a doc_id and texts that
+share one are compared like any others. Rows of equal shingle sets form a node first; one
+representative of each node (its smallest doc_id, then text hash) goes on. `bands` x `rows` hash functions are chosen for a target recall at the threshold. A
 bucket is a band with one value of its `rows` minima.
 
 A pair of representatives is looked at once, in the first band in which it collides. Buckets of up to
@@ -13,7 +14,8 @@ these links.
 
 Null and empty texts have no shingles: each is its own class without links. Texts of fewer than five
 words are one shingle. A null doc_id takes part as the smallest id. Repeated rows count as copies.
-Extra columns are left out.
+Where doc_ids are null or repeated, classes of different texts may have the same class_id; `chosen`
+tells one text of each. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, SHINGLE_WORDS, WordHashes, checkpointed, mixed, shingles, table, words
@@ -31,6 +33,8 @@ from .common import NULL_ID, SHINGLE_WORDS, WordHashes, checkpointed, mixed, shi
 SIMILARITY, RECALL = 0.8, 0.9999
 SMALL, BLOCK = 12, 128
 _CELLS = 1 << 22
+#: A row's doc_id as a number and 128 bits of its text.
+ROW_KEY = ["id", "text_key", "text_key2"]
 
 
 @lru_cache(maxsize=8)
@@ -66,12 +70,11 @@ def _sketches(bands: int, rows: int):
         hashes = WordHashes()
         for batch in batches:
             out = []
-            for id_, text in zip(batch["id"], batch["text"], strict=True):
+            for *row, text in zip(batch["id"], batch["text_key"], batch["text_key2"], batch["missing"], batch["text"], strict=True):
                 s = np.unique(shingles(hashes.of(words(text))))
-                if len(s):
-                    key = [int(mixed(s * np.uint64(m)).sum(dtype=np.uint64).view(np.int64)) for m in (3, 5)]
-                    out.append((id_, *key, len(s), band_values(s, bands, rows)))
-            yield pd.DataFrame(out, columns=["id", "key", "key2", "size", "bands"])
+                key = [int(mixed(s * np.uint64(m)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for m in (3, 5)]
+                out.append((*row, *key, len(s), band_values(s, bands, rows) if len(s) else np.empty(0, np.int64)))
+            yield pd.DataFrame(out, columns=["id", "text_key", "text_key2", "missing", "key", "key2", "size", "bands"])
 
     return run
 
@@ -79,7 +82,7 @@ def _sketches(bands: int, rows: int):
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = WordHashes()
     for batch in batches:
-        yield pd.DataFrame({"id": batch["id"], "grams": [np.unique(shingles(hashes.of(words(t)))).tobytes() for t in batch["text"]]})
+        yield pd.DataFrame({"node": batch["node"], "grams": [np.unique(shingles(hashes.of(words(t)))).tobytes() for t in batch["text"]]})
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -123,7 +126,7 @@ def _verified(similarity: float):
         rows, cols = np.nonzero(linked)
         first = (bands_a[rows] == bands_b[cols]).argmax(axis=1) == band if len(rows) else np.zeros(0, bool)
         linked[rows[~first], cols[~first]] = False
-        ids_a, ids_b = a["id"].to_numpy(), b["id"].to_numpy()
+        ids_a, ids_b = a["node"].to_numpy(), b["node"].to_numpy()
         out = [(i, None, int(n), int(w)) for i, n, w in zip(ids_a, linked.sum(axis=1), linked @ b["copies"].to_numpy(), strict=True) if n]
         if low != high:
             out += [(i, None, int(n), int(w)) for i, n, w in zip(ids_b, linked.sum(axis=0), a["copies"].to_numpy() @ linked, strict=True) if n]
@@ -139,7 +142,7 @@ def _verified(similarity: float):
             if x != y:
                 root[max(x, y)] = min(x, y)
         out += [(x, top(x), 0, 0) for x in list(root) if top(x) != x]
-        return pd.DataFrame(out, columns=["id", "other", "links", "weight"]).astype({"id": "int64", "other": "Int64"})
+        return pd.DataFrame(out, columns=["node", "other", "links", "weight"]).astype({"node": "int64", "other": "Int64"})
 
     return run
 
@@ -168,45 +171,53 @@ def components(edges: DataFrame) -> DataFrame:
     return found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())
 
 
+def row_key() -> list[Column]:
+    """Columns that ROW_KEY names, from doc_id and text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("text_key"), F.xxhash64(F.lit(7), "text").alias("text_key2")]
+
+
 def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """A row for each row of `docs`: doc_id, id, class_id (smallest id of its connected class), copy_of
     (smallest id with the same shingle set), n_links (other rows of at least the similarity, copies
-    included) and n_text_links (other shingle sets of at least the similarity)."""
+    included), n_text_links (other shingle sets of at least the similarity), text_key, text_key2 and
+    chosen (true for one id and text of each class: the smallest id, then text_key and text_key2)."""
     bands, rows = banding(similarity, recall)
-    base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), "text")
-    sketched = checkpointed(base.select("id", "text").mapInPandas(_sketches(bands, rows), "id long, key long, key2 long, size int, bands array<long>"))
-    classes = sketched.groupBy("key", "key2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    member = checkpointed(sketched.select("id", "key", "key2").distinct().join(classes, ["key", "key2"]).select("id", "rep", "copies", "key", "key2"))
-    reps = sketched.join(member.where("id = rep").select("id", "key", "key2", "copies"), ["id", "key", "key2"]).dropDuplicates(["id", "key", "key2"]).select("id", "size", "bands", "copies")
+    base = docs.select(*row_key(), F.col("doc_id").isNull().alias("missing"), "text")
+    sketched = checkpointed(base.mapInPandas(_sketches(bands, rows), "id long, text_key long, text_key2 long, missing boolean, key long, key2 long, size int, bands array<long>"))
+    row = F.struct(*ROW_KEY)
+    nodes = sketched.where("size > 0").groupBy("key", "key2").agg(F.min(row).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))  # written once, so numbers stay
 
-    rows_ = reps.select("id", "bands", F.posexplode("bands").alias("band", "value"))
+    rows_ = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     buckets = rows_.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     full = checkpointed(rows_.join(buckets, ["band", "value"]))
-    few = full.where(F.col("n") <= SMALL)
-    left, right = few.select("band", "value", F.col("id").alias("a"), F.col("bands").alias("x")), few.select("band", "value", F.col("id").alias("b"), F.col("bands").alias("y"))
+    few = full.where(F.col("n") <= SMALL).join(nodes.select("node", "bands"), "node")  # only bands of shared buckets travel
+    left, right = few.select("band", "value", F.col("node").alias("a"), F.col("bands").alias("x")), few.select("band", "value", F.col("node").alias("b"), F.col("bands").alias("y"))
     first = F.array_position(F.zip_with("x", "y", lambda p, q: p == q), True) == F.col("band") + 1
     pairs = left.join(right, ["band", "value"]).where(F.col("a") < F.col("b")).where(first)
-    needed = pairs.select("band", "value", F.explode(F.array("a", "b")).alias("id")).distinct().select("band", "value", "id", F.lit(0).alias("block"), F.lit(0).alias("low"), F.lit(0).alias("high"))
+    needed = pairs.select("band", "value", F.explode(F.array("a", "b")).alias("node")).distinct().select("band", "value", "node", F.lit(0).alias("block"), F.lit(0).alias("low"), F.lit(0).alias("high"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    many = full.where(F.col("n") > SMALL).select("band", "value", "id", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-    many = many.select("band", "value", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("band", "value", "id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    many = full.where(F.col("n") > SMALL).select("band", "value", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    many = many.select("band", "value", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("band", "value", "node", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     wanted = checkpointed(needed.unionByName(many))
 
-    # Only documents that some bucket asks for make their sets.
-    asked = wanted.select("id").distinct()
-    texts = base.join(asked, "id", "left_semi").dropDuplicates(["id"]).select("id", "text")
-    sets = texts.mapInPandas(_sets, "id long, grams binary").join(reps, "id")
-    groups = wanted.join(sets, "id").groupBy("band", "value", "low", "high")
-    found = checkpointed(groups.applyInPandas(_verified(similarity), "id long, other long, links long, weight long"))
-
-    linked = found.groupBy("id").agg(F.sum("links").alias("links"), F.sum("weight").alias("weight"))
-    joined = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    of_rep = linked.withColumnRenamed("id", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-    of = member.join(of_rep, "rep", "left").groupBy("id").agg(
-        F.min("rep").alias("copy_of"), F.min(F.coalesce("component", "rep")).alias("class_id"), F.max(F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.max(F.coalesce("links", F.lit(0))).alias("n_text_links")
-    )
-    out = base.select("doc_id", "id").join(of, "id", "left")
-    return out.select("doc_id", "id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copy_of", "id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"))
+    # Only nodes that some bucket asks for make their sets, each from its representative's text.
+    asked = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", "rep.*")
+    texts = base.select(*ROW_KEY, "text").join(asked, ROW_KEY).dropDuplicates(["node"]).select("node", "text")
+    sets = texts.mapInPandas(_sets, "node long, grams binary").join(nodes.select("node", "size", "bands", "copies"), "node")
+    groups = wanted.join(sets, "node").groupBy("band", "value", "low", "high")
+    found = checkpointed(groups.applyInPandas(_verified(similarity), "node long, other long, links long, weight long"))
+
+    linked = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("weight").alias("weight"))
+    joined = checkpointed(components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "node"))
+    tops = joined.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("top"))
+    of_node = nodes.select("node", "key", "key2", "rep", "copies").join(linked, "node", "left").join(joined.join(tops, "component").select("node", "top"), "node", "left")
+    of_node = of_node.select("key", "key2", "rep", F.coalesce("top", "rep").alias("top"), (F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("links", F.lit(0)).alias("n_text_links"))
+    own = sketched.select(*ROW_KEY, "missing", "key", "key2", "size")
+    out = own.where("size > 0").join(of_node, ["key", "key2"]).select(*ROW_KEY, "missing", F.col("top.id").alias("class_id"), F.col("rep.id").alias("copy_of"), "n_links", "n_text_links", (F.col("top") == row).alias("chosen"))
+    alone = own.where("size = 0").select(*ROW_KEY, "missing", F.col("id").alias("class_id"), F.col("id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_text_links"), F.lit(True).alias("chosen"))
+    doc_id = F.when(~F.col("missing"), F.col("id")).cast(docs.schema["doc_id"].dataType)
+    return out.unionByName(alone).select(doc_id.alias("doc_id"), "id", "class_id", "copy_of", "n_links", "n_text_links", "text_key", "text_key2", "chosen")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
