@@ -13,15 +13,20 @@ from wavemill.llm.bpe import encode_texts
 from wavemill.llm.common import shared_folder, table
 from wavemill.llm.decontaminate import find_leaks
 from wavemill.llm.jaccard import ROW_KEY, jaccard_join, row_key
-from wavemill.llm.language import UNKNOWN, fit, predicted
+from wavemill.llm.language import UNKNOWN, fit, has_letter, predicted
 from wavemill.llm.substrings import dedup_substrings
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language (no text, no letter) go."""
-    read = docs.select(*COLUMNS, predicted(fit(docs))(F.col("text")).alias("p"))
+    """Documents without a recognisable language (no text, no letter) go; language and score don't filter.
+
+    Where no document has a language to learn from, the same documents go."""
+    net = fit(docs)
+    if net is None:
+        return docs.where(has_letter("text")).select(*COLUMNS)
+    read = docs.select(*COLUMNS, predicted(net)(F.col("text")).alias("p"))
     return read.where(F.col("p.lang_pred") != UNKNOWN).select(*COLUMNS)
 
 
@@ -39,9 +44,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak")).distinct()
-    return docs.select(*COLUMNS).join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col("leak")), "left_anti")
+    """Documents that hold a benchmark item go, by their texts: a leak says nothing of another text of the same or no doc_id."""
+    own = docs.select(*row_key(), *COLUMNS)
+    leaks = find_leaks(own, table(spark, sf_dir, "benchmark"), keep=tuple(ROW_KEY)).select(*ROW_KEY).distinct()
+    return own.join(leaks, ROW_KEY, "left_anti").select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -264,3 +264,16 @@ def test_pipeline(spark, tmp_path, corpus):
     wanted = set(first) - {3, 4, 5, 14, 20}
     assert set(out) == wanted
     assert all(r["n_tokens"] >= 0 and r["ids_sha256"] for r in out.values())
+
+
+def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    leak, clean = prose(rng, 40), [prose(rng, 40) for _ in range(3)]
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.createDataFrame([(i, t, None, "s", 0) for i, t in ((None, leak), (None, clean[0]), (5, leak), (5, clean[1]), (6, clean[2]))], DOCS)
+    assert sorted(r["text"] for r in corpus_pipeline.decontaminated(spark, df, str(tmp_path)).collect()) == sorted(clean)
+    assert corpus_pipeline.language_id(spark, df, "").count() == 5
+    bare = spark.createDataFrame([(1, None), (2, ""), (3, "12 %"), (4, "a word")], "doc_id long, text string").selectExpr("doc_id", "text", "cast(null as string) AS lang", "'s' AS source", "0L AS n_chars")
+    assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, bare, "").collect()] == [4]

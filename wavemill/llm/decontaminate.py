@@ -34,7 +34,7 @@ RADIUS = 23
 BLOCKS = 8
 BLOCK_CHARS = 4_000_000
 
-PAIRS = "doc_id long, item_id long, similarity double, start_word long, window_words long, hamming int"
+PAIRS = "item_id long, similarity double, start_word long, window_words long, hamming int"
 _BITS = np.array([bin(b).count("1") for b in range(256)], dtype=np.uint8)
 
 
@@ -146,21 +146,22 @@ def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tupl
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each document and item that it holds: similarity, place and width of the best window."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """A row for each document and item that it holds: `keep` columns (whole numbers), similarity, place and width of the best window."""
+    schema = ", ".join(f"{c} long" for c in keep) + ", " + PAIRS
 
     def searched(items: list[tuple[int, str]]) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             index, hashes = Benchmark(items), WordHashes()
             for batch in batches:
-                rows = [(id_, *m) for id_, text in zip(batch["doc_id"], batch["text"], strict=True) for m in index.matches(hashes.of(words(text)))]
-                out = pd.DataFrame(rows, columns=["doc_id", "item_id", "similarity", "start_word", "window_words", "hamming"])
-                yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
+                rows = [(*own, *m) for *own, text in zip(*(batch[c] for c in keep), batch["text"], strict=True) for m in index.matches(hashes.of(words(text)))]
+                out = pd.DataFrame(rows, columns=[*keep, "item_id", "similarity", "start_word", "window_words", "hamming"])
+                yield out.astype({c: "Int64" for c in (*keep, "item_id")})
 
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PAIRS)
+        return docs.select(*[F.col(c).cast("long").alias(c) for c in keep], "text").mapInPandas(run, schema)
 
     found = [searched(items) for items in blocks(benchmark)]
-    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], PAIRS)
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

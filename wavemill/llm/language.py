@@ -194,6 +194,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> BiGru | None:
     return train([(r["text"], r["lang"]) for r in rows])
 
 
+@F.pandas_udf(T.BooleanType())
+def has_letter(texts: pd.Series) -> pd.Series:
+    """What a text needs to get a language."""
+    return texts.map(lambda t: isinstance(t, str) and bool(words(t)) and _LETTER.search(t) is not None).astype(bool)
+
+
 def predicted(net: BiGru | None):
     """A Pandas UDF: whole text -> struct of lang_pred and score."""
 
