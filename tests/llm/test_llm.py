@@ -253,6 +253,19 @@ def test_quality(spark, docs):
     assert quality.judge(empty(spark)).count() == 0
 
 
+def test_quality_of_small_groups(spark):
+    """Rows of languages with few documents are judged with all others."""
+    rng = random.Random(9)
+    junk = "### $$$ word " * 3 + " ".join(f"#{k}$ &{k}%" for k in range(60))
+    texts = [(k, prose(rng, rng.randint(60, 300)), f"l{k % 40}", "s", 0) for k in range(120)] + [(1000, junk, "rare", "s", 0)]
+    for more in (0, 250):  # all rows; then a large group beside the small ones
+        judged = rows(quality.judge(spark.createDataFrame(texts + [(2000 + k, prose(rng, 100), "en", "s", 0) for k in range(more)], DOCS)))
+        assert all(r["distance2"] is not None for r in judged.values())
+        assert not judged[1000]["kept"] and not judged[1000]["base_failed"]
+        assert sum(not r["kept"] for r in judged.values()) == 1
+    assert [r["distance2"] for r in quality.judge(spark.createDataFrame(texts[:1], DOCS)).collect()] == [0]
+
+
 def test_pipeline(spark, tmp_path, corpus):
     import corpus_pipeline
 

@@ -6,8 +6,9 @@ rows that lie nearest, take their mean and covariance, measure all rows by Mahal
 keep the nearest again. Every step is an aggregation over all rows. Rows meet their group's estimate
 by a broadcast of at most BROADCAST_ROWS estimates; where there are more, by a join on group and salt,
 so that no group meets in one task either way.
-A language and source with fewer than MIN_ROWS rows is pooled with the language's other small ones;
-where that is too small as well, only the base rules hold.
+A language and source with fewer than MIN_ROWS rows is pooled with the language's other small ones,
+a pool that is too small with all other such pools; where these have too few rows together, they
+are judged by an estimate of all rows. So every row has a distance.
 
 Null and empty texts have no words and fail the base rules. A null language or source is a value like
 any other. Repeated rows count and are judged as often as they occur. Extra columns are left out.
@@ -82,12 +83,14 @@ def _inverses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     d, floor = len(DIMENSIONS), np.array(list(DIMENSIONS.values()))
     for batch in batches:
         rows = []
-        for cell, mean, products in zip(batch["cell"], batch["mean"], batch["products"], strict=True):
+        for cell, n, mean, products in zip(batch["cell"], batch["n"], batch["mean"], batch["products"], strict=True):
             mean, cov = np.array(mean), np.zeros((d, d))
             cov[np.triu_indices(d)] = products
             cov = np.maximum(cov, cov.T) if d == 1 else cov + np.triu(cov, 1).T
             cov = (cov - np.outer(mean, mean)) * CONSISTENCY
             cov += np.diag(np.maximum(0, floor**2 - np.diag(cov)))  # no statistic is given less spread than its floor
+            if n < MIN_ROWS:
+                cov += np.diag(floor**2 * d / n)  # so few rows may lie in a plane
             rows.append((cell, mean.tolist(), np.linalg.inv(cov).ravel().tolist()))
         yield pd.DataFrame(rows, columns=["cell", "mean", "inverse"])
 
@@ -118,24 +121,28 @@ def mcd(vectors: DataFrame, n_cells: int) -> DataFrame:
         measured = _beside(vectors, model, "cell", n_cells).select("cell", "x", "salt", _squared_distance(x).alias("d2"))
         near = measured.groupBy("cell").agg(F.percentile_approx("d2", H, 1000).alias("limit"))
         kept = _beside(measured, near, "cell", n_cells).where(F.col("d2") <= F.col("limit"))
-        sums = kept.groupBy("cell").agg(F.array(*[F.avg(x[i]) for i in range(d)]).alias("mean"), F.array(*[F.avg(x[i] * x[j]) for i in range(d) for j in range(i, d)]).alias("products"))
+        sums = kept.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(x[i]) for i in range(d)]).alias("mean"), F.array(*[F.avg(x[i] * x[j]) for i in range(d) for j in range(i, d)]).alias("products"))
         model = checkpointed(sums.mapInPandas(_inverses, "cell string, mean array<double>, inverse array<double>"))
     return model
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the statistics, base_failed, distance2 (null where nothing was estimated) and kept."""
+    """doc_id, the statistics, base_failed, distance2 and kept."""
     found = docs.select("doc_id", F.to_json(F.struct("lang", "source")).alias("group"), F.to_json(F.struct("lang")).alias("pool"), text_statistics("text").alias("s")).select("doc_id", "group", "pool", "s.*")
     found = checkpointed(found.withColumn("x", F.array(*_transformed().values())).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")))
     sizes = checkpointed(found.groupBy("group").agg(F.count(F.lit(1)).alias("rows")))
     sized = _beside(found, sizes, "group", sizes.count()).withColumn("cell", F.when(F.col("rows") >= MIN_ROWS, F.col("group")).otherwise(F.concat(F.lit("pool"), "pool"))).drop("rows", "group", "pool")
-    counts = sized.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
-    cells = checkpointed(counts.where(F.col("rows") >= MIN_ROWS).select("cell"))
-    n_cells = cells.count()
-    model = mcd(_beside(sized.select("cell", "x", "salt"), cells, "cell", n_cells), n_cells)
+    counts = checkpointed(sized.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).withColumn("small", F.col("rows") < MIN_ROWS))
+    rest = counts.where("small").agg(F.sum("rows")).first()[0] or 0
+    sized = _beside(sized, counts.select("cell", "small"), "cell", counts.count()).withColumn("cell", F.when(F.col("small"), "rest").otherwise(F.col("cell"))).drop("small")
+    n_cells = counts.where("not small").count() + (rest > 0)
+    vectors = sized.select("cell", "x", "salt")
+    if 0 < rest < MIN_ROWS:  # too few rows for an estimate of their own: that of all rows
+        vectors = vectors.where(F.col("cell") != "rest").unionByName(vectors.withColumn("cell", F.lit("rest")))
+    model = mcd(vectors, n_cells)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = _beside(sized, model, "cell", n_cells, "left").withColumn("distance2", F.when(F.col("inverse").isNotNull(), _squared_distance(F.col("x")))).withColumn("base_failed", base)
-    return out.select("doc_id", *STATISTICS.names, "base_failed", "distance2", (~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True))).alias("kept"))
+    out = _beside(sized, model, "cell", n_cells, "left").withColumn("distance2", _squared_distance(F.col("x"))).withColumn("base_failed", base)
+    return out.select("doc_id", *STATISTICS.names, "base_failed", "distance2", (~F.col("base_failed") & (F.col("distance2") <= CUTOFF)).alias("kept"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
