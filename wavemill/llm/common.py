@@ -5,16 +5,22 @@ from __future__ import annotations
 import re
 import tempfile
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Java and Python regex of a word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The words that near-duplicate operators put into one shingle.
 SHINGLE_WORDS = 5
+#: Groups that hold more than one row in so many are joined by broadcast.
+HEAVY = 10_000
 #: Stands for a null doc_id where ids are compared: null sorts first.
 NULL_ID = -(2**63)
 
@@ -42,6 +48,38 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def beside(rows: DataFrame, groups: DataFrame, key: list[str], weight: str, total: int) -> DataFrame:
+    """Each row joined to the one row of `groups` that has its key; `weight` says how many rows a group has, `total` how many all have.
+
+    Groups of more than total / HEAVY rows are broadcast, so none of them meets in one task: there are
+    fewer than HEAVY, as they add up to `total` at most. Rows of other groups are shuffled by key."""
+    cut = max(1, total // HEAVY)
+    heavy, light = groups.where(F.col(weight) > cut), groups.where(F.col(weight) <= cut)
+    rest = rows.join(F.broadcast(heavy.select(*key)), key, "left_anti")
+    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))
+
+
+@F.pandas_udf(T.BinaryType())
+def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Texts travel compressed: they are most of what joins by document move."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for texts in batches:
+        yield texts.map(lambda t: squeeze(t.encode("utf-8", "surrogatepass")) if isinstance(t, str) else None)
+
+
+def unpacker():
+    """A function from a packed text to its bytes (None: none)."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    return lambda data: open_(data) if data is not None else b""
+
+
+@F.pandas_udf(T.StringType())
+def unpacked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    read = unpacker()
+    for data in batches:
+        yield data.map(lambda x: read(x).decode("utf-8", "surrogatepass") if x is not None else None)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the documents that no model may learn from; a null id is held out as well."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(True))

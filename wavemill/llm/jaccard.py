@@ -3,14 +3,16 @@
 Rows are told apart by doc_id and two hashes of the text, so rows without a doc_id and texts that
 share one are compared like any others. Rows of equal shingle sets form a node first; one
 representative of each node (its smallest doc_id, then text hash) goes on. `bands` x `rows` hash functions are chosen for a target recall at the threshold. A
-bucket is a band with one value of its `rows` minima.
+bucket is a band with one value of its `rows` minima; its number holds the band in its high bits.
 
-A pair of representatives is looked at once, in the first band in which it collides. Buckets of up to
-SMALL members list these pairs to learn which members must bring their sets. A larger bucket is cut
-into blocks of about BLOCK members by a hash, and each pair of blocks is one group: no task gets more
-than two blocks, no matter how large a bucket is, and no pairs leave a task, only counts of links and
-the links that connect its members. Classes of similar documents are the connected components of
-these links.
+A pair of representatives is looked at once, in the first band in which it collides. Only numbers
+travel until candidates are known: buckets of up to SMALL members list their pairs, and a pair asks
+for its first bucket alone; texts of nodes that some bucket asks for follow, compressed. A larger
+bucket is cut into blocks of about BLOCK members and BLOCK_GRAMS shingles by a hash, and each pair of
+blocks is one group: no task gets more than two blocks, no matter how large a bucket is, and no pairs
+leave a task, only counts of links and the links that connect its members. Classes of similar
+documents are the connected components of these links. Groups of copies, buckets and classes that
+hold many rows are joined by broadcast (`common.beside`).
 
 Null and empty texts have no shingles: each is its own class without links. Texts of fewer than five
 words are one shingle. A null doc_id takes part as the smallest id. Repeated rows count as copies.
@@ -25,14 +27,17 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, SHINGLE_WORDS, WordHashes, checkpointed, mixed, shingles, table, words
+from .common import NULL_ID, SHINGLE_WORDS, WordHashes, beside, checkpointed, mixed, packed, shingles, table, unpacker, words
 
 SIMILARITY, RECALL = 0.8, 0.9999
-SMALL, BLOCK = 12, 128
-_CELLS = 1 << 22
+SMALL, BLOCK, BLOCK_GRAMS = 12, 512, 1 << 19
+_CELLS, _COLUMNS = 1 << 22, 2048
+#: Bits of a bucket's number below the band.
+_BAND_BITS = 56
 #: A row's doc_id as a number and 128 bits of its text.
 ROW_KEY = ["id", "text_key", "text_key2"]
 
@@ -53,38 +58,53 @@ def _seeds(n: int) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def band_values(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A 64-bit hash of each band's minima over a shingle set."""
-    seeds, lows = _seeds(bands * rows), np.empty(bands * rows, dtype=np.uint64)
-    s = s ^ (s >> np.uint64(32))
-    for k in range(bands * rows):  # odd multipliers permute the 64-bit numbers; high bits decide the order
-        lows[k] = (s * (seeds[k] | np.uint64(1)) + seeds[k - 1]).min()
-    out = np.zeros(bands, dtype=np.uint64)
+def band_values(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """For each shingle set the numbers of its buckets: a band and a hash of the band's minima."""
+    seeds = _seeds(bands * rows)
+    scale, shift = ((seeds | np.uint64(1)) >> np.uint64(32) | np.uint64(1)).astype(np.uint32)[:, None], seeds.astype(np.uint32)[:, None]
+    lows = np.empty((len(sets), bands * rows), dtype=np.uint32)
+    for k, s in enumerate(sets):  # odd multipliers permute the 32-bit numbers; high bits decide the order
+        x = (s >> np.uint64(32)).astype(np.uint32)
+        low = (x[None, :_COLUMNS] * scale + shift).min(axis=1)
+        for start in range(_COLUMNS, len(x), _COLUMNS):
+            np.minimum(low, (x[None, start : start + _COLUMNS] * scale + shift).min(axis=1), out=low)
+        lows[k] = low
+    out, lows = np.zeros((len(sets), bands), dtype=np.uint64), lows.reshape(len(sets), bands, rows)
     for k in range(rows):
-        out = mixed(out * np.uint64(31) + lows.reshape(bands, rows)[:, k])
-    return out.view(np.int64)
+        out = mixed(out * np.uint64(31) + lows[:, :, k] + np.uint64(1))
+    return (out >> np.uint64(64 - _BAND_BITS) | np.arange(bands, dtype=np.uint64) << np.uint64(_BAND_BITS)).view(np.int64)
+
+
+def _sums(numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sum of each run of so many numbers (modulo 2 ** 64)."""
+    ends = np.cumsum(sizes)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(numbers, dtype=np.uint64)])
+    return (total[ends] - total[ends - sizes]).view(np.int64)
+
+
+#: id, text_key, text_key2, missing: a row; key, key2: its shingle set; size: shingles in it.
+_SKETCH = "id long, text_key long, text_key2 long, missing boolean, key long, key2 long, size int, bands array<long>"
 
 
 def _sketches(bands: int, rows: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
-            out = []
-            for *row, text in zip(batch["id"], batch["text_key"], batch["text_key2"], batch["missing"], batch["text"], strict=True):
-                s = np.unique(shingles(hashes.of(words(text))))
-                key = [int(mixed(s * np.uint64(m)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for m in (3, 5)]
-                out.append((*row, *key, len(s), band_values(s, bands, rows) if len(s) else np.empty(0, np.int64)))
-            yield pd.DataFrame(out, columns=["id", "text_key", "text_key2", "missing", "key", "key2", "size", "bands"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                sets = [np.unique(shingles(hashes.of(words(t)))) for t in batch.column("text").to_pylist()]
+                sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+                flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+                full = [s for s in sets if len(s)]
+                values = pa.array(band_values(full, bands, rows).ravel() if full else np.empty(0, np.int64))
+                ends = pa.array(np.concatenate([[0], np.cumsum((sizes > 0) * bands)]).astype(np.int32))
+                keys = [pa.array(_sums(mixed(flat * np.uint64(m)), sizes)) for m in (3, 5)]
+                own = [batch.column(c) for c in ("id", "text_key", "text_key2", "missing")]
+                yield pa.RecordBatch.from_arrays([*own, *keys, pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(ends, values)], names=["id", "text_key", "text_key2", "missing", "key", "key2", "size", "bands"])
 
     return run
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = WordHashes()
-    for batch in batches:
-        yield pd.DataFrame({"node": batch["node"], "grams": [np.unique(shingles(hashes.of(words(t)))).tobytes() for t in batch["text"]]})
-
-
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of a set of `a` with a set of `b`."""
     out = np.zeros((len(a), len(b)), dtype=np.int64)
@@ -110,39 +130,57 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _candidates(a: pd.DataFrame, b: pd.DataFrame, band: int, similarity: float) -> np.ndarray:
+    """Which rows of `a` collide with which of `b` in this band first and have sizes that allow the similarity."""
+    bands_a, bands_b = np.stack(list(a["bands"])), np.stack(list(b["bands"]))
+    size_a, size_b = a["size"].to_numpy()[:, None], b["size"].to_numpy()[None, :]
+    maybe = (bands_a[:, None, band] == bands_b[None, :, band]) & (np.minimum(size_a, size_b) >= similarity * np.maximum(size_a, size_b) - 1e-9)
+    for k in range(band):
+        maybe &= bands_a[:, None, k] != bands_b[None, :, k]
+    return maybe
+
+
+def _smallest_linked(linked: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id that links connect each row, and each column, to; ids of rows that are also columns agree."""
+    a, b = ids_a.copy(), ids_b.copy()
+    most = np.iinfo(np.int64).max
+    while True:
+        new_a = np.minimum(a, np.where(linked, b[None, :], most).min(axis=1, initial=most))
+        new_b = np.minimum(b, np.where(linked, new_a[:, None], most).min(axis=0, initial=most))
+        if (new_a == a).all() and (new_b == b).all():
+            return a, b
+        a, b = new_a, new_b
+
+
 def _verified(similarity: float):
-    """A group is a block pair of a bucket; returns its members' links and a forest that connects them."""
+    """A group is a block pair of a bucket; returns its members' links and edges that connect what is linked."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        band, _, low, high = key
+        bucket, low, high = key
         a, b = group[group["block"] == low], group[group["block"] == high]
-        sets = lambda x: [np.frombuffer(g, dtype=np.uint64) for g in x["grams"]]
-        bands_a, bands_b = np.stack(list(a["bands"])), np.stack(list(b["bands"]))
-        both = _overlaps(sets(a), sets(b))
-        size_a, size_b = a["size"].to_numpy()[:, None], b["size"].to_numpy()[None, :]
-        linked = both >= similarity * (size_a + size_b - both) - 1e-9
+        maybe = _candidates(a, b, int(bucket) >> _BAND_BITS, similarity) if len(a) and len(b) else np.zeros((len(a), len(b)), bool)
         if low == high:
-            linked &= ~np.eye(len(a), dtype=bool)
-        rows, cols = np.nonzero(linked)
-        first = (bands_a[rows] == bands_b[cols]).argmax(axis=1) == band if len(rows) else np.zeros(0, bool)
-        linked[rows[~first], cols[~first]] = False
-        ids_a, ids_b = a["node"].to_numpy(), b["node"].to_numpy()
-        out = [(i, None, int(n), int(w)) for i, n, w in zip(ids_a, linked.sum(axis=1), linked @ b["copies"].to_numpy(), strict=True) if n]
+            np.fill_diagonal(maybe, False)
+        a, b, maybe = a[maybe.any(axis=1)], b[maybe.any(axis=0)], maybe[maybe.any(axis=1)][:, maybe.any(axis=0)]
+        if not len(a):
+            return pd.DataFrame({"node": [], "other": [], "links": [], "weight": []}).astype({"node": "int64", "other": "Int64", "links": "int64", "weight": "int64"})
+        hashes, read = WordHashes(), unpacker()
+        sets = lambda x: [np.unique(shingles(hashes.of(read(t).split()))) for t in x["packed"]]
+        sets_a = sets(a)
+        sets_b = sets_a if low == high else sets(b)
+        rows, cols = np.nonzero(maybe)
+        if len(rows) <= 4 * (len(a) + len(b)):
+            both = np.zeros(maybe.shape, dtype=np.int64)
+            both[rows, cols] = [len(np.intersect1d(sets_a[i], sets_b[j], assume_unique=True)) for i, j in zip(rows, cols, strict=True)]
+        else:
+            both = _overlaps(sets_a, sets_b)
+        linked = maybe & (both >= similarity * (a["size"].to_numpy()[:, None] + b["size"].to_numpy()[None, :] - both) - 1e-9)
+        sides = [(a["node"].to_numpy(), linked.sum(axis=1), linked @ b["copies"].to_numpy())]
         if low != high:
-            out += [(i, None, int(n), int(w)) for i, n, w in zip(ids_b, linked.sum(axis=0), a["copies"].to_numpy() @ linked, strict=True) if n]
-        root: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        for i, j in zip(*np.nonzero(linked), strict=True):
-            x, y = top(int(ids_a[i])), top(int(ids_b[j]))
-            if x != y:
-                root[max(x, y)] = min(x, y)
-        out += [(x, top(x), 0, 0) for x in list(root) if top(x) != x]
-        return pd.DataFrame(out, columns=["node", "other", "links", "weight"]).astype({"node": "int64", "other": "Int64"})
+            sides.append((b["node"].to_numpy(), linked.sum(axis=0), a["copies"].to_numpy() @ linked))
+        tops = _smallest_linked(linked, a["node"].to_numpy(), b["node"].to_numpy())
+        out = [pd.DataFrame({"node": ids, "other": pd.array(top, dtype="Int64"), "links": links, "weight": weight}) for (ids, links, weight), top in zip(sides, tops, strict=False)]
+        return pd.concat(out).query("links > 0").astype({"links": "int64", "weight": "int64"})
 
     return run
 
@@ -153,20 +191,21 @@ def components(edges: DataFrame) -> DataFrame:
     Each round joins every id's neighbours to its smallest one, large ids first, then small ones, so
     rounds grow as the logarithm of a component's diameter. Lineage is cut in every round."""
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     edges = checkpointed(edges.where("a <> b").distinct())
-    before = None
+    before = state(edges)
     while True:
         near = both(edges)
-        low = near.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = near.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        low = near.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "low").alias("low"), "n")
+        large = beside(near.where("b > a"), low, ["a"], "n", 2 * before[0]).select(F.col("b").alias("a"), F.col("low").alias("b"))
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-        low = down.groupBy("a").agg(F.min("b").alias("low"))
-        small = down.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").unionByName(low.select("a", F.col("low").alias("b")))
+        low = down.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n"))
+        small = beside(down, low, ["a"], "n", 2 * before[0]).select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").unionByName(low.select("a", F.col("low").alias("b")))
         edges = checkpointed(small.distinct())
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        now = state(edges)
+        if now == before:
             break
-        before = state
+        before = now
     found = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")
     return found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())
 
@@ -183,38 +222,39 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     chosen (true for one id and text of each class: the smallest id, then text_key and text_key2)."""
     bands, rows = banding(similarity, recall)
     base = docs.select(*row_key(), F.col("doc_id").isNull().alias("missing"), "text")
-    sketched = checkpointed(base.mapInPandas(_sketches(bands, rows), "id long, text_key long, text_key2 long, missing boolean, key long, key2 long, size int, bands array<long>"))
+    sketched = checkpointed(base.mapInArrow(_sketches(bands, rows), _SKETCH))
     row = F.struct(*ROW_KEY)
     nodes = sketched.where("size > 0").groupBy("key", "key2").agg(F.min(row).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))  # written once, so numbers stay
-
-    rows_ = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    buckets = rows_.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    full = checkpointed(rows_.join(buckets, ["band", "value"]))
-    few = full.where(F.col("n") <= SMALL).join(nodes.select("node", "bands"), "node")  # only bands of shared buckets travel
-    left, right = few.select("band", "value", F.col("node").alias("a"), F.col("bands").alias("x")), few.select("band", "value", F.col("node").alias("b"), F.col("bands").alias("y"))
-    first = F.array_position(F.zip_with("x", "y", lambda p, q: p == q), True) == F.col("band") + 1
-    pairs = left.join(right, ["band", "value"]).where(F.col("a") < F.col("b")).where(first)
-    needed = pairs.select("band", "value", F.explode(F.array("a", "b")).alias("node")).distinct().select("band", "value", "node", F.lit(0).alias("block"), F.lit(0).alias("low"), F.lit(0).alias("high"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    many = full.where(F.col("n") > SMALL).select("band", "value", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    many = many.select("band", "value", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("band", "value", "node", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    n_nodes, n_rows = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+
+    members = nodes.select("node", "size", F.explode("bands").alias("bucket"))
+    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams")).where("n > 1")
+    full = checkpointed(beside(members, checkpointed(buckets), ["bucket"], "n", n_nodes * bands))
+    few = full.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("node", "size")).alias("m"))  # SMALL members at most
+    alike = lambda x, y: (x["node"] < y["node"]) & (F.least(x["size"], y["size"]) >= F.lit(similarity - 1e-9) * F.greatest(x["size"], y["size"]))
+    listed = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: alike(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    pairs = few.select("bucket", F.explode(listed).alias("p")).groupBy("p.a", "p.b").agg(F.min("bucket").alias("bucket"))
+    needed = pairs.select("bucket", F.explode(F.array("a", "b")).alias("node")).distinct().select("bucket", "node", F.lit(0).alias("block"), F.lit(0).alias("low"), F.lit(0).alias("high"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
+    many = full.where(F.col("n") > SMALL).select("bucket", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    many = many.select("bucket", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("bucket", "node", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     wanted = checkpointed(needed.unionByName(many))
 
-    # Only nodes that some bucket asks for make their sets, each from its representative's text.
-    asked = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", "rep.*")
-    texts = base.select(*ROW_KEY, "text").join(asked, ROW_KEY).dropDuplicates(["node"]).select("node", "text")
-    sets = texts.mapInPandas(_sets, "node long, grams binary").join(nodes.select("node", "size", "bands", "copies"), "node")
-    groups = wanted.join(sets, "node").groupBy("band", "value", "low", "high")
+    # Only nodes that some bucket asks for bring their representative's text.
+    asked = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", "rep.*", "size", "bands", "copies")
+    brought = base.select(*ROW_KEY, packed("text").alias("packed")).join(asked, ROW_KEY).dropDuplicates(["node"]).select("node", "size", "bands", "copies", "packed")
+    groups = wanted.join(brought, "node").groupBy("bucket", "low", "high")
     found = checkpointed(groups.applyInPandas(_verified(similarity), "node long, other long, links long, weight long"))
 
     linked = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("weight").alias("weight"))
-    joined = checkpointed(components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "node"))
-    tops = joined.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("top"))
-    of_node = nodes.select("node", "key", "key2", "rep", "copies").join(linked, "node", "left").join(joined.join(tops, "component").select("node", "top"), "node", "left")
-    of_node = of_node.select("key", "key2", "rep", F.coalesce("top", "rep").alias("top"), (F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("links", F.lit(0)).alias("n_text_links"))
+    joined = checkpointed(components(found.select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "node"))
+    tops = joined.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("top"), F.count(F.lit(1)).alias("n"))
+    of_class = beside(joined, tops, ["component"], "n", n_nodes).select("node", "top")
+    of_node = nodes.select("node", "key", "key2", "rep", "copies").join(linked, "node", "left").join(of_class, "node", "left")
+    of_node = of_node.select("key", "key2", "rep", "copies", F.coalesce("top", "rep").alias("top"), (F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("links", F.lit(0)).alias("n_text_links"))
     own = sketched.select(*ROW_KEY, "missing", "key", "key2", "size")
-    out = own.where("size > 0").join(of_node, ["key", "key2"]).select(*ROW_KEY, "missing", F.col("top.id").alias("class_id"), F.col("rep.id").alias("copy_of"), "n_links", "n_text_links", (F.col("top") == row).alias("chosen"))
+    out = beside(own.where("size > 0"), of_node, ["key", "key2"], "copies", n_rows).select(*ROW_KEY, "missing", F.col("top.id").alias("class_id"), F.col("rep.id").alias("copy_of"), "n_links", "n_text_links", (F.col("top") == row).alias("chosen"))
     alone = own.where("size = 0").select(*ROW_KEY, "missing", F.col("id").alias("class_id"), F.col("id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_text_links"), F.lit(True).alias("chosen"))
     doc_id = F.when(~F.col("missing"), F.col("id")).cast(docs.schema["doc_id"].dataType)
     return out.unionByName(alone).select(doc_id.alias("doc_id"), "id", "class_id", "copy_of", "n_links", "n_text_links", "text_key", "text_key2", "chosen")
