@@ -15,7 +15,7 @@ from wavemill.sources import readers
 
 SF = "/root/testdata/sf0.001"
 #: A few of each kind; the driver compares all.
-NAMES = ["a11_support_only_macro", "f16_context", "f33_undigits", "f43_valid_series", "j10_stages_left", "p19_extra_columns"]
+NAMES = ["f02e_answer_staged", "f02g_first_word", "f02h_sampler_label", "f03_option", "f04_stage_labels", "f05_own_stage_labels", "f06_stage_codes", "f25_znorm_n3", "a16_token_overlap", "r05_missing_classes", "a11_support_only_macro", "f16_context", "f33_undigits", "f43_valid_series", "j10_stages_left", "p19_extra_columns"]
 NAMES += ["a08_open_vocabulary", "a14_template_f1", "a26_agreement", "f02b_answer_clean", "f25_znorm_n5", "j03_list_lookup", "p13_finite_series", "r01_random_split", "r02_stratified_split", "w02_window_majority", "w04_interpolated", "w06_balanced_batches"]
 
 
@@ -49,10 +49,16 @@ def one(spark, column, **values):
 def test_labels(spark):
     t = F.col("t")
     assert one(spark, L.normalize_label(t), t=" a .") == "a "
-    assert one(spark, L.answer_staged(t, list(L.STAGES)), t="first REM sleep then Wake it seems") == "Wake"
+    assert one(spark, L.answer_staged(t), t="first REM sleep then Wake it seems") == "wake"
+    assert one(spark, L.answer_staged(t), t="x\nAnswer: Wake\nmore, y.") == "wake\nmore, y" and one(spark, L.answer_staged(t), t="so: Answer:") == ""
     assert one(spark, L.answer_first_word(t), t="x Answer: ") is None
-    assert one(spark, L.stage_label(t), t="stage 4.") == "Non-REM stage 3"
-    assert one(spark, L.mcq_option(t), t="b) yes") == "(b)"
+    stages = {"stage 4.": "non-rem stage 3", "S2": "non-rem stage 2", "2": "non-rem stage 2", "artifact": "movement", "spindle": "non-rem stage 2", "stage 1 then stage 2": "non-rem stage 2", "rem with movement": "rem sleep", "(a) w . ,": "wake", "NREM stage 4": "non-rem stage 3", "other": "other"}
+    assert {k: one(spark, L.stage_label(t), t=k) for k in stages} == stages
+    own = {"Answer nrem stage 4.": "Non-REM stage 3", "AWAKE": "Wake", "rem sleep<eos>": "REM sleep", "mt": "Movement", "w": "w", "stage 2": "stage 2"}
+    assert {k: one(spark, L.own_stage_label(t), t=k) for k in own} == own
+    assert one(spark, L.stage_supported(t), t="w") is False and one(spark, L.stage_of_code(t), t=" N4") == "non-rem stage 3" and one(spark, L.shown_code(t), t="N4") == "Non-REM stage 4"
+    options = {"a) first": "a) first", "b)yes": "(b)", "none of them": "none of them", "it is (C)": "(c)", "so D: x": "(d)", " e.g ": "(e)"}
+    assert {k: one(spark, L.mcq_option(t), t=k) for k in options} == options
     assert one(spark, L.prompt_numbers(t), t="see [1, -2,3] ok") == [1, -2, 3]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,7 @@ def answer_tagged(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("Answer: ")), strip(found)).otherwise(c)
 
 
+# Fixed values in these rules: the markers `Answer: ` and `answer:`, and the forms of end tokens, `<|...|>` and `<eos>`.
 def answer_clean(c: Column) -> Column:
     """As F02a, but `<|...|>` goes anywhere, `<eos>` and one period only at the end."""
     found = F.when(F.contains(c, F.lit("Answer: ")), strip(after_last(c, "Answer: "))).otherwise(c)
@@ -65,18 +68,28 @@ def answer_sentence(c: Column) -> Column:
     return F.coalesce(F.nullif(direct, F.lit("")), F.nullif(two, F.lit("")), F.nullif(F.rtrim(last_word(c), F.lit(STOPS)), F.lit("")))
 
 
-def rightmost_label(c: Column, labels: list[str]) -> Column:
-    """F02e: of the labels that occur, the one that occurs furthest right; null if none does."""
-    low = F.lower(c)
-    at = [F.struct((F.length(low) - F.locate(x[::-1].lower(), F.reverse(low)) - len(x)).alias("at"), F.lit(len(x)).alias("n"), F.lit(x).alias("label"), F.contains(low, F.lit(x.lower())).alias("has")) for x in labels]
-    return F.array_max(F.filter(F.array(*at), lambda s: s["has"]))["label"]
+# Stage names that are looked for in predictions, lower case.
+STAGE_NAMES = ("non-rem stage 1", "non-rem stage 2", "non-rem stage 3", "rem sleep", "wake", "movement")
 
 
-def answer_staged(c: Column, labels: list[str]) -> Column:
-    """F02e: F02d's first rule, then after the last `answer:`, then the right-most label, then the last word."""
-    direct = strip(F.regexp_extract(c, r"(?is)answer:\s*(.+?)(?:\.|$)", 1))
-    tail = F.when(F.contains(F.lower(c), F.lit("answer:")), strip(after_last(F.lower(c), "answer:")))
-    return F.coalesce(F.nullif(direct, F.lit("")), F.nullif(tail, F.lit("")), rightmost_label(c, labels), F.nullif(F.rtrim(last_word(c), F.lit(STOPS)), F.lit("")))
+def rightmost_label(c: Column, labels: tuple[str, ...] = STAGE_NAMES) -> Column:
+    """F02e: of the labels that occur, the one that starts furthest right (ties: the first listed); null if none does."""
+    low = F.lower(c)
+    starts = [F.struct((F.length(low) - F.locate(x[::-1], F.reverse(low)) - len(x)).alias("at"), F.lit(-k).alias("k"), F.lit(x).alias("label"), F.contains(low, F.lit(x)).alias("has")) for k, x in enumerate(labels)]
+    return F.array_max(F.filter(F.array(*starts), lambda s: s["has"]))["label"]
+
+
+def answer_staged(c: Column, labels: tuple[str, ...] = STAGE_NAMES) -> Column:
+    """F02e, lower case: from the first `Answer:` to a period or the text's end on the same line; else all that follows the
+    last `answer:`; else the right-most label; else the last word."""
+    t = strip(c)
+    direct = r"(?id)answer:\s*(.+?)(?:\.|$)"
+    rest = F.regexp_extract(t, r"(?is)^.*answer:\s*(.*)$", 1)
+    return F.lower(
+        F.when(F.regexp_like(t, F.lit(direct)), strip(F.regexp_replace(strip(F.regexp_extract(t, direct, 1)), r"\.$", "")))
+        .when(F.contains(F.lower(t), F.lit("answer:")), strip(F.rtrim(strip(rest), F.lit(STOPS))))
+        .otherwise(F.coalesce(rightmost_label(t, labels), strip(F.rtrim(last_word(t), F.lit(STOPS)))))
+    )
 
 
 def answer_prefix3(c: Column) -> Column:
@@ -90,9 +103,9 @@ def mcq_prefix3(c: Column) -> Column:
 
 
 def answer_first_word(c: Column, lower: bool = True) -> Column:
-    """F02g: the first word after the last `Answer:`, else the last word, else `unknown`; an empty answer gives null (Q24)."""
+    """F02g: the first word after the last `Answer:`, else the last word, else `unknown`, stops included; an empty answer gives null (Q24)."""
     tagged = F.contains(c, F.lit("Answer:"))
-    found = F.when(tagged, F.rtrim(first_word(after_last(c, "Answer:")), F.lit(STOPS))).otherwise(F.coalesce(F.nullif(F.rtrim(last_word(c), F.lit(STOPS)), F.lit("")), F.lit("unknown")))
+    found = F.when(tagged, first_word(after_last(c, "Answer:"))).otherwise(F.coalesce(F.nullif(last_word(c), F.lit("")), F.lit("unknown")))
     return F.lower(found) if lower else found
 
 
@@ -102,21 +115,32 @@ def answer_label(c: Column) -> Column:
 
 
 def mcq_option(c: Column) -> Column:
-    """`(a)` to `(e)` anywhere, then `a)` or `b.` right before a word, then `a:` or `a-`."""
-    low = F.lower(c)
-    rules = (r"\(([a-e])\)", r"\b([a-e])[).]\s*\w", r"\b([a-e])\s*[:-]")
-    found = [F.nullif(F.regexp_extract(low, r, 1), F.lit("")) for r in rules]
-    return F.when(F.coalesce(*found).isNotNull(), F.concat(F.lit("("), F.coalesce(*found), F.lit(")")))
+    """`(a)` to `(e)` anywhere; else such a letter with `)` or `.` and a word character right behind; else one with
+    `:` or `-` behind. Without any, the stripped text; null gives the empty text."""
+    t = strip(F.coalesce(c, F.lit("")))
+    rules = (r"\(([a-eA-E])\)", r"\b([a-eA-E])[).]\b", r"\b([a-eA-E])\s*[:-]")
+    found = [F.nullif(F.regexp_extract(t, r, 1), F.lit("")) for r in rules]
+    return F.coalesce(F.concat(F.lit("("), F.lower(F.coalesce(*found)), F.lit(")")), t)
 
 
-# The stage names that predictions are mapped to, and their other names.
-STAGE_ALIASES = {
-    "wake": "Wake", "w": "Wake", "awake": "Wake", "rem": "REM sleep", "r": "REM sleep", "rem sleep": "REM sleep", "movement": "Movement", "mt": "Movement",
-    "n1": "Non-REM stage 1", "stage 1": "Non-REM stage 1", "non-rem stage 1": "Non-REM stage 1", "n2": "Non-REM stage 2", "stage 2": "Non-REM stage 2", "non-rem stage 2": "Non-REM stage 2",
-    "n3": "Non-REM stage 3", "stage 3": "Non-REM stage 3", "non-rem stage 3": "Non-REM stage 3", "n4": "Non-REM stage 3", "stage 4": "Non-REM stage 3", "non-rem stage 4": "Non-REM stage 3",
-}
+# What predictions call a stage, by the canonical name; stage 4 counts as stage 3.
 STAGES = ("Wake", "Non-REM stage 1", "Non-REM stage 2", "Non-REM stage 3", "REM sleep", "Movement")
-STAGE_CODES = {"Wake": "W", "Non-REM stage 1": "N1", "Non-REM stage 2": "N2", "Non-REM stage 3": "N3", "REM sleep": "R", "Movement": "M"}
+STAGE_ALIASES = {
+    "wake": ("w", "wake"),
+    "rem sleep": ("rem", "rapid eye movement", "rem sleep"),
+    "movement": ("artifact", "artifacts", "movement time", "movement"),
+    "non-rem stage 1": ("1", "s1", "n1", "stage 1"),
+    "non-rem stage 2": ("2", "s2", "n2", "stage 2"),
+    "non-rem stage 3": ("3", "s3", "n3", "stage 3", "4", "s4", "n4", "stage 4"),
+}
+# Parts of a longer text that tell its stage, in the order in which they are looked for.
+STAGE_PARTS = (
+    ("wake", "wake"), ("rem", "rem sleep"), ("movement", "movement"), ("artifact", "movement"), ("stage 4", "non-rem stage 3"), ("stage 3", "non-rem stage 3"),
+    ("stage 2", "non-rem stage 2"), ("spindle", "non-rem stage 2"), ("k-complex", "non-rem stage 2"), ("stage 1", "non-rem stage 1"),
+)
+# Short codes of stages in reports, and the names that plots show for codes.
+STAGE_OF_CODE = {"w": "wake", "n1": "non-rem stage 1", "n2": "non-rem stage 2", "n3": "non-rem stage 3", "n4": "non-rem stage 3", "rem": "rem sleep"}
+SHOWN_CODES = {"W": "Wake", "N1": "Non-REM stage 1", "N2": "Non-REM stage 2", "N3": "Non-REM stage 3", "N4": "Non-REM stage 4", "REM": "REM sleep", "M": "Movement", "Unknown": "Unknown"}
 
 
 def mapped(c: Column, table: dict[str, str]) -> Column:
@@ -125,24 +149,45 @@ def mapped(c: Column, table: dict[str, str]) -> Column:
 
 
 def stage_label(c: Column) -> Column:
-    """aliases first, then substrings in a fixed priority: wake, movement, numbered stages (4 counts as 3), REM."""
-    n = normalize_label(c)
-    has = lambda x: F.contains(n, F.lit(x))
-    guess = F.when(has("wake"), "Wake").when(has("movement"), "Movement")
-    for k, label in (("1", "Non-REM stage 1"), ("2", "Non-REM stage 2"), ("3", "Non-REM stage 3"), ("4", "Non-REM stage 3")):
-        guess = guess.when(has("stage " + k) | has("n" + k), label)
-    guess = guess.when(has("rem") & ~has("non-rem") & ~has("nrem"), "REM sleep")
-    return F.coalesce(mapped(n, STAGE_ALIASES), guess)
-
-
-def stage_supported(c: Column) -> Column:
-    """whether a label is one of STAGES after F04."""
-    return F.coalesce(stage_label(c).isin(*STAGES), F.lit(False))
-
-
-def stage_code(c: Column) -> Column:
-    """short code."""
-    return mapped(stage_label(c), STAGE_CODES)
+    """F04, lower case: without stops at its end and a leading `(x)`, a text's alias; else the first of STAGE_PARTS in it; else the text."""
+    t = strip(F.regexp_replace(strip(F.lower(F.coalesce(c, F.lit("")))), r"[.,;:!?][.,;:!?\s]*$", ""))
+    t = F.when(F.length(t) > 3, strip(F.regexp_replace(t, r"^\([^)]{0,2}\)", ""))).otherwise(t)
+    aliases = {alias: stage for stage, names in STAGE_ALIASES.items() if stage != "wake" for alias in names} | {"w": "wake"}
+    full = F.replace(F.replace(t, F.lit("non rem"), F.lit("non-rem")), F.lit("nrem"), F.lit("non-rem"))
+    guess = F.when(full == "non-rem stage 4", "non-rem stage 3").when(full.isin(*STAGE_NAMES), full)
+    for part, stage in STAGE_PARTS:
+        guess = guess.when(F.contains(full, F.lit(part)) & ~(F.lit(part == "rem") & F.contains(full, F.lit("non-rem"))), stage)
+    return F.coalesce(mapped(t, aliases), guess, full)
+
+
+def own_stage_label(c: Column, labels: tuple[str, ...] = STAGES) -> Column:
+    """control tokens and one period gone; numbered non-REM stages, REM sleep, wake and movement by their words; else one
+    of `labels` in any case; else the text without tokens."""
+    text = strip(F.regexp_replace(strip(F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"<\|.*?\|>|<eos>$", "")), r"\.$", ""))
+    low = F.lower(text)
+    low = F.when(F.contains(low, F.lit("non-rem")) | F.contains(low, F.lit("nrem")), F.replace(F.replace(low, F.lit("nrem"), F.lit("non-rem")), F.lit("non rem"), F.lit("non-rem"))).otherwise(low)
+    has = lambda *parts: reduce(lambda x, y: x & y, [F.contains(low, F.lit(p)) for p in parts])
+    found = F.when(has("non-rem", "stage 4") | has("non-rem", "stage 3"), "Non-REM stage 3").when(has("non-rem", "stage 2"), "Non-REM stage 2").when(has("non-rem", "stage 1"), "Non-REM stage 1")
+    found = found.when(has("rem", "sleep"), "REM sleep").when(low.isin("wake", "awake"), "Wake").when(has("movement") | low.isin("mov", "mt"), "Movement")
+    for label in labels:
+        found = found.when(low == label.lower(), label)
+    return F.coalesce(found, text)
+
+
+def stage_supported(c: Column, labels: tuple[str, ...] = STAGES) -> Column:
+    """whether what own_stage_label finds is one of the labels."""
+    return own_stage_label(c, labels).isin(*labels)
+
+
+def stage_of_code(c: Column) -> Column:
+    """a short code's stage, lower case; other texts as they are, lower case and stripped; null gives the empty text."""
+    t = strip(F.lower(F.coalesce(c, F.lit(""))))
+    return F.coalesce(mapped(t, STAGE_OF_CODE), t)
+
+
+def shown_code(c: Column) -> Column:
+    """the name that a plot shows for a code; null for another text."""
+    return mapped(c, SHOWN_CODES)
 
 
 def path_identifier(c: Column) -> Column:

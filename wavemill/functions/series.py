@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,9 +18,20 @@ def mean(v: Column) -> Column:
     return F.when(F.size(v) > 0, total(v) / F.size(v))
 
 
+def _with(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x evaluated once: a lambda's body that reads it is run for one element."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _spread(v: Column, centre: Column, ddof: int) -> Column:
+    """The deviation around a centre that is a lambda's variable, so that nothing is evaluated again for each point."""
+    squares = F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - centre) * (x - centre))
+    return F.when(F.size(v) > ddof, F.sqrt(squares / (F.size(v) - ddof)))
+
+
 def deviation(v: Column, ddof: int = 1) -> Column:
     """A01 (ddof 1), A02 (ddof 0); null where too few points are left."""
-    return F.when(F.size(v) > ddof, F.sqrt(total(F.transform(v, lambda x: (x - mean(v)) * (x - mean(v)))) / (F.size(v) - ddof)))
+    return _with(mean(v), lambda m: _spread(v, m, ddof))
 
 
 #: Variants N1 to N7 of the survey: (ddof, how a small deviation is treated, eps).
@@ -34,9 +46,9 @@ def guarded(sd: Column, guard: str, eps: float) -> Column:
 
 
 def znorm(v: Column, ddof: int = 1, guard: str = "clamp", eps: float = 1e-6) -> Column:
-    """null where the deviation is undefined."""
-    sd = deviation(v, ddof)
-    return F.when(sd.isNotNull(), F.transform(v, lambda x: (x - mean(v)) / guarded(sd, guard, eps)))
+    """null where the deviation is undefined. Three passes over a series: mean, deviation, points."""
+    scaled = lambda m, sd: F.when(sd.isNotNull(), F.transform(v, lambda x: (x - m) / guarded(sd, guard, eps)))
+    return _with(mean(v), lambda m: _with(_spread(v, m, ddof), lambda sd: scaled(m, sd)))
 
 
 def finite(v: Column) -> Column:

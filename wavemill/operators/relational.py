@@ -123,14 +123,17 @@ def window_series(df: DataFrame, entity: str, order: list[str], value: str) -> D
 
 
 def interpolated(df: DataFrame, entity: str | None, order: list[str], value: str) -> DataFrame:
-    """Linear by row position; leading gaps stay, trailing ones carry the last value. NaN counts as missing."""
+    """Linear by row position; leading gaps stay, trailing ones carry the last value. NaN counts as missing.
+
+    The next known value is the last one in reversed order, so both windows are running ones. An entity is
+    one series, which one task must run through; without an entity that is the whole table."""
     keys = [entity] if entity else []
     w = W.partitionBy(*keys).orderBy(*order)
     v = F.nanvl(F.col(value), F.lit(None))
     at = df.withColumn("_i", F.row_number().over(w)).withColumn("_v", v)
     known = F.when(F.col("_v").isNotNull(), F.struct(F.col("_i").alias("i"), F.col("_v").alias("v")))
-    back, ahead = F.last(known, True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.first(known, True).over(w.rowsBetween(0, W.unboundedFollowing))
-    both = at.withColumn("_b", back).withColumn("_a", ahead)
+    running = lambda i: F.last(known, True).over(W.partitionBy(*keys).orderBy(i).rowsBetween(W.unboundedPreceding, 0))
+    both = at.withColumn("_b", running(F.col("_i"))).withColumn("_a", running(F.col("_i").desc()))
     share = (F.col("_i") - F.col("_b.i")) / (F.col("_a.i") - F.col("_b.i"))
     filled = F.coalesce("_v", F.when(F.col("_a").isNull(), F.col("_b.v")).otherwise(F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * share))
     return both.withColumn(value, filled).drop("_i", "_v", "_b", "_a")
@@ -150,7 +153,7 @@ def hashed(seed: int, *keys: str) -> Column:
 def balanced_batches(df: DataFrame, label: str, id_: str, batch: int, seed: int) -> DataFrame:
     """Every batch has the same number of each class, until the smallest class ends."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("classes"))
-    ranked = df.withColumn("rn", F.row_number().over(W.partitionBy(label).orderBy(hashed(seed, id_), id_)) - 1)
+    ranked = _ranks(df, id_, seed, [label]).drop("n").withColumn("rn", F.col("rn") - 1)
     per = F.expr(f"{batch} div classes")
     placed = ranked.crossJoin(sizes).withColumn("per", per).withColumn("batch", F.expr("rn div per"))  # sizes is one row
     return placed.where((F.lit(batch) % F.col("classes") == 0) & (F.col("batch") < F.expr("least div per"))).drop("per", "least", "classes", "rn")

@@ -79,11 +79,20 @@ def template_f1(df: DataFrame, pred: str, gold: str, template: str, labels: Data
 
 
 def token_overlap(pred: Column, gold: Column) -> Column:
-    """Precision, recall and F1 of the multisets of tokens; both empty is 1, one empty is 0."""
+    """Precision, recall and F1 of the multisets of tokens; both empty is 1, one empty is 0.
+
+    Both multisets are sorted as one; a pass over it pairs each gold token with an unpaired equal one before it."""
     tokens = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    count = lambda xs, w: F.size(F.filter(xs, lambda x: x == w))
     p, g = tokens(pred), tokens(gold)
-    shared = F.aggregate(F.array_intersect(p, g), F.lit(0), lambda s, w: s + F.least(count(p, w), count(g, w)))
+    sided = lambda xs, side: F.transform(xs, lambda w: F.struct(w.alias("w"), F.lit(side).alias("side")))
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("open"), F.lit(0).alias("shared"))
+
+    def step(s: Column, x: Column) -> Column:
+        left = F.when(s["w"] == x["w"], s["open"]).otherwise(0)  # no token is empty
+        pairs = (x["side"] == 1) & (left > 0)
+        return F.struct(x["w"].alias("w"), F.when(x["side"] == 0, left + 1).when(pairs, left - 1).otherwise(left).alias("open"), (s["shared"] + pairs.cast("int")).alias("shared"))
+
+    shared = F.aggregate(F.array_sort(F.concat(sided(p, 0), sided(g, 1))), start, step)["shared"]
     empty = (F.size(p) == 0) | (F.size(g) == 0)
     both = (F.size(p) == 0) & (F.size(g) == 0)
     fix = lambda c: F.when(both, 1.0).when(empty | (shared == 0), 0.0).otherwise(c)

@@ -41,7 +41,8 @@ def query(name: str, sql: str | None = None):
 
 
 # Predictions and gold answers for label queries, written as texts: ids of orders give the cases.
-ANSWERS = ["Answer: Walking.<eos>", "I think so. Answer: sitting <|end|>", "The answer: RUNNING!", "no marker here", "Answer: stage 2. More text", "(b) is right", "", "Answer:  Non-REM stage 4.", "a) first", "Answer: Walking Answer: rem sleep."]
+ANSWERS = ["Answer: Walking.<eos>", "I think so. Answer: sitting <|end|>", "The answer: RUNNING!", "no marker here", "Answer: stage 2. More text", "(b) is right", "", "Answer:  Non-REM stage 4.", "a) first", "Answer: Walking Answer: rem sleep.",
+    "S2", "2", "artifact", "slow spindle seen", "stage 1 then stage 2", "rem with movement", "(c) n3!?", "c.x it is", "Option D: yes", "NREM stage 1", "first REM sleep then Wake it seems", "Answer:", "Rapid eye movement .", "AWAKE", "mt", "N4"]
 
 
 def _texts(t: Tables) -> DataFrame:
@@ -565,9 +566,10 @@ def _(t):
     return t.events.select("event_id", R.entity_split(F.col("user_id"), [5, 6], [7, 8]).alias("split"))
 
 
-@query("r05_missing_classes", "SELECT DISTINCT lang FROM documents EXCEPT SELECT DISTINCT lang FROM documents WHERE doc_id < 5")
+@query("r05_missing_classes", f"SELECT DISTINCT source FROM documents EXCEPT SELECT source FROM documents JOIN ({SQL['r01_random_split']}) USING (doc_id) WHERE split = 'test'")
 def _(t):
-    return t.documents.select("lang").distinct().subtract(t.documents.where("doc_id < 5").select("lang"))
+    held = R.random_split(t.documents.select("doc_id", "source"), "doc_id", 42).where("split = 'test'")
+    return t.documents.select("source").distinct().subtract(held.select("source"))
 
 
 @query("r06_seeded_sample", "SELECT doc_id FROM documents ORDER BY md5('9|' || doc_id), doc_id LIMIT 50")
@@ -638,7 +640,7 @@ _text_query("f02f_mcq_prefix_cut_first", L.mcq_prefix3, f"left({_STRIP('lower(te
 _text_query(
     "f03_option",
     L.mcq_option,
-    "'(' || coalesce(nullif(regexp_extract(lower(text), '\\(([a-e])\\)', 1), ''), nullif(regexp_extract(lower(text), '\\b([a-e])[).]\\s*\\w', 1), ''), nullif(regexp_extract(lower(text), '\\b([a-e])\\s*[:-]', 1), '')) || ')'",
+    f"coalesce('(' || lower(coalesce(nullif(regexp_extract(text, '\\(([a-eA-E])\\)', 1), ''), nullif(regexp_extract(text, '\\b([a-eA-E])[).]\\b', 1), ''), nullif(regexp_extract(text, '\\b([a-eA-E])\\s*[:-]', 1), ''))) || ')', {_STRIP('text')})",
 )
 _text_query("f07_slug", L.slug, "regexp_replace(lower(text), '[^a-z0-9]', '-', 'g')")
 _text_query("f14_preview", lambda c: L.preview(c, 12), "CASE WHEN length(text) > 12 THEN left(text, 12) || '...' ELSE text END")
@@ -646,20 +648,57 @@ _text_query("f18_end_token", lambda c: L.with_end(c, "<eos>"), "CASE WHEN ends_w
 _text_query("f23_fitted", lambda c: L.fitted(c, 20), "rpad(left(text, 20), 20, ' ')")
 
 
-@query("f02e_answer_staged")
+_ANSWER = "regexp_extract(t, '(?i)answer:\\s*([^\\n]+?)(?:\\.|$)', 1)"
+_FURTHEST = "list_sort(list_transform(list_filter([" + ", ".join(f"{{'x': '{x}', 'k': {k}}}" for k, x in enumerate(L.STAGE_NAMES)) + "], lambda s: contains(lower(t), s.x)), lambda s: {'at': -(length(t) - position(reverse(s.x) IN reverse(lower(t))) - length(s.x)), 'k': s.k, 'x': s.x}))[1].x"
+
+
+@query(
+    "f02e_answer_staged",
+    f"""SELECT o_orderkey, lower(CASE WHEN regexp_matches(t, '(?i)answer:\\s*([^\\n]+?)(?:\\.|$)') THEN trim(regexp_replace(trim({_ANSWER}), '\\.$', '')) WHEN contains(lower(t), 'answer:') THEN rtrim(trim(regexp_extract(t, '(?is)^.*answer:\\s*(.*)$', 1)), '.,!?;:')
+  ELSE coalesce({_FURTHEST}, rtrim({_LAST_WORD.replace('text', 't')}, '.,!?;:')) END) AS label FROM (SELECT o_orderkey, {_STRIP('text')} AS t FROM {TEXTS})""",
+)
+def _(t):
+    return _texts(t).select("o_orderkey", L.answer_staged(F.col("text")).alias("label"))
+
+
+_WORDS = "list_filter(string_split_regex({}, '\\s+'), lambda w: w <> '')"
+_text_query("f02g_first_word", L.answer_first_word, f"lower(CASE WHEN contains(text, 'Answer:') THEN {_WORDS.format("string_split(text, 'Answer:')[-1]")}[1] ELSE coalesce({_WORDS.format('text')}[-1], 'unknown') END)")
+_text_query("f02h_sampler_label", L.answer_label, SQL["f02b_answer_clean"].removeprefix("SELECT o_orderkey, ").removesuffix(f" AS label FROM {TEXTS}"))
+
+# The rules of the two canonicalisers, written out case by case.
+_STAGE_SQL = f"""SELECT o_orderkey, CASE WHEN t = 'w' THEN 'wake' WHEN t IN ('rem', 'rapid eye movement') THEN 'rem sleep' WHEN t IN ('artifact', 'artifacts', 'movement time') THEN 'movement'
+  WHEN regexp_full_match(t, '(s|n|stage )?[1-4]') THEN 'non-rem stage ' || least(right(t, 1), '3')
+  WHEN u IN ('wake', 'rem sleep', 'movement') OR regexp_full_match(u, 'non-rem stage [123]') THEN u WHEN u = 'non-rem stage 4' THEN 'non-rem stage 3'
+  WHEN u LIKE '%wake%' THEN 'wake' WHEN u LIKE '%rem%' AND u NOT LIKE '%non-rem%' THEN 'rem sleep' WHEN u LIKE '%movement%' OR u LIKE '%artifact%' THEN 'movement'
+  WHEN u LIKE '%stage 4%' OR u LIKE '%stage 3%' THEN 'non-rem stage 3' WHEN u LIKE '%stage 2%' OR u LIKE '%spindle%' OR u LIKE '%k-complex%' THEN 'non-rem stage 2' WHEN u LIKE '%stage 1%' THEN 'non-rem stage 1' ELSE u END AS label
+FROM (SELECT o_orderkey, t, replace(replace(t, 'non rem', 'non-rem'), 'nrem', 'non-rem') AS u FROM (
+  SELECT o_orderkey, CASE WHEN length(s) > 3 AND left(s, 1) = '(' AND contains(left(s, 4), ')') THEN trim(substr(s, position(')' IN s) + 1)) ELSE s END AS t
+  FROM (SELECT o_orderkey, trim(regexp_replace(trim(lower(text)), '[.,;:!?][.,;:!?\\s]*$', '')) AS s FROM {TEXTS})))"""
+_OWN_STAGE_SQL = f"""SELECT o_orderkey, label, label IN ('Wake', 'Non-REM stage 1', 'Non-REM stage 2', 'Non-REM stage 3', 'REM sleep', 'Movement') AS supported FROM (SELECT o_orderkey,
+  CASE WHEN n AND (u LIKE '%stage 4%' OR u LIKE '%stage 3%') THEN 'Non-REM stage 3' WHEN n AND u LIKE '%stage 2%' THEN 'Non-REM stage 2' WHEN n AND u LIKE '%stage 1%' THEN 'Non-REM stage 1'
+  WHEN u LIKE '%rem%' AND u LIKE '%sleep%' THEN 'REM sleep' WHEN u IN ('wake', 'awake') THEN 'Wake' WHEN u LIKE '%movement%' OR u IN ('mov', 'mt') THEN 'Movement' ELSE c END AS label
+  FROM (SELECT *, u LIKE '%non-rem%' AS n FROM (SELECT o_orderkey, c, CASE WHEN lower(c) LIKE '%nrem%' OR lower(c) LIKE '%non-rem%' THEN replace(replace(lower(c), 'nrem', 'non-rem'), 'non rem', 'non-rem') ELSE lower(c) END AS u
+  FROM (SELECT o_orderkey, trim(regexp_replace(trim(regexp_replace(trim(text), '<\\|.*?\\|>|<eos>$', '', 'g')), '\\.$', '')) AS c FROM {TEXTS}))))"""
+
+
+@query("f04_stage_labels", _STAGE_SQL)
 def _(t):
-    return _texts(t).select("o_orderkey", L.answer_staged(F.col("text"), list(L.STAGES)).alias("label"))
+    return _texts(t).select("o_orderkey", L.stage_label(F.col("text")).alias("label"))
 
 
-@query("f02g_first_word")
+@query("f05_own_stage_labels", _OWN_STAGE_SQL)
 def _(t):
-    return _texts(t).select("o_orderkey", L.answer_first_word(F.col("text")).alias("label"))
+    return _texts(t).select("o_orderkey", L.own_stage_label(F.col("text")).alias("label"), L.stage_supported(F.col("text")).alias("supported"))
 
 
-@query("f04_stage_labels")
+@query(
+    "f06_stage_codes",
+    f"""SELECT o_orderkey, CASE t WHEN 'w' THEN 'wake' WHEN 'n1' THEN 'non-rem stage 1' WHEN 'n2' THEN 'non-rem stage 2' WHEN 'n3' THEN 'non-rem stage 3' WHEN 'n4' THEN 'non-rem stage 3' WHEN 'rem' THEN 'rem sleep' ELSE t END AS stage,
+  CASE text WHEN 'W' THEN 'Wake' WHEN 'N1' THEN 'Non-REM stage 1' WHEN 'N2' THEN 'Non-REM stage 2' WHEN 'N3' THEN 'Non-REM stage 3' WHEN 'N4' THEN 'Non-REM stage 4' WHEN 'REM' THEN 'REM sleep' WHEN 'M' THEN 'Movement' WHEN 'Unknown' THEN 'Unknown' END AS shown
+FROM (SELECT o_orderkey, text, {_STRIP('lower(text)')} AS t FROM {TEXTS})""",
+)
 def _(t):
-    c = L.answer_sentence(F.col("text"))
-    return _texts(t).select("o_orderkey", L.stage_label(c).alias("label"), L.stage_supported(c).alias("supported"), L.stage_code(c).alias("code"))
+    return _texts(t).select("o_orderkey", L.stage_of_code(F.col("text")).alias("stage"), L.shown_code(F.col("text")).alias("shown"))
 
 
 @query("f08_model_names", "SELECT s_suppkey, regexp_replace(string_split('owner/m' || s_suppkey || '-SP', '/')[-1], '(?i)[-_](sp|flamingo)$', '') AS base, 'sp' AS config FROM supplier")
