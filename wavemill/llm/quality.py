@@ -1,17 +1,23 @@
 """Quality rules: robust multivariate outliers by minimum-covariance-determinant estimates.
 
 Statistics of each whole text become a vector of five transformed numbers. For each language and
-source the vectors' robust centre and covariance come from concentration steps: keep the share H of
-rows that lie nearest, take their mean and covariance, measure all rows by Mahalanobis distance and
-keep the nearest again. Every step is an aggregation over all rows. Rows meet their group's estimate
-by a broadcast of at most BROADCAST_ROWS estimates; where there are more, by a join on group and salt,
-so that no group meets in one task either way.
-A language and source with fewer than MIN_ROWS rows is pooled with the language's other small ones,
-a pool that is too small with all other such pools; where these have too few rows together, they
-are judged by an estimate of all rows. So every row has a distance.
+source the robust centre and covariance are searched from STARTS starts: the coordinates' medians and
+spreads, mean and covariance of all rows, and those of a hashed part of the rows. A concentration step
+keeps the share H of rows that lie nearest to an estimate and takes their mean and covariance, whose
+determinant can only fall; steps go on until no determinant falls any more, and the start of the least
+determinant wins. Rows are then rejected by squared Mahalanobis distance.
+
+Every step is an aggregation over all rows. Medians and shares are found in histograms of fixed bins,
+which add up to the same whatever the partitioning; a row at the edge bin is kept with its bin. Rows
+meet their group's estimates by a broadcast of at most BROADCAST_ROWS of them; where there are more,
+by a join on group and salt, so that no group meets in one task either way.
+
+Every row has a distance. What few rows a language and source has is filled up by its language, and
+that by all rows: the estimate is shrunk towards the one above it, which counts as SHRINK rows.
 
 Null and empty texts have no words and fail the base rules. A null language or source is a value like
-any other. Repeated rows count and are judged as often as they occur. Extra columns are left out.
+any other. Repeated rows count and are judged as often as they occur. An empty table gives no rows.
+Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -23,21 +29,29 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import WordHashes, checkpointed, table, window_hashes, words
 
-#: Words of a window that counts as repeated; rows that a group needs; share of rows kept in a concentration step.
-REPEAT_WORDS, MIN_ROWS, H, STEPS = 8, 200, 0.75, 3
+#: Words of a window that counts as repeated; share of rows kept in a concentration step; steps at most.
+REPEAT_WORDS, H, STEPS = 8, 0.75, 30
+#: How many rows the estimate of the language (of all rows) counts as in that of a language and source (of a language).
+SHRINK = 200.0
+#: Starts of the search: medians, all rows, a hashed part.
+STARTS = 3
 #: Squared distances above this chi-square quantile (5 degrees, 1 - 4e-5) are outliers.
 CUTOFF = 28.0
-#: Groups whose estimates (some 300 bytes each) are broadcast at most; parts that each group is dealt out to where there are more.
+#: Groups whose estimates (some 1,000 bytes each) are broadcast at most; parts that each group is dealt out to where there are more.
 BROADCAST_ROWS, SALTS = 10_000, 64
-#: Transformed statistics, and the least standard deviation that each is given.
-DIMENSIONS = {"x_words": 0.35, "x_length": 0.06, "x_symbols": 0.5, "x_lines": 0.15, "x_repeats": 0.15}
+#: Transformed statistics, and the least standard deviation that each is given. The two shares of repeats lie
+#: between 0 and sqrt(0.3) where the base rules let a text pass, so their floors let either one reach the cut-off alone.
+DIMENSIONS = {"x_words": 0.35, "x_length": 0.06, "x_symbols": 0.5, "x_lines": 0.09, "x_repeats": 0.1}
 #: What the covariance of the nearest 75 % of normal vectors of 5 dimensions falls short by.
 CONSISTENCY = 1.41
+#: Bins of a histogram: for coordinates their width, for logarithms of distances their number to a doubling.
+_WIDTH, _FINE = 1 / 1024, 64
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _BLANKS = re.compile(r"[\x20\x09-\x0D]")
@@ -78,70 +92,144 @@ def _transformed() -> dict[str, Column]:
     }
 
 
-def _inverses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Cells with their mean and mean products -> cells with their mean and inverse covariance."""
-    d, floor = len(DIMENSIONS), np.array(list(DIMENSIONS.values()))
+def _cells_of(batches: Iterator[pd.DataFrame], made) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
-        for cell, n, mean, products in zip(batch["cell"], batch["n"], batch["mean"], batch["products"], strict=True):
-            mean, cov = np.array(mean), np.zeros((d, d))
-            cov[np.triu_indices(d)] = products
-            cov = np.maximum(cov, cov.T) if d == 1 else cov + np.triu(cov, 1).T
-            cov = (cov - np.outer(mean, mean)) * CONSISTENCY
-            cov += np.diag(np.maximum(0, floor**2 - np.diag(cov)))  # no statistic is given less spread than its floor
-            if n < MIN_ROWS:
-                cov += np.diag(floor**2 * d / n)  # so few rows may lie in a plane
-            rows.append((cell, mean.tolist(), np.linalg.inv(cov).ravel().tolist()))
-        yield pd.DataFrame(rows, columns=["cell", "mean", "inverse"])
-
-
-def _squared_distance(x: Column) -> Column:
+        yield pd.DataFrame([made(r) for r in batch.itertuples(index=False)], columns=["cell", "start", "mean", "inverse", "cov", "logdet"])
+
+
+def covariance(mean: np.ndarray, products: np.ndarray, scale: float = CONSISTENCY) -> np.ndarray:
+    """From a mean and mean products (upper triangle) of kept rows; no statistic is given less spread than its floor."""
+    d, floor = len(DIMENSIONS), np.array(list(DIMENSIONS.values()))
+    cov = np.zeros((d, d))
+    cov[np.triu_indices(d)] = products
+    cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
+    cov *= scale
+    return cov + np.diag(np.maximum(0, floor**2 - np.diag(cov)) + 1e-12)
+
+
+def _estimates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cells and starts with a mean and mean products -> with mean, covariance, its inverse and determinant."""
+
+    def made(r) -> tuple:
+        mean = np.array(r.mean)
+        cov = covariance(mean, np.array(r.products))
+        return r.cell, r.start, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), cov.ravel().tolist(), float(np.linalg.slogdet(cov)[1])
+
+    yield from _cells_of(batches, made)
+
+
+_ESTIMATE = "cell string, start int, mean array<double>, inverse array<double>, cov array<double>, logdet double"
+
+
+def _squared_distance(x: Column, mean: Column, inverse: Column) -> Column:
     d = len(DIMENSIONS)
-    y = [x[i] - F.col("mean")[i] for i in range(d)]
-    return sum((y[i] * y[j] * F.col("inverse")[i * d + j] for i in range(d) for j in range(d)), F.lit(0.0))
+    y = [x[i] - mean[i] for i in range(d)]
+    return sum((y[i] * y[j] * inverse[i * d + j] for i in range(d) for j in range(d)), F.lit(0.0))
 
 
 def _beside(rows: DataFrame, groups: DataFrame, key: str, n_groups: int, how: str = "inner") -> DataFrame:
-    """Each row (with its salt) beside the one row of `groups` that has its key; n_groups is how many there are."""
+    """Each row (with its salt) beside the rows of `groups` that have its key; n_groups is how many there are."""
     if n_groups <= BROADCAST_ROWS:
         return rows.join(F.broadcast(groups), key, how)
     salted = groups.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
     return rows.join(salted, [key, "salt"], how)
 
 
-def mcd(vectors: DataFrame, n_cells: int) -> DataFrame:
-    """`vectors` has cell, x (array of the five numbers) and salt; returns cell, mean, inverse: one row a cell."""
+def _edges(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """For each key the least `bin` up to which the share of its rows lies, as `edge`; rows are counted by bin first."""
+    counts = rows.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
+    by = W.partitionBy(*keys)  # as many rows as a key has bins
+    reached = counts.withColumn("so_far", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
+    return reached.where(F.col("so_far") >= share * F.col("all")).groupBy(*keys).agg(F.min("bin").alias("edge"))
+
+
+def _sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The mean and the mean products of x for each key."""
+    d, x = len(DIMENSIONS), F.col("x")
+    return rows.groupBy(*keys).agg(F.array(*[F.avg(x[i]) for i in range(d)]).alias("mean"), F.array(*[F.avg(x[i] * x[j]) for i in range(d) for j in range(i, d)]).alias("products"))
+
+
+def _medians(vectors: DataFrame) -> DataFrame:
+    """cell and the middle of each coordinate."""
     d = len(DIMENSIONS)
-    x, floors = F.col("x"), list(DIMENSIONS.values())
-    middle = vectors.groupBy("cell").agg(F.array(*[F.percentile_approx(x[i], 0.5, 1000) for i in range(d)]).alias("mean"))
-    spread = _beside(vectors, middle, "cell", n_cells).groupBy("cell").agg(F.first("mean").alias("mean"), F.array(*[F.percentile_approx(F.abs(x[i] - F.col("mean")[i]), 0.5, 1000) for i in range(d)]).alias("mad"))
-    flat = [F.when(F.lit(i == j), 1 / F.pow(F.greatest(1.4826 * F.col("mad")[i], F.lit(floors[i])), 2)).otherwise(0.0) for i in range(d) for j in range(d)]
-    model = checkpointed(spread.select("cell", "mean", F.array(*flat).alias("inverse")))
-    for _ in range(STEPS):
-        measured = _beside(vectors, model, "cell", n_cells).select("cell", "x", "salt", _squared_distance(x).alias("d2"))
-        near = measured.groupBy("cell").agg(F.percentile_approx("d2", H, 1000).alias("limit"))
-        kept = _beside(measured, near, "cell", n_cells).where(F.col("d2") <= F.col("limit"))
-        sums = kept.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(x[i]) for i in range(d)]).alias("mean"), F.array(*[F.avg(x[i] * x[j]) for i in range(d) for j in range(i, d)]).alias("products"))
-        model = checkpointed(sums.mapInPandas(_inverses, "cell string, mean array<double>, inverse array<double>"))
-    return model
+    bins = vectors.select("cell", F.posexplode("x").alias("i", "v")).select("cell", "i", F.floor(F.col("v") / _WIDTH).alias("bin"))
+    middle = _edges(bins, ["cell", "i"], 0.5)
+    at = F.map_from_entries(F.collect_list(F.struct("i", (F.col("edge") + 0.5) * _WIDTH)))  # five entries a cell
+    return middle.groupBy("cell").agg(at.alias("m")).select("cell", F.array(*[F.col("m")[i] for i in range(d)]).alias("middle"))
+
+
+def _starts(vectors: DataFrame, n_cells: int) -> DataFrame:
+    """The estimates that the search sets out from: cell, start and the columns of _ESTIMATE."""
+    d, x = len(DIMENSIONS), F.col("x")
+    middle = _medians(vectors)
+    apart = _beside(vectors, middle, "cell", n_cells).select("cell", F.array(*[F.abs(x[i] - F.col("middle")[i]) for i in range(d)]).alias("x"))
+    spread = _medians(apart).withColumnRenamed("middle", "spread").join(middle, "cell")
+    # Mean products of independent coordinates of these medians and spreads.
+    square = [F.col("middle")[i] * F.col("middle")[j] + (F.pow(1.4826 * F.col("spread")[i], 2) / CONSISTENCY if i == j else 0.0) for i in range(d) for j in range(i, d)]
+    first = spread.select("cell", F.lit(0).alias("start"), F.col("middle").alias("mean"), F.array(*square).alias("products"))
+    parts = vectors.select("cell", "x", F.explode(F.when(F.pmod(F.xxhash64("x"), F.lit(4)) == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("start"))
+    return first.unionByName(_sums(parts, ["cell", "start"])).mapInPandas(_estimates, _ESTIMATE)
+
+
+def mcd(vectors: DataFrame, n_cells: int) -> DataFrame:
+    """`vectors` has cell, x (array of the five numbers) and salt; returns a row a cell: cell, mean, cov, logdet."""
+    model = checkpointed(_starts(vectors, n_cells))
+    bins = F.floor(_FINE * F.log2(F.col("d2") + 1e-9))
+    for step in range(STEPS):
+        every = model.groupBy("cell").agg(F.collect_list(F.struct("start", "mean", "inverse")).alias("models"))  # STARTS a cell
+        measured = _beside(vectors, every, "cell", n_cells).select("cell", "x", "salt", F.explode("models").alias("m"))
+        measured = measured.select("cell", "x", "salt", F.col("m.start").alias("start"), _squared_distance(F.col("x"), F.col("m.mean"), F.col("m.inverse")).alias("d2")).withColumn("bin", bins)
+        edges = _edges(measured, ["cell", "start"], H).groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("start", "edge"))).alias("edges"))
+        kept = _beside(measured, edges, "cell", n_cells).where(F.col("bin") <= F.col("edges")[F.col("start")])
+        new = checkpointed(_sums(kept, ["cell", "start"]).mapInPandas(_estimates, _ESTIMATE))
+        falls = new.alias("a").join(model.alias("b"), ["cell", "start"]).where(F.col("a.logdet") < F.col("b.logdet") - 1e-6)
+        before, model = model, new
+        if step and falls.isEmpty():  # what the first step leaves are no subsets' estimates
+            model = before
+            break
+    best = F.min_by(F.struct("mean", "cov", "logdet"), F.struct("logdet", "start"))
+    return model.groupBy("cell").agg(best.alias("m")).select("cell", "m.*")
+
+
+def _shrunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each cell's estimate drawn towards the one of the wider cell, which counts as SHRINK rows: mean and inverse."""
+    for batch in batches:
+        rows = []
+        for r in batch.itertuples(index=False):
+            d, own = len(DIMENSIONS), r.n / (r.n + SHRINK)
+            mean, cov = np.array(r.mean), np.array(r.cov).reshape(d, d)
+            wide_mean, wide = np.array(r.wide_mean), np.array(r.wide_cov).reshape(d, d)
+            apart = np.outer(mean - wide_mean, mean - wide_mean) * own * (1 - own)
+            cov = own * cov + (1 - own) * wide + apart
+            mean = own * mean + (1 - own) * wide_mean
+            rows.append((r.cell, mean.tolist(), cov.ravel().tolist(), np.linalg.inv(cov).ravel().tolist()))
+        yield pd.DataFrame(rows, columns=["cell", "mean", "cov", "inverse"])
+
+
+def estimates(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """`vectors` has group, pool, x and salt; returns cell (a group), mean and inverse, and how many groups there are."""
+    level = F.explode(F.array(F.concat(F.lit("group "), "group"), F.concat(F.lit("pool "), "pool"), F.lit("all")))
+    cells = vectors.groupBy("group", "pool").agg(F.count(F.lit(1)).alias("n"))
+    cells = checkpointed(cells)
+    n_groups = cells.count()
+    n_cells = n_groups + cells.select("pool").distinct().count() + 1
+    found = checkpointed(mcd(vectors.select("x", "salt", level.alias("cell")), n_cells))
+    named = lambda kind, c: found.where(F.startswith("cell", F.lit(kind))).select(F.substring("cell", len(kind) + 1, 2**31 - 1).alias(c), "mean", "cov")
+    wide = found.where("cell = 'all'").select(F.col("mean").alias("wide_mean"), F.col("cov").alias("wide_cov"))
+    shape = "cell string, mean array<double>, cov array<double>, inverse array<double>"
+    pools = cells.groupBy("pool").agg(F.sum("n").alias("n")).join(named("pool ", "pool"), "pool").crossJoin(F.broadcast(wide))  # one row
+    pools = pools.select(F.col("pool").alias("cell"), "n", "mean", "cov", "wide_mean", "wide_cov").mapInPandas(_shrunk, shape).select(F.col("cell").alias("pool"), F.col("mean").alias("wide_mean"), F.col("cov").alias("wide_cov"))
+    groups = cells.join(named("group ", "group"), "group").join(pools, "pool").select(F.col("group").alias("cell"), "n", "mean", "cov", "wide_mean", "wide_cov")
+    return checkpointed(groups.mapInPandas(_shrunk, shape).select("cell", "mean", "inverse")), n_groups
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the statistics, base_failed, distance2 and kept."""
     found = docs.select("doc_id", F.to_json(F.struct("lang", "source")).alias("group"), F.to_json(F.struct("lang")).alias("pool"), text_statistics("text").alias("s")).select("doc_id", "group", "pool", "s.*")
     found = checkpointed(found.withColumn("x", F.array(*_transformed().values())).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")))
-    sizes = checkpointed(found.groupBy("group").agg(F.count(F.lit(1)).alias("rows")))
-    sized = _beside(found, sizes, "group", sizes.count()).withColumn("cell", F.when(F.col("rows") >= MIN_ROWS, F.col("group")).otherwise(F.concat(F.lit("pool"), "pool"))).drop("rows", "group", "pool")
-    counts = checkpointed(sized.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).withColumn("small", F.col("rows") < MIN_ROWS))
-    rest = counts.where("small").agg(F.sum("rows")).first()[0] or 0
-    sized = _beside(sized, counts.select("cell", "small"), "cell", counts.count()).withColumn("cell", F.when(F.col("small"), "rest").otherwise(F.col("cell"))).drop("small")
-    n_cells = counts.where("not small").count() + (rest > 0)
-    vectors = sized.select("cell", "x", "salt")
-    if 0 < rest < MIN_ROWS:  # too few rows for an estimate of their own: that of all rows
-        vectors = vectors.where(F.col("cell") != "rest").unionByName(vectors.withColumn("cell", F.lit("rest")))
-    model = mcd(vectors, n_cells)
+    model, n_groups = estimates(found.select("group", "pool", "x", "salt"))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = _beside(sized, model, "cell", n_cells, "left").withColumn("distance2", _squared_distance(F.col("x"))).withColumn("base_failed", base)
+    out = _beside(found.withColumnRenamed("group", "cell"), model, "cell", n_groups, "left").withColumn("distance2", _squared_distance(F.col("x"), F.col("mean"), F.col("inverse"))).withColumn("base_failed", base)
     return out.select("doc_id", *STATISTICS.names, "base_failed", "distance2", (~F.col("base_failed") & (F.col("distance2") <= CUTOFF)).alias("kept"))
 
 
