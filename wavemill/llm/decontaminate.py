@@ -2,36 +2,42 @@
 
 For every benchmark item, each document's windows of as many words as the item are fingerprinted: 64
 bits, each the sign of a sum over the window's five-word shingles. The items' fingerprints stand in a
-multi-index of 8 blocks of 8 bits. Two fingerprints that differ in RADIUS bits at most differ in
-RADIUS // 8 at most in some block, so looking up all block values that near finds every item within
-the radius. Candidates are verified by weighted Jaccard similarity: shingles count as often as they
-occur. A window that shares no shingle with the benchmark has similarity 0 and is never looked up.
+multi-index of BLOCKS blocks of 16 bits, each a sorted table of block values. Two fingerprints that
+differ in RADIUS bits at most differ in some block by no more than that block's part of the radius
+(the parts plus one add up to RADIUS + 1), so looking up all block values that near finds every item
+within the radius. Candidates are verified by weighted Jaccard similarity: shingles count as often as
+they occur. Only windows that can reach the similarity are fingerprinted: two multisets of a and b
+shingles share SIMILARITY / (1 + SIMILARITY) * (a + b) at least, so a window with fewer shingles of the
+benchmark is out.
+
+At similarity 0.8 fingerprints differ in 10 bits on average with a deviation of 3; RADIUS is beyond
+three deviations (measured recall in the tests and the README).
 
 The benchmark is read in blocks of BLOCK_CHARS characters, each of which goes to the tasks with the
-code; a benchmark of any size takes more passes over the documents, not more memory.
+code; a benchmark of any size takes more passes over the documents, not more memory: of more than one
+block each writes its matches before the next is read.
 
 Null or empty texts and items match nothing. Items of fewer than five words are one shingle, and a
 document with fewer words than an item is one window. Repeated documents or items each get their
-pairs. Extra columns are left out.
+pairs. A null doc_id or item_id stays null. Extra columns are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, WordHashes, mixed, shingles, table, words
+from .common import SHINGLE_WORDS, WordHashes, checkpointed, mixed, shingles, table, words
 
 SIMILARITY = 0.8
-#: At similarity 0.8 fingerprints differ in 10 bits on average, with a deviation of 3.
-RADIUS = 23
-BLOCKS = 8
+RADIUS = 20
+BLOCKS = 4
 BLOCK_CHARS = 4_000_000
 
 PAIRS = "item_id long, similarity double, start_word long, window_words long, hamming int"
@@ -55,26 +61,49 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / max(1, np.maximum(x, y).sum()))
 
 
+@lru_cache(maxsize=8)
+def _near_values(distance: int) -> np.ndarray:
+    """The 16-bit numbers of so many set bits at most: XOR with them gives all block values that near."""
+    every = np.arange(1 << 16, dtype=np.uint32)
+    return every[_BITS[every >> 8].astype(int) + _BITS[every & 255] <= distance].astype(np.uint16)
+
+
 @dataclass
 class Index:
-    """Items of one length in words: ids, shingles, fingerprints and, by block and value, the items near it."""
+    """Items of one length in words: ids, shingles, fingerprints and, by block, the items in order of their value."""
 
     ids: list[int] = field(default_factory=list)
     items: list[np.ndarray] = field(default_factory=list)
 
     def built(self, radius: int) -> Index:
-        self.prints = np.concatenate([fingerprints(signs(s).sum(axis=0, keepdims=True)) for s in self.items])
-        near = _BITS[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= radius // BLOCKS
-        self.table = [near[:, self.prints[:, k]] for k in range(BLOCKS)]
-        self.radius = radius
+        self.radius, self.prints = radius, np.concatenate([fingerprints(signs(s).sum(axis=0, keepdims=True)) for s in self.items])
+        self.size = np.array([len(s) for s in self.items])
+        values = self.prints.view(">u2").astype(np.uint16)
+        self.order = np.argsort(values, axis=0, kind="stable")
+        self.values = np.take_along_axis(values, self.order, axis=0)
+        #: The block's part of the radius.
+        self.parts = [(radius + 1) // BLOCKS + (k < (radius + 1) % BLOCKS) - 1 for k in range(BLOCKS)]
         return self
 
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _block(self, k: int, value: int) -> np.ndarray:
+        """Items whose block k is as near to the value as its part of the radius."""
+        if self.parts[k] < 0:
+            return np.empty(0, np.int64)
+        near = _near_values(self.parts[k])
+        if len(near) > len(self.ids):  # fewer items than values: ask each item
+            apart = self.values[:, k] ^ np.uint16(value)
+            return self.order[_BITS[apart >> 8].astype(int) + _BITS[apart & 255] <= self.parts[k], k]
+        low, high = (np.searchsorted(self.values[:, k], near ^ np.uint16(value), side=side) for side in ("left", "right"))
+        found = np.flatnonzero(high > low)
+        return np.concatenate([self.order[low[i] : high[i], k] for i in found]) if len(found) else np.empty(0, np.int64)
+
+    def near(self, prints: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Windows, items and distances of all pairs within the radius."""
-        window, item = np.nonzero(reduce(np.logical_or, (t[prints[:, k]] for k, t in enumerate(self.table))))
-        distance = _BITS[prints[window] ^ self.prints[item]].sum(axis=1, dtype=np.int64)
-        ok = distance <= self.radius
-        return window[ok], item[ok], distance[ok]
+        for window, values in enumerate(prints.view(">u2").astype(np.uint16)):
+            items = np.unique(np.concatenate([self._block(k, int(v)) for k, v in enumerate(values)]))
+            distance = _BITS[prints[window] ^ self.prints[items]].sum(axis=1, dtype=np.int64)
+            for i in np.flatnonzero(distance <= self.radius):
+                yield window, int(items[i]), int(distance[i])
 
 
 class Benchmark:
@@ -89,47 +118,51 @@ class Benchmark:
         self.by = {n: index.built(radius) for n, index in sorted(by.items())}
         known = [s for n, index in self.by.items() if n >= SHINGLE_WORDS for s in index.items]
         self.known = np.unique(np.concatenate(known)) if known else np.empty(0, np.uint64)
-        #: Which lengths have an item with the shingle; short items, which have shingles of their own, are always looked up.
-        self.at = np.zeros((len(self.known), len(self.by)), dtype=bool)
-        for k, (n, index) in enumerate(self.by.items()):
-            for s in index.items if n >= SHINGLE_WORDS else ():
-                self.at[np.searchsorted(self.known, s), k] = True
-        self.short = np.array([n < SHINGLE_WORDS for n in self.by], dtype=bool)
+        #: Each known shingle's first and last length that has it (numbers of `by`): other lengths aren't looked up for it.
+        at = [np.searchsorted(self.known, np.concatenate(index.items)) for n, index in self.by.items() if n >= SHINGLE_WORDS]
+        self.short = [k for k, n in enumerate(self.by) if n < SHINGLE_WORDS]
+        self.first, self.last = np.full(len(self.known), len(self.by)), np.full(len(self.known), -1)
+        for k, places in zip(range(len(self.short), len(self.by)), at, strict=True):
+            self.first[places] = np.minimum(self.first[places], k)
+            self.last[places] = k
 
     def matches(self, h: np.ndarray) -> list[tuple[int, float, int, int, int]]:
         """(item_id, similarity, start, words, distance) of the best window for each item of at least SIMILARITY."""
+        if not len(h):
+            return []
         best: dict[tuple[int, int], tuple] = {}
         s = shingles(h)
         place = np.minimum(np.searchsorted(self.known, s), max(0, len(self.known) - 1))
-        found = self.known[place] == s if len(self.known) and len(s) else np.zeros(len(s), bool)
-        lengths = self.short | self.at[place[found]].any(axis=0)
+        found = self.known[place] == s if len(self.known) and len(h) >= SHINGLE_WORDS else np.zeros(len(s), bool)
+        place, sums = place[found], None
+        wanted = range(self.first[place].min(), self.last[place].max() + 1) if len(place) else range(0)
         if len(h) < SHINGLE_WORDS:
-            lengths[:] = True
-        if not lengths.any():
-            return []
-        hit, sums = np.concatenate([[0], np.cumsum(found)]), None
-        for n, index in (x for x, wanted in zip(self.by.items(), lengths, strict=True) if wanted):
+            wanted = range(len(self.by))
+        hit = np.concatenate([[0], np.cumsum(found)])
+        for k, (n, index) in enumerate(self.by.items()):
+            if k not in wanted and k >= len(self.short):
+                continue
             size = min(n, len(h))
             if size < SHINGLE_WORDS:
-                own = shingles(h[:size]) if size == len(h) else np.concatenate([shingles(h[k : k + size]) for k in range(len(h) - size + 1)])
-                wide, starts, start_hits = 1, np.arange(len(own)), None
+                own = s if size == len(h) else np.concatenate([shingles(h[i : i + size]) for i in range(len(h) - size + 1)])
+                wide, starts = 1, np.flatnonzero(np.isin(own, np.concatenate(index.items)))
             else:
                 own, wide = s, size - SHINGLE_WORDS + 1
-                start_hits = hit[wide:] - hit[:-wide]
-                starts = np.flatnonzero(start_hits > 0)
+                least = SIMILARITY / (1 + SIMILARITY) * (wide + index.size.min())
+                starts = np.flatnonzero(hit[wide:] - hit[:-wide] >= least - 1e-9)
             if not len(starts):
                 continue
-            if start_hits is None:
-                prints = fingerprints(signs(own))
+            if size < SHINGLE_WORDS:
+                prints = fingerprints(signs(own[starts]))
             else:
                 if sums is None:
                     sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(s), axis=0, dtype=np.int32)])
                 prints = fingerprints(sums[starts + wide] - sums[starts])
-            for w, i, distance in zip(*index.near(prints), strict=True):
+            for w, i, distance in index.near(prints):
                 start = int(starts[w])
                 similarity = weighted_jaccard(own[start : start + wide], index.items[i])
                 if similarity >= SIMILARITY and (similarity, -start) > best.get((n, i), (0,))[:2]:
-                    best[n, i] = (similarity, -start, size, int(distance))
+                    best[n, i] = (similarity, -start, size, distance)
         return [(self.by[n].ids[i], x, -start, size, distance) for (n, i), (x, start, size, distance) in best.items()]
 
 
@@ -160,8 +193,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("
 
         return docs.select(*[F.col(c).cast("long").alias(c) for c in keep], "text").mapInPandas(run, schema)
 
-    found = [searched(items) for items in blocks(benchmark)]
-    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
+    found, last = [], None
+    for items in blocks(benchmark):
+        if last is not None:  # written before the next block is read
+            found.append(checkpointed(searched(last)))
+        last = items
+    if last is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, [*found, searched(last)])
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
