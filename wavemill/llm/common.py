@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 #: The words that near-duplicate operators put into one shingle.
 SHINGLE_WORDS = 5
+#: Items that a scan over an array gathers at once.
+SCAN_RUN = 256
 #: Groups that hold more than one row in so many are joined by broadcast.
 HEAVY = 10_000
 #: Stands for a null doc_id where ids are compared: null sorts first.
@@ -48,6 +50,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), where x is evaluated once, however often f reads it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def scanned(items: Column, zero: Column, step: Callable[[Column, Column], Column], made: Callable[[Column, Column], Column], made_type: str) -> Column:
+    """made(state before, item) for each item of an array; a state starts at `zero` and goes on by step(state, item).
+
+    An array grows by copying, so outputs are gathered in runs of SCAN_RUN: time grows as the length, not its square."""
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), (F.greatest(F.size(all_) - 1, F.lit(0)) / F.lit(SCAN_RUN)).cast("int")), lambda k: F.slice(all_, k * SCAN_RUN + 1, SCAN_RUN))
+    begin = F.struct(zero.alias("state"), F.slice(F.array(zero), 1, 0).alias("starts"))
+    starts = lambda runs: F.aggregate(runs, begin, lambda s, run: F.struct(F.aggregate(run, s["state"], step).alias("state"), F.concat(s["starts"], F.array(s["state"])).alias("starts")))["starts"]
+    none = F.expr(f"cast(array() as array<{made_type}>)")
+    one = lambda run, start: F.aggregate(run, F.struct(start.alias("state"), none.alias("out")), lambda s, x: F.struct(step(s["state"], x).alias("state"), F.concat(s["out"], F.array(made(s["state"], x))).alias("out")))["out"]
+    return bound(items, lambda all_: bound(cut(all_), lambda runs: F.flatten(F.zip_with(runs, starts(runs), one))))
+
+
 def beside(rows: DataFrame, groups: DataFrame, key: list[str], weight: str, total: int) -> DataFrame:
     """Each row joined to the one row of `groups` that has its key; `weight` says how many rows a group has, `total` how many all have.
 

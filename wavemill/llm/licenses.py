@@ -4,18 +4,20 @@ A rule is a regular expression with a keyword that every match contains, a label
 strongest). Only rules whose keyword occurs in the text run. A hit is suppressed if a hit of the same or a stronger level contains its
 interval: of equal intervals the stronger level wins, then the earlier rule.
 
-Everything is an expression over one row: no shuffle, no join. Null and empty texts have no words and
+Everything is an expression over one row: no shuffle, no join. Only A-Z are made small. Time grows as a
+text's length, and as its hits, which are sorted once. Null and empty texts have no words and
 no labels. Repeated rows each get a row; extra columns are left out.
 """
 
 from __future__ import annotations
 
 import re
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound, scanned, table
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _IN, _OUT = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -141,41 +143,48 @@ def _rule_array() -> Column:
     return F.expr("array(" + ", ".join(f"named_struct('rule', {k}, 'level', {level}, 'label', {_literal(label)}, 'keyword', {_literal(keyword)}, 'regex', {_literal(regex)})" for k, (level, label, keyword, regex) in enumerate(RULES)) + ")")
 
 
-def _hits(text: Column, rule: Column) -> Column:
-    """All matches of a rule with their places, from what stands between them."""
-    found, between = F.regexp_extract_all(text, rule["regex"], F.lit(0)), F.split(text, rule["regex"], -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
+_SPAN = "struct<start:int,end:int>"
+
 
-    def step(done: Column, pair: Column) -> Column:
-        low = done["at"] + F.length(pair["before"])
-        high = low + F.length(pair["match"])
-        return F.struct(high.alias("at"), F.concat(done["spans"], F.array(F.struct(low.alias("start"), high.alias("end")))).alias("spans"))
+def _hits(text: Column, rule: Column) -> Column:
+    """All matches of a rule with their places, from the lengths of the matches and of what stands between them."""
+    between = lambda n: F.slice(F.split(text, rule["regex"], -1), 1, n)
+    lengths = bound(F.regexp_extract_all(text, rule["regex"], F.lit(0)), lambda found: F.when(F.size(found) > 0, F.zip_with(between(F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("before"), F.length(m).alias("match")))).otherwise(F.expr("cast(array() as array<struct<before:int,match:int>>)")))
+    spans = scanned(lengths, F.lit(0), lambda at, x: at + x["before"] + x["match"], lambda at, x: F.struct((at + x["before"]).alias("start"), (at + x["before"] + x["match"]).alias("end")), _SPAN)
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("until"), rule["level"].alias("level"), rule["rule"].alias("rule"), rule["label"].alias("label")))
 
-    spans = F.aggregate(F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(b.alias("before"), m.alias("match"))), start, step)["spans"]
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), rule["level"].alias("level"), rule["rule"].alias("rule"), rule["label"].alias("label")))
 
+def _kept_hits(hits: Column) -> Column:
+    """Hits that no other contains, if it is as strong: in order of start, longest first, a hit is out if one of its
+    level or a stronger one ended as late before it."""
+    levels = sorted(_CONFIDENCE)
+    zero = F.struct(*[F.lit(-1).alias(f"to{k}") for k in levels])
+    step = lambda s, h: F.struct(*[F.when((h["level"] <= k) & (-h["until"] > s[f"to{k}"]), -h["until"]).otherwise(s[f"to{k}"]).alias(f"to{k}") for k in levels])
 
-def _suppressed(hits: Column) -> Column:
-    def beats(g: Column, h: Column) -> Column:
-        wider = (g["start"] < h["start"]) | (g["end"] > h["end"])
-        return (g["level"] <= h["level"]) & (g["start"] <= h["start"]) & (g["end"] >= h["end"]) & (wider | (g["level"] < h["level"]) | ((g["level"] == h["level"]) & (g["rule"] < h["rule"])))
+    def covered(s: Column, h: Column) -> Column:
+        reach = F.lit(-1)
+        for k in levels:
+            reach = F.when(h["level"] == k, s[f"to{k}"]).otherwise(reach)
+        return reach >= -h["until"]
 
-    return F.filter(hits, lambda h: ~F.exists(hits, lambda g: beats(g, h)))
+    made = lambda s, h: F.when(~covered(s, h), F.struct(h["start"].alias("start"), (-h["until"]).alias("end"), h["level"].alias("level"), h["rule"].alias("rule"), h["label"].alias("label")))
+    found = scanned(F.array_sort(hits), zero, step, made, "struct<start:int,end:int,level:int,rule:int,label:string>")
+    return F.filter(found, lambda h: h.isNotNull())
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and `hits`: start, end, level, rule, label of what stays."""
-    text = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
+    text = docs.select("doc_id", F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase).alias("t"))
     count = lambda c: F.regexp_count(c, F.lit(WORDS)).cast("long")
     maybe = F.contains("t", F.lit("cc")) | F.contains("t", F.lit("general")) | F.contains("t", F.lit("rights"))
     empty = F.expr("cast(array() as array<string>)")
     based = text.select("doc_id", "t", count(F.col("t")).alias("n_words"), F.when(maybe, F.regexp_extract_all("t", F.lit(BASE), F.lit(0))).otherwise(empty).alias("found"), F.when(maybe, F.split("t", BASE, -1)).otherwise(F.array("t")).alias("parts"))
     present = F.filter(F.array(*[F.lit(k) for k in KEYWORDS]), lambda k: F.contains(F.col("t"), k))
     gated = F.filter(_rule_array(), lambda r: F.array_contains(F.col("present"), r["keyword"]))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,level:int,rule:int,label:string>>)")
+    none = F.expr("cast(array() as array<struct<start:int,until:int,level:int,rule:int,label:string>>)")
     hits = F.when(F.size("present") > 0, F.flatten(F.transform(gated, lambda r: _hits(F.col("t"), r)))).otherwise(none)
     placed = based.withColumn("present", present).select("doc_id", "t", "n_words", "found", "parts", hits.alias("all_hits"))
-    kept = placed.select("doc_id", "n_words", "found", "parts", _suppressed(F.col("all_hits")).alias("hits"))
+    kept = placed.select("doc_id", "n_words", "found", "parts", _kept_hits(F.col("all_hits")).alias("hits"))
     n = F.size("found")
     label = lambda m: F.when(F.startswith(m, F.lit("cc")), "cc-by").when(F.startswith(m, F.lit("general")), "gpl").otherwise("reserved")
     base_labels = F.array_sort(F.array_distinct(F.transform("found", label)))
@@ -201,7 +210,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brute_force(text: str | None) -> tuple[int, int, int | None, int | None, str, str]:
     """For tests: the same columns up to labels, from word lists and Python's regular expressions."""
-    t = (text or "").lower()
+    t = (text or "").translate({a: b for a, b in zip(map(ord, ascii_uppercase), ascii_lowercase, strict=True)})
     w = re.findall(WORDS, t)
     at = sorted((i, label) for phrase, label in PHRASES.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split())
     hits = [(m.start(), m.end(), level, k, label) for k, (level, label, _, regex) in enumerate(RULES) for m in re.finditer(regex, t, re.ASCII)]
