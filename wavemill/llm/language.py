@@ -1,34 +1,36 @@
 """Language ID: a bidirectional GRU over bytes, trained by backpropagation through time in numpy.
 
 The network reads one run of letters at a time (A-Z made small; its state starts anew at each ASCII
-character that is no letter) and gives every byte position a distribution over languages; a document's probabilities are the mean of the log
+character that is no letter, and in long runs after RUN bytes, at the start of a character) and gives
+every byte position a distribution over languages; a document's probabilities are the mean of the log
 probabilities of all its positions, normalised again. As labels of a word's positions depend on the
 word alone, a task keeps the sums of words it met lately, so every position of every whole text
 counts while the network runs once for each distinct word.
 
-Learns from a bounded sample of labelled rows (`sample` rows, those of smallest hash), never from
-held-out ones. Null texts and texts without a letter are `und` with score 0. Without any labelled row
-every document is `und`. Repeated rows each get a row; extra columns are left out.
+Learns from a bounded sample of labelled rows, the same number of each language (those of smallest
+hash), never from held-out ones; PIECES runs are drawn from each whole text. Null texts and texts
+without a letter are `und` with score 0. Without any labelled row every document is `und`. Repeated
+rows each get a row; an empty table gives no rows; extra columns are left out.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Numbered, chunks, hash_below, held_out, table
+from .common import Numbered, chunks, held_out, table
 
 UNKNOWN = "und"
-#: Labelled documents that the model is fitted on at most, and bytes of each that it looks at.
-SAMPLE, SAMPLE_BYTES = 1500, 2000
-#: Bytes of a training sequence; a longer word is cut into such runs when read as well.
+#: Labelled documents that the model is fitted on at most (one of each language at least), and runs drawn from each.
+SAMPLE, PIECES = 1500, 200
+#: Bytes of a sequence at most; a longer run of letters is cut into such, in training and when read.
 RUN = 24
 HIDDEN, EMBED = 8, 8
 _KNOWN_WORDS = 300_000
@@ -36,13 +38,28 @@ _KNOWN_WORDS = 300_000
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def lettered(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_LETTERS).split() if text else []
 
 
+def pieces(word: bytes) -> list[bytes]:
+    """A run of letters in parts of RUN bytes at most, cut at the start of a character."""
+    out, start = [], 0
+    while len(word) - start > RUN:
+        stop = start + RUN
+        while stop > start + 1 and word[stop] & 0xC0 == 0x80:
+            stop -= 1
+        out.append(word[start:stop])
+        start = stop
+    return [*out, word[start:]]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
 
@@ -119,11 +136,11 @@ def padded(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x, filled
 
 
-def train(rows: list[tuple[str, str]], seed: int = 7, steps: int = 240, batch: int = 256, rate: float = 0.03) -> BiGru | None:
-    """Adam on random words of the (text, language) rows; each language has the same share of a batch."""
+def train(rows: list[tuple[list[bytes], str]], seed: int = 7, steps: int = 240, batch: int = 256, rate: float = 0.03) -> BiGru | None:
+    """Adam on random runs of the (runs, language) rows; each language has the same share of a batch."""
     rng, by = np.random.default_rng(seed), {}
-    for text, lang in rows:
-        by.setdefault(lang, []).extend(w[:RUN] for w in words(text))
+    for found, lang in rows:
+        by.setdefault(lang, []).extend(found)
     by = {k: v for k, v in sorted(by.items()) if v}
     if not by:
         return None
@@ -146,7 +163,7 @@ class Reader:
         self.net, self.known, self.sums = net, Numbered(_KNOWN_WORDS), np.zeros((0, len(net.languages)))
 
     def _learn(self, new: list[bytes]) -> np.ndarray:
-        runs = [(i, w[k : k + RUN]) for i, w in enumerate(new) for k in range(0, len(w), RUN)]
+        runs = [(i, x) for i, w in enumerate(new) for x in pieces(w)]
         runs.sort(key=lambda x: len(x[1]))
         sums = np.zeros((len(new), len(self.net.languages)))
         for k in range(0, len(runs), 2048):
@@ -164,7 +181,7 @@ class Reader:
         out, start = [], 0
         for text, one in zip(texts, found, strict=True):
             stop = start + len(one)
-            if not one or not _LETTER.search(text):
+            if not one or not lettered(text):
                 out.append((UNKNOWN, 0.0))
             else:
                 mean = (total[stop] - total[start]) / (sizes[stop] - sizes[start])
@@ -186,18 +203,40 @@ def worker_reader(net: BiGru) -> Reader:
     return _worker_readers[key]
 
 
+def drawn(text: str | None, limit: int = PIECES) -> list[bytes]:
+    """So many runs of a whole text, whichever a generator that is seeded by the text draws; all if there are no more."""
+    found = [x for w in words(text) for x in pieces(w)]
+    if len(found) <= limit:
+        return found
+    seed = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    return [found[k] for k in np.random.default_rng(seed).choice(len(found), limit, replace=False)]
+
+
+@F.pandas_udf(T.ArrayType(T.BinaryType()))
+def _drawn(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: drawn(t if isinstance(t, str) else None))
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> BiGru | None:
-    """Train on at most `sample` documents with a language whose ids are not held out."""
-    labelled = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & ~held_out(F.col("doc_id")))
-    chosen = labelled.where(F.col("text").isNotNull() & hash_below(labelled.select("doc_id"), sample)).select("doc_id", "lang", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
-    rows = chosen.orderBy(F.xxhash64(F.col("doc_id")), "text", "lang").limit(sample).collect()
-    return train([(r["text"], r["lang"]) for r in rows])
+    """Train on at most `sample` documents with a language whose ids are not held out, as many of each language."""
+    labelled = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language
+    if not counts:
+        return None
+    each = max(1, sample // len(counts))
+    # Of a language with more rows, those below a hash threshold (twice as many as wanted) are ranked.
+    limits = docs.sparkSession.createDataFrame([(r["lang"], 2**63 - 1 if r["n"] <= 2 * each else -(2**63) + 2 * each * 2**64 // r["n"]) for r in counts], "lang string, most long")
+    low = labelled.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(limits), "lang").where(F.col("h") <= F.col("most"))
+    once = low.groupBy("lang", "h").agg(F.first("text").alias("text"))  # repeated rows teach once
+    ranked = once.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= each)
+    rows = ranked.select("lang", "h", _drawn("text").alias("runs")).collect()  # `sample` rows of PIECES runs at most
+    return train([(list(map(bytes, r["runs"])), r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"]))])
 
 
 @F.pandas_udf(T.BooleanType())
 def has_letter(texts: pd.Series) -> pd.Series:
     """What a text needs to get a language."""
-    return texts.map(lambda t: isinstance(t, str) and bool(words(t)) and _LETTER.search(t) is not None).astype(bool)
+    return texts.map(lambda t: isinstance(t, str) and lettered(t)).astype(bool)
 
 
 def predicted(net: BiGru | None):
@@ -217,7 +256,7 @@ def predicted(net: BiGru | None):
 def identify(docs: DataFrame, net: BiGru | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns plus lang_pred and score; fits on `docs` if no network is given."""
     net = net or fit(docs)
-    return docs.select(*keep, predicted(net)(F.col("text")).alias("p")).select(*keep, "p.lang_pred", "p.score")
+    return docs.select(*keep, predicted(net)(F.col("text")).alias("_read")).select(*keep, "_read.lang_pred", "_read.score")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
