@@ -37,10 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names, which driver and executors share.
 
-    Only where the setting is absent (tests, notebooks) a temporary folder is set."""
+    Only in local mode (tests, notebooks) a temporary folder stands in where the setting is absent."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wavemill-checkpoints-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
@@ -118,16 +121,20 @@ def words(text: str | None) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """Remembers the 64-bit hash of each word; starts anew when it grows past its bound."""
+    """Remembers the 64-bit hash of each word of up to LONG bytes; starts anew when it grows past its bound."""
+
+    LONG = 256
 
     def __init__(self, bound: int = 200_000):
         super().__init__()
         self.bound = bound
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONG:
+            if len(self) >= self.bound:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, found: list[bytes]) -> np.ndarray:
@@ -135,19 +142,21 @@ class WordHashes(dict):
 
 
 class Numbered(dict):
-    """Numbers distinct strings from 0; told of a chunk's strings, it says which are new."""
+    """Numbers distinct strings from 0; told of a chunk's strings, it says which are new. Bounded by entries and by characters."""
 
-    def __init__(self, bound: int):
+    def __init__(self, bound: int, chars: int = 1 << 25):
         super().__init__()
-        self.bound = bound
+        self.bound, self.chars, self.held = bound, chars, 0
 
     def take(self, found: list) -> tuple[np.ndarray, list, bool]:
         """The number of each string, the new strings in the order of their numbers, and whether numbering began anew."""
-        fresh = len(self) > self.bound
+        fresh = len(self) > self.bound or self.held > self.chars
         if fresh:
             self.clear()
+            self.held = 0
         new = list(dict.fromkeys(x for x in found if x not in self))
         self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
+        self.held += sum(map(len, new))
         return np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found)), new, fresh
 
 

@@ -7,7 +7,7 @@ weights at zero, so what tasks receive is a few thousand numbers, 2 ** BITS at m
 Learns from a bounded sample of labelled rows (`sample` rows, those of smallest hash), never from
 held-out ones; features of these rows are made on the executors. Null and empty texts get the score
 of the bias alone. Without labelled rows every score is 0. Repeated rows each get a row; a document
-with several labels teaches each. Extra columns are left out.
+with several labels teaches each; repeated rows teach once. An empty table gives no rows. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, hash_below, held_out, mixed, table
+from .common import WordHashes, checkpointed, hash_below, held_out, mixed, table
 
 BITS = 18
 #: Bytes of a word's beginning that count as features too: inflected and compound words share these.
 STEMS = (5, 7)
-#: Labelled documents that the weights are fitted on at most.
-SAMPLE = 6000
+#: Labelled documents that the weights are fitted on at most, and features of theirs in all (4 bytes each in the driver).
+SAMPLE, SAMPLE_NUMBERS = 6000, 1 << 24
 #: Scores from here on are predicted toxic.
 THRESHOLD = 0.3
 
@@ -85,12 +85,20 @@ def distinct_features(texts: pd.Series) -> pd.Series:
     return pd.Series([np.unique(features(t if isinstance(t, str) else None, hashes)).astype("<i4").tobytes() for t in texts])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """Train on at most `sample` labelled documents whose ids are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, numbers: int = SAMPLE_NUMBERS) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """Train on at most `sample` labelled documents whose ids are not held out, and on so many features of theirs in all."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    known = known.where(hash_below(known, sample)).orderBy(F.xxhash64("doc_id"), "toxic").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "toxic", distinct_features("text").alias("found")).collect()  # `sample` rows, of 2 ** BITS numbers at most
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"], len(r["found"])))
+    known = known.where(hash_below(known, sample)).distinct().orderBy(F.xxhash64("doc_id"), "toxic").limit(sample)
+    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))
+    # However often rows repeat, so many texts and labels of smallest hash.
+    last = found.select("h", "toxic").distinct().orderBy("h", "toxic").limit(sample).agg(F.max("h")).first()[0]
+    once = found.where(F.col("h") <= F.lit(last)).groupBy("h", "toxic").agg(F.first("text").alias("text"))
+    made = checkpointed(once.select("h", "toxic", distinct_features("text").alias("found")))
+    sizes = made.select("h", F.octet_length("found").alias("n")).orderBy("h").collect()  # `sample` pairs of numbers
+    total = np.cumsum([r["n"] // 4 for r in sizes])
+    fits = [r["h"] for r, n in zip(sizes, total, strict=True) if n <= numbers]
+    rows = made.where(F.col("h") <= (fits[-1] if fits else -(2**63))).collect()
+    rows.sort(key=lambda r: (r["h"], r["toxic"]))
     return train([(np.frombuffer(r["found"], dtype="<i4"), int(r["toxic"] > 0)) for r in rows])
 
 
