@@ -135,7 +135,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(c).cast("long").alias("conv_id"), F.lit(t).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(x).alias("text")) for c, t, r, x in PROBE])).alias("r")).select("r.*")
     made = format_conversations(rows.unionByName(probe))
-    read = made.select("conv_id", "valid", "formatted", parsed(F.col("formatted")).alias("turns"), F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"])), "").alias("loss"))
+    # Texts come from the formatted output; the mask says for each turn whether its text is trained on.
+    mask = F.transform(F.filter("segments", lambda s, i: i % 3 == 1), lambda s: s["loss"])
+    read = made.select("conv_id", "valid", "formatted", parsed(F.col("formatted")).alias("turns"), mask.alias("mask"))
+    read = read.withColumn("loss", F.array_join(F.zip_with("turns", "mask", lambda t, m: F.when(m, t["text"]).otherwise("")), ""))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
