@@ -4,9 +4,10 @@ Three metadata dimensions (language, source, log2 of the size) are quantised to
 curve visits the 4096 cells so that neighbours on the curve are neighbours in every dimension, and
 shards are cut as runs of that order. Law: `rows`, so shard counts differ by one at most.
 
-A row's rank needs no global sort: cells times SALTS spans of hashed ids are counted, running totals
-of these few counts give each span its first rank, and rows are numbered inside their span. A cell
-that holds a third of all rows is thus numbered in SALTS tasks.
+A row's rank needs no global sort: cells times salts spans of hashed ids are counted, running totals
+of these few counts give each span its first rank, and rows are numbered inside their span. There are
+SALTS salts at least and one for each SPAN_ROWS rows, so that even a cell that holds all rows is
+numbered in spans of about that size.
 
 Null text: size 16, CRC of the empty text. Null or repeated doc_id: the row still gets its own slot
 (ties are ordered by CRC and size). An empty table gives no rows. Extra columns are left out.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-SHARDS, BITS, DIMENSIONS, SALTS = 40, 4, 3, 64
+SHARDS, BITS, DIMENSIONS, SALTS, SPAN_ROWS = 40, 4, 3, 64, 1 << 20
 
 
 def hilbert_index(point: tuple[int, ...], bits: int = BITS) -> int:
@@ -64,9 +65,10 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     sized = docs.select("doc_id", (bytes_ + 16).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), _named(F.col("lang")).alias("a"), _named(F.col("source")).alias("b"))
     log_size = F.least(F.floor(F.log2(F.col("size").cast("double"))), F.lit(19)) - 4  # sizes from 16 bytes to half a megabyte and more
     cells = F.expr(f"array({', '.join(map(str, curve()))})")
-    salt = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2), 16, 10).cast("int") % SALTS
+    salts = max(SALTS, 1 << (docs.count() // SPAN_ROWS).bit_length())
+    salt = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % salts
     keyed = sized.select("doc_id", "size", "text_crc32", F.element_at(cells, (F.col("a") * 256 + F.col("b") * 16 + log_size + 1).cast("int")).alias("curve_index"), salt.alias("salt"))
-    counts = keyed.groupBy("curve_index", "salt").agg(F.count(F.lit(1)).alias("n"))  # SALTS * 4096 rows at most
+    counts = keyed.groupBy("curve_index", "salt").agg(F.count(F.lit(1)).alias("n"))  # salts * 4096 rows at most
     totals = counts.groupBy("curve_index").agg(F.sum("n").alias("total"))  # 4096 rows at most, so one task may run through them
     before = totals.select("curve_index", (F.sum("total").over(W.orderBy("curve_index")) - F.col("total")).alias("before"), F.sum("total").over(W.orderBy("curve_index").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("all"))
     first = counts.join(before, "curve_index").select("curve_index", "salt", "all", (F.col("before") + F.sum("n").over(W.partitionBy("curve_index").orderBy("salt")) - F.col("n")).alias("first"))
@@ -89,7 +91,7 @@ OP2_SQL = f"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 16 AS size,
     ('0x' || left(md5(coalesce(lang, '')), 1))::BIGINT AS a, ('0x' || left(md5(coalesce(source, '')), 1))::BIGINT AS b,
-    ('0x' || left(md5(coalesce(doc_id::VARCHAR, '')), 2))::BIGINT % {SALTS} AS salt
+    ('0x' || left(md5(coalesce(doc_id::VARCHAR, '')), 8))::BIGINT % {SALTS} AS salt
   FROM documents
 ), c AS (
   SELECT doc_id, size, salt, [{", ".join(map(str, curve()))}][a * 256 + b * 16 + least(floor(log2(size)), 19)::BIGINT - 4 + 1]::INT AS curve_index,
