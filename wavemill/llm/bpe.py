@@ -86,6 +86,9 @@ class Vocabulary:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.pattern, self.ranks = regex.compile(pattern), ranks
+        #: Whether a single blank between two other characters starts a piece, as in common patterns; else texts aren't cut before it.
+        probes = ["a b", "a. b", "1 2", "' s", "é 漢", ". .", "a 's", "\x1c x"]
+        self.cuts = all(self.pattern.findall(p) == self.pattern.findall(p[: p.index(" ")]) + self.pattern.findall(p[p.index(" ") :]) for p in probes)
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         pairs = [(ranks[t[:k]], ranks[t[k:]], rank) for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
@@ -203,8 +206,9 @@ class Encoder:
         self.vocab, self.known = vocab, Numbered(SEGMENTS)
         self.flat, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    @staticmethod
-    def _segments(text: str) -> list[str]:
+    def _segments(self, text: str) -> list[str]:
+        if not self.vocab.cuts:
+            return [text] if text else []
         found = (_BREAK.split(text) if _ODD_BLANKS.search(text) else text.split(" ")) if text else []
         found[1:] = [" " + x for x in found[1:]]
         return found
@@ -263,7 +267,7 @@ def encoded(path: str, pattern: str):
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str | Column, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns plus ids, n_tokens and decoded of every whole text."""
-    return docs.select(*keep, encoded(path, pattern)(F.col(text)).alias("e")).select(*keep, "e.ids", "e.n_tokens", "e.decoded")
+    return docs.select(*keep, encoded(path, pattern)(F.col(text)).alias("_encoded")).select(*keep, "_encoded.ids", "_encoded.n_tokens", "_encoded.decoded")
 
 
 @F.pandas_udf(T.BinaryType())
