@@ -82,7 +82,7 @@ def test_language(spark, docs):
     rng = random.Random(2)
     kinds = {"xx": "abcdef", "yy": "uvwxyz"}
     texts = [(k, " ".join("".join(rng.choice(kinds[lang]) for _ in range(rng.randint(2, 8))) for _ in range(30)), lang) for k in range(80) for lang in [("xx", "yy")[k % 2]]]
-    net = language.train([(t, lang) for _, t, lang in texts[:40]], steps=60)
+    net = language.train([(language.drawn(t), lang) for _, t, lang in texts[:40]], steps=60)
     assert all(p == lang for (p, _), (_, _, lang) in zip(language.Reader(net).read([t for _, t, _ in texts[40:]]), texts[40:], strict=True))
     out = rows(language.identify(docs, net))
     assert [out[k]["lang_pred"] for k in (3, 4, 5, 14)] == ["und"] * 4
@@ -119,6 +119,45 @@ def test_decontamination(spark, docs, corpus):
     assert decontaminate.find_leaks(empty(spark), bench).count() == decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_recall_and_share():
+    """Of planted passages that are similar to an item, nearly all are within the radius; few windows are looked up."""
+    rng = random.Random(12)
+    items = [(k, prose(rng, rng.randint(8, 60))) for k in range(3000)]
+    index, hashes = decontaminate.Benchmark(items), WordHashes()
+    near = found = 0
+    for k, text in items:
+        w = text.split()
+        for _ in range(rng.choice((0, 0, 1, 1, 2))):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(1000)}"
+        if rng.random() < 0.3:
+            del w[rng.randrange(len(w))]
+        doc = prose(rng, 20) + " " + " ".join(w) + " " + prose(rng, 20)
+        if decontaminate.brute_force([(0, doc)], [(k, text)]):
+            near += 1
+            found += any(m[0] == k for m in index.matches(hashes.of(words(doc))))
+    assert near > 1000 and found >= 0.999 * near
+    looked_up = []
+    one = index.by[30]
+    one.near = lambda prints, f=one.near: looked_up.append(len(prints)) or f(prints)
+    index.matches(hashes.of(words(prose(rng, 3600))))
+    assert sum(looked_up) < 36
+
+
+def test_decontamination_in_blocks(spark, corpus):
+    rng = random.Random(13)
+    items = [(k, " ".join(corpus[k][1].split()[:25])) for k in (15, 16, 17, 18)] + [(None, prose(rng, 20))]
+    docs = spark.createDataFrame([(r[0], r[1]) for r in corpus], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("similarity", F.lit("x"))
+    whole = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+    old, decontaminate.BLOCK_CHARS = decontaminate.BLOCK_CHARS, 10
+    try:
+        assert len(list(decontaminate.blocks(bench, 10))) == 5
+        parts = [decontaminate.find_leaks(docs, spark.createDataFrame(items[k : k + 1], "item_id long, text string")) for k in range(5)]
+        assert {(r["doc_id"], r["item_id"]) for p in parts for r in p.collect()} == whole == decontaminate.brute_force([(r[0], r[1]) for r in corpus], items)
+    finally:
+        decontaminate.BLOCK_CHARS = old
+
+
 def test_jaccard(spark, docs, corpus):
     out = rows(jaccard.jaccard_join(docs))
     wanted = jaccard.brute_force([(r[0], r[1]) for r in corpus])
@@ -157,6 +196,21 @@ def test_jaccard_null_and_repeated_ids(spark):
         assert len(stay) == 3 and {t in (a, a + " more") for t in stay} == {True, False} and texts[4] in stay
 
 
+def test_jaccard_bucket_of_ten_thousand(spark):
+    """Near copies of one text, each with a word of its own: all are similar to all, and most share buckets."""
+    rng = random.Random(11)
+    base, n = [f"w{rng.randrange(10**6)}" for _ in range(120)], 10_050
+    texts = []
+    for k in range(n):
+        w = list(base)
+        w[rng.randrange(120)] = f"n{k}"
+        texts.append((k, " ".join(w)))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    found = jaccard.jaccard_join(df).groupBy("class_id").agg(F.count(F.lit(1)), F.sum("n_links"), F.max("n_links")).collect()
+    assert len(found) == 1 and found[0][:2] == (0, n) and found[0][3] == n - 1
+    assert (1 - 1e-5) * n * (n - 1) <= found[0][2] <= n * (n - 1)  # the bands' recall at this similarity, 0.84
+
+
 def test_toxicity(spark, docs):
     rng = random.Random(5)
     texts = [(k, prose(rng, 40) + (" vile wretch " if k % 4 == 0 else " ") + prose(rng, 40), None, None, 0) for k in range(400)]
@@ -227,6 +281,21 @@ def test_licenses_without_a_common_word(spark):
     assert [licenses.brute_force(t)[5] for t in wanted] == list(wanted.values())
 
 
+def test_licenses_make_only_ascii_small(spark):
+    texts = ["\u212aind, CC BY \u0130", "ALL RIGHTS RESERVED\u0130", "\u00c4CC BY", "CC\u212aBY", None]
+    out = rows(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {k: tuple(r[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels")) for k, r in out.items()} == {k: licenses.brute_force(t) for k, t in enumerate(texts)}
+    assert out[0]["n_base"] == 1 and out[2]["n_base"] == 0
+
+
+def test_licenses_of_an_archive_as_one_text(spark):
+    """More hits than one run of a scan; equal, nested and crossing intervals."""
+    text = "Licensed under the MIT License. CC BY! gnu general public license, version 2.0 or the general public license " * 300
+    out = licenses.scan(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")).collect()
+    short = licenses.brute_force(text[: len(text) // 100])
+    assert [tuple(r[c] for c in ("n_words", "n_base", "labels")) for r in out] == [(short[0] * 100, short[1] * 100, short[5])] * 2
+
+
 def test_bpe(spark, docs, corpus):
     import public_tokenizers as tokenizers
 
@@ -266,6 +335,80 @@ def test_quality_of_small_groups(spark):
     assert [r["distance2"] for r in quality.judge(spark.createDataFrame(texts[:1], DOCS)).collect()] == [0]
 
 
+def test_mcd_finds_the_subset_of_least_determinant(spark):
+    """All subsets of the share H, tried one by one."""
+    from itertools import combinations
+
+    import numpy as np
+
+    rng = np.random.default_rng(14)
+    x = np.concatenate([rng.standard_normal((11, 5)), rng.standard_normal((3, 5)) * 0.1 + 9])
+    df = spark.createDataFrame([("c", v.tolist(), k) for k, v in enumerate(x)] + [("d", v.tolist(), k) for k, v in enumerate(x[:11])], "cell string, x array<double>, salt int")
+    found = {r["cell"]: r for r in quality.mcd(df, 2).collect()}
+    upper = np.triu_indices(5)
+    estimate = lambda s: quality.covariance(s.mean(axis=0), (s.T @ s / len(s))[upper])
+    best = min((np.linalg.slogdet(estimate(x[list(s)]))[1], s) for s in combinations(range(14), 11))
+    assert found["c"]["logdet"] == pytest.approx(best[0], abs=1e-6)
+    assert found["c"]["mean"] == pytest.approx(x[list(best[1])].mean(axis=0).tolist())
+    assert set(best[1]) == set(range(11)) and set(found) == {"c", "d"}
+
+
+def test_quality_base_columns(spark, corpus):
+    """Against counts by plain loops."""
+    import re
+
+    blank = r"[\x20\x09-\x0D]"
+    texts = [r[1] for r in corpus] + ["a b\n\n a b\n \na b\x0ba b\n%%|", "x y z w v u t s " * 3 + "é ü"]
+    got = rows(quality.judge(spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], DOCS)))
+    for k, t in enumerate(texts):
+        w = [x for x in re.split(blank + "+", t or "") if x]
+        lines, seen, dup = (t or "").split("\n"), set(), 0
+        for line in lines:
+            if re.sub(blank, "", line):
+                dup += line in seen
+                seen.add(line)
+        windows = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+        again = {i + j for i, v in enumerate(windows) if windows.count(v) > 1 for j in range(8)}
+        r = got[k]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(again)), k
+        assert r["base_failed"] == (len(w) < 20 or 100 * len(again) > 30 * len(w))
+
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_language_held_out(spark):
+    out = language.op3_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(out) > 200 and sum(r["lang_pred"] == r["lang"] for r in out) >= 0.99 * len(out)
+    assert not language.lettered("½ ² Ⅷ 12_") and language.lettered("1ß")
+    assert b"".join(language.pieces("漢字かな".encode() * 20)) == "漢字かな".encode() * 20
+    assert all(x.decode() for x in language.pieces("漢字かな".encode() * 20))
+
+
+def test_toxicity_held_out(spark):
+    out = toxicity.op6_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out and toxic is not null").collect()
+    bad, good = [r["score"] for r in out if r["toxic"]], [r["score"] for r in out if not r["toxic"]]
+    assert sum(b > g for b in bad for g in good) >= 0.8 * len(bad) * len(good)
+
+
+def test_repeated_rows_extra_columns_and_very_long_texts(spark, docs):
+    """Each row has its own result, equal for equal rows; a text of a megabyte is read whole."""
+    import public_tokenizers as tokenizers
+
+    rng = random.Random(15)
+    texts = [(1, prose(rng, 150_000), "en", "s", 0), (2, "letter " * 30, "en", "s", 0), (2, "letter " * 30, "en", "s", 0), (None, None, None, None, None), (None, "", None, None, None), (None, "漢字かな" * 20_000, "ja", "s", 0)]
+    df = spark.createDataFrame(texts, DOCS).withColumns({c: F.lit(1) for c in ("id", "key", "k", "e", "p", "h", "m", "toxic", "packed", "first", "cell", "mean", "size", "keep_0")})
+    labels = spark.createDataFrame([(1, 1, "x"), (2, 0, "y"), (2, 0, "y")], "doc_id long, toxic int, text string")
+    path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    for made in (language.identify(df), toxicity.score(df, labels), substrings.dedup_substrings(df, ("doc_id", "key", "packed")), licenses.scan(df.where("doc_id is null or doc_id = 2")), bpe.encode_texts(df, path, tokenizers.PATTERN, keep=("doc_id", "e")), quality.judge(df), sharding.shard_rows(df, 3).drop("slot", "shard"), jaccard.jaccard_join(df), decontaminate.find_leaks(df, labels.withColumn("item_id", F.col("doc_id")))):
+        out = made.collect()
+        twice = [tuple(map(str, r)) for r in out if r["doc_id"] == 2]
+        assert len(set(twice)) <= 1 and (not twice or len(twice) == 2)
+        if "similarity" not in made.columns and "hits" not in made.columns:
+            assert len(out) == 6
+    assert [r["n_words"] for r in substrings.dedup_substrings(df).where("doc_id = 1").collect()] == [150_000]
+
+
 def test_pipeline(spark, tmp_path, corpus):
     import corpus_pipeline
 
@@ -290,3 +433,21 @@ def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
     assert corpus_pipeline.language_id(spark, df, "").count() == 5
     bare = spark.createDataFrame([(1, None), (2, ""), (3, "12 %"), (4, "a word")], "doc_id long, text string").selectExpr("doc_id", "text", "cast(null as string) AS lang", "'s' AS source", "0L AS n_chars")
     assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, bare, "").collect()] == [4]
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """An empty table; then null ids and columns, repeated rows, a very long text, columns of other names."""
+    import corpus_pipeline
+
+    rng = random.Random(16)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    a, long = prose(rng, 40), prose(rng, 60_000)
+    texts = [(None, a, None, None, None), (None, a, None, None, None), (3, a, "en", "s", 1), (4, long, "en", "s", 1), (5, "", "en", "s", 1), (5, None, "en", "s", 1), (6, "short words", "de", None, None), (None, "other words", "de", "s", 2)]
+    df = spark.createDataFrame(texts, DOCS).withColumns({c: F.lit(1) for c in ("id", "key", "text_key", "packed", "p")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, str(tmp_path))
+        assert df.columns == list(corpus_pipeline.COLUMNS)
+    df = corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in df.collect()) == [(False, 4), (False, 6), (True, 0), (True, 0)]
