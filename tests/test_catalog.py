@@ -9,13 +9,14 @@ from wavemill.functions import labels as L
 from wavemill.functions import series as S
 from wavemill.operators import relational as R
 from wavemill.operators import scoring as C
-from wavemill.plans import catalog, catalog_more, prompts  # noqa: F401 (the second adds to the first)
+from wavemill.plans import catalog, catalog_more, catalog_tasks, prompts  # noqa: F401 (the others add to the first)
 from wavemill.sinks import writers
 from wavemill.sources import readers
 
 SF = "/root/testdata/sf0.001"
 #: A few of each kind; the driver compares all.
-NAMES = ["f02e_answer_staged", "f02g_first_word", "f02h_sampler_label", "f03_option", "f04_stage_labels", "f05_own_stage_labels", "f06_stage_codes", "f25_znorm_n3", "a16_token_overlap", "r05_missing_classes", "a11_support_only_macro", "f16_context", "f33_undigits", "f43_valid_series", "j10_stages_left", "p19_extra_columns"]
+NAMES = ["a25_reviewer_rates", "f19_family_prompts", "f20_captions", "f27_gaussian_noise", "f27_uniform_noise", "t02_aligned_windows", "x03_row_scores", "x04_corpus_scores", "x09_record_rows"]
+NAMES += ["f02e_answer_staged", "f02g_first_word", "f02h_sampler_label", "f03_option", "f04_stage_labels", "f05_own_stage_labels", "f06_stage_codes", "f25_znorm_n3", "a16_token_overlap", "r05_missing_classes", "a11_support_only_macro", "f16_context", "f33_undigits", "f43_valid_series", "j10_stages_left", "p19_extra_columns"]
 NAMES += ["a08_open_vocabulary", "a14_template_f1", "a26_agreement", "f02b_answer_clean", "f25_znorm_n5", "j03_list_lookup", "p13_finite_series", "r01_random_split", "r02_stratified_split", "w02_window_majority", "w04_interpolated", "w06_balanced_batches"]
 
 
@@ -128,3 +129,17 @@ def test_streaming(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("stops").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r["epoch"], r["best_epoch"], r["stopped"]) for r in spark.table("stops").collect())[-1] == (4, 2, True)
+
+
+def test_streaming_late_epochs(spark, tmp_path):
+    from wavemill.streaming import online
+
+    schema = "run string, epoch long, loss double"
+    (tmp_path / "in").mkdir()
+    stream = online.early_stop_monitor(spark.readStream.schema(schema).json(f"{tmp_path}/in"))
+    for rows in ([("a", 1, 1.0), ("a", 3, 0.5)], [("a", 2, 0.1), ("a", 4, 0.4)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination(60)
+    out = sorted((r["epoch"], r["best_epoch"], r["late"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert out == [(1, 1, False), (2, 3, True), (3, 3, False), (4, 4, False)]

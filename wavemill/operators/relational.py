@@ -243,3 +243,15 @@ def union_all(*frames: DataFrame, missing: bool = False) -> DataFrame:
 def ordered_union(*frames: DataFrame) -> DataFrame:
     """Parts in order."""
     return reduce(DataFrame.unionByName, (f.withColumn("part", F.lit(k)) for k, f in enumerate(frames)))
+
+
+def records_to_rows(df: DataFrame, keep: list[str], records: Column) -> DataFrame:
+    """A row for each element of an array of structs that an expression makes of a row."""
+    return df.select(*keep, F.inline(records))
+
+
+def aligned_windows(df: DataFrame, ts: str, seconds: float, origin: Column | None = None) -> DataFrame:
+    """window_id counted from one origin (the epoch if none is given), so that a stream needs no entity's first time."""
+    start = F.timestamp_seconds(F.lit(0)) if origin is None else origin
+    micros = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(start)
+    return df.withColumn("window_id", F.floor(micros / F.lit(int(seconds * 1_000_000))).cast("long"))

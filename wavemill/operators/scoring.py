@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import inspect
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,3 +169,22 @@ def load_table(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
 def rare_classes(df: DataFrame, label: str, least: int = 3) -> DataFrame:
     """A36."""
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < least)
+
+
+def row_scores(df: DataFrame, scorer: Callable[..., dict[str, Column]], pred: str, gold: str) -> DataFrame:
+    """A column for each metric that a scorer makes of gold, prediction and, if it takes three, the row as a struct."""
+    args = [F.col(gold), F.col(pred)]
+    if len(inspect.signature(scorer).parameters) >= 3:
+        args.append(F.struct(*[F.col(c) for c in df.columns]))
+    return df.select("*", *[v.alias(k) for k, v in scorer(*args).items()])
+
+
+def corpus_scores(df: DataFrame, scorer: Callable[[Column, Column], dict[str, Column]], pred: str, gold: str, by: list[str] | None = None) -> DataFrame:
+    """Metrics of all rows (of each group), from aggregates that a scorer makes of the predictions and gold answers."""
+    return df.groupBy(*(by or [])).agg(*[v.alias(k) for k, v in scorer(F.col(pred), F.col(gold)).items()])
+
+
+def reviewer_rates(df: DataFrame, reviewer: str, answers: list[str], completed: Column, positive: str = "Yes") -> DataFrame:
+    """Of each reviewer's completed forms their number and, by question, the percent of positive answers."""
+    rate = lambda c: (100.0 * F.avg(F.coalesce(F.col(c) == positive, F.lit(False)).cast("int"))).alias(f"{c}_positive_rate")
+    return df.where(completed).groupBy(reviewer).agg(F.count(F.lit(1)).alias("total_assessments"), *[rate(c) for c in answers])

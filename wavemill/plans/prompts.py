@@ -40,6 +40,32 @@ def prompt_records(rows: DataFrame, spec: DatasetSpec, eos: str = "") -> tuple[D
     return made.where(ok), made.where(~F.coalesce(ok, F.lit(False)))
 
 
+#: What stands before and after the series, by family; {names} are filled from columns. The wording is this library's own.
+FAMILIES = {
+    "multiple_choice": ("{question}", "Predict the {task} Answer:"),
+    "caption": ("The series below comes from a collection of recorded measurements.", "Describe its course, level and changes in a short and exact caption."),
+    "activity_reasoning": ("Three axes of an acceleration sensor follow. Find out which activity of this list they show: {labels}. Reason from the signals to the activity, name it in the last sentence only, and end with the word Answer and the activity.", "Reasoning:"),
+    "activity_label": ("Three axes of an acceleration sensor follow, recorded over time. Say which activity they show.", "Choose one of: {labels}. End with the word Answer and the activity."),
+    "sleep_reasoning": ("A brain signal of 30 seconds follows. Find out which sleep stage of this list it shows: {labels}. Reason from the signal to the stage and end with the word Answer and the stage.", "Reasoning:"),
+    "heart_question": ("A heart recording follows. {context} Question: {question}", "Choose one of: {labels}. End with the word Answer and the choice."),
+    "heart_reasoning": ("A heart recording follows. {context} Look at rhythm, rate and shape before you answer: {question}", "Choose one of: {labels}. Reason first, then end with the word Answer and the choice."),
+    "value": ("A series of measurements of one patient follows.", "Estimate the value that belongs to it. Answer:"),
+    "simulated": ("Series of made-up numbers follow.", "Tell what they have in common. Answer:"),
+}
+
+
+def family_prompts(family: Column, values: dict[str, Column]) -> tuple[Column, Column]:
+    """pre and post prompt of a row's family (null for an unknown one), with each {name} replaced by its column (null: nothing)."""
+    side = lambda k: F.try_element_at(F.create_map(*[F.lit(x) for name, texts in FAMILIES.items() for x in (name, texts[k])]), family)
+
+    def filled(text: Column) -> Column:
+        for name, value in values.items():
+            text = F.replace(text, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
+        return text
+
+    return filled(side(0)), filled(side(1))
+
+
 def string_prompt(formatted: Column) -> Column:
     """A text prompt; `formatted` holds the series as texts."""
     return F.concat_ws("\n", F.col("pre_prompt"), F.array_join(F.zip_with("time_series_text", formatted, lambda t, s: F.concat_ws("\n", t, s)), "\n"), F.col("post_prompt"))

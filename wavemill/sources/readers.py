@@ -83,6 +83,9 @@ def _signals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, header, data in zip(batch["record"], batch["header"], batch["data"], strict=True):
             lines = [x.split() for x in header.decode().splitlines() if x and not x.startswith("#")]
             leads, rate, points = int(lines[0][1]), float(lines[0][2].split("/")[0]), int(lines[0][3])
+            formats = {x[1] for x in lines[1 : leads + 1]}
+            if formats != {"16"} or len(data) < 2 * leads * points:
+                raise ValueError(f"{path}: signals of format {sorted(formats)} in {len(data)} bytes; read are whole records of format 16")
             gains = [x[2].split("/")[0] for x in lines[1 : leads + 1]]
             gain = [float(g.split("(")[0]) or 200.0 for g in gains]
             zero = [float(g.split("(")[1].rstrip(")")) if "(" in g else float(x[4]) if len(x) > 4 else 0.0 for g, x in zip(gains, lines[1:], strict=False)]
@@ -92,7 +95,7 @@ def _signals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def wfdb(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of a .hea text and a .dat file of 16-bit numbers, as physical values by lead."""
+    """Records of a .hea text and a .dat file of 16-bit numbers, as physical values by lead; other formats are an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_extract("path", r"^(.*)\.(hea|dat)$", 1).alias("record"), F.regexp_extract("path", r"\.(hea|dat)$", 1).alias("kind"), "content")
     header = files.where("kind = 'hea'").select("record", F.col("content").alias("header"))
     return header.join(files.where("kind = 'dat'").select("record", F.col("content").alias("data")), "record").mapInPandas(_signals, "record string, rate double, leads array<array<double>>, names array<string>")

@@ -21,25 +21,34 @@ def session_counts(events: DataFrame, ts: str, key: str, gap: str, late: str = "
     return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
 
 
-def early_stop_monitor(losses: DataFrame, run: str = "run", margin: float = 1e-4, patience: int = 2) -> DataFrame:
-    """T04, W07 online: a row for each new loss of a run until it stops; state is four numbers a run.
+def early_stop_monitor(losses: DataFrame, run: str = "run", margin: float = 1e-4, patience: int = 2, forget_after_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
+    """T04, W07 online: a row for each new loss of a run until it stops; state is five numbers a run.
 
-    Losses of a micro-batch are taken in order of their epoch; `losses` has run (string), epoch, loss."""
+    Losses of a micro-batch are taken in order of their epoch. One that comes after a later epoch was
+    taken is marked `late` and not counted. A run without losses for so long is forgotten. `losses` has
+    run (string), epoch, loss."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best_epoch, best, misses, stopped = state.get if state.exists else (0, float("inf"), 0, 0)
         out = []
-        for epoch, loss in pd.concat(list(batches)).sort_values("epoch")[["epoch", "loss"]].itertuples(index=False):
-            if stopped:
-                break
-            better = loss + margin < best
-            best_epoch, best, misses = (int(epoch), float(loss), 0) if better else (best_epoch, best, misses + 1)
-            stopped = int(epoch) if misses >= patience else 0
-            out.append((key[0], int(epoch), best_epoch, best, bool(stopped)))
-        state.update((best_epoch, best, misses, stopped))
-        yield pd.DataFrame(out, columns=[run, "epoch", "best_epoch", "best", "stopped"])
-
-    return losses.groupBy(run).applyInPandasWithState(step, f"{run} string, epoch long, best_epoch long, best double, stopped boolean", "best_epoch long, best double, misses long, stopped long", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            best_epoch, best, misses, stopped, last = state.get if state.exists else (0, float("inf"), 0, 0, -1)
+            for epoch, loss in pd.concat(list(batches)).sort_values("epoch")[["epoch", "loss"]].itertuples(index=False):
+                if stopped:
+                    break
+                late = int(epoch) <= last
+                if not late:
+                    better = loss + margin < best
+                    best_epoch, best, misses = (int(epoch), float(loss), 0) if better else (best_epoch, best, misses + 1)
+                    stopped, last = int(epoch) if misses >= patience else 0, int(epoch)
+                out.append((key[0], int(epoch), best_epoch, best, bool(stopped), late))
+            state.update((best_epoch, best, misses, stopped, last))
+            state.setTimeoutDuration(forget_after_ms)
+        yield pd.DataFrame(out, columns=[run, "epoch", "best_epoch", "best", "stopped", "late"])
+
+    schema = f"{run} string, epoch long, best_epoch long, best double, stopped boolean, late boolean"
+    return losses.groupBy(run).applyInPandasWithState(step, schema, "best_epoch long, best double, misses long, stopped long, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def score_incrementally(predictions: DataFrame, scored, target: str, checkpoint: str):
