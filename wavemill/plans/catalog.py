@@ -327,14 +327,14 @@ def _(t):
 
 @query(
     "a16_token_overlap",
-    """WITH w AS (SELECT a.conv_id, list_filter(string_split_regex(lower(a.text), '\\s+'), lambda x: x <> '') AS p, list_filter(string_split_regex(lower(b.text), '\\s+'), lambda x: x <> '') AS g FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1),
+    """WITH w AS (SELECT a.conv_id, a.turn, list_filter(string_split_regex(lower(a.text), '\\s+'), lambda x: x <> '') AS p, list_filter(string_split_regex(lower(b.text), '\\s+'), lambda x: x <> '') AS g FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
 s AS (SELECT *, coalesce(list_sum(list_transform(list_intersect(p, g), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(g, lambda y: y = x))))), 0) AS shared FROM w)
-SELECT conv_id, CASE WHEN shared = 0 THEN 0.0 ELSE shared / len(p) END::DOUBLE AS precision, CASE WHEN shared = 0 THEN 0.0 ELSE shared / len(g) END::DOUBLE AS recall, CASE WHEN shared = 0 THEN 0.0 ELSE 2.0 * shared / (len(p) + len(g)) END::DOUBLE AS f1 FROM s""",
+SELECT conv_id, turn, CASE WHEN len(p) + len(g) = 0 THEN 1.0 WHEN shared = 0 THEN 0.0 ELSE shared / len(p) END::DOUBLE AS precision, CASE WHEN len(p) + len(g) = 0 THEN 1.0 WHEN shared = 0 THEN 0.0 ELSE shared / len(g) END::DOUBLE AS recall, CASE WHEN len(p) + len(g) = 0 THEN 1.0 WHEN shared = 0 THEN 0.0 ELSE 2.0 * shared / (len(p) + len(g)) END::DOUBLE AS f1 FROM s""",
 )
 def _(t):
     c = t.conversations
-    a, b = c.where("turn = 0").select("conv_id", F.col("text").alias("p")), c.where("turn = 1").select("conv_id", F.col("text").alias("g"))
-    return a.join(b, "conv_id").select("conv_id", C.token_overlap(F.col("p"), F.col("g")).alias("s")).select("conv_id", "s.*")
+    a, b = c.select("conv_id", "turn", F.col("text").alias("p")), c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("g"))
+    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", C.token_overlap(F.col("p"), F.col("g")).alias("s")).select("conv_id", "turn", "s.*")
 
 
 @query("a17_confusion", f"SELECT gold, count(*) FILTER (pred = 'A') AS A, count(*) FILTER (pred = 'N') AS N, count(*) FILTER (pred = 'R') AS R, count(*) AS support FROM {PREDICTIONS} WHERE pred IN ('A', 'N', 'R') GROUP BY gold")
