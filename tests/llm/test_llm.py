@@ -343,14 +343,31 @@ def test_mcd_finds_the_subset_of_least_determinant(spark):
 
     rng = np.random.default_rng(14)
     x = np.concatenate([rng.standard_normal((11, 5)), rng.standard_normal((3, 5)) * 0.1 + 9])
-    df = spark.createDataFrame([("c", v.tolist(), k) for k, v in enumerate(x)] + [("d", v.tolist(), k) for k, v in enumerate(x[:11])], "cell string, x array<double>, salt int")
-    found = {r["cell"]: r for r in quality.mcd(df, 2).collect()}
+    names = list(quality.DIMENSIONS)
+    rows_ = [("c", "p", None, *map(float, v)) for v in x] + [("d", "p", None, *map(float, v)) for v in x[:11]]
+    df = spark.createDataFrame(rows_, "group string, pool string, every string, " + ", ".join(f"{n} double" for n in names))
+    found = quality.mcd(df, ["c", "d", "p"])
     upper = np.triu_indices(5)
     estimate = lambda s: quality.covariance(s.mean(axis=0), (s.T @ s / len(s))[upper])
     best = min((np.linalg.slogdet(estimate(x[list(s)]))[1], s) for s in combinations(range(14), 11))
-    assert found["c"]["logdet"] == pytest.approx(best[0], abs=1e-6)
-    assert found["c"]["mean"] == pytest.approx(x[list(best[1])].mean(axis=0).tolist())
-    assert set(best[1]) == set(range(11)) and set(found) == {"c", "d"}
+    assert found.logdets[0] == pytest.approx(best[0], abs=1e-6)
+    assert found.means[0].tolist() == pytest.approx(x[list(best[1])].mean(axis=0).tolist())
+    assert set(best[1]) == set(range(11)) and found.logdets.shape == (3,)
+
+
+def test_quality_in_parts(spark):
+    """More groups than are dealt with at once: the same distances."""
+    rng = random.Random(17)
+    texts = [(k, prose(rng, rng.randint(20, 200)), f"l{k % 3}", f"s{k % 4}", 0) for k in range(150)] + [(1000, "### $$$ word " * 30, None, None, 0)]
+    df = spark.createDataFrame(texts, DOCS)
+    whole = rows(quality.judge(df))
+    old, quality.CELLS = quality.CELLS, 4
+    try:
+        parts = rows(quality.judge(df))
+    finally:
+        quality.CELLS = old
+    assert {k: r["distance2"] for k, r in parts.items()} == pytest.approx({k: r["distance2"] for k, r in whole.items()})
+    assert len(parts) == 151
 
 
 def test_quality_base_columns(spark, corpus):

@@ -7,10 +7,12 @@ keeps the share H of rows that lie nearest to an estimate and takes their mean a
 determinant can only fall; steps go on until no determinant falls any more, and the start of the least
 determinant wins. Rows are then rejected by squared Mahalanobis distance.
 
-Every step is an aggregation over all rows. Medians and shares are found in histograms of fixed bins,
-which add up to the same whatever the partitioning; a row at the edge bin is kept with its bin. Rows
-meet their group's estimates by a broadcast of at most BROADCAST_ROWS of them; where there are more,
-by a join on group and salt, so that no group meets in one task either way.
+Every step is two passes over all rows, each combined by batch and then by Spark: counts of distances
+by bin, which give the distance of the share H, and sums over the rows that lie nearer. Medians and
+shares are found in histograms of fixed bins, which add up to the same whatever the partitioning; a
+row at the edge bin is kept with its bin. No row is shuffled or joined: what a pass needs to know, some
+1,000 bytes a cell, goes with its code. More cells than CELLS are dealt with in turn, by a hash of
+their names, in more passes over the rows and not with more memory.
 
 Every row has a distance. What few rows a language and source has is filled up by its language, and
 that by all rows: the estimate is shrunk towards the one above it, which counts as SHRINK rows.
@@ -24,7 +26,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,23 +37,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, checkpointed, table, window_hashes, words
+from .common import WordHashes, checkpointed, mixed, table, window_hashes, words
 
-#: Words of a window that counts as repeated; share of rows kept in a concentration step; steps at most.
-REPEAT_WORDS, H, STEPS = 8, 0.75, 30
+#: Words of a window that counts as repeated; share of rows kept in a concentration step.
+REPEAT_WORDS, H = 8, 0.75
+#: Steps at most, and the fall of a determinant's logarithm below which they end.
+STEPS, FALL = 20, 1e-3
 #: How many rows the estimate of the language (of all rows) counts as in that of a language and source (of a language).
 SHRINK = 200.0
 #: Starts of the search: medians, all rows, a hashed part.
 STARTS = 3
 #: Squared distances above this chi-square quantile (5 degrees, 1 - 4e-5) are outliers.
 CUTOFF = 28.0
-#: Groups whose estimates (some 1,000 bytes each) are broadcast at most; parts that each group is dealt out to where there are more.
-BROADCAST_ROWS, SALTS = 10_000, 64
+#: Languages and sources (and languages, and all rows) that are dealt with at once.
+CELLS = 10_000
 #: Transformed statistics, and the least standard deviation that each is given. The two shares of repeats lie
 #: between 0 and sqrt(0.3) where the base rules let a text pass, so their floors let either one reach the cut-off alone.
 DIMENSIONS = {"x_words": 0.35, "x_length": 0.06, "x_symbols": 0.5, "x_lines": 0.09, "x_repeats": 0.1}
 #: What the covariance of the nearest 75 % of normal vectors of 5 dimensions falls short by.
 CONSISTENCY = 1.41
+#: The cell of all rows.
+EVERY = "every"
 #: Bins of a histogram: for coordinates their width, for logarithms of distances their number to a doubling.
 _WIDTH, _FINE = 1 / 1024, 64
 
@@ -92,11 +100,6 @@ def _transformed() -> dict[str, Column]:
     }
 
 
-def _cells_of(batches: Iterator[pd.DataFrame], made) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame([made(r) for r in batch.itertuples(index=False)], columns=["cell", "start", "mean", "inverse", "cov", "logdet"])
-
-
 def covariance(mean: np.ndarray, products: np.ndarray, scale: float = CONSISTENCY) -> np.ndarray:
     """From a mean and mean products (upper triangle) of kept rows; no statistic is given less spread than its floor."""
     d, floor = len(DIMENSIONS), np.array(list(DIMENSIONS.values()))
@@ -107,129 +110,166 @@ def covariance(mean: np.ndarray, products: np.ndarray, scale: float = CONSISTENC
     return cov + np.diag(np.maximum(0, floor**2 - np.diag(cov)) + 1e-12)
 
 
-def _estimates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Cells and starts with a mean and mean products -> with mean, covariance, its inverse and determinant."""
-
-    def made(r) -> tuple:
-        mean = np.array(r.mean)
-        cov = covariance(mean, np.array(r.products))
-        return r.cell, r.start, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), cov.ravel().tolist(), float(np.linalg.slogdet(cov)[1])
+_UPPER = np.triu_indices(len(DIMENSIONS))
+_SUMS = [f"s{k}" for k in range(len(DIMENSIONS) + len(_UPPER[0]))]
 
-    yield from _cells_of(batches, made)
 
+@dataclass
+class Cells:
+    """Named cells, and for each cell and start an estimate: mean, inverse covariance, covariance, log determinant."""
 
-_ESTIMATE = "cell string, start int, mean array<double>, inverse array<double>, cov array<double>, logdet double"
+    names: list[str]
+    means: np.ndarray = field(default=None)
+    inverses: np.ndarray = field(default=None)
+    covs: np.ndarray = field(default=None)
+    logdets: np.ndarray = field(default=None)
 
+    def __post_init__(self):
+        self.at = {name: k for k, name in enumerate(self.names)}
 
-def _squared_distance(x: Column, mean: Column, inverse: Column) -> Column:
-    d = len(DIMENSIONS)
-    y = [x[i] - mean[i] for i in range(d)]
-    return sum((y[i] * y[j] * inverse[i * d + j] for i in range(d) for j in range(d)), F.lit(0.0))
+    def estimated(self, means: np.ndarray, products: np.ndarray) -> Cells:
+        covs = np.array([[covariance(m, p) for m, p in zip(a, b, strict=True)] for a, b in zip(means, products, strict=True)])
+        return Cells(self.names, means, np.linalg.inv(covs), covs, np.linalg.slogdet(covs)[1])
 
+    def best(self) -> Cells:
+        """The start of the least determinant."""
+        k, one = self.logdets.argmin(axis=1), np.arange(len(self.names))
+        return Cells(self.names, self.means[one, k], self.inverses[one, k], self.covs[one, k], self.logdets[one, k])
 
-def _beside(rows: DataFrame, groups: DataFrame, key: str, n_groups: int, how: str = "inner") -> DataFrame:
-    """Each row (with its salt) beside the rows of `groups` that have its key; n_groups is how many there are."""
-    if n_groups <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(groups), key, how)
-    salted = groups.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
-    return rows.join(salted, [key, "salt"], how)
+    def bins(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """For each row and start the bin of its squared distance from the estimate of its cell."""
+        y = x[:, None, :] - self.means[at]
+        d2 = (np.einsum("nsij,nsj->nsi", self.inverses[at], y) * y).sum(axis=2)
+        return np.floor(_FINE * np.log2(np.maximum(d2, 0) + 1e-9)).astype(np.int64)
 
 
-def _edges(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
-    """For each key the least `bin` up to which the share of its rows lies, as `edge`; rows are counted by bin first."""
-    counts = rows.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
-    by = W.partitionBy(*keys)  # as many rows as a key has bins
+def _rows_of(batches: Iterator[pd.DataFrame], cells: Cells) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The vectors of a batch and their cells, once for each level; rows of cells that aren't dealt with are left out."""
+    for batch in batches:
+        x = batch[list(DIMENSIONS)].to_numpy(dtype=np.float64)
+        for level in ("group", "pool", "every"):
+            at = batch[level].map(cells.at)
+            known = at.notna().to_numpy()
+            if known.any():
+                yield x[known], at[known].to_numpy(dtype=np.int64)
+
+
+def _edges(vectors: DataFrame, cells: Cells, bins: Callable[[np.ndarray, np.ndarray], np.ndarray], share: float) -> np.ndarray:
+    """For each cell and each column of `bins` the least bin up to which the share of its rows lies."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x, at in _rows_of(batches, cells):
+            found = bins(x, at)
+            series = at[:, None] * found.shape[1] + np.arange(found.shape[1])
+            values, n = np.unique((series << 32) + found + (1 << 31), return_counts=True)  # bins are far below 2 ** 31
+            series = values >> 32
+            yield pd.DataFrame({"cell": series // found.shape[1], "column": series % found.shape[1], "bin": (values & 0xFFFFFFFF) - (1 << 31), "n": n})
+
+    counts = vectors.mapInPandas(run, "cell long, column long, bin long, n long").groupBy("cell", "column", "bin").agg(F.sum("n").alias("n"))
+    by = W.partitionBy("cell", "column")  # as many rows as it has bins
     reached = counts.withColumn("so_far", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
-    return reached.where(F.col("so_far") >= share * F.col("all")).groupBy(*keys).agg(F.min("bin").alias("edge"))
-
-
-def _sums(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The mean and the mean products of x for each key."""
-    d, x = len(DIMENSIONS), F.col("x")
-    return rows.groupBy(*keys).agg(F.array(*[F.avg(x[i]) for i in range(d)]).alias("mean"), F.array(*[F.avg(x[i] * x[j]) for i in range(d) for j in range(i, d)]).alias("products"))
+    found = reached.where(F.col("so_far") >= share * F.col("all")).groupBy("cell", "column").agg(F.min("bin").alias("edge")).collect()  # a few numbers a cell
+    out = np.zeros((len(cells.names), max((r["column"] for r in found), default=0) + 1), dtype=np.int64)
+    for r in found:
+        out[r["cell"], r["column"]] = r["edge"]
+    return out
+
+
+def _sums(vectors: DataFrame, cells: Cells, chosen: Callable[[np.ndarray, np.ndarray], np.ndarray], n_starts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The mean and mean products of the rows of each cell that each start chooses (of the first start, where it has none)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x, at in _rows_of(batches, cells):
+            flat = np.concatenate([x, x[:, _UPPER[0]] * x[:, _UPPER[1]]], axis=1)
+            for start, mine in enumerate(chosen(x, at).T):
+                order = np.flatnonzero(mine)[np.argsort(at[mine], kind="stable")]
+                if not len(order):
+                    continue
+                values, first, n = np.unique(at[order], return_index=True, return_counts=True)
+                sums = np.add.reduceat(flat[order], first, axis=0)
+                yield pd.DataFrame(sums, columns=_SUMS).assign(cell=values, start=start, n=n)
+
+    made = vectors.mapInPandas(run, ", ".join(f"{c} double" for c in _SUMS) + ", cell long, start int, n long")
+    rows = made.groupBy("cell", "start").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in _SUMS]).collect()  # 21 numbers a cell and start
+    d, out = len(DIMENSIONS), np.full((len(cells.names), n_starts, len(_SUMS)), np.nan)
+    for r in rows:
+        out[r["cell"], r["start"]] = [r[c] / r["n"] for c in _SUMS]
+    out = np.where(np.isnan(out), out[:, :1], out)
+    return out[:, :, :d], out[:, :, d:]
+
+
+def _starts(vectors: DataFrame, cells: Cells) -> Cells:
+    """The estimates that the search sets out from."""
+    middle = (_edges(vectors, cells, lambda x, at: np.floor(x / _WIDTH).astype(np.int64), 0.5) + 0.5) * _WIDTH
+    spread = 1.4826 * (_edges(vectors, cells, lambda x, at: np.floor(np.abs(x - middle[at]) / _WIDTH).astype(np.int64), 0.5) + 0.5) * _WIDTH
+    products = middle[:, _UPPER[0]] * middle[:, _UPPER[1]] + np.where(_UPPER[0] == _UPPER[1], spread[:, _UPPER[0]] ** 2 / CONSISTENCY, 0)
+
+    def chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        part = mixed(np.ascontiguousarray(x).view(np.uint64).sum(axis=1, dtype=np.uint64)) % np.uint64(4) == 0
+        return np.stack([np.ones(len(x), bool), part], axis=1)
+
+    means, rest = _sums(vectors, cells, chosen, STARTS - 1)
+    return cells.estimated(np.concatenate([middle[:, None], means], axis=1), np.concatenate([products[:, None], rest], axis=1))
+
+
+def mcd(vectors: DataFrame, names: list[str]) -> Cells:
+    """`vectors` has group, pool and every, each the name of a cell that a row is in, and the columns of DIMENSIONS."""
+    model = _starts(vectors, Cells(names))
+    for step in range(STEPS):
+        edges = _edges(vectors, model, model.bins, H)
+        new = model.estimated(*_sums(vectors, model, lambda x, at, m=model, e=edges: m.bins(x, at) <= e[at], STARTS))
+        fall, model = model.logdets - new.logdets, new
+        if step and fall.max() < FALL:  # what a search sets out from are no subsets' estimates
+            break
+    return model.best()
 
 
-def _medians(vectors: DataFrame) -> DataFrame:
-    """cell and the middle of each coordinate."""
-    d = len(DIMENSIONS)
-    bins = vectors.select("cell", F.posexplode("x").alias("i", "v")).select("cell", "i", F.floor(F.col("v") / _WIDTH).alias("bin"))
-    middle = _edges(bins, ["cell", "i"], 0.5)
-    at = F.map_from_entries(F.collect_list(F.struct("i", (F.col("edge") + 0.5) * _WIDTH)))  # five entries a cell
-    return middle.groupBy("cell").agg(at.alias("m")).select("cell", F.array(*[F.col("m")[i] for i in range(d)]).alias("middle"))
+def shrunk(own: tuple[np.ndarray, np.ndarray], n: int, wide: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of n rows drawn towards a wider estimate, which counts as SHRINK rows."""
+    share = n / (n + SHRINK)
+    apart = own[0] - wide[0]
+    return share * own[0] + (1 - share) * wide[0], share * own[1] + (1 - share) * wide[1] + share * (1 - share) * np.outer(apart, apart)
 
 
-def _starts(vectors: DataFrame, n_cells: int) -> DataFrame:
-    """The estimates that the search sets out from: cell, start and the columns of _ESTIMATE."""
-    d, x = len(DIMENSIONS), F.col("x")
-    middle = _medians(vectors)
-    apart = _beside(vectors, middle, "cell", n_cells).select("cell", F.array(*[F.abs(x[i] - F.col("middle")[i]) for i in range(d)]).alias("x"))
-    spread = _medians(apart).withColumnRenamed("middle", "spread").join(middle, "cell")
-    # Mean products of independent coordinates of these medians and spreads.
-    square = [F.col("middle")[i] * F.col("middle")[j] + (F.pow(1.4826 * F.col("spread")[i], 2) / CONSISTENCY if i == j else 0.0) for i in range(d) for j in range(i, d)]
-    first = spread.select("cell", F.lit(0).alias("start"), F.col("middle").alias("mean"), F.array(*square).alias("products"))
-    parts = vectors.select("cell", "x", F.explode(F.when(F.pmod(F.xxhash64("x"), F.lit(4)) == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("start"))
-    return first.unionByName(_sums(parts, ["cell", "start"])).mapInPandas(_estimates, _ESTIMATE)
+def _measured(found: DataFrame, cells: DataFrame, part: Column, wide: Cells, pools: dict[str, int]) -> DataFrame:
+    """distance2 of the rows of groups of one part; `wide` has the estimates of all rows and of languages."""
+    sizes = {r["group"]: (r["pool"], r["n"]) for r in cells.where(part).select("group", "pool", "n").collect()}  # about CELLS groups
+    own, models = mcd(found.where(part), list(sizes)), {}
+    every = (wide.means[wide.at[EVERY]], wide.covs[wide.at[EVERY]])
+    for k, name in enumerate(own.names):
+        pool, n = sizes[name]
+        at = wide.at[pool]
+        mean, cov = shrunk((own.means[k], own.covs[k]), n, shrunk((wide.means[at], wide.covs[at]), pools[pool], every))
+        models[name] = (mean, np.linalg.inv(cov))
 
+    @F.pandas_udf("double")
+    def distance2(group: pd.Series, x: pd.DataFrame) -> pd.Series:
+        if not len(group):
+            return pd.Series([], dtype="float64")
+        mean, inverse = (np.array(v) for v in zip(*(models[g] for g in group), strict=True))
+        y = x.to_numpy(dtype=np.float64) - mean
+        return pd.Series(np.einsum("ni,nij,nj->n", y, inverse, y))
 
-def mcd(vectors: DataFrame, n_cells: int) -> DataFrame:
-    """`vectors` has cell, x (array of the five numbers) and salt; returns a row a cell: cell, mean, cov, logdet."""
-    model = checkpointed(_starts(vectors, n_cells))
-    bins = F.floor(_FINE * F.log2(F.col("d2") + 1e-9))
-    for step in range(STEPS):
-        every = model.groupBy("cell").agg(F.collect_list(F.struct("start", "mean", "inverse")).alias("models"))  # STARTS a cell
-        measured = _beside(vectors, every, "cell", n_cells).select("cell", "x", "salt", F.explode("models").alias("m"))
-        measured = measured.select("cell", "x", "salt", F.col("m.start").alias("start"), _squared_distance(F.col("x"), F.col("m.mean"), F.col("m.inverse")).alias("d2")).withColumn("bin", bins)
-        edges = _edges(measured, ["cell", "start"], H).groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("start", "edge"))).alias("edges"))
-        kept = _beside(measured, edges, "cell", n_cells).where(F.col("bin") <= F.col("edges")[F.col("start")])
-        new = checkpointed(_sums(kept, ["cell", "start"]).mapInPandas(_estimates, _ESTIMATE))
-        falls = new.alias("a").join(model.alias("b"), ["cell", "start"]).where(F.col("a.logdet") < F.col("b.logdet") - 1e-6)
-        before, model = model, new
-        if step and falls.isEmpty():  # what the first step leaves are no subsets' estimates
-            model = before
-            break
-    best = F.min_by(F.struct("mean", "cov", "logdet"), F.struct("logdet", "start"))
-    return model.groupBy("cell").agg(best.alias("m")).select("cell", "m.*")
-
-
-def _shrunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each cell's estimate drawn towards the one of the wider cell, which counts as SHRINK rows: mean and inverse."""
-    for batch in batches:
-        rows = []
-        for r in batch.itertuples(index=False):
-            d, own = len(DIMENSIONS), r.n / (r.n + SHRINK)
-            mean, cov = np.array(r.mean), np.array(r.cov).reshape(d, d)
-            wide_mean, wide = np.array(r.wide_mean), np.array(r.wide_cov).reshape(d, d)
-            apart = np.outer(mean - wide_mean, mean - wide_mean) * own * (1 - own)
-            cov = own * cov + (1 - own) * wide + apart
-            mean = own * mean + (1 - own) * wide_mean
-            rows.append((r.cell, mean.tolist(), cov.ravel().tolist(), np.linalg.inv(cov).ravel().tolist()))
-        yield pd.DataFrame(rows, columns=["cell", "mean", "cov", "inverse"])
-
-
-def estimates(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """`vectors` has group, pool, x and salt; returns cell (a group), mean and inverse, and how many groups there are."""
-    level = F.explode(F.array(F.concat(F.lit("group "), "group"), F.concat(F.lit("pool "), "pool"), F.lit("all")))
-    cells = vectors.groupBy("group", "pool").agg(F.count(F.lit(1)).alias("n"))
-    cells = checkpointed(cells)
-    n_groups = cells.count()
-    n_cells = n_groups + cells.select("pool").distinct().count() + 1
-    found = checkpointed(mcd(vectors.select("x", "salt", level.alias("cell")), n_cells))
-    named = lambda kind, c: found.where(F.startswith("cell", F.lit(kind))).select(F.substring("cell", len(kind) + 1, 2**31 - 1).alias(c), "mean", "cov")
-    wide = found.where("cell = 'all'").select(F.col("mean").alias("wide_mean"), F.col("cov").alias("wide_cov"))
-    shape = "cell string, mean array<double>, cov array<double>, inverse array<double>"
-    pools = cells.groupBy("pool").agg(F.sum("n").alias("n")).join(named("pool ", "pool"), "pool").crossJoin(F.broadcast(wide))  # one row
-    pools = pools.select(F.col("pool").alias("cell"), "n", "mean", "cov", "wide_mean", "wide_cov").mapInPandas(_shrunk, shape).select(F.col("cell").alias("pool"), F.col("mean").alias("wide_mean"), F.col("cov").alias("wide_cov"))
-    groups = cells.join(named("group ", "group"), "group").join(pools, "pool").select(F.col("group").alias("cell"), "n", "mean", "cov", "wide_mean", "wide_cov")
-    return checkpointed(groups.mapInPandas(_shrunk, shape).select("cell", "mean", "inverse")), n_groups
+    return found.where(part).withColumn("distance2", distance2("group", F.struct(*DIMENSIONS)))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the statistics, base_failed, distance2 and kept."""
-    found = docs.select("doc_id", F.to_json(F.struct("lang", "source")).alias("group"), F.to_json(F.struct("lang")).alias("pool"), text_statistics("text").alias("s")).select("doc_id", "group", "pool", "s.*")
-    found = checkpointed(found.withColumn("x", F.array(*_transformed().values())).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")))
-    model, n_groups = estimates(found.select("group", "pool", "x", "salt"))
+    name = lambda kind, *columns: F.concat(F.lit(kind), F.to_json(F.struct(*columns)))
+    found = docs.select("doc_id", name("group ", "lang", "source").alias("group"), name("pool ", "lang").alias("pool"), F.lit(EVERY).alias("every"), text_statistics("text").alias("s")).select("doc_id", "group", "pool", "every", "s.*")
+    found = checkpointed(found.withColumns(_transformed()))
+    cells = checkpointed(found.groupBy("group", "pool").agg(F.count(F.lit(1)).alias("n")))
+    pools = {r["pool"]: r["n"] for r in cells.groupBy("pool").agg(F.sum("n").alias("n")).collect()}  # a row a language
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = _beside(found.withColumnRenamed("group", "cell"), model, "cell", n_groups, "left").withColumn("distance2", _squared_distance(F.col("x"), F.col("mean"), F.col("inverse"))).withColumn("base_failed", base)
+    parts = -(-cells.count() // CELLS)
+    if not parts:
+        measured = [found.withColumn("distance2", F.lit(0.0))]
+    else:
+        wide = mcd(found.withColumn("group", F.lit(None).cast("string")), [EVERY, *pools])
+        part = lambda k: F.pmod(F.xxhash64("group"), F.lit(parts)) == k
+        measured = [_measured(found, cells, part(k), wide, pools) for k in range(parts)]
+        measured = [checkpointed(m) for m in measured] if parts > 1 else measured
+    out = reduce(DataFrame.unionByName, measured).withColumn("base_failed", base)
     return out.select("doc_id", *STATISTICS.names, "base_failed", "distance2", (~F.col("base_failed") & (F.col("distance2") <= CUTOFF)).alias("kept"))
 
 
