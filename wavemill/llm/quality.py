@@ -231,14 +231,11 @@ def shrunk(own: tuple[np.ndarray, np.ndarray], n: int, wide: tuple[np.ndarray, n
     return share * own[0] + (1 - share) * wide[0], share * own[1] + (1 - share) * wide[1] + share * (1 - share) * np.outer(apart, apart)
 
 
-def _measured(found: DataFrame, cells: DataFrame, part: Column, wide: Cells, pools: dict[str, int]) -> DataFrame:
-    """distance2 of the rows of groups of one part; `wide` has the estimates of all rows and of languages."""
-    sizes = {r["group"]: (r["pool"], r["n"]) for r in cells.where(part).select("group", "pool", "n").collect()}  # about CELLS groups
-    own, models = mcd(found.where(part), list(sizes)), {}
-    every = (wide.means[wide.at[EVERY]], wide.covs[wide.at[EVERY]])
-    for k, name in enumerate(own.names):
-        pool, n = sizes[name]
-        at = wide.at[pool]
+def _measured(found: DataFrame, sizes: dict[str, tuple[str, int]], own: Cells, wide: Cells, pools: dict[str, int]) -> DataFrame:
+    """distance2 of the rows of the groups in `sizes`; `own` has their estimates, `wide` those of all rows and of languages."""
+    models, every = {}, (wide.means[wide.at[EVERY]], wide.covs[wide.at[EVERY]])
+    for name, (pool, n) in sizes.items():
+        k, at = own.at[name], wide.at[pool]
         mean, cov = shrunk((own.means[k], own.covs[k]), n, shrunk((wide.means[at], wide.covs[at]), pools[pool], every))
         models[name] = (mean, np.linalg.inv(cov))
 
@@ -250,7 +247,7 @@ def _measured(found: DataFrame, cells: DataFrame, part: Column, wide: Cells, poo
         y = x.to_numpy(dtype=np.float64) - mean
         return pd.Series(np.einsum("ni,nij,nj->n", y, inverse, y))
 
-    return found.where(part).withColumn("distance2", distance2("group", F.struct(*DIMENSIONS)))
+    return found.withColumn("distance2", distance2("group", F.struct(*DIMENSIONS)))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -262,13 +259,21 @@ def judge(docs: DataFrame) -> DataFrame:
     pools = {r["pool"]: r["n"] for r in cells.groupBy("pool").agg(F.sum("n").alias("n")).collect()}  # a row a language
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     parts = -(-cells.count() // CELLS)
+    part = lambda k: F.pmod(F.xxhash64("group"), F.lit(parts)) == k
+    sizes_of = lambda df: {r["group"]: (r["pool"], r["n"]) for r in df.select("group", "pool", "n").collect()}  # about CELLS groups
     if not parts:
         measured = [found.withColumn("distance2", F.lit(0.0))]
+    elif parts == 1:  # the same search for all levels at once
+        sizes = sizes_of(cells)
+        models = mcd(found, [EVERY, *pools, *sizes])
+        measured = [_measured(found, sizes, models, models, pools)]
     else:
-        wide = mcd(found.withColumn("group", F.lit(None).cast("string")), [EVERY, *pools])
-        part = lambda k: F.pmod(F.xxhash64("group"), F.lit(parts)) == k
-        measured = [_measured(found, cells, part(k), wide, pools) for k in range(parts)]
-        measured = [checkpointed(m) for m in measured] if parts > 1 else measured
+        wide, measured = mcd(found.withColumn("group", F.lit(None).cast("string")), [EVERY, *pools]), []
+        for k in range(parts):  # each part is written before the next one's estimates are made
+            sizes = sizes_of(cells.where(part(k)))
+            if sizes:
+                own = mcd(found.where(part(k)), list(sizes))
+                measured.append(checkpointed(_measured(found.where(part(k)), sizes, own, wide, pools)))
     out = reduce(DataFrame.unionByName, measured).withColumn("base_failed", base)
     return out.select("doc_id", *STATISTICS.names, "base_failed", "distance2", (~F.col("base_failed") & (F.col("distance2") <= CUTOFF)).alias("kept"))
 
