@@ -210,4 +210,14 @@ def sql_words(text: str = "text") -> str:
     return rf"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 
 
+#: The usual table of CRC-32 by byte, built from its polynomial.
+SQL_CRC_TABLE = ", ".join(str(x) for x in (lambda step: [step(step(step(step(step(step(step(step(b)))))))) for b in range(256)])(lambda c: (c >> 1) ^ (0xEDB88320 if c & 1 else 0)))
+
+
+def sql_crc32(text: str) -> str:
+    """DuckDB: the unsigned CRC-32 of a text's UTF-8 bytes."""
+    bytes_ = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda s, b: xor(s >> 8, [{SQL_CRC_TABLE}][xor(s & 255, b) + 1]::BIGINT)), 4294967295::BIGINT)"
+
+
 WORD_PATTERN = re.compile(WORD)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sql_crc32, table
 
 SHARDS, BITS, DIMENSIONS, SALTS, SPAN_ROWS = 40, 4, 3, 64, 1 << 20
 
@@ -84,9 +84,6 @@ def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
-_CRC = ", ".join(str(x) for x in (lambda step: [step(step(step(step(step(step(step(step(b)))))))) for b in range(256)])(lambda c: (c >> 1) ^ (0xEDB88320 if c & 1 else 0)))
-
-#: The CRC runs over the bytes of each text with the usual table, built above from its polynomial.
 OP2_SQL = f"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 16 AS size,
@@ -95,8 +92,7 @@ WITH t AS (
   FROM documents
 ), c AS (
   SELECT doc_id, size, salt, [{", ".join(map(str, curve()))}][a * 256 + b * 16 + least(floor(log2(size)), 19)::BIGINT - 4 + 1]::INT AS curve_index,
-    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)),
-      lambda s, b: xor(s >> 8, [{_CRC}][xor(s & 255, b) + 1]::BIGINT)), 4294967295::BIGINT) AS text_crc32
+    {sql_crc32('text')} AS text_crc32
   FROM t
 ), r AS (
   SELECT *, row_number() OVER (ORDER BY curve_index, salt, doc_id NULLS FIRST, text_crc32, size) - 1 AS rank, count(*) OVER () AS n FROM c
