@@ -15,7 +15,7 @@ from wavemill.sources import readers
 
 SF = "/root/testdata/sf0.001"
 #: A few of each kind; the driver compares all.
-NAMES = ["a25_reviewer_rates", "f19_family_prompts", "f20_captions", "f27_gaussian_noise", "f27_uniform_noise", "t02_aligned_windows", "x03_row_scores", "x04_corpus_scores", "x09_record_rows"]
+NAMES = ["a25_reviewer_rates", "f19_family_prompts", "f20_captions", "f27_gaussian_noise", "f27_uniform_noise", "t02_aligned_windows", "t02_entity_windows_online", "x03_row_scores", "x04_corpus_scores", "x09_record_rows"]
 NAMES += ["f02e_answer_staged", "f02g_first_word", "f02h_sampler_label", "f03_option", "f04_stage_labels", "f05_own_stage_labels", "f06_stage_codes", "f25_znorm_n3", "a16_token_overlap", "r05_missing_classes", "a11_support_only_macro", "f16_context", "f33_undigits", "f43_valid_series", "j10_stages_left", "p19_extra_columns"]
 NAMES += ["a08_open_vocabulary", "a14_template_f1", "a26_agreement", "f02b_answer_clean", "f25_znorm_n5", "j03_list_lookup", "p13_finite_series", "r01_random_split", "r02_stratified_split", "w02_window_majority", "w04_interpolated", "w06_balanced_batches"]
 

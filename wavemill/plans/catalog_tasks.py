@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..folders import new_folder
 from ..functions import series as S
 from ..operators import relational as R
 from ..operators import scoring as C
+from ..streaming import online
 from . import prompts as P
 from .catalog import PREDICTIONS, _predictions, query
 
@@ -89,3 +91,16 @@ def _(t):
 @query("t02_aligned_windows", "SELECT user_id, epoch_us(ts) // 3600000000 AS window_id, count(*) AS n FROM events GROUP BY ALL")
 def _(t):
     return R.aligned_windows(t.events, "ts", 3600).groupBy("user_id", "window_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CLOSED = "(SELECT *, min(epoch_us(ts)) OVER (PARTITION BY user_id) AS origin, (max(epoch_us(ts)) OVER () - 3600000000) // 1000 * 1000 AS reached FROM events)"
+
+
+@query("t02_entity_windows_online", f"SELECT user_id, (epoch_us(ts) - origin) // 3600000000 AS window_id, count(*) AS n, sum(value) AS total FROM {_CLOSED} GROUP BY user_id, window_id, origin, reached HAVING origin + (window_id + 1) * 3600000000 <= reached")
+def _(t):
+    """The table as a stream: the windows that are over an hour after their end when it has been read."""
+    folder = new_folder(t._spark, "entity-windows")
+    rows = t._spark.readStream.schema(t.events.schema).parquet(f"{t._dir}/[e]vents.parquet")  # as a pattern, which may also find one file
+    windows = online.entity_windows_online(rows, "user_id", "ts", "value", 3600)
+    windows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start().awaitTermination()
+    return t._spark.read.schema(windows.schema).parquet(f"{folder}/rows")

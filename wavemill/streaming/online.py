@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -51,6 +53,128 @@ def early_stop_monitor(losses: DataFrame, run: str = "run", margin: float = 1e-4
     return losses.groupBy(run).applyInPandasWithState(step, schema, "best_epoch long, best double, misses long, stopped long, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+class _EntityWindows(StatefulProcessor):
+    """State of an entity: its origin (and whether that is certain), rows of an uncertain origin by time, open windows by number.
+
+    The origin is the earliest time, so it is certain only once the watermark has reached it: no earlier row
+    can be accepted after that. Until then rows are kept by time, which is as long as rows may be late. Then
+    they, and later rows, are counted in windows, and a window leaves when the watermark reaches its end."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.origin = handle.getValueState("origin", "origin long, certain boolean")
+        self.early = handle.getMapState("early", "at long", "n long, total double")
+        self.open = handle.getMapState("open", "window_id long", "n long, total double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows))
+        origin, certain = self.origin.get() if self.origin.exists() else (int(batch["at"].min()), False)
+        if not certain:
+            origin = min(origin, int(batch["at"].min()))
+            self.origin.update((origin, False))
+        self._add(self.open if certain else self.early, (batch["at"] - origin) // self.width if certain else batch["at"], batch["value"])
+        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def _add(self, state, by: pd.Series, values: pd.Series) -> None:
+        for k, n, total in values.groupby(by.to_numpy()).agg(["size", "sum"]).itertuples():
+            old = state.getValue((int(k),)) or (0, 0.0)
+            state.updateValue((int(k),), (old[0] + int(n), old[1] + float(total)))
+
+    def _advance(self, key, watermark: int) -> pd.DataFrame:
+        origin, certain = self.origin.get()
+        now, done = watermark * 1000, []
+        if not certain and origin <= now:
+            at, counts = [], []
+            for k, v in self.early.iterator():
+                at.append(k[0])
+                counts.append(v)
+            for t, (n, total) in zip(at, counts, strict=True):
+                window = ((t - origin) // self.width,)
+                old = self.open.getValue(window) or (0, 0.0)
+                self.open.updateValue(window, (old[0] + n, old[1] + total))
+            self.early.clear()
+            self.origin.update((origin, True))
+            certain = True
+        if not certain:
+            self.handle.registerTimer(-(-origin // 1000))
+        else:
+            ends = {k[0]: origin + (k[0] + 1) * self.width for k in list(self.open.keys())}
+            for k in sorted(k for k, end in ends.items() if end <= now):
+                done.append((key[0], k, *self.open.getValue((k,))))
+                self.open.removeKey((k,))
+                del ends[k]
+            if ends:
+                self.handle.registerTimer(-(-min(ends.values()) // 1000))
+        return pd.DataFrame(done, columns=["entity", "window_id", "n", "total"])
+
+    def close(self) -> None:
+        pass
+
+
+def entity_windows_online(events: DataFrame, entity: str, ts: str, value: str, seconds: float, late: str = "1 hour") -> DataFrame:
+    """T02, W01 online: entity, window_id, n, total for each window whose end the watermark has reached; windows are
+    counted from each entity's own first time. Rows later than `late` are dropped before they get here
+    (`late_rows` counts them). Rows without entity or time are left out, a null value counts as 0 in the total."""
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = events.select(F.col(entity).alias("entity"), F.col(ts).cast("timestamp").alias("ts"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("value")).where("entity is not null and ts is not null")
+    rows = rows.withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
+    kind = rows.schema["entity"].dataType.simpleString()
+    out = rows.groupBy("entity").transformWithStateInPandas(_EntityWindows(int(seconds * 1_000_000)), f"entity {kind}, window_id long, n long, total double", "append", "EventTime")
+    return out.withColumnRenamed("entity", entity)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """How many rows of the recent micro-batches came too late."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
+def score_once(predictions: DataFrame, scored: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
+    """Scored rows of new files, each exactly once, also if a batch is run again after a crash.
+
+    A batch writes its own folder, then a line of the ledger. One whose line is there is skipped; one that
+    failed before its line writes the same folder again. `scored_rows` reads what the ledger names."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        done = ledger(spark, target).where((F.col("query") == query) & (F.col("batch") == number))
+        if done.isEmpty():
+            scored(batch).write.mode("overwrite").parquet(f"{target}/rows/{query}/{number}")
+            _enter(spark, target, query, number)
+
+    return predictions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _enter(spark: SparkSession, target: str, query: str, number: int) -> None:
+    spark.createDataFrame([(query, number)], LEDGER).coalesce(1).write.mode("append").parquet(f"{target}/ledger")
+
+
+LEDGER = "query string, batch long"
+
+
+def ledger(spark: SparkSession, target: str) -> DataFrame:
+    """query and batch of what is in the target for good."""
+    try:
+        return spark.read.schema(LEDGER).parquet(f"{target}/ledger")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
+
+
+def scored_rows(spark: SparkSession, target: str) -> DataFrame | None:
+    """The rows of all batches that the ledger names; none before the first."""
+    folders = [f"{target}/rows/{r['query']}/{r['batch']}" for r in ledger(spark, target).toLocalIterator()]
+    return spark.read.parquet(*folders) if folders else None
+
+
 def score_incrementally(predictions: DataFrame, scored, target: str, checkpoint: str):
     """Appends scored rows of new files; a restart goes on where the checkpoint says."""
     return scored(predictions).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
