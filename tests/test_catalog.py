@@ -96,9 +96,6 @@ def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "har.csv").write_text('x_axis,y_axis,label\n"[1, 2]","[3, NaN]",walk\nx_axis,y_axis,label\nbad,"[1]",sit\n')
     rows = readers.series_csv(spark, f"{at}/har.csv", ["x_axis", "y_axis"], ["label"]).collect()
     assert [(r["x_axis"], r["label"]) for r in rows] == [([1.0, 2.0], "walk"), (None, "sit")]
-    (tmp_path / "x.ts").write_text("# c\n@problemname x\n@data\n1,2:3,?:5.5\n")
-    r = readers.ts_archive(spark, f"{at}/x.ts", 0.0).first()
-    assert (r["dimensions"], r["target"]) == ([[1.0, 2.0], [3.0, 0.0]], 5.5)
     (tmp_path / "subject101.dat").write_text("1.5 2 NaN\n")
     r = readers.sensor_log(spark, f"{at}/subject101.dat", ["t", "a", "h"]).first()
     assert tuple(r) == (101, 1.5, 2.0, None)

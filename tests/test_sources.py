@@ -1,10 +1,9 @@
 """Readers and writers over small files with the odd rows that real ones have."""
 
-import struct
-
 import pytest
 from pyspark.sql import functions as F
 
+from wavemill.functions import labels as L
 from wavemill.sinks import writers
 from wavemill.sources import readers
 
@@ -31,8 +30,48 @@ def test_paired_and_all_frequencies(spark, tmp_path):
     (tmp_path / "daily_captions.csv").write_text('id,caption\nb,"two, of them"\nc,none\n')
     out = readers.paired_csv(spark, str(tmp_path / "daily_series.csv"), str(tmp_path / "daily_captions.csv")).collect()
     assert sorted((r["id"], r["series"], r["caption"]) for r in out) == [("b", [3.0], "two, of them"), ("b", [4.0], "two, of them")]
-    every = readers.all_frequencies(spark, str(tmp_path)).collect()
-    assert sorted((r["frequency"], r["id"]) for r in every) == [("daily", "a"), ("daily", "b"), ("daily", "b"), ("yearly", "z")]
+    (tmp_path / "weekly_series.csv").write_text('id,series\nq,"[1, 2]"\nr,"[1, oops]"\n')
+    (tmp_path / "hourly_series.csv").write_text('key,values\nq,"[1, 2]"\n')
+    every, broken = readers.all_frequencies(spark, str(tmp_path))
+    assert sorted((r["frequency"], r["id"]) for r in every.collect()) == [("daily", "a"), ("daily", "b"), ("daily", "b"), ("yearly", "z")]
+    assert {r["file"]: r["reason"] for r in broken.collect()} == {"weekly_series.csv": "1 rows without id or list of numbers", "hourly_series.csv": "no head of id and series"}
+
+
+def test_strict_lists(spark, tmp_path):
+    (tmp_path / "ok.csv").write_text('x,label\n"[1, 2]",a\nx,label\n"[3]",b\n')
+    (tmp_path / "bad.csv").write_text('x,label\n"[1, two]",a\n')
+    assert sorted(r["x"] for r in readers.series_csv(spark, str(tmp_path / "ok.csv"), ["x"], ["label"], strict=True).collect()) == [[1.0, 2.0], [3.0]]
+    with pytest.raises(Exception, match=r"bad.csv: column x holds no list of numbers: \[1, two\]"):
+        readers.series_csv(spark, str(tmp_path / "bad.csv"), ["x"], ["label"], strict=True).collect()
+
+
+def test_existing_records(spark, tmp_path):
+    for name in ("21000/21837_hr.hea", "21000/21837_hr.dat", "21000/21838_hr.hea"):
+        (tmp_path / "r" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "r" / name).write_text("")
+    ids = spark.createDataFrame([(21837,), (21838,), (1,)], "id long").select("id", L.path_of_record(F.col("id")).alias("path"))
+    there, lacking = readers.existing_records(spark, ids, "path", str(tmp_path / "r"))
+    assert [r["id"] for r in there.collect()] == [21837] and {r["id"]: r["missing"] for r in lacking.collect()} == {21838: [".dat"], 1: [".hea", ".dat"]}
+    assert readers.existing_records(spark, ids, "path", str(tmp_path / "none"))[1].count() == 3
+
+
+def test_numbered_lines_of_many_splits(spark, tmp_path):
+    text = {}
+    for name, n in (("a.jsonl", 700), ("b.jsonl", 3)):
+        text[name] = ["" if k % 11 == 3 else '{"generated": "broken' if k % 7 == 1 else "plain" if k % 13 == 5 else f'{{"generated": "é{"x" * (k % 50)}", "gold": "{k}"}}' for k in range(n)]
+        (tmp_path / name).write_text("\n".join(text[name]) + ("\n" if n > 3 else ""))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 12
+        lines = readers.numbered_lines(spark, str(tmp_path)).collect()
+        good, bad = (df.collect() for df in readers.predictions(spark, str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    name = lambda r: r["file"].rpartition("/")[2]
+    assert sorted((name(r), r["line"], r["value"]) for r in lines) == sorted((k, i, v) for k, vs in text.items() for i, v in enumerate(vs, 1))
+    kinds = {(k, i): "good" if "gold" in v else "broken JSON" if v.startswith("{") else "no JSON object" for k, vs in text.items() for i, v in enumerate(vs, 1) if v}
+    assert {(name(r), r["line"]): "good" for r in good} | {(name(r), r["line"]): r["reason"] for r in bad} == kinds and len(good) + len(bad) == len(kinds)
+    assert all(r["gold"] == str(r["line"] - 1) for r in good)
 
 
 def test_reasoning_rows_and_quarantine(spark, tmp_path):
@@ -51,20 +90,6 @@ def test_questions_metadata_and_template_answers(spark, tmp_path):
     assert {r["template_id"]: r["classes"] for r in readers.template_answers(spark, str(tmp_path / "t.csv")).collect()} == {1: ["yes", "no"], 2: []}
 
 
-def test_signal_records(spark, tmp_path):
-    (tmp_path / "r1.hea").write_text("# a comment\nr1 2 100 3\nr1.dat 16 1000.0(0)/mV 16 0 0 0 0 I\nr1.dat 16 200.0(10)/mV 16 0 0 0 0 II\n")
-    (tmp_path / "r1.dat").write_bytes(struct.pack("<6h", 1000, 210, -500, 10, 0, -190))
-    (tmp_path / "alone.hea").write_text("alone 1 100 1\n")
-    (r,) = readers.wfdb(spark, str(tmp_path)).collect()
-    assert r["names"] == ["I", "II"] and r["rate"] == 100.0 and r["leads"] == [[1.0, -0.5, 0.0], [1.0, 0.0, -1.0]]
-    for header, data in (("x 1 100 2\nx.dat 212 200 12 0 0 0 0 I\n", b"abc"), ("x 1 100 2\nx.dat 16 200 16 0 0 0 0 I\n", b"ab")):
-        (tmp_path / "other").mkdir(exist_ok=True)
-        (tmp_path / "other/x.hea").write_text(header)
-        (tmp_path / "other/x.dat").write_bytes(data)
-        with pytest.raises(Exception, match="format"):
-            readers.wfdb(spark, str(tmp_path / "other")).collect()
-
-
 def test_tsv_results_and_scrapes(spark, tmp_path):
     (tmp_path / "u.tsv").write_text("-1\t1.5\t2\n2\t0\t0\n")
     assert sorted((r["label"], r["series"]) for r in readers.labelled_tsv(spark, str(tmp_path / "u.tsv"), 2).collect()) == [(-1.0, [1.5, 2.0]), (2.0, [0.0, 0.0])]

@@ -1,12 +1,12 @@
-"""Readers of raw files (survey 2.1). All use Spark's readers, so any store that Spark reads will do."""
+"""Readers of raw files (survey 2.1) that Spark's own sources serve. Archives and signal records have sources of their own."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import strip
@@ -20,10 +20,17 @@ def csv(spark: SparkSession, path: str, schema: str, sep: str = ",", header: boo
     return spark.read.schema(schema).options(header=header, sep=sep, quote='"', escape='"', multiLine=True).csv(path)
 
 
-def series_csv(spark: SparkSession, path: str, axes: list[str], others: list[str]) -> DataFrame:
-    """List-literal columns become arrays, repeated header rows go; a malformed list is null."""
+def series_csv(spark: SparkSession, path: str, axes: list[str], others: list[str], strict: bool = False) -> DataFrame:
+    """List-literal columns become arrays, repeated header rows go. A malformed list is null, or with `strict` an error that shows it."""
     raw = csv(spark, path, ", ".join(f"{c} string" for c in [*axes, *others]))
-    return not_header(raw, axes[0]).select(*[F.from_json(c, "array<double>").alias(c) for c in axes], *others)
+
+    def series(c: str) -> Column:
+        v = F.from_json(c, "array<double>")
+        # A number that can't be read makes from_json null as well; a null inside a list is one that was written so.
+        wrong = F.col(c).isNotNull() & (v.isNull() | (F.exists(v, F.isnull) & ~F.contains(c, F.lit("null"))))
+        return F.when(wrong, F.raise_error(F.format_string(f"{path}: column {c} holds no list of numbers: %s", F.left(c, F.lit(80)))).cast("array<double>")).otherwise(v) if strict else v
+
+    return not_header(raw, axes[0]).select(*[series(c).alias(c) for c in axes], *others)
 
 
 def split_files(read, paths: dict[str, str]) -> DataFrame:
@@ -48,10 +55,19 @@ def paired_csv(spark: SparkSession, series_path: str, captions_path: str) -> Dat
     return a.join(csv(spark, captions_path, "id string, caption string"), "id")
 
 
-def all_frequencies(spark: SparkSession, folder: str) -> DataFrame:
-    """All series files of a folder, frequency from the file name; files that vanish are skipped."""
-    read = spark.read.schema("id string, series string").options(header=True, quote='"', escape='"', ignoreMissingFiles=True)
-    return read.csv(f"{folder}/*_series.csv").select("id", F.from_json("series", "array<double>").alias("series"), F.regexp_extract("_metadata.file_name", r"^(.*)_series\.csv$", 1).alias("frequency"))
+def all_frequencies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Id, series, frequency (from the file name) of the series files of a folder that can be read, and the files that can't: file, reason.
+
+    A file is broken as a whole if its head isn't `id,series`, or a row of it has no id or no list. Files that vanish are skipped."""
+    read = spark.read.schema("id string, series string").options(header=False, quote='"', escape='"', multiLine=True, ignoreMissingFiles=True)
+    file, series = F.col("_metadata.file_name"), F.from_json("series", "array<double>")
+    rows = read.csv(f"{folder}/*_series.csv").select(file.alias("file"), "id", F.col("series").alias("text"), series.alias("series"), (F.col("id").eqNullSafe(F.lit("id")) & F.col("series").eqNullSafe(F.lit("series"))).alias("head"))
+    bad = ~F.col("head") & (F.col("id").isNull() | F.col("series").isNull())
+    state = rows.groupBy("file").agg(F.max("head").alias("head"), F.sum(bad.cast("long")).alias("bad"))
+    broken = state.where(~F.col("head") | (F.col("bad") > 0))
+    reason = F.when(~F.col("head"), "no head of id and series").otherwise(F.format_string("%d rows without id or list of numbers", "bad"))
+    good = rows.where(~F.col("head")).join(broken.select("file"), "file", "left_anti")
+    return good.select("id", "series", F.regexp_extract("file", r"^(.*)_series\.csv$", 1).alias("frequency")), broken.select("file", reason.alias("reason"))
 
 
 def reasoning_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -77,30 +93,6 @@ def template_answers(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("template_id", F.transform(listed, lambda x: strip(F.lower(x))).alias("classes"))
 
 
-def _signals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for path, header, data in zip(batch["record"], batch["header"], batch["data"], strict=True):
-            lines = [x.split() for x in header.decode().splitlines() if x and not x.startswith("#")]
-            leads, rate, points = int(lines[0][1]), float(lines[0][2].split("/")[0]), int(lines[0][3])
-            formats = {x[1] for x in lines[1 : leads + 1]}
-            if formats != {"16"} or len(data) < 2 * leads * points:
-                raise ValueError(f"{path}: signals of format {sorted(formats)} in {len(data)} bytes; read are whole records of format 16")
-            gains = [x[2].split("/")[0] for x in lines[1 : leads + 1]]
-            gain = [float(g.split("(")[0]) or 200.0 for g in gains]
-            zero = [float(g.split("(")[1].rstrip(")")) if "(" in g else float(x[4]) if len(x) > 4 else 0.0 for g, x in zip(gains, lines[1:], strict=False)]
-            raw = np.frombuffer(data, dtype="<i2")[: points * leads].reshape(-1, leads)
-            out.append((path, rate, [((raw[:, k] - zero[k]) / gain[k]).tolist() for k in range(leads)], [x[-1] for x in lines[1 : leads + 1]]))
-        yield pd.DataFrame(out, columns=["record", "rate", "leads", "names"])
-
-
-def wfdb(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of a .hea text and a .dat file of 16-bit numbers, as physical values by lead; other formats are an error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_extract("path", r"^(.*)\.(hea|dat)$", 1).alias("record"), F.regexp_extract("path", r"\.(hea|dat)$", 1).alias("kind"), "content")
-    header = files.where("kind = 'hea'").select("record", F.col("content").alias("header"))
-    return header.join(files.where("kind = 'dat'").select("record", F.col("content").alias("data")), "record").mapInPandas(_signals, "record string, rate double, leads array<array<double>>, names array<string>")
-
-
 def sensor_log(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Numbers between blanks, one row a tick, entity from the digits of the file name; NaN text is null."""
     parts = F.split(strip(F.col("value")), r"\s+")
@@ -115,24 +107,29 @@ def labelled_tsv(spark: SparkSession, path: str, points: int) -> DataFrame:
     return raw.select("label", F.array(*[f"t{k}" for k in range(1, points + 1)]).alias("series"))
 
 
-def ts_archive(spark: SparkSession, path: str, missing: float | None = None) -> DataFrame:
-    """`.ts` lines, dimensions between colons, values between commas, the target last; `?` is NaN or `missing`.
+PREDICTION = "pre_prompt string, time_series_text array<string>, post_prompt string, generated string, gold string, time_series_id string, template_id int, ecg_id array<long>, correct_answer string"
 
-    Tag and comment lines go. `(t,v)` pairs keep their values in order of the line."""
-    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*([@#]|$)"))
-    parts = F.split(F.regexp_replace(strip(F.lower("value")), r"\(\s*[^,()]+\s*,\s*([^()]+)\)", "$1"), ":")
-    number = lambda x: F.when(strip(x) == "?", F.lit(float("nan") if missing is None else missing)).otherwise(strip(x).try_cast("double"))
-    dims = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda d: F.when(strip(d) == "", F.expr("cast(array() as array<double>)")).otherwise(F.transform(F.split(d, ","), number)))
-    return lines.select(dims.alias("dimensions"), F.expr("cast(null as double)").alias("none"), parts.alias("p")).select("dimensions", strip(F.element_at("p", -1)).try_cast("double").alias("target"))
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1) and value of each line of text files, whatever splits they are read in.
 
-PREDICTION = "pre_prompt string, time_series_text array<string>, post_prompt string, generated string, gold string, time_series_id string, template_id int, ecg_id array<long>, correct_answer string"
+    Spark numbers the lines of a task in order, so a split's lines have numbers in a row. The counts of the
+    splits (a row each), added up along a file, say where each begins. Both passes read the same splits."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), "value")
+    splits = raw.groupBy("file", "split").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("file").orderBy("split")) - F.col("n")
+    placed = splits.select("file", "split", (before - F.col("first") + 1).alias("shift"))
+    return raw.join(placed, ["file", "split"]).select("file", (F.col("id") + F.col("shift")).alias("line"), "value")
 
 
 def predictions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """JSON lines and the malformed ones apart."""
-    raw = spark.read.schema(PREDICTION + ", _corrupt string").options(mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt").json(path)
-    return raw.where("_corrupt is null").drop("_corrupt"), raw.where("_corrupt is not null").select("_corrupt")
+    """The predictions of JSON lines with `file` and `line`, and the malformed lines: file, line, value, reason. Blank lines are neither."""
+    rows = numbered_lines(spark, path).where(strip(F.col("value")) != "")
+    read = rows.withColumn("r", F.from_json("value", PREDICTION + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
+    reason = F.when(~F.startswith(strip(F.col("value")), F.lit("{")), "no JSON object").when(F.try_parse_json("value").isNull(), "broken JSON").otherwise("a field of another type")
+    good = read.where(~bad).select("file", "line", *[F.col(f"r.{c.split()[0]}") for c in PREDICTION.split(", ")])
+    return good, read.where(bad).select("file", "line", "value", reason.alias("reason"))
 
 
 def detailed_results(spark: SparkSession, path: str) -> DataFrame:
@@ -168,3 +165,20 @@ MEMORY_RUN = "timestamp string, llm_id string, device string, model string, data
 def memory_runs(spark: SparkSession, path: str) -> DataFrame:
     """S25."""
     return csv(spark, path, MEMORY_RUN)
+
+
+def existing_records(spark: SparkSession, paths: DataFrame, path: str, folder: str, suffixes: tuple[str, ...] = (".hea", ".dat")) -> tuple[DataFrame, DataFrame]:
+    """The rows whose record (a path without suffix, below a folder) has a file of each suffix, and the others with `missing`, the suffixes that lack.
+
+    The folder is listed once, by Spark's file source, which reads no contents here."""
+    try:
+        below = rf"\Q{re.sub(r'^[a-z0-9]+:(//[^/]*)?', '', folder).rstrip('/')}\E/(.*?)(\.[^./]+)$"
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_extract("path", below, 1).alias("record"), F.regexp_extract("path", below, 2).alias("suffix"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = spark.createDataFrame([], "record string, suffix string")
+    kinds = found.groupBy("record").agg(F.collect_set("suffix").alias("suffixes"))
+    none = F.array().cast("array<string>")
+    out = paths.withColumn("record", F.col(path)).join(kinds, "record", "left").withColumn("missing", F.array_except(F.array(*map(F.lit, suffixes)), F.coalesce("suffixes", none))).drop("record", "suffixes")
+    return out.where(F.size("missing") == 0).drop("missing"), out.where(F.size("missing") > 0)
