@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 #: A few of each kind; the driver compares all.
 NAMES = ["a25_reviewer_rates", "f19_family_prompts", "f20_captions", "f27_gaussian_noise", "f27_uniform_noise", "t02_aligned_windows", "t02_entity_windows_online", "x03_row_scores", "x04_corpus_scores", "x09_record_rows"]
 NAMES += ["f02e_answer_staged", "f02g_first_word", "f02h_sampler_label", "f03_option", "f04_stage_labels", "f05_own_stage_labels", "f06_stage_codes", "f25_znorm_n3", "a16_token_overlap", "r05_missing_classes", "a11_support_only_macro", "f16_context", "f33_undigits", "f43_valid_series", "j10_stages_left", "p19_extra_columns"]
-NAMES += ["a08_open_vocabulary", "a14_template_f1", "a26_agreement", "f02b_answer_clean", "f25_znorm_n5", "j03_list_lookup", "p13_finite_series", "r01_random_split", "r02_stratified_split", "w02_window_majority", "w04_interpolated", "w06_balanced_batches"]
+NAMES += ["a08_open_vocabulary", "a14_template_f1", "a26_agreement", "f02b_answer_clean", "f25_znorm_n5", "j03_list_lookup", "p13_finite_series", "r01_random_split", "r02_stratified_split", "w02_window_majority", "w04_interpolated", "w04_interpolated_whole", "a09_closed_vocabulary", "a26_agreement_by_question", "f32_digits", "j12_round_robin", "x04_merged_scores", "w06_balanced_batches"]
 
 
 @pytest.fixture(scope="module")
@@ -140,3 +140,109 @@ def test_streaming_late_epochs(spark, tmp_path):
         q.awaitTermination(60)
     out = sorted((r["epoch"], r["best_epoch"], r["late"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert out == [(1, 1, False), (2, 3, True), (3, 3, False), (4, 4, False)]
+
+
+def test_closed_vocabulary_and_templates(spark):
+    rows = spark.createDataFrame([("t", "a", "a"), ("t", "z", "a"), ("t", "b", "b"), ("t", "a", "z"), ("u", "a", "a")], "template string, gold string, pred string")
+    labels = spark.createDataFrame([("t", "a"), ("t", "b"), ("u", "a")], "template string, class string")
+    closed = {r["class"]: (r["tp"], r["fp"], r["fn"]) for r in C.closed_counts(rows.where("template = 't'"), "pred", "gold", labels.where("template = 't'").select("class")).collect()}
+    assert closed == {"a": (1, 1, 1), "b": (1, 0, 0), "z": (0, 0, 1)}  # z as a prediction is no false positive
+    out = {r["template"]: r for r in C.template_f1(rows, "pred", "gold", "template", labels).collect()}
+    assert (out["t"]["n"], out["t"]["accuracy"]) == (4, 0.5) and out["t"]["macro_f1"] == pytest.approx((2 / 3 + 1) / 2)  # (z, a) counts in no class
+    assert out[None]["macro_f1"] == pytest.approx((5 / 6 + 1) / 2) and out[None]["n"] == 5
+    only = spark.createDataFrame([("t", "a", "a"), ("t", "z", "a"), ("t", "b", "b")], "template string, gold string, pred string")
+    assert C.template_f1(only, "pred", "gold", "template", labels).where("template = 't'").first()["macro_f1"] == 1.0
+    with pytest.raises(Exception, match="template t has no allowed answers"):
+        C.template_f1(rows, "pred", "gold", "template", labels.where("template = 'u'")).collect()
+
+
+def test_overlap_of_normalised_answers(spark):
+    rows = spark.createDataFrame([("The cat.", "the cat"), ("a a b", "a c a a"), ("", " .!"), ("x", ""), (None, "x")], "p string, g string")
+    got = [tuple(x if x is None else round(x, 6) for x in r["s"]) for r in rows.select(C.token_overlap(F.col("p"), F.col("g")).alias("s")).collect()]
+    assert got[:4] == [(1.0, 1.0, 1.0), (0.666667, 0.5, 0.571429), (1.0, 1.0, 1.0), (0.0, 0.0, 0.0)]
+    assert got[4][2] in (None, 0.0)
+
+
+def test_majority_counts_rows_without_label(spark):
+    rows = spark.createDataFrame([("e", 0, x) for x in (None, None, None, "x", "x")] + [("e", 1, None)] + [("e", 2, x) for x in "ba"], "e string, window_id long, label string")
+    assert sorted(map(tuple, R.window_majority(rows, "e", "label", 0.4).collect())) == [("e", 0, "x", 2, 5), ("e", 2, "a", 1, 2)]
+    assert [r["window_id"] for r in R.window_majority(rows, "e", "label", 0.5).collect()] == [2]
+
+
+def test_round_robin_loads(spark):
+    samples = spark.range(84).withColumn("rn", F.lit(1)).select(F.col("id").alias("sample"))
+    out = R.round_robin(samples, "sample", 5, 2, 1)
+    loads = sorted(r["count"] for r in out.groupBy("reviewer").count().collect())
+    assert loads == [33, 33, 34, 34, 34] and out.distinct().count() == 168 and out.groupBy("sample").agg(F.count_distinct("reviewer").alias("n")).where("n <> 2").count() == 0
+    with pytest.raises(ValueError, match="2 different reviewers of 1"):
+        R.round_robin(samples, "sample", 1, 2, 1)
+
+
+def test_interpolation_of_one_long_series(spark):
+    import random
+
+    rng = random.Random(6)
+    known = [rng.random() if rng.random() < 0.02 else None for _ in range(3000)]
+    known[:40], known[-40:] = [None] * 40, [None] * 40
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(known)], "k long, v double").repartition(5)
+    out = R.interpolated(df, None, ["k"], "v")
+    at = [k for k, v in enumerate(known) if v is not None]
+
+    def wanted(k):
+        before, after = max((x for x in at if x <= k), default=None), min((x for x in at if x >= k), default=None)
+        if before is None:
+            return None
+        return known[before] if after is None or after == before else known[before] + (known[after] - known[before]) * (k - before) / (after - before)
+
+    for r in out.collect():
+        assert r["v"] == (None if wanted(r["k"]) is None else pytest.approx(wanted(r["k"])))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "SinglePartition" not in plan
+    assert R.interpolated(df.where("v is null"), None, ["k"], "v").where("v is not null").count() == 0 and R.interpolated(df.limit(0), None, ["k"], "v").count() == 0
+
+
+def test_agreement_without_pairs(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(f"s{k % 6}", f"q{k % 2}", rng.randint(1, 5), rng.choice(["a", "b", "", None])) for k in range(200)]
+    df = spark.createDataFrame(rows, "sample string, question string, reviewer int, answer string")
+    a, b = (df.select("sample", "question", F.col("reviewer").alias(f"{n}"), F.col("answer").alias(f"{n}_answer")) for n in ("first", "second"))
+    pairs = a.join(b, ["sample", "question"]).where("first < second")
+    for blank in (True, False):
+        counted = C.agreement_from_counts(df, "sample", "reviewer", "answer", ["question"], blank)
+        assert plain(counted.select("question", "pairs", "agreed", "percent").collect()) == plain(C.agreement(pairs, ["question"], blank).collect())
+        by_reviewer = C.agreement_by_reviewer(df.where("question = 'q0'"), "sample", "reviewer", "answer", blank)
+        assert plain(by_reviewer.collect()) == plain(C.agreement(pairs.where("question = 'q0'"), ["first"], blank).collect())
+        assert "Join" not in counted._jdf.queryExecution().executedPlan().toString() + by_reviewer._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_of_mergeable_states(spark):
+    scorer = catalog_tasks.TokenF1()
+    rows = [(k % 3 or None, f"t{k % 4} t{k % 5}", None if k % 7 == 0 else f"t{k % 5} t{k % 4} t1") for k in range(500)]
+    df = spark.createDataFrame(rows, "g int, p string, t string").repartition(9)
+    got = {r["g"]: (r["macro_f1"], r["tokens"]) for r in C.merged_scores(df, scorer, "p", "t", ["macro_f1", "tokens"], ["g"]).collect()}
+    for g in (1, 2, None):
+        x = scorer.finish(scorer.add(scorer.start(), [p for k, p, _ in rows if k == g], [t for k, _, t in rows if k == g]))
+        assert got[g] == (pytest.approx(x["macro_f1"]), x["tokens"])
+    (r,) = C.merged_scores(df, scorer, "p", "t", ["tokens"]).collect()
+    assert r["tokens"] == 5.0 and C.merged_scores(df.limit(0), scorer, "p", "t", ["tokens"], ["g"]).count() == 0
+
+
+def test_digit_texts(spark):
+    write = lambda v, form=S.SPACED: one(spark, S.digits(F.col("v"), form), v=v)
+    assert write([0.29, -1.5, None, float("nan"), 0.0, 12000.0]) == "2 8 9 , -1 5 0 0 , Nan , Nan ,0 ,1 2 0 0 0 0 0 0 ,"
+    assert write([-0.0001, 5.0], S.COMPACT) == "-0, 5 0 0 0, " and write([]) == ""
+    with pytest.raises(Exception, match="beyond 1e\\+07"):
+        write([1e8])
+    read = lambda t, form=S.SPACED, **k: one(spark, S.undigits(F.col("t"), form, **k), t=t)
+    assert read("2 8 9 , -1 5 0 0 , Nan ,0 ,") == [pytest.approx(x) for x in (0.2895, -1.5005, 0.0005, 0.0005)]
+    assert read("-1 5 0 0, 7, ", S.COMPACT, half_step=False) == [pytest.approx(-1.5), pytest.approx(0.007)] and read("") == []
+
+
+def test_context_sentences(spark):
+    say = lambda found=None, truthy=False, **record: one(spark, L.context_sentence({k: F.lit(v) for k, v in record.items()}, None if found is None else F.lit(found), truthy))
+    assert say(age=61.9, sex=1.0, recording_date="x", device=" AT-6 ", baseline_drift="V1", burst_noise=" ", static_noise="y", extra_beats="1ES", pacemaker=None) == "61-year-old male patient. 12-lead ECG. clinical recording. recorded with AT-6. Signal quality: baseline drift noted, static noise present. extra beats detected during recording."
+    assert say() == "12-lead ECG Signal quality: adequate for analysis. ." and say(sex=0, pacemaker="") == "female patient 12-lead ECG. Signal quality: adequate for analysis."
+    assert say(found=False, age=5) == "12-lead ECG recording. Signal quality adequate for analysis."
+    assert say(truthy=True, age=3.0, burst_noise=None, pacemaker=None) == "3-year-old 12-lead ECG. Signal quality: burst noise present. pacemaker present."

@@ -281,15 +281,34 @@ def path_of_record(id_: Column) -> Column:
     return F.concat(F.lpad(((id_ / 1000).cast("long") * 1000).cast("string"), 5, "0"), F.lit("/"), F.lpad(id_.cast("string"), 5, "0"), F.lit("_hr"))
 
 
-def context_sentence(age: Column, sex: Column, device: Column, quality: dict[str, Column], nan_is_truthy: bool = False) -> Column:
-    """F16: the parts that are known, joined by `. `. Quality columns count if they hold text; with `nan_is_truthy`
-    a missing one counts too (Q6)."""
-    present = [F.when(F.lit(nan_is_truthy) & c.isNull() | (strip(c) != ""), F.lit(name)) for name, c in quality.items()]
-    listed = F.concat_ws(", ", *present)
-    return F.concat_ws(
-        ". ",
-        F.when(age.isNotNull(), F.concat(F.lit("Age "), age.cast("int").cast("string"))),
-        F.when(sex.isNotNull(), F.when(sex == 1, "Sex male").otherwise("Sex female")),
-        F.when(device.isNotNull() & (strip(device) != ""), F.concat(F.lit("Device "), device)),
-        F.when(listed != "", F.concat(F.lit("Signal notes "), listed)),
+# The parts of a context sentence.
+NO_RECORD = "12-lead ECG recording. Signal quality adequate for analysis."
+LEAD_TEXT, DATED, ADEQUATE = "12-lead ECG", "clinical recording", "adequate for analysis"
+QUALITY = {"baseline_drift": "baseline drift noted", "static_noise": "static noise present", "burst_noise": "burst noise present", "electrodes_problems": "electrode artifacts present"}
+EXTRA = {"extra_beats": "extra beats detected during recording", "pacemaker": "pacemaker present"}
+
+
+def context_sentence(record: dict[str, Column], found: Column | None = None, nan_is_truthy: bool = False) -> Column:
+    """F16: what is known of a record. `record` has columns age, sex, recording_date, device and those of QUALITY and
+    EXTRA; one that is left out is unknown. Where `found` is false the sentence is NO_RECORD.
+
+    Columns of QUALITY count if they hold more than blanks, those of EXTRA if they aren't empty; with
+    `nan_is_truthy` missing ones count too (Q6). The first two parts have a blank between them, the others `. `."""
+    get = lambda name: record.get(name, F.lit(None)).cast("string")
+    counts = lambda name, text: F.when(F.coalesce(text != "", F.lit(nan_is_truthy)) if name in record else F.lit(False), F.lit({**QUALITY, **EXTRA}[name]))
+    noted = F.concat_ws(", ", *[counts(n, strip(get(n))) for n in QUALITY])
+    device = strip(get("device"))
+    age, sex = record.get("age", F.lit(None)).cast("double"), record.get("sex", F.lit(None)).cast("double")
+    parts = F.array_compact(
+        F.array(
+            F.when(age.isNotNull() & ~F.isnan(age), F.concat(age.cast("long").cast("string"), F.lit("-year-old"))),
+            F.when(sex.isNotNull() & ~F.isnan(sex), F.when(sex == 1, "male patient").otherwise("female patient")),
+            F.lit(LEAD_TEXT),
+            F.when(get("recording_date").isNotNull(), DATED),
+            F.when((device != "") & (device != "nan"), F.concat(F.lit("recorded with "), device)),
+            F.concat(F.lit("Signal quality: "), F.when(noted != "", noted).otherwise(ADEQUATE)),
+            *[counts(n, get(n)) for n in EXTRA],
+        )
     )
+    sentence = F.concat(F.array_join(F.slice(parts, 1, 2), " "), F.lit(". "), F.array_join(F.slice(parts, 3, 99), ". "), F.lit("."))
+    return sentence if found is None else F.when(found, sentence).otherwise(NO_RECORD)

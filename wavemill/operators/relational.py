@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..folders import checkpointed
 from ..functions.labels import strip
 
 
@@ -90,9 +91,12 @@ def not_done(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def round_robin(samples: DataFrame, id_: str, reviewers: int, reviews: int, seed: int) -> DataFrame:
-    """Each sample gets `reviews` different reviewers, loads as even as the hashed order is."""
-    slot = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_).cast("string"))), 1, 8), 16, 10).cast("long")
-    return samples.select(id_, slot.alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(reviews - 1))).alias("round")).select(id_, "round", F.pmod(F.col("slot") + F.col("round"), F.lit(reviewers)).cast("int").alias("reviewer"))
+    """The sample at place q of the shuffled order goes to reviewers q, q + 1, ... (mod `reviewers`), so loads differ by `reviews` at most."""
+    if not 0 < reviews <= reviewers:
+        raise ValueError(f"{reviews} different reviewers of {reviewers} for each sample")
+    ranked = _ranks(samples.select(id_), id_, seed, [])
+    rounds = ranked.select(id_, "rn", F.explode(F.sequence(F.lit(0), F.lit(reviews - 1))).alias("round"))
+    return rounds.select(id_, "round", F.pmod(F.col("rn") - 1 + F.col("round"), F.lit(reviewers)).cast("int").alias("reviewer"))
 
 
 def grid(*frames: DataFrame) -> DataFrame:
@@ -109,11 +113,13 @@ def entity_windows(df: DataFrame, entity: str, ts: str, seconds: float) -> DataF
 
 
 def window_majority(df: DataFrame, entity: str, label: str, least: float = 0.5) -> DataFrame:
-    """Each window's most frequent label (ties: the smallest), if it has at least that share.
+    """Each window's most frequent label (ties: the smallest), if it has at least that share of all rows.
 
-    Rows are counted before anything is ranked, so a window sends its distinct labels only."""
+    Rows without a label can't win, but count in the total. Rows are counted before anything is ranked, so a
+    window sends its distinct labels only."""
     counts = df.groupBy(entity, "window_id", label).agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy(entity, "window_id").agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("k"), F.col(label).alias("label"))).alias("best"))
+    candidate = F.when(F.col(label).isNotNull(), F.struct((-F.col("n")).alias("k"), F.col(label).alias("label")))
+    best = counts.groupBy(entity, "window_id").agg(F.sum("n").alias("total"), F.min(candidate).alias("best"))
     return best.select(entity, "window_id", F.col("best.label").alias("label"), (-F.col("best.k")).alias("n"), "total").where(F.col("n") >= least * F.col("total"))
 
 
@@ -123,20 +129,37 @@ def window_series(df: DataFrame, entity: str, order: list[str], value: str) -> D
 
 
 def interpolated(df: DataFrame, entity: str | None, order: list[str], value: str) -> DataFrame:
-    """Linear by row position; leading gaps stay, trailing ones carry the last value. NaN counts as missing.
-
-    The next known value is the last one in reversed order, so both windows are running ones. An entity is
-    one series, which one task must run through; without an entity that is the whole table."""
-    keys = [entity] if entity else []
-    w = W.partitionBy(*keys).orderBy(*order)
-    v = F.nanvl(F.col(value), F.lit(None))
-    at = df.withColumn("_i", F.row_number().over(w)).withColumn("_v", v)
-    known = F.when(F.col("_v").isNotNull(), F.struct(F.col("_i").alias("i"), F.col("_v").alias("v")))
-    running = lambda i: F.last(known, True).over(W.partitionBy(*keys).orderBy(i).rowsBetween(W.unboundedPreceding, 0))
-    both = at.withColumn("_b", running(F.col("_i"))).withColumn("_a", running(F.col("_i").desc()))
+    """Linear by row position; leading gaps stay, trailing ones carry the last value. NaN counts as missing.
+
+    Without an entity the whole table is one series. No task runs through a whole series: a range
+    partitioning cuts it into parts, in each of which rows get their places and the known values next to them. Of a
+    part one row goes on: how many rows it has, its first and its last known value. A scan over these few says
+    what each part needs from before and after it. `order` should tell rows apart."""
+    keys = [*([entity] if entity else []), *order]
+    series = F.col(entity) if entity else F.lit(0)
+    marked = df.repartitionByRange(*keys).select("*", series.alias("_series"), F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_v"), F.spark_partition_id().alias("_part"))
+    cut = checkpointed(marked)  # so that parts stay as they are
+
+    part = W.partitionBy("_series", "_part")
+    point = lambda i: F.when(F.col("_v").isNotNull(), F.struct(i.alias("i"), F.col("_v").alias("v")))
+    upto = lambda w, end: w.rowsBetween(W.unboundedPreceding, end)
+    at = cut.withColumn("_i", F.row_number().over(part.orderBy(*order))).withColumn("_known", point(F.col("_i").cast("long")))
+    at = at.withColumn("_b", F.last("_known", True).over(upto(part.orderBy("_i"), 0))).withColumn("_a", F.last("_known", True).over(upto(part.orderBy(F.desc("_i")), 0)))
+
+    # Parts are few. The next known value is the last one in reversed order, so both scans are running ones.
+    parts = at.groupBy("_series", "_part").agg(F.count(F.lit(1)).alias("n"), F.min("_known").alias("first"), F.max("_known").alias("last"))
+    whole = W.partitionBy("_series")
+    parts = parts.withColumn("_from", F.coalesce(F.sum("n").over(upto(whole.orderBy("_part"), -1)), F.lit(0)))
+    shifted = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(f"{c}.i") + F.col("_from")).alias("i"), F.col(f"{c}.v").alias("v")))
+    parts = parts.withColumn("first", shifted("first")).withColumn("last", shifted("last"))
+    carried = parts.select("_series", "_part", "_from", F.last("last", True).over(upto(whole.orderBy("_part"), -1)).alias("_before"), F.last("first", True).over(upto(whole.orderBy(F.desc("_part")), -1)).alias("_after"))
+
+    both = at.join(carried, (at["_series"].eqNullSafe(carried["_series"])) & (at["_part"] == carried["_part"]))
+    i, b, a = F.col("_i") + F.col("_from"), F.coalesce(shifted("_b"), "_before"), F.coalesce(shifted("_a"), "_after")
+    both = both.withColumns({"_i": i, "_b": b, "_a": a})
     share = (F.col("_i") - F.col("_b.i")) / (F.col("_a.i") - F.col("_b.i"))
-    filled = F.coalesce("_v", F.when(F.col("_a").isNull(), F.col("_b.v")).otherwise(F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * share))
-    return both.withColumn(value, filled).drop("_i", "_v", "_b", "_a")
+    filled = F.coalesce(at["_v"], F.when(F.col("_a").isNull(), F.col("_b.v")).otherwise(F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * share))
+    return both.select(*[filled.alias(c) if c == value else at[c] for c in df.columns])
 
 
 def first_per_group(df: DataFrame, group: str, order: list[str], n: int, complete: bool = False) -> DataFrame:

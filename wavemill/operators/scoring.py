@@ -3,10 +3,22 @@
 from __future__ import annotations
 
 import inspect
-from collections.abc import Callable
-
+import pickle
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import Any, Protocol
+
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..functions.labels import normalize_label
+from ..functions.series import bound
 
 
 def share_table(df: DataFrame, label: str) -> DataFrame:
@@ -33,12 +45,19 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
+def answer_pairs(df: DataFrame, pred: str, gold: str, by: list[str] | None = None) -> DataFrame:
+    """How often each prediction (`p`) meets each gold answer (`g`): all that counts by class need."""
+    return df.groupBy(*(by or []), F.col(pred).alias("p"), F.col(gold).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def class_counts(df: DataFrame, pred: str, gold: str, by: list[str] | None = None) -> DataFrame:
     """Tp, fp, fn for every class that occurs as prediction or gold. Pairs are counted first, so each
     distinct pair becomes two rows."""
-    by = by or []
-    pairs = df.groupBy(*by, F.col(pred).alias("p"), F.col(gold).alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    same, zero = F.col("p") == F.col("g"), F.lit(0).cast("long")
+    return _counts_of_pairs(answer_pairs(df, pred, gold, by), by or [])
+
+
+def _counts_of_pairs(pairs: DataFrame, by: list[str]) -> DataFrame:
+    same, zero = F.col("p").eqNullSafe(F.col("g")), F.lit(0).cast("long")
     gold_row = F.struct(F.col("g").alias("class"), F.when(same, F.col("n")).otherwise(zero).alias("tp"), zero.alias("fp"), F.when(same, zero).otherwise(F.col("n")).alias("fn"))
     pred_row = F.struct(F.col("p").alias("class"), zero.alias("tp"), F.when(same, zero).otherwise(F.col("n")).alias("fp"), zero.alias("fn"))
     long = pairs.select(*by, F.inline(F.array(gold_row, pred_row)))
@@ -53,11 +72,17 @@ def with_f1(counts: DataFrame) -> DataFrame:
 
 
 def closed_counts(df: DataFrame, pred: str, gold: str, labels: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Classes are those of `labels` (by + class) and gold ones; a prediction outside is only a miss of its gold."""
+    """Classes are those of `labels` (by + class) and the gold ones. A prediction that isn't in `labels` is a
+    miss of its gold class only, also where another row has it as gold."""
     by = by or []
-    seen = df.select(*by, F.col(gold).alias("class")).distinct()
-    classes = labels.select(*by, "class").unionByName(seen).distinct()
-    return classes.join(class_counts(df, pred, gold, by), [*by, "class"], "left").na.fill(0, ["tp", "fp", "fn"])
+    return _closed(_counts_of_pairs(answer_pairs(df, pred, gold, by), by), labels, by)
+
+
+def _closed(counts: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:
+    known = labels.select(*by, "class").distinct().withColumn("_known", F.lit(True))
+    both = counts.join(known, [*by, "class"], "full").na.fill(0, ["tp", "fp", "fn"])
+    fp = F.when(F.col("_known"), F.col("fp")).otherwise(F.lit(0).cast("long"))
+    return both.where("_known OR tp + fn > 0").select(*by, "class", "tp", fp.alias("fp"), "fn")
 
 
 def supported_counts(df: DataFrame, pred: str, gold: str, by: list[str] | None = None) -> DataFrame:
@@ -72,21 +97,29 @@ def macro_f1(scored: DataFrame) -> DataFrame:
 
 def template_f1(df: DataFrame, pred: str, gold: str, template: str, labels: DataFrame) -> DataFrame:
     """Per template and, as the line with a null template, over all: macro F1 unweighted and weighted by rows,
-    accuracy over rows and over templates."""
-    scored = with_f1(closed_counts(df, pred, gold, labels, [template])).groupBy(template).agg(F.avg("f1").alias("macro_f1"))
-    sizes = df.groupBy(template).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col(pred) == F.col(gold)).cast("long")).alias("correct"))
-    per = scored.join(sizes, template).withColumn("accuracy", F.col("correct") / F.col("n"))
+    accuracy over rows and over templates.
+
+    `labels` (template, class) are the allowed answers. A template's classes are these and no others. Rows whose
+    gold answer isn't allowed count in no class, but in n and in the accuracies. A template without allowed
+    answers is an error. Rows are counted by (template, prediction, gold) once; all else works on these counts."""
+    labels = labels.select(template, "class")
+    pairs = answer_pairs(df, pred, gold, [template])
+    judged = pairs.join(labels.withColumnRenamed("class", "g").distinct(), [template, "g"], "left_semi").select(template, "p", "g", "n")
+    scored = with_f1(_closed(_counts_of_pairs(judged, [template]), labels, [template])).groupBy(template).agg(F.avg("f1").alias("macro_f1"))
+    sizes = pairs.groupBy(template).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("p") == F.col("g"), F.col("n")).otherwise(0)).alias("correct"))
+    without = F.raise_error(F.format_string("template %s has no allowed answers", F.col(template).cast("string"))).cast("double")
+    per = sizes.join(scored, template, "left").withColumn("macro_f1", F.coalesce("macro_f1", without)).withColumn("accuracy", F.col("correct") / F.col("n"))
     return per.groupingSets([[template], []], template).agg(
         F.sum("n").alias("n"), F.avg("macro_f1").alias("macro_f1"), (F.sum(F.col("macro_f1") * F.col("n")) / F.sum("n")).alias("weighted_f1"), (F.sum("correct") / F.sum("n")).alias("accuracy"), F.avg("accuracy").alias("template_accuracy")
     )
 
 
 def token_overlap(pred: Column, gold: Column) -> Column:
-    """Precision, recall and F1 of the multisets of tokens; both empty is 1, one empty is 0.
+    """Precision, recall and F1 of the multisets of tokens of normalised answers (F01); both empty is 1, one empty is 0.
 
-    Both multisets are sorted as one; a pass over it pairs each gold token with an unpaired equal one before it."""
-    tokens = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    p, g = tokens(pred), tokens(gold)
+    Both multisets are sorted as one; a pass over it pairs each gold token with an unpaired equal one before
+    it. What is named more than once is bound, so that it is evaluated once."""
+    tokens = lambda c: F.filter(F.split(normalize_label(c), r"\s+"), lambda w: w != "")
     sided = lambda xs, side: F.transform(xs, lambda w: F.struct(w.alias("w"), F.lit(side).alias("side")))
     start = F.struct(F.lit("").alias("w"), F.lit(0).alias("open"), F.lit(0).alias("shared"))
 
@@ -95,11 +128,13 @@ def token_overlap(pred: Column, gold: Column) -> Column:
         pairs = (x["side"] == 1) & (left > 0)
         return F.struct(x["w"].alias("w"), F.when(x["side"] == 0, left + 1).when(pairs, left - 1).otherwise(left).alias("open"), (s["shared"] + pairs.cast("int")).alias("shared"))
 
-    shared = F.aggregate(F.array_sort(F.concat(sided(p, 0), sided(g, 1))), start, step)["shared"]
-    empty = (F.size(p) == 0) | (F.size(g) == 0)
-    both = (F.size(p) == 0) & (F.size(g) == 0)
-    fix = lambda c: F.when(both, 1.0).when(empty | (shared == 0), 0.0).otherwise(c)
-    return F.struct(fix(shared / F.size(p)).alias("precision"), fix(shared / F.size(g)).alias("recall"), fix(2.0 * shared / (F.size(p) + F.size(g))).alias("f1"))
+    def scores(n: Column) -> Column:
+        p, g, shared = n["p"], n["g"], n["shared"]
+        fix = lambda c: F.when((p == 0) & (g == 0), 1.0).when(shared == 0, 0.0).otherwise(c)
+        return F.struct(fix(shared / p).alias("precision"), fix(shared / g).alias("recall"), fix(2.0 * shared / (p + g)).alias("f1"))
+
+    counted = lambda t: F.struct(F.size(t["p"]).alias("p"), F.size(t["g"]).alias("g"), F.aggregate(F.array_sort(F.concat(sided(t["p"], 0), sided(t["g"], 1))), start, step)["shared"].alias("shared"))
+    return bound(F.struct(tokens(pred).alias("p"), tokens(gold).alias("g")), lambda t: bound(counted(t), scores))
 
 
 def confusion(df: DataFrame, gold: str, pred: str, labels: list[str]) -> DataFrame:
@@ -145,6 +180,36 @@ def agreement(pairs: DataFrame, by: list[str], blank_counts: bool = True) -> Dat
     return kept.rollup(*by).agg(F.count(F.lit(1)).alias("pairs"), F.sum(same).alias("agreed"), (100.0 * F.avg(same)).alias("percent"))
 
 
+def _answered(df: DataFrame, answer: str, blank_counts: bool) -> DataFrame:
+    return df.where(F.col(answer).isNotNull() if blank_counts else (F.col(answer).isNotNull() & (F.col(answer) != "")))
+
+
+def agreement_from_counts(df: DataFrame, sample: str, reviewer: str, answer: str, by: list[str], blank_counts: bool = True) -> DataFrame:
+    """A26, J07 without pairs: what `agreement` says of the pairs of different reviewers inside each sample and `by`.
+
+    n equal answers are n (n - 1) / 2 agreeing pairs, less those of one reviewer with themselves; likewise
+    for all pairs. So a sample costs its distinct answers of each reviewer, which are combined before the shuffle."""
+    two = lambda n: (n * (n - 1) / 2).cast("long")
+    own = _answered(df, answer, blank_counts).groupBy(*by, sample, reviewer, answer).agg(F.count(F.lit(1)).alias("n"))
+    by_answer = own.groupBy(*by, sample, answer).agg(F.sum("n").alias("n"), F.sum(two(F.col("n"))).alias("self"))
+    by_reviewer = own.groupBy(*by, sample, reviewer).agg(F.sum("n").alias("n"))
+    agreed = by_answer.groupBy(*by, sample).agg(F.sum(two(F.col("n")) - F.col("self")).alias("agreed"))
+    pairs = by_reviewer.groupBy(*by, sample).agg((two(F.sum("n")) - F.sum(two(F.col("n")))).alias("pairs"))
+    zero, keys = F.lit(0).cast("long"), [*by, sample]
+    each = agreed.select(*keys, "agreed", zero.alias("pairs")).unionByName(pairs.select(*keys, zero.alias("agreed"), "pairs"))
+    out = each.rollup(*by).agg(F.sum("pairs").alias("pairs"), F.sum("agreed").alias("agreed"))
+    return out.where("pairs > 0").select(*by, "pairs", "agreed", (100.0 * F.col("agreed") / F.col("pairs")).alias("percent"))
+
+
+def agreement_by_reviewer(df: DataFrame, sample: str, reviewer: str, answer: str, blank_counts: bool = True) -> DataFrame:
+    """A26 by the reviewer of smaller name in a pair (`first`), without pairs: a review meets as many later reviewers
+    as come before it in descending order, and agrees with those of its own answer."""
+    rows = _answered(df, answer, blank_counts).select(sample, F.col(reviewer).alias("first"), F.col(answer).alias("_answer"))
+    ahead = lambda *keys: F.rank().over(W.partitionBy(*keys).orderBy(F.desc("first"))) - 1
+    each = rows.withColumn("pairs", ahead(sample).cast("long")).withColumn("agreed", ahead(sample, "_answer").cast("long")).where("pairs > 0")
+    return each.rollup("first").agg(F.sum("pairs").alias("pairs"), F.sum("agreed").alias("agreed")).select("first", "pairs", "agreed", (100.0 * F.col("agreed") / F.col("pairs")).alias("percent"))
+
+
 def disagreements(pairs: DataFrame) -> DataFrame:
     """How often each unordered pair of different answers occurs."""
     a, b = F.col("first_answer"), F.col("second_answer")
@@ -184,6 +249,71 @@ def corpus_scores(df: DataFrame, scorer: Callable[[Column, Column], dict[str, Co
     return df.groupBy(*(by or [])).agg(*[v.alias(k) for k, v in scorer(F.col(pred), F.col(gold)).items()])
 
 
+class CorpusScorer(Protocol):
+    """X04 where aggregates can't say it: a state that batches are added to and that merges with others.
+
+    A state should stay small (counts by class, a sketch), as it is what moves; it is pickled."""
+
+    def start(self) -> Any: ...
+
+    def add(self, state: Any, predictions: list, gold: list) -> Any: ...
+
+    def merge(self, state: Any, other: Any) -> Any: ...
+
+    def finish(self, state: Any) -> dict[str, float]: ...
+
+
+#: States that one step of the tree merges, its steps, and groups of which a task holds states at once.
+FAN_IN, LEVELS, HELD_GROUPS = 16, 3, 10_000
+
+
+def merged_scores(df: DataFrame, scorer: CorpusScorer, pred: str, gold: str, metrics: list[str], by: list[str] | None = None) -> DataFrame:
+    """`metrics` of a scorer's result, of all rows or of each group.
+
+    Tasks add up what they read, Arrow batch by batch, into one state for each group. A tree merges these:
+    each step takes the states of FAN_IN neighbouring tasks, so no task meets a whole group's rows, nor
+    all of its states until few are left."""
+    by = by or []
+    keys = T.StructType([df.schema[c] for c in by])
+    kind = T.StructType([*keys.fields, T.StructField("_slot", T.IntegerType()), T.StructField("_state", T.BinaryType())])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[tuple, Any] = {}
+        slot = TaskContext.get().partitionId() % FAN_IN**LEVELS
+
+        def flushed() -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k in states], to_arrow_type(f.dataType)) for i, f in enumerate(keys.fields)]
+            columns += [pa.array([slot] * len(states), pa.int32()), pa.array([pickle.dumps(s) for s in states.values()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=[f.name for f in kind.fields])
+
+        for batch in batches:
+            of_group: dict[tuple, tuple[list, list]] = {}
+            for *key, p, g in zip(*(batch[c].to_pylist() for c in (*by, "_pred", "_gold")), strict=True):
+                ps, gs = of_group.setdefault(tuple(key), ([], []))
+                ps.append(p)
+                gs.append(g)
+            for key, (ps, gs) in of_group.items():
+                states[key] = scorer.add(states[key] if key in states else scorer.start(), ps, gs)
+            if len(states) > HELD_GROUPS:
+                yield flushed()
+                states.clear()
+        yield flushed()
+
+    def merged(group: pd.DataFrame) -> pd.DataFrame:
+        state = reduce(scorer.merge, (pickle.loads(bytes(s)) for s in group["_state"]))
+        return group.iloc[:1].assign(_state=pickle.dumps(state))
+
+    def finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [scorer.finish(pickle.loads(bytes(s))) for s in b["_state"]]
+            yield b[by].assign(**{m: pd.Series([x[m] for x in found], index=b.index, dtype="float64") for m in metrics})
+
+    states = df.select(*by, F.col(pred).alias("_pred"), F.col(gold).alias("_gold")).mapInArrow(added, kind)
+    for _ in range(LEVELS):
+        states = states.withColumn("_slot", F.expr(f"_slot div {FAN_IN}").cast("int")).groupBy(*by, "_slot").applyInPandas(merged, kind)
+    return states.mapInPandas(finished, T.StructType([*keys.fields, *[T.StructField(m, T.DoubleType()) for m in metrics]]))
+
+
 def reviewer_rates(df: DataFrame, reviewer: str, answers: list[str], completed: Column, positive: str = "Yes") -> DataFrame:
     """Of each reviewer's completed forms their number and, by question, the percent of positive answers."""
     rate = lambda c: (100.0 * F.avg(F.coalesce(F.col(c) == positive, F.lit(False)).cast("int"))).alias(f"{c}_positive_rate")

@@ -233,7 +233,7 @@ def _(t):
     return t.part.select("p_partkey", F.array_contains(F.array(F.lit("small"), F.lit("large")), L.strip(F.lower(F.split("p_type", " ")[0]))).alias("known"))
 
 
-@query("j12_round_robin", "SELECT o_orderkey, r.range::INT AS round, ((('0x' || left(md5('42|' || o_orderkey), 8))::BIGINT + r.range) % 5)::INT AS reviewer FROM orders, range(2) r")
+@query("j12_round_robin", "SELECT o_orderkey, r.range::INT AS round, ((q + r.range) % 5)::INT AS reviewer FROM (SELECT o_orderkey, row_number() OVER (ORDER BY md5('42|' || o_orderkey), o_orderkey) - 1 AS q FROM orders), range(2) r")
 def _(t):
     return R.round_robin(t.orders, "o_orderkey", 5, 2, 42)
 
@@ -281,9 +281,16 @@ def _(t):
     return C.class_counts(_predictions(t), "pred", "gold")
 
 
-@query("a09_closed_vocabulary", f"SELECT v.class, coalesce(tp, 0)::BIGINT AS tp, coalesce(fp, 0)::BIGINT AS fp, coalesce(fn, 0)::BIGINT AS fn FROM (SELECT unnest(['A', 'N', 'R', 'Z']) AS class) v LEFT JOIN {COUNTS} c ON v.class = c.class")
+_OPEN = ["A", "N", "Z"]  # R is a gold answer and a prediction, but not allowed
+
+
+@query(
+    "a09_closed_vocabulary",
+    f"""SELECT class, coalesce(sum((gold = class AND pred = gold)::INT), 0)::BIGINT AS tp, coalesce(sum((pred = class AND pred <> gold AND class IN {tuple(_OPEN)})::INT), 0)::BIGINT AS fp, coalesce(sum((gold = class AND pred <> gold)::INT), 0)::BIGINT AS fn
+FROM (SELECT unnest({_OPEN}) AS class UNION SELECT DISTINCT gold FROM {PREDICTIONS}) c LEFT JOIN {PREDICTIONS} p ON p.gold = c.class OR p.pred = c.class GROUP BY class""",
+)
 def _(t):
-    return C.closed_counts(_predictions(t), "pred", "gold", t._spark.createDataFrame([(x,) for x in "ANRZ"], "class string"))
+    return C.closed_counts(_predictions(t), "pred", "gold", t._spark.createDataFrame([(x,) for x in _OPEN], "class string"))
 
 
 @query("a10_supported_gold", f"SELECT class, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn FROM {COUNTS} WHERE tp + fn > 0")
@@ -301,22 +308,24 @@ def _(t):
     return C.macro_f1(C.with_f1(C.supported_counts(_predictions(t), "pred", "gold")))
 
 
-TEMPLATE_COUNTS = f"""(SELECT v.template, v.class, coalesce(sum(tp), 0) AS tp, coalesce(sum(fp), 0) AS fp, coalesce(sum(fn), 0) AS fn
-  FROM (SELECT DISTINCT template, unnest(['A', 'N', 'R']) AS class FROM {PREDICTIONS}) v LEFT JOIN (
-  SELECT template, gold AS class, (pred = gold)::INT AS tp, 0 AS fp, (pred <> gold)::INT AS fn FROM {PREDICTIONS}
-  UNION ALL SELECT template, pred, 0, (pred <> gold)::INT, 0 FROM {PREDICTIONS}) c USING (template, class) GROUP BY 1, 2)"""
+# Allowed answers: R only of templates 0, 1 and 2, so others have gold answers and predictions that aren't allowed; Z never occurs.
+ALLOWED = f"(SELECT DISTINCT template, class FROM {PREDICTIONS}, (SELECT unnest(['A', 'N', 'R', 'Z']) AS class) WHERE class <> 'R' OR template < 3)"
 
 
 @query(
     "a14_template_f1",
-    f"""WITH f AS (SELECT template, avg({F1}) AS macro_f1 FROM {TEMPLATE_COUNTS} GROUP BY template),
+    f"""WITH kept AS (SELECT p.* FROM {PREDICTIONS} p WHERE EXISTS (SELECT 1 FROM {ALLOWED} a WHERE a.template = p.template AND a.class = p.gold)),
+c AS (SELECT a.template, a.class, coalesce(sum((k.gold = a.class AND k.pred = k.gold)::INT), 0) AS tp, coalesce(sum((k.pred = a.class AND k.pred <> k.gold)::INT), 0) AS fp, coalesce(sum((k.gold = a.class AND k.pred <> k.gold)::INT), 0) AS fn
+  FROM {ALLOWED} a LEFT JOIN kept k ON k.template = a.template AND (k.gold = a.class OR k.pred = a.class) GROUP BY 1, 2),
+f AS (SELECT template, avg({F1}) AS macro_f1 FROM c GROUP BY template),
 s AS (SELECT template, count(*) AS n, sum((pred = gold)::INT) AS correct FROM {PREDICTIONS} GROUP BY template)
 SELECT template, sum(n)::BIGINT AS n, avg(macro_f1)::DOUBLE AS macro_f1, (sum(macro_f1 * n) / sum(n))::DOUBLE AS weighted_f1, (sum(correct) / sum(n))::DOUBLE AS accuracy, avg(correct / n)::DOUBLE AS template_accuracy
 FROM f JOIN s USING (template) GROUP BY GROUPING SETS ((template), ())""",
 )
 def _(t):
     p = _predictions(t)
-    labels = p.select("template").distinct().crossJoin(t._spark.createDataFrame([(x,) for x in "ANR"], "class string"))
+    classes = t._spark.createDataFrame([(x,) for x in "ANRZ"], "class string")
+    labels = p.select("template").distinct().crossJoin(classes).where("class <> 'R' OR template < 3")  # four classes
     return C.template_f1(p, "pred", "gold", "template", labels)
 
 
@@ -325,9 +334,13 @@ def _(t):
     return C.accuracy(_predictions(t), "pred", "gold", ["template"])
 
 
+def _normal(c: str) -> str:
+    return f"rtrim(trim(lower({c}), {_BLANKS}), '.,!?;:')"
+
+
 @query(
     "a16_token_overlap",
-    """WITH w AS (SELECT a.conv_id, a.turn, list_filter(string_split_regex(lower(a.text), '\\s+'), lambda x: x <> '') AS p, list_filter(string_split_regex(lower(b.text), '\\s+'), lambda x: x <> '') AS g FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+    f"""WITH w AS (SELECT a.conv_id, a.turn, list_filter(string_split_regex({_normal("a.text")}, '\\s+'), lambda x: x <> '') AS p, list_filter(string_split_regex({_normal("b.text")}, '\\s+'), lambda x: x <> '') AS g FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
 s AS (SELECT *, coalesce(list_sum(list_transform(list_intersect(p, g), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(g, lambda y: y = x))))), 0) AS shared FROM w)
 SELECT conv_id, turn, CASE WHEN len(p) + len(g) = 0 THEN 1.0 WHEN shared = 0 THEN 0.0 ELSE shared / len(p) END::DOUBLE AS precision, CASE WHEN len(p) + len(g) = 0 THEN 1.0 WHEN shared = 0 THEN 0.0 ELSE shared / len(g) END::DOUBLE AS recall, CASE WHEN len(p) + len(g) = 0 THEN 1.0 WHEN shared = 0 THEN 0.0 ELSE 2.0 * shared / (len(p) + len(g)) END::DOUBLE AS f1 FROM s""",
 )
@@ -390,7 +403,19 @@ def _(t):
     "SELECT a.l_linenumber AS first, count(*) AS pairs, sum((a.l_returnflag = b.l_returnflag)::INT)::BIGINT AS agreed, 100.0 * avg((a.l_returnflag = b.l_returnflag)::INT) AS percent FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber GROUP BY ROLLUP (a.l_linenumber)",
 )
 def _(t):
-    return C.agreement(R.reviewer_pairs(t.lineitem, "l_orderkey", "l_linenumber", "l_returnflag"), ["first"])
+    return C.agreement_by_reviewer(t.lineitem, "l_orderkey", "l_linenumber", "l_returnflag")
+
+
+@query(
+    "a26_agreement_by_question",
+    """WITH q AS (SELECT l_orderkey % 50 AS sample, l_suppkey % 3 AS question, l_linenumber AS reviewer, nullif(CASE WHEN l_partkey % 4 = 0 THEN '' ELSE l_returnflag END, 'A') AS answer FROM lineitem WHERE l_orderkey % 5 < 4 OR l_linenumber < 3)
+SELECT a.question, count(*) AS pairs, sum((a.answer = b.answer)::INT)::BIGINT AS agreed, 100.0 * avg((a.answer = b.answer)::INT) AS percent FROM q a JOIN q b ON a.sample = b.sample AND a.question = b.question AND a.reviewer < b.reviewer WHERE a.answer IS NOT NULL AND b.answer IS NOT NULL GROUP BY ROLLUP (a.question)""",
+)
+def _(t):
+    """Reviewers answer a sample's question often; some answers are blank, some are missing."""
+    answer = F.when(F.col("l_partkey") % 4 == 0, "").when(F.col("l_returnflag") != "A", F.col("l_returnflag"))
+    rows = t.lineitem.where("l_orderkey % 5 < 4 OR l_linenumber < 3").select((F.col("l_orderkey") % 50).alias("sample"), (F.col("l_suppkey") % 3).alias("question"), F.col("l_linenumber").alias("reviewer"), answer.alias("answer"))
+    return C.agreement_from_counts(rows, "sample", "reviewer", "answer", ["question"])
 
 
 @query(
@@ -455,9 +480,16 @@ def _(t):
     return R.entity_windows(t.events, "user_id", "ts", 3600).groupBy("user_id", "window_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-@query("w02_window_majority", f"SELECT user_id, window_id, event_type AS label, n, total::BIGINT AS total FROM (SELECT user_id, window_id, event_type, count(*) AS n, sum(count(*)) OVER (PARTITION BY user_id, window_id) AS total, row_number() OVER (PARTITION BY user_id, window_id ORDER BY count(*) DESC, event_type) AS rn FROM {_WINDOW} GROUP BY user_id, window_id, event_type) WHERE rn = 1 AND n >= 0.5 * total")
+_NAMED = f"(SELECT user_id, window_id, CASE WHEN event_id % 3 <> 0 THEN event_type END AS label FROM {_WINDOW})"
+
+
+@query("w02_window_majority", f"""WITH n AS (SELECT user_id, window_id, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY user_id, window_id) AS total FROM {_NAMED} GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, window_id ORDER BY n DESC, label) AS rn FROM n WHERE label IS NOT NULL)
+SELECT user_id, window_id, label, n, total::BIGINT AS total FROM r WHERE rn = 1 AND n >= 0.5 * total""")
 def _(t):
-    return R.window_majority(R.entity_windows(t.events, "user_id", "ts", 3600), "user_id", "event_type")
+    """A third of the rows has no label."""
+    rows = R.entity_windows(t.events, "user_id", "ts", 3600).withColumn("label", F.when(F.col("event_id") % 3 != 0, F.col("event_type")))
+    return R.window_majority(rows, "user_id", "label")
 
 
 @query("w03_window_series", f"SELECT user_id, window_id, len(s) AS n, s[1] AS first, s[-1] AS last FROM (SELECT user_id, window_id, list(value ORDER BY ts, event_id) AS s FROM {_WINDOW} GROUP BY user_id, window_id)")
@@ -477,6 +509,18 @@ def _(t):
     return R.interpolated(gaps, "user_id", ["ts", "event_id"], "value").select("event_id", "value")
 
 
+@query(
+    "w04_interpolated_whole",
+    """WITH e AS (SELECT event_id, row_number() OVER w AS i, CASE WHEN event_id % 7 IN (0, 3) THEN value WHEN event_id % 7 = 1 THEN 'nan'::DOUBLE END AS v FROM events WINDOW w AS (ORDER BY ts, event_id)),
+n AS (SELECT event_id, i, CASE WHEN isnan(v) THEN NULL ELSE v END AS v FROM e),
+k AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN {'i': i, 'v': v} END IGNORE NULLS) OVER (ORDER BY i) AS b, first_value(CASE WHEN v IS NOT NULL THEN {'i': i, 'v': v} END IGNORE NULLS) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM n)
+SELECT event_id, coalesce(v, CASE WHEN a IS NULL THEN b.v ELSE b.v + (a.v - b.v) * (i - b.i) / (a.i - b.i) END) AS value FROM k""",
+)
+def _(t):
+    gaps = t.events.select("event_id", "ts", F.when((F.col("event_id") % 7).isin(0, 3), F.col("value")).when(F.col("event_id") % 7 == 1, float("nan")).alias("value"))
+    return R.interpolated(gaps, None, ["ts", "event_id"], "value").select("event_id", "value")
+
+
 @query("w05_first_of_full_groups", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE rn <= 2 AND n >= 2")
 def _(t):
     return R.first_per_group(t.orders, "o_custkey", ["o_orderkey"], 2, complete=True).select("o_custkey", "o_orderkey")

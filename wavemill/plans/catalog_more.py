@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -89,9 +90,9 @@ def _(t):
 
 
 # Order, splits, sets.
-@query("w10_reviewer_offsets", "SELECT c_custkey, r.range::INT AS round, ((('0x' || left(md5('7|' || c_custkey), 8))::BIGINT + r.range) % 6)::INT AS reviewer FROM customer, range(3) r")
+@query("w10_reviewer_offsets", "SELECT c_custkey, r.range::INT AS round, ((q + r.range) % 6)::INT AS reviewer FROM (SELECT c_custkey, row_number() OVER (ORDER BY md5('7|' || c_custkey), c_custkey) - 1 AS q FROM customer), range(3) r")
 def _(t):
-    return R.round_robin(t.customer, "c_custkey", 6, 3, 7).select("c_custkey", "round", F.col("reviewer").cast("int").alias("reviewer"))
+    return R.round_robin(t.customer, "c_custkey", 6, 3, 7)
 
 
 @query("o01_sorted", "SELECT l_returnflag, l_orderkey, l_linenumber FROM lineitem ORDER BY l_returnflag, l_orderkey DESC, l_linenumber")
@@ -144,11 +145,25 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", L.pair_key(F.col("l_returnflag"), F.col("l_linestatus")).alias("pair"))
 
 
-@query("f16_context", "SELECT p_partkey, concat_ws('. ', 'Age ' || p_size, CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'Sex male' ELSE 'Sex female' END, 'Device ' || p_brand, CASE WHEN p_partkey % 2 = 0 THEN 'Signal notes noise' END) AS context FROM part")
+@query(
+    "f16_context",
+    """WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 4 > 0 THEN p_size + 0.7 END AS age, CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 3 END AS sex, p_partkey % 5 > 1 AS dated, CASE p_partkey % 6 WHEN 0 THEN '  ' WHEN 1 THEN 'nan' WHEN 2 THEN NULL ELSE ' ' || p_brand || ' ' END AS device,
+  p_partkey % 2 = 0 AS drift, p_partkey % 7 = 0 AS burst, p_partkey % 11 = 0 AS beats, p_partkey % 13 = 0 AS pace FROM part),
+l AS (SELECT p_partkey, list_filter([CASE WHEN age IS NOT NULL THEN floor(age)::INT || '-year-old' END, CASE sex WHEN 1 THEN 'male patient' WHEN 2 THEN 'female patient' END, '12-lead ECG', CASE WHEN dated THEN 'clinical recording' END,
+  CASE WHEN trim(device) NOT IN ('', 'nan') THEN 'recorded with ' || trim(device) END,
+  'Signal quality: ' || coalesce(nullif(concat_ws(', ', CASE WHEN drift THEN 'baseline drift noted' END, CASE WHEN burst THEN 'burst noise present' END), ''), 'adequate for analysis'),
+  CASE WHEN beats THEN 'extra beats detected during recording' END, CASE WHEN pace THEN 'pacemaker present' END], lambda x: x IS NOT NULL) AS p FROM r)
+SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN '12-lead ECG recording. Signal quality adequate for analysis.' ELSE p[1] || ' ' || p[2] || '. ' || array_to_string(p[3:], '. ') || '.' END AS context FROM l""",
+)
 def _(t):
-    sex = F.when(F.col("p_partkey") % 3 > 0, F.col("p_partkey") % 3)
-    noise = F.when(F.col("p_partkey") % 2 == 0, "all leads").otherwise(" ")
-    return t.part.select("p_partkey", L.context_sentence(F.col("p_size"), sex, F.col("p_brand"), {"noise": noise}).alias("context"))
+    """Every part is missing in some rows; some records aren't found."""
+    k = lambda n: F.col("p_partkey") % n
+    record = {
+        "age": F.when(k(4) > 0, F.col("p_size") + 0.7), "sex": F.when(k(3) > 0, k(3)), "recording_date": F.when(k(5) > 1, "2024-01-01"),
+        "device": F.when(k(6) == 0, "  ").when(k(6) == 1, "nan").when(k(6) > 2, F.concat(F.lit(" "), F.col("p_brand"), F.lit(" "))),
+        "baseline_drift": F.when(k(2) == 0, "all leads").otherwise(" "), "static_noise": F.lit(""), "burst_noise": F.when(k(7) == 0, "V1"), "extra_beats": F.when(k(11) == 0, "2 ES"), "pacemaker": F.when(k(13) == 0, "yes"),
+    }
+    return t.part.select("p_partkey", L.context_sentence(record, k(17) != 0).alias("context"))
 
 
 @query("f17_answer_of_list", "SELECT p_partkey, string_split(p_type, ' ')[1] AS answer FROM part")
@@ -193,15 +208,45 @@ def _(t):
     return out.select("vec_id", F.col("axis").cast("long").alias("axis"), "s.text", F.col("s.values")[0].alias("first"))
 
 
-@query("f32_digits", "SELECT p_partkey, array_to_string(string_split((p_size * 250)::VARCHAR, ''), ' ') || ' , - 1 5 0 0' AS text FROM part")
+_POWERS = "[1e6, 1e5, 1e4, 1e3, 1e2, 1e1, 1e0, 0.1, 0.01, 0.001]::DOUBLE[]"
+_PRICES = "[l_extendedprice, -l_discount, 0.29, -1.5, l_tax - 0.04, NULL, 'nan'::DOUBLE, 0.0, 1e7]"
+
+
+def _prices() -> Column:
+    return F.array(F.col("l_extendedprice"), -F.col("l_discount"), F.lit(0.29), F.lit(-1.5), F.col("l_tax") - 0.04, F.lit(None).cast("double"), F.lit(float("nan")), F.lit(0.0), F.lit(1e7))
+
+
+def _digits_sql(minus: str, separator: str) -> str:
+    """A number's digits by a fold over the powers, what is left after each digit carried on."""
+    cut = "{'rest': s.rest - trunc(s.rest / e.power) * e.power, 'out': list_append(s.out, trunc(s.rest / e.power)::INT::VARCHAR), 'power': 0.0::DOUBLE}"
+    start = "{'rest': abs(x), 'out': []::VARCHAR[], 'power': 0.0::DOUBLE}"
+    steps = f"list_transform({_POWERS}, lambda p: {{'rest': 0.0::DOUBLE, 'out': []::VARCHAR[], 'power': p}})"
+    out = f"list_reduce(list_prepend({start}, {steps}), lambda s, e: {cut}).out"
+    joined = f"coalesce(nullif(regexp_replace(array_to_string({out}, ' '), '^(0 )*0?( ?)', ''), ''), '0')"
+    one = f"CASE WHEN x IS NULL OR isnan(x) THEN ' Nan' ELSE CASE WHEN x < 0 THEN '{minus}' ELSE '' END || {joined} END || '{separator}'"
+    return f"array_to_string(list_transform({_PRICES}, lambda x: {one}), '')"
+
+
+@query("f32_digits", f"SELECT l_orderkey, l_linenumber, {_digits_sql(' -', ' ,')} AS spaced, {_digits_sql('-', ', ')} AS compact FROM lineitem")
 def _(t):
-    return t.part.select("p_partkey", S.digits(F.array(F.col("p_size") * 0.25, F.lit(-1.5))).alias("text"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", S.digits(_prices()).alias("spaced"), S.digits(_prices(), S.COMPACT).alias("compact"))
+
+
+def _undigits_sql(column: str, minus: str, separator: str) -> str:
+    """Numbers from the text itself: digits of each token added up from the last one on, over their powers of ten."""
+    digits = f"list_reverse(list_filter(string_split(CASE WHEN starts_with(t, '{minus}') THEN substr(t, {len(minus) + 1}) ELSE t END, ' '), lambda d: regexp_full_match(d, '[0-9]+')))"
+    total = f"list_sum(list_prepend(0.0::DOUBLE, list_transform({digits}, lambda d, i: d::DOUBLE / pow(10.0, 3 - (i - 1)))))"
+    return f"list_transform(list_filter(string_split({column}, '{separator}'), lambda t: t <> ''), lambda t: printf('%.4f', (CASE WHEN starts_with(t, '{minus}') THEN -1 ELSE 1 END) * ({total} + 0.0005)))"
 
 
-@query("f33_undigits", "SELECT p_partkey, (p_size * 0.25)::DOUBLE + 0.0005 AS first, -1.5005::DOUBLE AS second FROM part")
+@query(
+    "f33_undigits",
+    f"SELECT l_orderkey, l_linenumber, {_undigits_sql('spaced', ' -', ' ,')}::VARCHAR AS spaced, {_undigits_sql('compact', '-', ', ')}::VARCHAR AS compact FROM (SELECT l_orderkey, l_linenumber, {_digits_sql(' -', ' ,')} AS spaced, {_digits_sql('-', ', ')} AS compact FROM lineitem)",
+)
 def _(t):
-    back = S.undigits(S.digits(F.array(F.col("p_size") * 0.25, F.lit(-1.5))))
-    return t.part.select("p_partkey", back[0].alias("first"), back[1].alias("second"))
+    """Back from the texts of f32, to the half step."""
+    shown = lambda form: F.concat(F.lit("["), F.array_join(F.transform(S.undigits(S.digits(_prices(), form), form), lambda x: F.format_string("%.4f", x)), ", "), F.lit("]"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", shown(S.SPACED).alias("spaced"), shown(S.COMPACT).alias("compact"))
 
 
 @query("f34_guards", "SELECT p_partkey, greatest((p_size % 3) * 1.0, 0.000001)::DOUBLE AS clamped, ceil(p_size / 4.0)::BIGINT AS whole, (p_size // 4)::BIGINT AS part FROM part")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from ..folders import new_folder
@@ -68,6 +71,46 @@ def _(t):
     return C.corpus_scores(_predictions(t), scorer, "pred", "gold", ["template"])
 
 
+class TokenF1:
+    """Macro F1 over the tokens of answers, each token a class: a state of [hits, predicted, gold] by token."""
+
+    def start(self) -> dict[str, list[int]]:
+        return {}
+
+    def add(self, state, predictions, gold):
+        for p, g in zip(predictions, gold, strict=True):
+            a, b = Counter((p or "").split()), Counter((g or "").split())
+            for token in a | b:
+                n = state.setdefault(token, [0, 0, 0])
+                n[0], n[1], n[2] = n[0] + min(a[token], b[token]), n[1] + a[token], n[2] + b[token]
+        return state
+
+    def merge(self, state, other):
+        for token, n in other.items():
+            state[token] = [x + y for x, y in zip(state.get(token, (0, 0, 0)), n, strict=True)]
+        return state
+
+    def finish(self, state):
+        f1 = [2 * hits / (predicted + gold) for hits, predicted, gold in state.values()]
+        return {"macro_f1": math.fsum(f1) / len(f1) if f1 else 0.0, "tokens": float(len(f1))}
+
+
+_ANSWER_TOKENS = "CASE WHEN l_linenumber % 3 = 0 THEN l_linestatus ELSE l_returnflag || ' ' || l_linestatus END"
+
+
+@query(
+    "x04_merged_scores",
+    f"""WITH w AS (SELECT l_suppkey % 7 AS template, l_orderkey, l_linenumber, string_split({_ANSWER_TOKENS}, ' ') AS p, string_split(l_returnflag || ' ' || l_linestatus || ' ' || l_returnflag, ' ') AS g FROM lineitem),
+t AS (SELECT template, l_orderkey, l_linenumber, token, sum(a) AS a, sum(b) AS b FROM (SELECT template, l_orderkey, l_linenumber, unnest(p) AS token, 1 AS a, 0 AS b FROM w UNION ALL SELECT template, l_orderkey, l_linenumber, unnest(g), 0, 1 FROM w) GROUP BY ALL),
+c AS (SELECT template, token, 2.0 * sum(least(a, b)) / (sum(a) + sum(b)) AS f1 FROM t GROUP BY 1, 2)
+SELECT template, avg(f1)::DOUBLE AS macro_f1, count(*)::DOUBLE AS tokens FROM c GROUP BY template""",
+)
+def _(t):
+    pred = F.when(F.col("l_linenumber") % 3 == 0, F.col("l_linestatus")).otherwise(F.concat_ws(" ", "l_returnflag", "l_linestatus"))
+    rows = t.lineitem.select((F.col("l_suppkey") % 7).alias("template"), pred.alias("pred"), F.concat_ws(" ", "l_returnflag", "l_linestatus", "l_returnflag").alias("gold"))
+    return C.merged_scores(rows, TokenF1(), "pred", "gold", ["macro_f1", "tokens"], ["template"])
+
+
 @query("x09_record_rows", "SELECT vec_id, (i // 16)::INT AS lead, i % 16 / 100.0::DOUBLE AS time_seconds, embedding[i + 1]::DOUBLE AS signal FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings)")
 def _(t):
     v = F.col("embedding").cast("array<double>")
