@@ -1,7 +1,9 @@
 """The numbered operators against brute force, round trips and hand-made cases."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,7 +125,7 @@ def test_decontamination_recall_and_share():
     """Of planted passages that are similar to an item, nearly all are within the radius; few windows are looked up."""
     rng = random.Random(12)
     items = [(k, prose(rng, rng.randint(8, 60))) for k in range(3000)]
-    index, hashes = decontaminate.Benchmark(items), WordHashes()
+    index, hashes = decontaminate.Benchmark([t for _, t in items]), WordHashes()
     near = found = 0
     for k, text in items:
         w = text.split()
@@ -136,26 +138,51 @@ def test_decontamination_recall_and_share():
             near += 1
             found += any(m[0] == k for m in index.matches(hashes.of(words(doc))))
     assert near > 1000 and found >= 0.999 * near
-    looked_up = []
-    one = index.by[30]
-    one.near = lambda prints, f=one.near: looked_up.append(len(prints)) or f(prints)
-    index.matches(hashes.of(words(prose(rng, 3600))))
-    assert sum(looked_up) < 36
+
+
+def test_decontamination_of_a_long_contaminated_document():
+    """20,000 items of one length; the document is made of 600 of them. Few pairs of a window and an item are looked at."""
+    rng = random.Random(14)
+    items = [prose(rng, 30) for _ in range(20_000)]
+    index, hashes = decontaminate.Benchmark(items), WordHashes()
+    held = rng.sample(range(20_000), 600)
+    text = " ".join(items[k] for k in held)
+    looked_at, one = [], index.by[30]
+    one.near_pairs = lambda prints, windows, places, f=one.near_pairs: looked_at.append((len(prints), len(windows), len(set(places.tolist())))) or f(prints, windows, places)
+    began = time.process_time()
+    found = index.matches(hashes.of(words(text)))
+    assert time.process_time() - began < 2
+    assert {m[0] for m in found} >= set(held) and all(m[1] == 1.0 and m[4] == 0 for m in found if m[0] in set(held))
+    (windows, pairs, places), = looked_at
+    assert places < 0.05 * len(items) and pairs < 0.01 * windows * len(items)
+    looked_at.clear()
+    assert index.matches(hashes.of(words(prose(rng, 18_000)))) == [] and sum(x[1] for x in looked_at) == 0
+
+
+def test_decontamination_tables_and_pairs_agree():
+    rng = random.Random(15)
+    items = [prose(rng, 30) for _ in range(300)]
+    index = decontaminate.Benchmark(items).by[30]
+    prints = decontaminate.fingerprints(np.stack([decontaminate.signs(s).sum(axis=0) for s in index.items[:40]]))
+    every = np.repeat(np.arange(40), 300), np.tile(np.arange(300), 40)
+    assert sorted(index.near(prints)) == sorted(index.near_pairs(prints, *every))
+    distance = lambda a, b: sum(bin(x ^ y).count("1") for x, y in zip(a.tolist(), b.tolist(), strict=True))
+    assert sorted(index.near(prints)) == sorted((w, i, d) for w in range(40) for i in range(300) if (d := distance(prints[w], index.prints[i])) <= decontaminate.RADIUS)
 
 
 def test_decontamination_in_blocks(spark, corpus):
+    """Ids of other types; each item in a block of its own, which writes its matches before the next is read."""
     rng = random.Random(13)
-    items = [(k, " ".join(corpus[k][1].split()[:25])) for k in (15, 16, 17, 18)] + [(None, prose(rng, 20))]
-    docs = spark.createDataFrame([(r[0], r[1]) for r in corpus], "doc_id long, text string")
-    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("similarity", F.lit("x"))
-    whole = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()}
-    old, decontaminate.BLOCK_CHARS = decontaminate.BLOCK_CHARS, 10
-    try:
-        assert len(list(decontaminate.blocks(bench, 10))) == 5
-        parts = [decontaminate.find_leaks(docs, spark.createDataFrame(items[k : k + 1], "item_id long, text string")) for k in range(5)]
-        assert {(r["doc_id"], r["item_id"]) for p in parts for r in p.collect()} == whole == decontaminate.brute_force([(r[0], r[1]) for r in corpus], items)
-    finally:
-        decontaminate.BLOCK_CHARS = old
+    items = [(f"i{k}", " ".join(corpus[k][1].split()[:25])) for k in (15, 16, 17, 18)] + [(None, prose(rng, 20))]
+    docs = spark.createDataFrame([(f"d{r[0]}" if r[0] else None, r[1]) for r in corpus], "doc_id string, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string").withColumn("similarity", F.lit("x"))
+    assert len(list(decontaminate.blocks(bench, 10))) == 5
+    wanted = {(f"d{d}" if d else None, i) for d, i in decontaminate.brute_force([(r[0], r[1]) for r in corpus], items)}
+    assert len(wanted) == 4
+    for chars in (10, 150, 10_000):
+        found = decontaminate.find_leaks(docs, bench, block_chars=chars)
+        assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == wanted
+        assert [f.dataType.simpleString() for f in found.schema] == ["string", "string", "double", "bigint", "bigint", "int"]
 
 
 def test_jaccard(spark, docs, corpus):

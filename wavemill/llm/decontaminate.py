@@ -6,9 +6,10 @@ multi-index of BLOCKS blocks of 16 bits, each a sorted table of block values. Tw
 differ in RADIUS bits at most differ in some block by no more than that block's part of the radius
 (the parts plus one add up to RADIUS + 1), so looking up all block values that near finds every item
 within the radius. Candidates are verified by weighted Jaccard similarity: shingles count as often as
-they occur. Only windows that can reach the similarity are fingerprinted: two multisets of a and b
-shingles share SIMILARITY / (1 + SIMILARITY) * (a + b) at least, so a window with fewer shingles of the
-benchmark is out.
+they occur. Before that, shingles in common say which items and windows need be looked at: multisets of
+the similarity share that part of the larger one at least, so postings (items by shingle) leave the items
+of which a document has as much, and of its windows those that hold as many of the item's shingles. That is
+exact. Where few pairs are left, their blocks are compared one by one; else the tables are asked.
 
 At similarity 0.8 fingerprints differ in 10 bits on average with a deviation of 3; RADIUS is beyond
 three deviations (measured recall in the tests and the README).
@@ -19,7 +20,7 @@ block each writes its matches before the next is read.
 
 Null or empty texts and items match nothing. Items of fewer than five words are one shingle, and a
 document with fewer words than an item is one window. Repeated documents or items each get their
-pairs. A null doc_id or item_id stays null. Extra columns are left out.
+pairs. Ids may be of any type; a null doc_id or item_id stays null. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -29,18 +30,21 @@ from dataclasses import dataclass, field
 from functools import lru_cache, reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import SHINGLE_WORDS, WordHashes, checkpointed, mixed, shingles, table, words
+from .common import SHINGLE_WORDS, WordHashes, checkpointed, gathered, mixed, shingles, table, words
 
 SIMILARITY = 0.8
 RADIUS = 20
 BLOCKS = 4
 BLOCK_CHARS = 4_000_000
 
-PAIRS = "item_id long, similarity double, start_word long, window_words long, hamming int"
+#: What a match says besides the ids.
+PAIRS = T.StructType([T.StructField("similarity", T.DoubleType()), *[T.StructField(n, T.LongType()) for n in ("start_word", "window_words")], T.StructField("hamming", T.IntegerType())])
 _BITS = np.array([bin(b).count("1") for b in range(256)], dtype=np.uint8)
 
 
@@ -70,17 +74,16 @@ def _near_values(distance: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Items of one length in words: ids, shingles, fingerprints and, by block, the items in order of their value."""
+    """Items of one length in words: places in the benchmark, shingles, fingerprints and, by block, the items in order of their value."""
 
-    ids: list[int] = field(default_factory=list)
+    places: list[int] = field(default_factory=list)
     items: list[np.ndarray] = field(default_factory=list)
 
     def built(self, radius: int) -> Index:
         self.radius, self.prints = radius, np.concatenate([fingerprints(signs(s).sum(axis=0, keepdims=True)) for s in self.items])
-        self.size = np.array([len(s) for s in self.items])
-        values = self.prints.view(">u2").astype(np.uint16)
-        self.order = np.argsort(values, axis=0, kind="stable")
-        self.values = np.take_along_axis(values, self.order, axis=0)
+        self.values = self.prints.view(">u2").astype(np.uint16)
+        self.order = np.argsort(self.values, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.values, self.order, axis=0)
         #: The block's part of the radius.
         self.parts = [(radius + 1) // BLOCKS + (k < (radius + 1) % BLOCKS) - 1 for k in range(BLOCKS)]
         return self
@@ -89,84 +92,143 @@ class Index:
         """Items whose block k is as near to the value as its part of the radius."""
         if self.parts[k] < 0:
             return np.empty(0, np.int64)
-        near = _near_values(self.parts[k])
-        if len(near) > len(self.ids):  # fewer items than values: ask each item
-            apart = self.values[:, k] ^ np.uint16(value)
-            return self.order[_BITS[apart >> 8].astype(int) + _BITS[apart & 255] <= self.parts[k], k]
-        low, high = (np.searchsorted(self.values[:, k], near ^ np.uint16(value), side=side) for side in ("left", "right"))
+        near = _near_values(self.parts[k]) ^ np.uint16(value)
+        low, high = (np.searchsorted(self.sorted[:, k], near, side=side) for side in ("left", "right"))
         found = np.flatnonzero(high > low)
         return np.concatenate([self.order[low[i] : high[i], k] for i in found]) if len(found) else np.empty(0, np.int64)
 
     def near(self, prints: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Windows, items and distances of all pairs within the radius."""
+        """Windows, items and distances of all pairs within the radius, from the tables."""
         for window, values in enumerate(prints.view(">u2").astype(np.uint16)):
             items = np.unique(np.concatenate([self._block(k, int(v)) for k, v in enumerate(values)]))
             distance = _BITS[prints[window] ^ self.prints[items]].sum(axis=1, dtype=np.int64)
             for i in np.flatnonzero(distance <= self.radius):
                 yield window, int(items[i]), int(distance[i])
 
+    def near_pairs(self, prints: np.ndarray, windows: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """The same among some pairs of a window and an item: fewer than the values that a table would be asked for."""
+        if len(windows) > len(prints) * len(_near_values(max(self.parts))):  # then the tables are quicker
+            wanted = set(zip(windows.tolist(), items.tolist(), strict=True))
+            yield from (x for x in self.near(prints) if x[:2] in wanted)
+            return
+        apart = prints.view(">u2").astype(np.uint16)[windows] ^ self.values[items]
+        bits = _BITS[apart >> 8].astype(np.int64) + _BITS[apart & 255]
+        hit = np.flatnonzero((bits <= np.array(self.parts)).any(axis=1))
+        distance = bits[hit].sum(axis=1)
+        for k in np.flatnonzero(distance <= self.radius):
+            yield int(windows[hit[k]]), int(items[hit[k]]), int(distance[k])
+
 
 class Benchmark:
-    def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS):
+    """Items by length, and postings: which items of at least SHINGLE_WORDS words have a shingle, and how often."""
+
+    def __init__(self, texts: list[str], radius: int = RADIUS):
         hashes, by = WordHashes(), {}
-        for id_, text in items:
+        for place, text in enumerate(texts):
             h = hashes.of(words(text))
             if len(h):
                 index = by.setdefault(len(h), Index())
-                index.ids.append(id_)
+                index.places.append(place)
                 index.items.append(shingles(h))
         self.by = {n: index.built(radius) for n, index in sorted(by.items())}
-        known = [s for n, index in self.by.items() if n >= SHINGLE_WORDS for s in index.items]
-        self.known = np.unique(np.concatenate(known)) if known else np.empty(0, np.uint64)
-        #: Each known shingle's first and last length that has it (numbers of `by`): other lengths aren't looked up for it.
-        at = [np.searchsorted(self.known, np.concatenate(index.items)) for n, index in self.by.items() if n >= SHINGLE_WORDS]
-        self.short = [k for k, n in enumerate(self.by) if n < SHINGLE_WORDS]
-        self.first, self.last = np.full(len(self.known), len(self.by)), np.full(len(self.known), -1)
-        for k, places in zip(range(len(self.short), len(self.by)), at, strict=True):
-            self.first[places] = np.minimum(self.first[places], k)
-            self.last[places] = k
+        self.short = [n for n in self.by if n < SHINGLE_WORDS]
+        #: Items of the longer lengths have numbers in a row: their length, place in its index, and number of shingles.
+        long = [(n, i, s) for n, index in self.by.items() if n >= SHINGLE_WORDS for i, s in enumerate(index.items)]
+        self.length, self.inner, self.size = (np.array([f(x) for x in long], dtype=np.int64) for f in (lambda x: x[0], lambda x: x[1], lambda x: len(x[2])))
+        owner, every = np.repeat(np.arange(len(long)), self.size), np.concatenate([np.empty(0, np.uint64), *(s for _, _, s in long)])
+        order = np.lexsort((owner, every))
+        every, owner = every[order], owner[order]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(every)), bool), (every[1:] != every[:-1]) | (owner[1:] != owner[:-1])]))
+        self.times = np.diff(np.append(first, len(every)))
+        self.owner, values = owner[first], every[first]
+        self.known, self.begin = np.unique(values, return_index=True)
+        self.begin = np.append(self.begin, len(values))
+
+    def _long_candidates(self, s: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """By length: windows (starts) and items that may be similar enough, as all that shingles in common can say.
+
+        Multisets of a and b shingles of at least the similarity share that part of the larger one at least. So an
+        item counts only if the document has that part of its shingles, and of its windows those that hold as many of
+        the places where the item's shingles occur."""
+        place = np.minimum(np.searchsorted(self.known, s), max(0, len(self.known) - 1))
+        at = np.flatnonzero(self.known[place] == s) if len(self.known) else np.empty(0, np.int64)
+        if not len(at):
+            return
+        shingle, often = np.unique(place[at], return_counts=True)
+        sizes = self.begin[shingle + 1] - self.begin[shingle]
+        posting = gathered(self.begin[shingle], sizes, np.arange(len(self.owner)))
+        shared = np.bincount(self.owner[posting], np.minimum(self.times[posting], np.repeat(often, sizes)), len(self.length))
+        few = np.flatnonzero(shared >= SIMILARITY * self.size - 1e-9)
+        if not len(few):
+            return
+        # Where the shingles of those items occur in the document.
+        asked = np.zeros(len(self.length), bool)
+        asked[few] = True
+        posting = posting[asked[self.owner[posting]]]
+        of_shingle = np.searchsorted(self.begin, posting, side="right") - 1
+        occurs = np.argsort(place[at], kind="stable")
+        ordered, spots = place[at][occurs], at[occurs]
+        low, high = np.searchsorted(ordered, of_shingle), np.searchsorted(ordered, of_shingle, side="right")
+        item, spot = np.repeat(self.owner[posting], high - low), gathered(low, high - low, spots)
+        order = np.lexsort((spot, item))
+        item, spot = item[order], spot[order]
+        edges = np.searchsorted(item, few), np.searchsorted(item, few, side="right")
+        out: dict[int, tuple[list, list]] = {}
+        for i, a, b in zip(few.tolist(), *(e.tolist() for e in edges), strict=True):
+            wide = min(int(self.length[i]) - SHINGLE_WORDS + 1, len(s))
+            need = max(1, int(np.ceil(SIMILARITY * max(self.size[i], wide) - 1e-9)))
+            p = spot[a:b]
+            if len(p) < need:
+                continue
+            from_, to = np.maximum(p[need - 1 :] - wide + 1, 0), np.minimum(p[: len(p) - need + 1], len(s) - wide)
+            ok = from_ <= to
+            if ok.any():
+                steps = np.zeros(len(s) - wide + 2, np.int32) if len(s) - wide < 4 * ok.sum() else None
+                if steps is not None:
+                    np.add.at(steps, from_[ok], 1)
+                    np.add.at(steps, to[ok] + 1, -1)
+                    starts = np.flatnonzero(np.cumsum(steps)[:-1])
+                else:
+                    starts = np.unique(gathered(from_[ok], (to - from_ + 1)[ok], np.arange(len(s))))
+                windows, items = out.setdefault(int(self.length[i]), ([], []))
+                windows.append(starts)
+                items.append(np.full(len(starts), self.inner[i]))
+        for n, (windows, items) in out.items():
+            yield n, np.concatenate(windows), np.concatenate(items)
 
     def matches(self, h: np.ndarray) -> list[tuple[int, float, int, int, int]]:
-        """(item_id, similarity, start, words, distance) of the best window for each item of at least SIMILARITY."""
+        """(place of the item, similarity, start, words, distance) of the best window for each item of at least SIMILARITY."""
         if not len(h):
             return []
-        best: dict[tuple[int, int], tuple] = {}
+        best: dict[int, tuple] = {}
         s = shingles(h)
-        place = np.minimum(np.searchsorted(self.known, s), max(0, len(self.known) - 1))
-        found = self.known[place] == s if len(self.known) and len(h) >= SHINGLE_WORDS else np.zeros(len(s), bool)
-        place, sums = place[found], None
-        wanted = range(self.first[place].min(), self.last[place].max() + 1) if len(place) else range(0)
-        if len(h) < SHINGLE_WORDS:
-            wanted = range(len(self.by))
-        hit = np.concatenate([[0], np.cumsum(found)])
-        for k, (n, index) in enumerate(self.by.items()):
-            if k not in wanted and k >= len(self.short):
-                continue
+
+        def verify(index: Index, size: int, own: np.ndarray, wide: int, start: int, i: int, distance: int) -> None:
+            similarity = weighted_jaccard(own[start : start + wide], index.items[i])
+            if similarity >= SIMILARITY and (similarity, -start) > best.get(index.places[i], (0,))[:2]:
+                best[index.places[i]] = (similarity, -start, size, distance)
+
+        short = self.by if len(h) < SHINGLE_WORDS else self.short  # a short window is one shingle
+        for n in short:
+            index, size = self.by[n], min(n, len(h))
+            own = s if size == len(h) else np.concatenate([shingles(h[i : i + size]) for i in range(len(h) - size + 1)])
+            starts = np.flatnonzero(np.isin(own, np.concatenate(index.items)))
+            if len(starts):
+                for w, i, distance in index.near(fingerprints(signs(own[starts]))):
+                    verify(index, size, own, 1, int(starts[w]), i, distance)
+        sums = None
+        for n, windows, items in self._long_candidates(s) if len(h) >= SHINGLE_WORDS else ():
+            if sums is None:
+                sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(s), axis=0, dtype=np.int32)])
             size = min(n, len(h))
-            if size < SHINGLE_WORDS:
-                own = s if size == len(h) else np.concatenate([shingles(h[i : i + size]) for i in range(len(h) - size + 1)])
-                wide, starts = 1, np.flatnonzero(np.isin(own, np.concatenate(index.items)))
-            else:
-                own, wide = s, size - SHINGLE_WORDS + 1
-                least = SIMILARITY / (1 + SIMILARITY) * (wide + index.size.min())
-                starts = np.flatnonzero(hit[wide:] - hit[:-wide] >= least - 1e-9)
-            if not len(starts):
-                continue
-            if size < SHINGLE_WORDS:
-                prints = fingerprints(signs(own[starts]))
-            else:
-                if sums is None:
-                    sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(s), axis=0, dtype=np.int32)])
-                prints = fingerprints(sums[starts + wide] - sums[starts])
-            for w, i, distance in index.near(prints):
-                start = int(starts[w])
-                similarity = weighted_jaccard(own[start : start + wide], index.items[i])
-                if similarity >= SIMILARITY and (similarity, -start) > best.get((n, i), (0,))[:2]:
-                    best[n, i] = (similarity, -start, size, distance)
-        return [(self.by[n].ids[i], x, -start, size, distance) for (n, i), (x, start, size, distance) in best.items()]
-
-
-def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+            wide = size - SHINGLE_WORDS + 1
+            starts, at = np.unique(windows, return_inverse=True)
+            for w, i, distance in self.by[n].near_pairs(fingerprints(sums[starts + wide] - sums[starts]), at.reshape(-1), items):
+                verify(self.by[n], size, s, wide, int(starts[w]), i, distance)
+        return [(place, x, -start, size, distance) for place, (x, start, size, distance) in best.items()]
+
+
+def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[object, str]]]:
     """The items in runs of about so many characters; one run is in the driver at a time."""
     block, size = [], 0
     for row in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
@@ -179,27 +241,32 @@ def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tupl
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """A row for each document and item that it holds: `keep` columns (whole numbers), similarity, place and width of the best window."""
-    schema = ", ".join(f"{c} long" for c in keep) + ", " + PAIRS
+def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """A row for each document and item that it holds: `keep` columns and item_id as they are, similarity, place and width of the best window."""
+    kinds = T.StructType([*[docs.schema[c] for c in keep], T.StructField("item_id", benchmark.schema["item_id"].dataType), *PAIRS.fields])
+    id_kind = to_arrow_type(kinds["item_id"].dataType)
+
+    def searched(items: list[tuple[object, str]]) -> DataFrame:
+        ids, texts = [i for i, _ in items], [t for _, t in items]
 
-    def searched(items: list[tuple[int, str]]) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index, hashes = Benchmark(items), WordHashes()
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, hashes, names = Benchmark(texts), WordHashes(), pa.array(ids, id_kind)
             for batch in batches:
-                rows = [(*own, *m) for *own, text in zip(*(batch[c] for c in keep), batch["text"], strict=True) for m in index.matches(hashes.of(words(text)))]
-                out = pd.DataFrame(rows, columns=[*keep, "item_id", "similarity", "start_word", "window_words", "hamming"])
-                yield out.astype({c: "Int64" for c in (*keep, "item_id")})
+                found = [(row, *m) for row, text in enumerate(batch["text"].to_pylist()) for m in index.matches(hashes.of(words(text)))]
+                row, place, *rest = zip(*found, strict=True) if found else [()] * 6
+                columns = [*(batch[c].take(pa.array(row, pa.int64())) for c in keep), names.take(pa.array(place, pa.int64()))]
+                columns += [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(rest, PAIRS.fields, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=kinds.names)
 
-        return docs.select(*[F.col(c).cast("long").alias(c) for c in keep], "text").mapInPandas(run, schema)
+        return docs.select(*keep, "text").mapInArrow(run, kinds)
 
     found, last = [], None
-    for items in blocks(benchmark):
+    for items in blocks(benchmark, block_chars):
         if last is not None:  # written before the next block is read
             found.append(checkpointed(searched(last)))
         last = items
     if last is None:
-        return docs.sparkSession.createDataFrame([], schema)
+        return docs.sparkSession.createDataFrame([], kinds)
     return reduce(DataFrame.unionByName, [*found, searched(last)])
 
 
