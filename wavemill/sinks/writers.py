@@ -32,7 +32,7 @@ def append_csv(df: DataFrame, path: str, sep: str = ",") -> None:
 
 
 def consolidated(summary: DataFrame, results: DataFrame, path: str) -> None:
-    """One summary line, and the results as parts beside it: a document of all rows would meet in one task."""
+    """One summary line, and the results as parts beside it. `documents.write_document` joins both to one document."""
     summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
     results.write.mode("overwrite").json(f"{path}/results")
 
