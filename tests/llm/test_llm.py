@@ -85,7 +85,7 @@ def test_language(spark, docs):
     kinds = {"xx": "abcdef", "yy": "uvwxyz"}
     texts = [(k, " ".join("".join(rng.choice(kinds[lang]) for _ in range(rng.randint(2, 8))) for _ in range(30)), lang) for k in range(80) for lang in [("xx", "yy")[k % 2]]]
     net = language.train([(language.drawn(t), lang) for _, t, lang in texts[:40]], steps=60)
-    assert all(p == lang for (p, _), (_, _, lang) in zip(language.Reader(net).read([t for _, t, _ in texts[40:]]), texts[40:], strict=True))
+    assert all(p == lang for (p, _), (_, _, lang) in zip(language.pooled(net, [t for _, t, _ in texts[40:]]), texts[40:], strict=True))
     out = rows(language.identify(docs, net))
     assert [out[k]["lang_pred"] for k in (3, 4, 5, 14)] == ["und"] * 4
     assert all(0 <= r["score"] <= 1 for r in out.values())
@@ -425,8 +425,38 @@ def test_language_held_out(spark):
     out = language.op3_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert len(out) > 200 and sum(r["lang_pred"] == r["lang"] for r in out) >= 0.99 * len(out)
     assert not language.lettered("½ ² Ⅷ 12_") and language.lettered("1ß")
-    assert b"".join(language.pieces("漢字かな".encode() * 20)) == "漢字かな".encode() * 20
-    assert all(x.decode() for x in language.pieces("漢字かな".encode() * 20))
+
+
+@pytest.mark.parametrize("size", [1, 16, 255, 256, 257, 480, 481, 1000, 5000])
+def test_language_windows_count_each_position_once(size):
+    counted = []
+    for start, stop, first, last in language.windows(size):
+        assert 0 <= start <= first < last <= stop <= size and stop - start <= language.WINDOW
+        assert (first - start >= language.MARGIN or start == first == 0) and (stop - last >= language.MARGIN or last == size)
+        counted += range(first, last)
+    assert counted == list(range(size))
+
+
+def test_language_labels_every_position():
+    """Windows that overlap say nearly what one window over the whole text says; blanks, digits and stops count."""
+    rng = np.random.default_rng(3)
+    net = language.BiGru(["a", "b", "c"], rng)
+    text = prose(random.Random(4), 120) + " 12, 3.5! " + prose(random.Random(5), 60)
+    data = language.small_bytes(text)
+    x, filled = language.padded([data])
+    run = np.concatenate([net._run(way, x, filled)[0] for way in "fb"], axis=2) @ net.p["V"] + net.p["c"]
+    assert np.allclose(net.log_probabilities(x, filled)[:, :, 0], (run - np.log(np.exp(run).sum(axis=2, keepdims=True)))[:, 0], atol=1e-4)
+    whole = net.log_probabilities(x, filled)[:, :, 0].mean(axis=0)
+    p = np.exp(whole - whole.max())
+    ((lang, score),) = language.pooled(net, [text])
+    assert lang == net.languages[int(p.argmax())] and score == pytest.approx(p.max() / p.sum(), abs=1e-2)
+    # The state runs on through blanks: what a word's positions say depends on the word before it.
+    one, two = (net.log_probabilities(*language.padded([w]))[-4:, :, 0] for w in (b"xx xxmora", b"le zumora"))
+    assert np.abs(one - two).max() > 1e-6
+    several = [text, None, "", "12 34", "é", text[:100]] * 5
+    for (lang, score), t in zip(language.pooled(net, several), several, strict=True):
+        alone = language.pooled(net, [t])[0]
+        assert lang == alone[0] and score == pytest.approx(alone[1], abs=1e-5)
 
 
 def test_toxicity_held_out(spark):

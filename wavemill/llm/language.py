@@ -1,14 +1,14 @@
 """Language ID: a bidirectional GRU over bytes, trained by backpropagation through time in numpy.
 
-The network reads one run of letters at a time (A-Z made small; its state starts anew at each ASCII
-character that is no letter, and in long runs after RUN bytes, at the start of a character) and gives
-every byte position a distribution over languages; a document's probabilities are the mean of the log
-probabilities of all its positions, normalised again. As labels of a word's positions depend on the
-word alone, a task keeps the sums of words it met lately, so every position of every whole text
-counts while the network runs once for each distinct word.
+The network gives every byte of a text (A-Z made small; blanks, digits and stops too) a distribution over
+languages; a document's probabilities are the mean of the log probabilities of all its positions,
+normalised again. Texts are read in windows of WINDOW bytes that overlap: the state runs on through blanks
+and words, and a position counts in the window where at least MARGIN bytes stand on both sides of it (fewer
+only at the ends of a text). Gates are piecewise linear (a slope that is cut off at 0 and 1, and at -1 and 1),
+which costs a few additions where exponentials cost most of the time, and has plain derivatives.
 
 Learns from a bounded sample of labelled rows, the same number of each language (those of smallest
-hash), never from held-out ones; PIECES runs are drawn from each whole text. Null texts and texts
+hash), never from held-out ones; PIECES windows are drawn from each whole text. Null texts and texts
 without a letter are `und` with score 0. Without any labelled row every document is `und`. Repeated
 rows each get a row; an empty table gives no rows; extra columns are left out.
 """
@@ -25,17 +25,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Numbered, chunks, held_out, table
+from .common import chunks, held_out, table
 
 UNKNOWN = "und"
-#: Labelled documents that the model is fitted on at most (one of each language at least), and runs drawn from each.
-SAMPLE, PIECES = 1500, 200
-#: Bytes of a sequence at most; a longer run of letters is cut into such, in training and when read.
-RUN = 24
+#: Labelled documents that the model is fitted on at most (one of each language at least), and windows drawn from each.
+SAMPLE, PIECES = 1500, 60
+#: Bytes of a window that is learned from; of one that is read, and of its ends that only give context.
+LEARNED, WINDOW, MARGIN = 48, 256, 16
 HIDDEN, EMBED = 8, 8
-_KNOWN_WORDS = 300_000
-#: A to Z become small; other ASCII characters than letters end a sequence, as blanks do.
-_LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Windows that the network reads at once.
+ROWS = 1024
+#: A to Z become small.
+_SMALL = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -44,24 +45,19 @@ def lettered(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_LETTERS).split() if text else []
+def small_bytes(text: str | None) -> bytes:
+    return text.encode("utf-8", "surrogatepass").translate(_SMALL) if text else b""
 
 
-def pieces(word: bytes) -> list[bytes]:
-    """A run of letters in parts of RUN bytes at most, cut at the start of a character."""
-    out, start = [], 0
-    while len(word) - start > RUN:
-        stop = start + RUN
-        while stop > start + 1 and word[stop] & 0xC0 == 0x80:
-            stop -= 1
-        out.append(word[start:stop])
-        start = stop
-    return [*out, word[start:]]
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
+def windows(size: int) -> list[tuple[int, int, int, int]]:
+    """(start, stop, first, last) of the windows of a text of so many bytes; positions from first to before last count in it."""
+    step, out, start = WINDOW - 2 * MARGIN, [], 0
+    while True:
+        stop = min(start + WINDOW, size)
+        out.append((start, stop, start + MARGIN if start else 0, stop - MARGIN if stop < size else size))
+        if stop == size:
+            return out
+        start += step
 
 
 class BiGru:
@@ -74,56 +70,85 @@ class BiGru:
         for way in "fb":
             self.p |= {f"W{way}": draw(embed, 3 * hidden), f"U{way}": draw(hidden, 3 * hidden), f"b{way}": np.zeros(3 * hidden, np.float32)}
 
-    def _run(self, way: str, x: np.ndarray, filled: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """States after each step of one direction; padded steps hold the state."""
-        n, steps, h = len(x), x.shape[1], np.zeros((len(x), self.hidden), np.float32)
-        states, kept, d = np.zeros((n, steps, self.hidden), np.float32), [], self.hidden
-        inputs = (self.p["E"] @ self.p[f"W{way}"] + self.p[f"b{way}"])[x]
-        for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
-            a = h @ self.p[f"U{way}"]
-            z, r = _sigmoid(inputs[:, t, :d] + a[:, :d]), _sigmoid(inputs[:, t, d : 2 * d] + a[:, d : 2 * d])
-            g = np.tanh(inputs[:, t, 2 * d :] + r * a[:, 2 * d :])
-            new = np.where(filled[:, t, None], z * h + (1 - z) * g, h)
-            if keep:
-                kept.append((t, h, z, r, g, a[:, 2 * d :]))
-            states[:, t] = h = new
+    def _run(self, way: str, x: np.ndarray, filled: np.ndarray) -> tuple[np.ndarray, list]:
+        """States (steps, rows, hidden) of one direction, and what each step had; padded steps hold the state."""
+        n, d = len(x), self.hidden
+        h, kept, u = np.zeros((n, d), np.float32), [], self.p[f"U{way}"]
+        states = np.empty((x.shape[1], n, d), self.p["E"].dtype)
+        table_ = self.p["E"] @ self.p[f"W{way}"] + self.p[f"b{way}"]
+        for t in range(x.shape[1]) if way == "f" else range(x.shape[1] - 1, -1, -1):
+            a, i = h @ u, table_[x[:, t]]
+            gates = np.clip(np.float32(0.25) * (i[:, : 2 * d] + a[:, : 2 * d]) + np.float32(0.5), 0, 1)
+            z, r = gates[:, :d], gates[:, d:]
+            g = np.clip(i[:, 2 * d :] + r * a[:, 2 * d :], -1, 1)
+            kept.append((t, h, z, r, g, a[:, 2 * d :]))
+            states[t] = h = np.where(filled[:, t, None], g + z * (h - g), h)
         return states, kept
 
+    def _read(self, way: str, x: np.ndarray, filled: np.ndarray) -> np.ndarray:
+        """The states of `_run` where nothing is kept: (steps, hidden, rows), without new arrays at each step."""
+        d, (n, steps) = self.hidden, x.shape
+        u, table_ = self.p[f"U{way}"].T.copy(), np.ascontiguousarray((self.p["E"] @ self.p[f"W{way}"] + self.p[f"b{way}"]).T)
+        u[: 2 * d] *= np.float32(0.25)  # the slope of the gates, and their middle
+        table_[: 2 * d] = table_[: 2 * d] * np.float32(0.25) + np.float32(0.5)
+        symbols, holes, full = np.ascontiguousarray(x.T), ~np.ascontiguousarray(filled.T), filled.all(axis=0)
+        states, h = np.empty((steps, d, n), np.float32), np.zeros((d, n), np.float32)
+        a, i, g = (np.empty((k * d, n), np.float32) for k in (3, 3, 1))
+        gates, z, r = a[: 2 * d], a[:d], a[d : 2 * d]
+        for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
+            np.matmul(u, h, out=a)
+            np.take(table_, symbols[t], axis=1, out=i, mode="clip")
+            gates += i[: 2 * d]
+            np.minimum(np.maximum(gates, 0, out=gates), 1, out=gates)
+            np.multiply(r, a[2 * d :], out=g)
+            g += i[2 * d :]
+            np.minimum(np.maximum(g, -1, out=g), 1, out=g)
+            new = states[t]
+            np.subtract(h, g, out=new)
+            new *= z
+            new += g
+            if not full[t]:
+                np.copyto(new, h, where=holes[t])
+            h = new
+        return states
+
     def log_probabilities(self, x: np.ndarray, filled: np.ndarray) -> np.ndarray:
-        s = np.concatenate([self._run(way, x, filled, False)[0] for way in "fb"], axis=2) @ self.p["V"] + self.p["c"]
-        s -= s.max(axis=2, keepdims=True)
-        return s - np.log(np.exp(s).sum(axis=2, keepdims=True))
+        """(steps, languages, rows)"""
+        d = self.hidden
+        s = sum(self.p["V"][k * d : (k + 1) * d].T @ self._read(way, x, filled) for k, way in enumerate("fb")) + self.p["c"][:, None]
+        return s - np.log(np.exp(s).sum(axis=1, keepdims=True))  # states are within -1 and 1, so nothing overflows
 
     def gradients(self, x: np.ndarray, filled: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over filled positions and its gradients, through all steps of both directions."""
-        runs = {way: self._run(way, x, filled, True) for way in "fb"}
+        runs = {way: self._run(way, x, filled) for way in "fb"}
         states = np.concatenate([runs[way][0] for way in "fb"], axis=2)
         s = states @ self.p["V"] + self.p["c"]
         s = np.exp(s - s.max(axis=2, keepdims=True))
         s /= s.sum(axis=2, keepdims=True)
-        total = max(1, filled.sum())
-        loss = -np.log(np.maximum(s[np.arange(len(x)), :, y], 1e-9))[filled].sum() / total
-        s[np.arange(len(x)), :, y] -= 1
-        s *= filled[:, :, None] / np.float32(total)
+        total, on_ = max(1, filled.sum()), filled.T
+        loss = -np.log(np.maximum(s[:, np.arange(len(x)), y], 1e-9))[on_].sum() / total
+        s[:, np.arange(len(x)), y] -= 1
+        s *= on_[:, :, None] / np.float32(total)
         out = {k: np.zeros_like(v) for k, v in self.p.items()}
         out["V"], out["c"] = states.reshape(-1, states.shape[2]).T @ s.reshape(-1, s.shape[2]), s.sum(axis=(0, 1))
         d_states, d = s @ self.p["V"].T, self.hidden
+        slope = lambda v, low: (v > low) & (v < 1)
         for i, way in enumerate("fb"):
-            u, d_h, d_in = self.p[f"U{way}"], np.zeros((len(x), d), np.float32), np.zeros((*x.shape, 3 * d), np.float32)
+            u, d_h, d_in = self.p[f"U{way}"], np.zeros((len(x), d), np.float32), np.zeros((x.shape[1], len(x), 3 * d), np.float32)
             for t, h, z, r, g, a in reversed(runs[way][1]):
-                total_d = d_states[:, t, i * d : (i + 1) * d] + d_h
+                total_d = d_states[t, :, i * d : (i + 1) * d] + d_h
                 on = total_d * filled[:, t, None]
-                d_z, d_g = on * (h - g) * z * (1 - z), on * (1 - z) * (1 - g * g)
-                d_r = d_g * a * r * (1 - r)
-                d_in[:, t] = np.concatenate([d_z, d_r, d_g], axis=1)
+                d_z, d_g = on * (h - g) * slope(z, 0) * np.float32(0.25), on * (1 - z) * slope(g, -1)
+                d_r = d_g * a * slope(r, 0) * np.float32(0.25)
+                d_in[t] = np.concatenate([d_z, d_r, d_g], axis=1)
                 d_a = np.concatenate([d_z, d_r, d_g * r], axis=1)
                 out[f"U{way}"] += h.T @ d_a
                 d_h = d_a @ u.T + on * z + total_d * ~filled[:, t, None]
-            flat = d_in.reshape(-1, 3 * d)
-            e = self.p["E"][x.ravel()]
+            flat, places = d_in.reshape(-1, 3 * d), x.T.ravel()
+            e = self.p["E"][places]
             out[f"W{way}"], out[f"b{way}"] = e.T @ flat, flat.sum(axis=0)
             back = flat @ self.p[f"W{way}"].T
-            out["E"] += np.stack([np.bincount(x.ravel(), weights=back[:, k], minlength=257) for k in range(back.shape[1])], axis=1).astype(np.float32)
+            out["E"] += np.stack([np.bincount(places, weights=back[:, k], minlength=257) for k in range(back.shape[1])], axis=1).astype(np.float32)
         return float(loss), out
 
 
@@ -137,7 +162,7 @@ def padded(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(rows: list[tuple[list[bytes], str]], seed: int = 7, steps: int = 240, batch: int = 256, rate: float = 0.03) -> BiGru | None:
-    """Adam on random runs of the (runs, language) rows; each language has the same share of a batch."""
+    """Adam on random windows of the (windows, language) rows; each language has the same share of a batch."""
     rng, by = np.random.default_rng(seed), {}
     for found, lang in rows:
         by.setdefault(lang, []).extend(found)
@@ -156,60 +181,33 @@ def train(rows: list[tuple[list[bytes], str]], seed: int = 7, steps: int = 240,
     return net
 
 
-class Reader:
-    """Document probabilities; remembers the summed log probabilities of words met lately."""
-
-    def __init__(self, net: BiGru):
-        self.net, self.known, self.sums = net, Numbered(_KNOWN_WORDS), np.zeros((0, len(net.languages)))
-
-    def _learn(self, new: list[bytes]) -> np.ndarray:
-        runs = [(i, x) for i, w in enumerate(new) for x in pieces(w)]
-        runs.sort(key=lambda x: len(x[1]))
-        sums = np.zeros((len(new), len(self.net.languages)))
-        for k in range(0, len(runs), 2048):
-            x, filled = padded([w for _, w in runs[k : k + 2048]])
-            np.add.at(sums, [i for i, _ in runs[k : k + 2048]], (self.net.log_probabilities(x, filled) * filled[:, :, None]).sum(axis=1))
-        return sums
-
-    def read(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        found = [words(t) for t in texts]
-        every = [w for one in found for w in one]
-        at, new, fresh = self.known.take(every)
-        self.sums = np.concatenate([self.sums[:0] if fresh else self.sums, self._learn(new)])
-        total = np.concatenate([np.zeros((1, self.sums.shape[1])), np.cumsum(self.sums[at], axis=0)])
-        sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, every), dtype=np.int64, count=len(every)))])
-        out, start = [], 0
-        for text, one in zip(texts, found, strict=True):
-            stop = start + len(one)
-            if not one or not lettered(text):
-                out.append((UNKNOWN, 0.0))
-            else:
-                mean = (total[stop] - total[start]) / (sizes[stop] - sizes[start])
-                p = np.exp(mean - mean.max())
-                out.append((self.net.languages[int(p.argmax())], float(p.max() / p.sum())))
-            start = stop
-        return out
-
-
-_worker_readers: dict[int, Reader] = {}
-
-
-def worker_reader(net: BiGru) -> Reader:
-    """One for a worker process and network: Spark uses a process for many tasks."""
-    key = zlib.crc32(b"".join(net.p[k].tobytes() for k in sorted(net.p)) + repr(net.languages).encode())
-    if key not in _worker_readers:
-        _worker_readers.clear()
-        _worker_readers[key] = Reader(net)
-    return _worker_readers[key]
+def pooled(net: BiGru, texts: list[str | None]) -> list[tuple[str, float]]:
+    """Language and probability of each text, from the labels of all its positions."""
+    data = [small_bytes(t) if t and lettered(t) else b"" for t in texts]
+    parts = [(k, data[k][start:stop], first - start, last - start) for k in range(len(data)) if data[k] for start, stop, first, last in windows(len(data[k]))]
+    parts.sort(key=lambda p: len(p[1]))
+    sums = np.zeros((len(texts), len(net.languages)))
+    for at in range(0, len(parts), ROWS):
+        run = parts[at : at + ROWS]
+        x, filled = padded([p[1] for p in run])
+        step = np.arange(x.shape[1])[:, None]
+        counts = (step >= np.array([p[2] for p in run])) & (step < np.array([p[3] for p in run]))
+        np.add.at(sums, [p[0] for p in run], np.einsum("tln,tn->nl", net.log_probabilities(x, filled), counts.astype(np.float32)))
+    out = []
+    for k, b in enumerate(data):
+        mean = sums[k] / max(1, len(b))
+        p = np.exp(mean - mean.max())
+        out.append((net.languages[int(p.argmax())], float(p.max() / p.sum())) if b else (UNKNOWN, 0.0))
+    return out
 
 
 def drawn(text: str | None, limit: int = PIECES) -> list[bytes]:
-    """So many runs of a whole text, whichever a generator that is seeded by the text draws; all if there are no more."""
-    found = [x for w in words(text) for x in pieces(w)]
-    if len(found) <= limit:
-        return found
-    seed = zlib.crc32(text.encode("utf-8", "surrogatepass"))
-    return [found[k] for k in np.random.default_rng(seed).choice(len(found), limit, replace=False)]
+    """So many windows of a whole text, at places that a generator draws which is seeded by the text."""
+    data = small_bytes(text)
+    if len(data) <= LEARNED:
+        return [data] if data else []
+    places = np.random.default_rng(zlib.crc32(data)).integers(0, len(data) - LEARNED + 1, min(limit, -(-len(data) // LEARNED)))
+    return [data[k : k + LEARNED] for k in places]
 
 
 @F.pandas_udf(T.ArrayType(T.BinaryType()))
@@ -229,7 +227,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> BiGru | None:
     low = labelled.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(limits), "lang").where(F.col("h") <= F.col("most"))
     once = low.groupBy("lang", "h").agg(F.first("text").alias("text"))  # repeated rows teach once
     ranked = once.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= each)
-    rows = ranked.select("lang", "h", _drawn("text").alias("runs")).collect()  # `sample` rows of PIECES runs at most
+    rows = ranked.select("lang", "h", _drawn("text").alias("runs")).collect()  # `sample` rows of PIECES windows at most
     return train([(list(map(bytes, r["runs"])), r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"]))])
 
 
@@ -244,10 +242,9 @@ def predicted(net: BiGru | None):
 
     @F.pandas_udf(PREDICTION)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        reader = net and worker_reader(net)
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch]
-            rows = [x for chunk in chunks(texts) for x in reader.read(chunk)] if reader else [(UNKNOWN, 0.0)] * len(texts)
+            rows = [x for chunk in chunks(texts) for x in pooled(net, chunk)] if net else [(UNKNOWN, 0.0)] * len(texts)
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])
 
     return run
