@@ -383,16 +383,18 @@ def test_mcd_finds_the_subset_of_least_determinant(spark):
 
 
 def test_quality_in_parts(spark):
-    """More groups than are dealt with at once: the same distances."""
+    """More languages and more groups than are dealt with at once: the same distances."""
     rng = random.Random(17)
     texts = [(k, prose(rng, rng.randint(20, 200)), f"l{k % 3}", f"s{k % 4}", 0) for k in range(150)] + [(1000, "### $$$ word " * 30, None, None, 0)]
     df = spark.createDataFrame(texts, DOCS)
-    whole = rows(quality.judge(df))
-    old, quality.CELLS = quality.CELLS, 4
+    old = quality.CELLS, quality.STEPS
+    quality.STEPS = 3
     try:
+        whole = rows(quality.judge(df))
+        quality.CELLS = 3
         parts = rows(quality.judge(df))
     finally:
-        quality.CELLS = old
+        quality.CELLS, quality.STEPS = old
     assert {k: r["distance2"] for k, r in parts.items()} == pytest.approx({k: r["distance2"] for k, r in whole.items()})
     assert len(parts) == 151
 

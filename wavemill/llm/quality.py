@@ -231,9 +231,9 @@ def shrunk(own: tuple[np.ndarray, np.ndarray], n: int, wide: tuple[np.ndarray, n
     return share * own[0] + (1 - share) * wide[0], share * own[1] + (1 - share) * wide[1] + share * (1 - share) * np.outer(apart, apart)
 
 
-def _measured(found: DataFrame, sizes: dict[str, tuple[str, int]], own: Cells, wide: Cells, pools: dict[str, int]) -> DataFrame:
-    """distance2 of the rows of the groups in `sizes`; `own` has their estimates, `wide` those of all rows and of languages."""
-    models, every = {}, (wide.means[wide.at[EVERY]], wide.covs[wide.at[EVERY]])
+def _measured(found: DataFrame, sizes: dict[str, tuple[str, int]], own: Cells, wide: Cells, pools: dict[str, int], all_rows: Cells) -> DataFrame:
+    """distance2 of the rows of the groups in `sizes`; `own` has their estimates, `wide` those of their languages, `all_rows` that of all."""
+    models, every = {}, (all_rows.means[all_rows.at[EVERY]], all_rows.covs[all_rows.at[EVERY]])
     for name, (pool, n) in sizes.items():
         k, at = own.at[name], wide.at[pool]
         mean, cov = shrunk((own.means[k], own.covs[k]), n, shrunk((wide.means[at], wide.covs[at]), pools[pool], every))
@@ -256,24 +256,31 @@ def judge(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", name("group ", "lang", "source").alias("group"), name("pool ", "lang").alias("pool"), F.lit(EVERY).alias("every"), text_statistics("text").alias("s")).select("doc_id", "group", "pool", "every", "s.*")
     found = checkpointed(found.withColumns(_transformed()))
     cells = checkpointed(found.groupBy("group", "pool").agg(F.count(F.lit(1)).alias("n")))
-    pools = {r["pool"]: r["n"] for r in cells.groupBy("pool").agg(F.sum("n").alias("n")).collect()}  # a row a language
+    languages = cells.groupBy("pool").agg(F.sum("n").alias("n"))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    parts = -(-cells.count() // CELLS)
-    part = lambda k: F.pmod(F.xxhash64("group"), F.lit(parts)) == k
+    parts_of = lambda df: -(-df.count() // CELLS)
+    part = lambda name, parts, k: F.pmod(F.xxhash64(name), F.lit(parts)) == k
+    pools_of = lambda df: {r["pool"]: r["n"] for r in df.collect()}  # about CELLS languages
     sizes_of = lambda df: {r["group"]: (r["pool"], r["n"]) for r in df.select("group", "pool", "n").collect()}  # about CELLS groups
-    if not parts:
+    groups = parts_of(cells)
+    if not groups:
         measured = [found.withColumn("distance2", F.lit(0.0))]
-    elif parts == 1:  # the same search for all levels at once
-        sizes = sizes_of(cells)
+    elif groups == 1:  # the same search for all levels at once
+        sizes, pools = sizes_of(cells), pools_of(languages)
         models = mcd(found, [EVERY, *pools, *sizes])
-        measured = [_measured(found, sizes, models, models, pools)]
-    else:
-        wide, measured = mcd(found.withColumn("group", F.lit(None).cast("string")), [EVERY, *pools]), []
-        for k in range(parts):  # each part is written before the next one's estimates are made
-            sizes = sizes_of(cells.where(part(k)))
-            if sizes:
-                own = mcd(found.where(part(k)), list(sizes))
-                measured.append(checkpointed(_measured(found.where(part(k)), sizes, own, wide, pools)))
+        measured = [_measured(found, sizes, models, models, pools, models)]
+    else:  # languages in turn, and their groups in turn; each part is written before the next one's estimates are made
+        all_rows, measured = mcd(found, [EVERY]), []
+        for k in range(n := parts_of(languages)):
+            pools, mine = pools_of(languages.where(part("pool", n, k))), cells.where(part("pool", n, k))
+            if not pools:
+                continue
+            rows = found.where(part("pool", n, k))
+            wide = mcd(rows, list(pools))
+            for j in range(m := parts_of(mine)):
+                if sizes := sizes_of(mine.where(part("group", m, j))):
+                    some = rows.where(part("group", m, j))
+                    measured.append(checkpointed(_measured(some, sizes, mcd(some, list(sizes)), wide, pools, all_rows)))
     out = reduce(DataFrame.unionByName, measured).withColumn("base_failed", base)
     return out.select("doc_id", *STATISTICS.names, "base_failed", "distance2", (~F.col("base_failed") & (F.col("distance2") <= CUTOFF)).alias("kept"))
 
