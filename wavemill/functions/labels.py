@@ -228,9 +228,19 @@ def task_name(c: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(c, r"(?s)Predict the (.+?) Answer:", 1), F.lit("")), F.lit("unknown"))
 
 
+# The sentences of a prompt that are rewritten.
+STATED, PLAIN = r"This is the time series, it has mean (-?\d+\.\d{4}) and std (-?\d+\.\d{4})\.", "This is the time series:"
+AXIS_DATA = r"The following is the accelerometer data on the [xyz]-axis\n([\-0-9, ]+)"
+
+
 def without_statistics(c: Column) -> Column:
-    """the sentence with mean and standard deviation goes."""
-    return F.regexp_replace(c, r",?\s*(?:it )?has mean\s+-?[\d.]+ and std\s+-?[\d.]+", "")
+    """a sentence that states mean and deviation of a series, to four decimals, becomes one that doesn't."""
+    return F.regexp_replace(c, STATED, PLAIN)
+
+
+def without_axis_data(c: Column) -> Column:
+    """the numbers of an axis and the sentence before them go."""
+    return F.regexp_replace(c, AXIS_DATA, "")
 
 
 def prompt_numbers(c: Column) -> Column:

@@ -111,6 +111,12 @@ def uniform(seed: int, *keys: Column) -> Column:
     return F.conv(digits, 16, 10).cast("double") / 2**32
 
 
+def simulated(id_: Column, series: int, length: int, seed: int) -> Column:
+    """So many random series for an id, the same ones whenever they are made."""
+    points = lambda k: F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: uniform(seed, id_, k, i))
+    return F.transform(F.sequence(F.lit(0), F.lit(series - 1)), points)
+
+
 def noise(v: Column, mode: str, seed: int, *keys: Column) -> Column:
     """as many points of noise. gaussian, uniform [-1, 1), zero, or the series' own points shuffled."""
     if mode == "zero":

@@ -73,10 +73,10 @@ def _(t):
     return t.embeddings.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).cast("long").alias("points"))
 
 
-@query("s18_simulated_series", "SELECT r.range AS id, x.range AS i, ('0x' || left(md5('7|' || r.range || '|' || x.range), 8))::BIGINT / 4294967296.0 AS value FROM range(200) r, range(20) x")
+@query("s18_simulated_series", "SELECT p_partkey, k.range AS series, i.range AS i, ('0x' || left(md5('7|' || p_partkey || '|' || k.range || '|' || i.range), 8))::BIGINT / 4294967296.0 AS value FROM part, range(2) k, range(10) i")
 def _(t):
-    rows = t._spark.range(200).select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: S.uniform(7, F.col("id"), i))).alias("i", "value"))
-    return rows.select("id", F.col("i").cast("long").alias("i"), "value")
+    made = t.part.select("p_partkey", F.posexplode(S.simulated(F.col("p_partkey"), 2, 10, 7)).alias("series", "points"))
+    return made.select("p_partkey", F.col("series").cast("long").alias("series"), F.posexplode("points").alias("i", "value")).withColumn("i", F.col("i").cast("long"))
 
 
 @query("s27_record_paths", "SELECT o_orderkey, printf('%05d/%05d_hr', (o_orderkey // 1000 % 100) * 1000 + 0, o_orderkey % 100000) AS path FROM orders")
@@ -492,10 +492,10 @@ def _(t):
     return R.window_majority(rows, "user_id", "label")
 
 
-@query("w03_window_series", f"SELECT user_id, window_id, len(s) AS n, s[1] AS first, s[-1] AS last FROM (SELECT user_id, window_id, list(value ORDER BY ts, event_id) AS s FROM {_WINDOW} GROUP BY user_id, window_id)")
+@query("w03_window_series", f"SELECT user_id, window_id, unnest(range(len(s))) AS i, unnest(s) AS x FROM (SELECT user_id, window_id, list(value ORDER BY ts, event_id) AS s FROM {_WINDOW} GROUP BY user_id, window_id)")
 def _(t):
     out = R.window_series(R.entity_windows(t.events, "user_id", "ts", 3600), "user_id", ["ts", "event_id"], "value")
-    return out.select("user_id", "window_id", F.size("series").cast("long").alias("n"), F.element_at("series", 1).alias("first"), F.element_at("series", -1).alias("last"))
+    return out.select("user_id", "window_id", F.posexplode("series").alias("i", "x")).withColumn("i", F.col("i").cast("long"))
 
 
 @query(
@@ -745,9 +745,14 @@ def _(t):
     return _texts(t).select("o_orderkey", L.stage_of_code(F.col("text")).alias("stage"), L.shown_code(F.col("text")).alias("shown"))
 
 
-@query("f08_model_names", "SELECT s_suppkey, regexp_replace(string_split('owner/m' || s_suppkey || '-SP', '/')[-1], '(?i)[-_](sp|flamingo)$', '') AS base, 'sp' AS config FROM supplier")
+_NAMES_SQL = "CASE s_suppkey % 5 WHEN 0 THEN 'owner/m' || s_suppkey || '-SP' WHEN 1 THEN 'm' || s_suppkey || '_flamingo' WHEN 2 THEN 'a/b/m' || s_suppkey || '-Flamingo' WHEN 3 THEN 'owner/sp-' || s_suppkey ELSE 'x-sp-' || s_suppkey || '-SP' END"
+
+
+@query("f08_model_names", f"SELECT s_suppkey, regexp_replace(string_split(n, '/')[-1], '[-_]([sS][pP]|[fF][lL][aA][mM][iI][nN][gG][oO])$', '') AS base, CASE WHEN lower(n) LIKE '%flamingo' THEN 'flamingo' WHEN lower(n) LIKE '%sp' THEN 'sp' END AS config FROM (SELECT s_suppkey, {_NAMES_SQL} AS n FROM supplier)")
 def _(t):
-    name = F.concat(F.lit("owner/m"), F.col("s_suppkey").cast("string"), F.lit("-SP"))
+    k, text = F.col("s_suppkey") % 5, F.col("s_suppkey").cast("string")
+    name = F.when(k == 0, F.concat(F.lit("owner/m"), text, F.lit("-SP"))).when(k == 1, F.concat(F.lit("m"), text, F.lit("_flamingo"))).when(k == 2, F.concat(F.lit("a/b/m"), text, F.lit("-Flamingo")))
+    name = name.when(k == 3, F.concat(F.lit("owner/sp-"), text)).otherwise(F.concat(F.lit("x-sp-"), text, F.lit("-SP")))
     return t.supplier.select("s_suppkey", L.model_base(name).alias("base"), L.model_config(name).alias("config"))
 
 
@@ -778,17 +783,24 @@ _series_query("f28_every_fifth", lambda v: S.every_nth(v, 5), "list_transform(ra
 _series_query("f27_zero_noise", lambda v: S.noise(v, "zero", 1), "list_transform(e, lambda x: 0.0::DOUBLE)")
 
 
-@query("f27_shuffled", "SELECT vec_id, (list_sort(list_transform(range(len(embedding)), lambda i: {'k': md5('4|' || vec_id || '|' || i), 'i': i})))[1].i AS first FROM embeddings")
+@query("f27_shuffled", "SELECT vec_id, unnest(range(64)) AS i, unnest(list_transform(list_sort(list_transform(range(64), lambda i: {'k': md5('4|' || vec_id || '|' || i), 'x': embedding[i + 1]::DOUBLE})), lambda s: s.x)) AS x FROM embeddings")
 def _(t):
-    places = F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: i.cast("double"))
-    return t.embeddings.select("vec_id", S.noise(places, "shuffle", 4, F.col("vec_id"))[0].cast("long").alias("first"))
+    out = t.embeddings.select("vec_id", F.posexplode(S.noise(F.col("embedding").cast("array<double>"), "shuffle", 4, F.col("vec_id"))).alias("i", "x"))
+    return out.select("vec_id", F.col("i").cast("long").alias("i"), "x")
 
 
-@query("f26_padded", "SELECT vec_id, 68 AS length, 0.0 AS last FROM embeddings")
+@query(
+    "f26_padded",
+    """WITH v AS (SELECT vec_id, list_slice(embedding::DOUBLE[], 1, 1 + vec_id % 7) AS a, list_slice(embedding::DOUBLE[], 3, 3 + vec_id % 11) AS b FROM embeddings),
+n AS (SELECT *, (greatest(len(a), len(b)) + 3) // 4 * 4 AS n FROM v)
+SELECT vec_id, s.range AS series, i.range AS i, coalesce(CASE s.range WHEN 0 THEN a[i.range + 1] ELSE b[i.range + 1] END, 0.0) AS x FROM n, range(2) s, range(12) i WHERE i.range < n""",
+)
 def _(t):
     v = F.col("embedding").cast("array<double>")
-    padded = S.padded_together(F.array(v, F.concat(v, F.array(F.lit(1.0)))), 4)
-    return t.embeddings.select("vec_id", F.size(padded[0]).alias("length"), F.element_at(padded[0], -1).alias("last"))
+    lengths = [(F.col("vec_id") % k + 1).cast("int") for k in (7, 11)]
+    padded = S.padded_together(F.array(F.slice(v, F.lit(1), lengths[0]), F.slice(v, F.lit(3), lengths[1])), 4)
+    out = t.embeddings.select("vec_id", F.posexplode(padded).alias("series", "v")).select("vec_id", F.col("series").cast("long").alias("series"), F.posexplode("v").alias("i", "x"))
+    return out.withColumn("i", F.col("i").cast("long"))
 
 
 @query("f35_norm", "SELECT vec_id, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS norm, tanh(embedding[1]::DOUBLE) AS gate FROM embeddings")
@@ -797,15 +809,26 @@ def _(t):
     return t.embeddings.select("vec_id", S.norm(v).alias("norm"), F.tanh(v[0]).alias("gate"))
 
 
-@query("f39_json_arrays", "SELECT vec_id, 3 AS points, vec_id * 0.5::DOUBLE AS first FROM embeddings")
+@query(
+    "f39_json_arrays",
+    """SELECT vec_id, i.range AS i, CASE i.range WHEN 0 THEN vec_id * 0.5 WHEN 1 THEN -1e-3 WHEN 2 THEN vec_id END::DOUBLE AS x
+FROM embeddings, range(4) i WHERE vec_id % 5 < 4 AND (i.range < 3 OR vec_id % 5 = 1) AND vec_id % 5 <> 2""",
+)
 def _(t):
-    text = F.concat(F.lit("["), (F.col("vec_id") * 0.5).cast("string"), F.lit(", 1.0, NaN]"))
-    return t.embeddings.select("vec_id", F.size(S.parsed(text)).alias("points"), S.parsed(text)[0].alias("first"))
+    """Lists of numbers with blanks and exponents, some with a null; one kind is empty, one is no list."""
+    k, whole = F.col("vec_id") % 5, F.format_string("%d", "vec_id")
+    text = F.concat(F.lit("[ "), (F.col("vec_id") * 0.5).cast("string"), F.lit(", -1e-3,"), whole, F.when(k == 1, ", null").otherwise(""), F.lit("]"))
+    text = F.when(k == 2, "[]").when(k == 4, "1, 2").otherwise(text)
+    out = t.embeddings.select("vec_id", F.posexplode(S.parsed(text)).alias("i", "x"))
+    return out.select("vec_id", F.col("i").cast("long").alias("i"), "x")
 
 
-@query("f41_json_lookup", "SELECT event_id, coalesce(json_extract_string(props, '$.missing'), 'none') AS missing FROM events")
+@query("f41_json_lookup", "SELECT event_id, coalesce(json_extract_string(props, '$.missing'), 'none') AS missing, coalesce(json_extract_string(props, '$.k'), 'none') AS k, CASE WHEN event_id % 3 = 0 THEN coalesce(json_extract_string(props, '$.k'), 'none') ELSE 'none' END AS sometimes FROM events")
 def _(t):
-    return t.events.select("event_id", F.coalesce(F.get_json_object("props", "$.missing"), F.lit("none")).alias("missing"))
+    """A key that never occurs, one that does, and texts that are broken or null."""
+    look = lambda c, key: F.coalesce(F.get_json_object(c, f"$.{key}"), F.lit("none"))
+    broken = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, "{broken")
+    return t.events.select("event_id", look("props", "missing").alias("missing"), look("props", "k").alias("k"), look(broken, "k").alias("sometimes"))
 
 
 @query("f44_axis_limits", "SELECT vec_id, least(floor(list_min(embedding::DOUBLE[]) * 2) / 2, -2.5) AS low, greatest(ceil(list_max(embedding::DOUBLE[]) * 2) / 2, 2.5) AS high FROM embeddings")

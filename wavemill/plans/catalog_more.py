@@ -122,15 +122,27 @@ def _(t):
     return t.part.select("p_partkey", L.task_name(text).alias("task"))
 
 
-@query("f11_without_statistics", "SELECT p_partkey, 'The x-axis:' AS text FROM part")
+@query(
+    "f11_without_statistics",
+    """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Look. This is the time series: Then ' || p_name WHEN 1 THEN 'This is the time series, it has mean 1.5 and std 2.' ELSE p_name || ', it has mean 0.5000 and std 1.0000:' END AS text,
+  CASE WHEN p_partkey % 2 = 0 THEN 'Pre ' || chr(10) || 'Post' ELSE 'The following is the data on the x-axis' || chr(10) || p_size || ', 3' END AS axes FROM part""",
+)
 def _(t):
-    return t.part.select("p_partkey", L.without_statistics(F.format_string("The x-axis, it has mean %.4f and std %.4f:", F.col("p_size") * -0.5, F.col("p_size") * 1.0)).alias("text"))
+    """A stated sentence inside a text, one of other decimals, and one of another series; two axes and another sentence."""
+    k, stated = F.col("p_partkey") % 3, F.format_string("Look. This is the time series, it has mean %.4f and std %.4f. Then %s", F.col("p_size") * -0.5, F.col("p_size") * 1.0, "p_name")
+    text = F.when(k == 0, stated).when(k == 1, "This is the time series, it has mean 1.5 and std 2.").otherwise(F.concat(F.col("p_name"), F.lit(", it has mean 0.5000 and std 1.0000:")))
+    axis = lambda a: F.format_string("The following is the accelerometer data on the " + a + "-axis\n%d, -3, 14", "p_size")
+    axes = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Pre "), axis("x"), F.lit("\n"), axis("z"), F.lit("Post"))).otherwise(F.format_string("The following is the data on the x-axis\n%d, 3", "p_size"))
+    return t.part.select("p_partkey", L.without_statistics(text).alias("text"), L.without_axis_data(axes).alias("axes"))
 
 
-@query("f12_prompt_numbers", "SELECT p_partkey, p_size::INT AS first, 3 AS n FROM part")
+@query("f12_prompt_numbers", "SELECT p_partkey, i.range AS i, CASE i.range WHEN 0 THEN p_size WHEN 1 THEN -4 WHEN 2 THEN p_partkey % 100 ELSE 5 END::INT AS x FROM part, range(4) i WHERE p_partkey % 4 > 0 AND (i.range < 3 OR p_partkey % 2 = 0)")
 def _(t):
-    numbers = L.prompt_numbers(F.concat(F.lit("series ["), F.col("p_size").cast("string"), F.lit(", -4, 5] end")))
-    return t.part.select("p_partkey", numbers[0].alias("first"), F.size(numbers).alias("n"))
+    """Lists of two lengths with odd blanks, before another list; a quarter of the texts has none."""
+    more = F.when(F.col("p_partkey") % 2 == 0, " , 5").otherwise("")
+    text = F.concat(F.lit("series ["), F.col("p_size").cast("string"), F.lit(",-4,  "), (F.col("p_partkey") % 100).cast("string"), more, F.lit("] end [7, 8]"))
+    numbers = L.prompt_numbers(F.when(F.col("p_partkey") % 4 > 0, text).otherwise("no list"))
+    return t.part.select("p_partkey", F.posexplode(numbers).alias("i", "x")).withColumn("i", F.col("i").cast("long"))
 
 
 @query("f13_between", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name ELSE 'none' END AS found FROM part")
@@ -195,17 +207,19 @@ def _(t):
     return t.nation.select("n_nationkey", S.lead_name(F.col("n_nationkey").cast("int")).alias("lead"))
 
 
-@query("f30_transposed", f"SELECT vec_id, (({_E})[3])::DOUBLE AS third, (({_E})[1])::DOUBLE AS first FROM embeddings")
+@query("f30_transposed", f"SELECT vec_id, lead.range AS lead, i.range AS i, ({_E})[i.range * 4 + lead.range + 1] AS x FROM embeddings, range(4) lead, range(16) i")
 def _(t):
-    m = S.transposed(F.array(F.slice("v", 1, 2), F.slice("v", 3, 2)), 2)
-    return _series(t).select("vec_id", m[0][1].alias("third"), m[0][0].alias("first"))
+    """Sixteen samples of four leads."""
+    rows = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("v", i * 4 + 1, F.lit(4)))
+    out = _series(t).select("vec_id", F.posexplode(S.transposed(rows, 4)).alias("lead", "s")).select("vec_id", F.col("lead").cast("long").alias("lead"), F.posexplode("s").alias("i", "x"))
+    return out.withColumn("i", F.col("i").cast("long"))
 
 
-@query("f31_labelled_axes", f"SELECT vec_id, a.range AS axis, ['x', 'y'][a.range + 1] AS text, (({_E})[a.range * 32 + 1])::DOUBLE AS first FROM embeddings, range(2) a")
+@query("f31_labelled_axes", f"SELECT vec_id, a.range AS axis, ['x', 'y'][a.range + 1] AS text, i.range AS i, ({_E})[a.range * 32 + i.range + 1] AS x FROM embeddings, range(2) a, range(32) i")
 def _(t):
     axes = S.labelled(["x", "y"], [F.slice("v", 1, 32), F.slice("v", 33, 32)])
-    out = _series(t).select("vec_id", F.posexplode(axes).alias("axis", "s"))
-    return out.select("vec_id", F.col("axis").cast("long").alias("axis"), "s.text", F.col("s.values")[0].alias("first"))
+    out = _series(t).select("vec_id", F.posexplode(axes).alias("axis", "s")).select("vec_id", F.col("axis").cast("long").alias("axis"), "s.text", F.posexplode("s.values").alias("i", "x"))
+    return out.withColumn("i", F.col("i").cast("long"))
 
 
 _POWERS = "[1e6, 1e5, 1e4, 1e3, 1e2, 1e1, 1e0, 0.1, 0.01, 0.001]::DOUBLE[]"
