@@ -217,6 +217,23 @@ def test_agreement_without_pairs(spark):
         assert "Join" not in counted._jdf.queryExecution().executedPlan().toString() + by_reviewer._jdf.queryExecution().executedPlan().toString()
 
 
+def test_disagreements_and_kappa_without_pairs(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(9)
+    rows = [(f"s{k % 9}", rng.randint(1, 4), rng.choice(["a", "b", "b", "c", None])) for k in range(120)]
+    df = spark.createDataFrame(rows, "sample string, reviewer int, answer string")
+    pairs = [(x, y) for s, r, x in rows for t, q, y in rows if s == t and r < q and x is not None and y is not None]
+    wanted = Counter(tuple(sorted(p)) for p in pairs if p[0] != p[1])
+    assert {(r["a"], r["b"]): r["n"] for r in C.disagreements(df, "sample", "reviewer", "answer").collect()} == dict(wanted)
+    first, second, n = Counter(x for x, _ in pairs), Counter(y for _, y in pairs), len(pairs)
+    po, pe = sum(x == y for x, y in pairs) / n, sum(first[x] * second[x] for x in first) / n**2
+    (k,) = C.kappa(df, "sample", "reviewer", "answer").collect()
+    assert tuple(k) == (n, pytest.approx(po), pytest.approx(pe), pytest.approx((po - pe) / (1 - pe)))
+    assert C.kappa(df.limit(0), "sample", "reviewer", "answer").count() == 0
+
+
 def test_scores_of_mergeable_states(spark):
     scorer = catalog_tasks.TokenF1()
     rows = [(k % 3 or None, f"t{k % 4} t{k % 5}", None if k % 7 == 0 else f"t{k % 5} t{k % 4} t1") for k in range(500)]

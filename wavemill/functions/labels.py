@@ -281,6 +281,15 @@ def with_end(c: Column, eos: str) -> Column:
     return F.when(F.endswith(c, F.lit(eos)), c).otherwise(F.concat(c, F.lit(eos)))
 
 
+#: Fixed value: what stands for a token that no loss is taken of.
+IGNORED = -100
+
+
+def label_mask(ids: Column, prompt: Column, padding: int) -> Column:
+    """The token ids that a loss is taken of; those of the prompt and padding are IGNORED."""
+    return F.transform(ids, lambda x, i: F.when((i < prompt) | (x == padding), F.lit(IGNORED)).otherwise(x))
+
+
 def fitted(c: Column, width: int) -> Column:
     """cut and padded to a width."""
     return F.rpad(F.left(c, F.lit(width)), width, " ")

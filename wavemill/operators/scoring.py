@@ -210,20 +210,32 @@ def agreement_by_reviewer(df: DataFrame, sample: str, reviewer: str, answer: str
     return each.rollup("first").agg(F.sum("pairs").alias("pairs"), F.sum("agreed").alias("agreed")).select("first", "pairs", "agreed", (100.0 * F.col("agreed") / F.col("pairs")).alias("percent"))
 
 
-def disagreements(pairs: DataFrame) -> DataFrame:
-    """How often each unordered pair of different answers occurs."""
-    a, b = F.col("first_answer"), F.col("second_answer")
-    return pairs.where(a != b).groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def kappa(pairs: DataFrame) -> DataFrame:
-    """Q15: Cohen's kappa, an extension: observed agreement against that of independent answers."""
-    total = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("first_answer") == F.col("second_answer")).cast("long")).alias("same"))
-    a = pairs.groupBy(F.col("first_answer").alias("x")).agg(F.count(F.lit(1)).alias("p"))
-    b = pairs.groupBy(F.col("second_answer").alias("x")).agg(F.count(F.lit(1)).alias("q"))
-    chance = a.join(b, "x").agg(F.sum(F.col("p") * F.col("q")).cast("double").alias("c"))
-    po, pe = F.col("same") / F.col("n"), F.coalesce("c", F.lit(0.0)) / (F.col("n") * F.col("n"))
-    return total.crossJoin(chance).select("n", po.alias("observed"), pe.alias("expected"), F.when(pe < 1, (po - pe) / (1 - pe)).otherwise(1.0).alias("kappa"))  # one row each
+def disagreements(df: DataFrame, sample: str, reviewer: str, answer: str) -> DataFrame:
+    """How often each unordered pair of different answers (a, b) occurs among pairs of different reviewers of a sample.
+
+    Counted from a sample's counts by answer: n of one and m of another are n m pairs, less those of one reviewer."""
+    own = df.where(F.col(answer).isNotNull()).groupBy(F.col(sample).alias("s"), F.col(reviewer).alias("r"), F.col(answer).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+
+    def products(counts: DataFrame, keys: list[str], sign: int) -> DataFrame:
+        """Pairs of answers of each group, which has a few distinct ones; both sides come from one array."""
+        m = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "n"))).alias("m"))
+        later = F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b["x"] > a["x"]), lambda b: F.struct(a["x"].alias("a"), b["x"].alias("b"), (a["n"] * b["n"] * sign).alias("n"))))
+        return m.select(F.inline(F.flatten(later)))
+
+    every = products(own.groupBy("s", "x").agg(F.sum("n").alias("n")), ["s"], 1).unionByName(products(own, ["s", "r"], -1))
+    return every.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def kappa(df: DataFrame, sample: str, reviewer: str, answer: str) -> DataFrame:
+    """Q15: Cohen's kappa over the pairs of reviewers of a sample, the one of smaller name first, an extension: observed
+    agreement against that of independent answers. Without pairs: reviewers before and after each are counted by ranks."""
+    rows = df.where(F.col(answer).isNotNull()).select(F.col(sample).alias("s"), F.col(reviewer).alias("r"), F.col(answer).alias("x"))
+    ahead = lambda order, *keys: (F.rank().over(W.partitionBy(*keys).orderBy(order)) - 1).cast("long")
+    each = rows.select("x", ahead(F.desc("r"), "s").alias("later"), ahead(F.asc("r"), "s").alias("earlier"), ahead(F.desc("r"), "s", "x").alias("same"))
+    by = each.groupBy("x").agg(*[F.sum(c).alias(c) for c in ("later", "earlier", "same")])  # a row for each answer
+    total = by.agg(F.sum("later").alias("n"), F.sum("same").alias("same"), F.sum(F.col("later").cast("double") * F.col("earlier")).alias("c"))
+    po, pe = F.col("same") / F.col("n"), F.col("c") / (F.col("n").cast("double") * F.col("n"))
+    return total.where("n > 0").select("n", po.alias("observed"), pe.alias("expected"), F.when(pe < 1, (po - pe) / (1 - pe)).otherwise(1.0).alias("kappa"))
 
 
 def load_table(df: DataFrame, row: str, column: str, values: list) -> DataFrame:

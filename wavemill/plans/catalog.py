@@ -334,6 +334,17 @@ def _(t):
     return C.accuracy(_predictions(t), "pred", "gold", ["template"])
 
 
+_CODES = "list_transform(string_split(o_orderstatus || o_orderpriority, ''), lambda x: ascii(x))"
+
+
+@query("m06_label_mask", f"SELECT o_orderkey, i.range AS i, CASE WHEN i.range < (o_custkey % 4) OR ({_CODES})[i.range + 1] = 45 THEN -100 ELSE ({_CODES})[i.range + 1] END AS label FROM orders, range(20) i WHERE i.range < len({_CODES})")
+def _(t):
+    """Codes of characters stand for token ids, a hyphen for padding; prompts have 0 to 3 tokens."""
+    ids = F.transform(F.split(F.concat("o_orderstatus", "o_orderpriority"), ""), F.ascii)
+    out = t.orders.select("o_orderkey", F.posexplode(L.label_mask(ids, (F.col("o_custkey") % 4).cast("int"), 45)).alias("i", "label"))
+    return out.select("o_orderkey", F.col("i").cast("long").alias("i"), "label")
+
+
 def _normal(c: str) -> str:
     return f"rtrim(trim(lower({c}), {_BLANKS}), '.,!?;:')"
 
@@ -423,7 +434,7 @@ def _(t):
     "SELECT least(a.l_returnflag, b.l_returnflag) AS a, greatest(a.l_returnflag, b.l_returnflag) AS b, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE a.l_returnflag <> b.l_returnflag GROUP BY 1, 2",
 )
 def _(t):
-    return C.disagreements(R.reviewer_pairs(t.lineitem, "l_orderkey", "l_linenumber", "l_returnflag"))
+    return C.disagreements(t.lineitem, "l_orderkey", "l_linenumber", "l_returnflag")
 
 
 @query(
@@ -433,7 +444,7 @@ t AS (SELECT count(*) AS n, avg((x = y)::INT) AS po FROM p), c AS (SELECT sum(i.
 SELECT n, po AS observed, c / n / n AS expected, (po - c / n / n) / (1 - c / n / n) AS kappa FROM t, c""",
 )
 def _(t):
-    return C.kappa(R.reviewer_pairs(t.lineitem, "l_orderkey", "l_linenumber", "l_returnflag"))
+    return C.kappa(t.lineitem, "l_orderkey", "l_linenumber", "l_returnflag")
 
 
 @query("a27_reviewer_load", "SELECT l_returnflag, count(*) FILTER (l_linenumber = 1) AS \"1\", count(*) FILTER (l_linenumber = 2) AS \"2\" FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_returnflag")
