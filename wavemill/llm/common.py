@@ -23,6 +23,8 @@ SHINGLE_WORDS = 5
 SCAN_RUN = 256
 #: Groups that hold more than one row in so many are joined by broadcast.
 HEAVY = 10_000
+#: Bytes of an Arrow batch of rows.
+BATCH_BYTES = 8 << 20
 #: Stands for a null doc_id where ids are compared: null sorts first.
 NULL_ID = -(2**63)
 
@@ -30,7 +32,15 @@ _MASK = (1 << 64) - 1
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Texts go to Python and back in batches of BATCH_BYTES, as a task holds some of them at once on both sides; a setting of the session's own stays."""
+    setting, usual = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64m", "64MB")
+    if spark.conf.get(setting) in usual:
+        spark.conf.set(setting, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
