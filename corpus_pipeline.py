@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.llm.bpe import encode_texts
-from wavemill.llm.common import packed, shared_folder, table, unpacked
+from wavemill.llm.common import modest_batches, packed, shared_folder, table, unpacked
 from wavemill.llm.decontaminate import find_leaks
 from wavemill.llm.jaccard import ROW_KEY, jaccard_join, row_key
 from wavemill.llm.language import UNKNOWN, fit, has_letter, predicted
@@ -25,6 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Where no document has a language to learn from, the same documents go. Null and empty texts go, very
     long ones are read whole; null ids, languages and sources and repeated rows stay as they are; an empty
     table stays empty; columns other than those of documents are left out."""
+    modest_batches(spark)
     net = fit(docs)
     if net is None:
         return docs.where(has_letter("text")).select(*COLUMNS)
@@ -38,6 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Repeated rows of an id and text stay once, the same text under several ids stays once, and so do null
     and empty texts of one id, which are like no other. An empty table stays empty; columns other than
     those of documents are left out. Texts travel compressed."""
+    modest_batches(spark)
     first = jaccard_join(docs).where("chosen").select(*ROW_KEY).distinct()
     rest = [c for c in COLUMNS if c != "text"]
     own = docs.select(*row_key(), packed("text").alias("packed"), *rest)
@@ -49,6 +51,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Null and empty texts, and texts of fewer words than a window, stay. Repeated rows of an id and text are
     not earlier than each other. An empty table stays empty; columns other than those of documents are left out."""
+    modest_batches(spark)
     out = dedup_substrings(docs, COLUMNS)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     return out.select("doc_id", text.alias("text"), "lang", "source", F.coalesce(F.length(text).cast("long"), F.col("n_chars")).alias("n_chars"))
@@ -59,6 +62,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null and empty texts stay, repeated rows go or stay together, an empty benchmark lets all stay; an
     empty table stays empty; columns other than those of documents are left out."""
+    modest_batches(spark)
     own = docs.select(*row_key(), *COLUMNS)
     leaks = find_leaks(own, table(spark, sf_dir, "benchmark"), keep=tuple(ROW_KEY)).select(*ROW_KEY).distinct()
     return own.join(leaks, ROW_KEY, "left_anti").select(*COLUMNS)
@@ -68,6 +72,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text, and digests of them and of what they decode to, in place of the text.
 
     Null and empty texts have no ids; every row, repeated ones too, has its own; an empty table stays empty."""
+    modest_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     out = encode_texts(docs, path, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source", "n_chars"))
     return out.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -9,7 +9,7 @@ from wavemill.functions import labels as L
 from wavemill.functions import series as S
 from wavemill.operators import relational as R
 from wavemill.operators import scoring as C
-from wavemill.plans import catalog, catalog_more, catalog_tasks, prompts  # noqa: F401 (the others add to the first)
+from wavemill.plans import catalog, catalog_files, catalog_more, catalog_tasks, prompts  # noqa: F401 (the others add to the first)
 from wavemill.sinks import writers
 from wavemill.sources import readers
 
@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 #: A few of each kind; the driver compares all.
 NAMES = ["a25_reviewer_rates", "f19_family_prompts", "f20_captions", "f27_gaussian_noise", "f27_uniform_noise", "t02_aligned_windows", "t02_entity_windows_online", "x03_row_scores", "x04_corpus_scores", "x09_record_rows"]
 NAMES += ["f02e_answer_staged", "f02g_first_word", "f02h_sampler_label", "f03_option", "f04_stage_labels", "f05_own_stage_labels", "f06_stage_codes", "f25_znorm_n3", "a16_token_overlap", "r05_missing_classes", "a11_support_only_macro", "f16_context", "f33_undigits", "f43_valid_series", "j10_stages_left", "p19_extra_columns"]
-NAMES += ["a08_open_vocabulary", "a14_template_f1", "a26_agreement", "f02b_answer_clean", "f25_znorm_n5", "j03_list_lookup", "p13_finite_series", "r01_random_split", "r02_stratified_split", "w02_window_majority", "w04_interpolated", "w04_interpolated_whole", "a09_closed_vocabulary", "a26_agreement_by_question", "f32_digits", "j12_round_robin", "x04_merged_scores", "w06_balanced_batches"]
+NAMES += ["a08_open_vocabulary", "a14_template_f1", "a26_agreement", "f02b_answer_clean", "f25_znorm_n5", "j03_list_lookup", "p13_finite_series", "r01_random_split", "r02_stratified_split", "w02_window_majority", "w04_interpolated", "s04_all_frequencies", "s15_ts_archive", "s19_prediction_lines", "k02_ranked_parts", "k04_append_new", "w04_interpolated_whole", "a09_closed_vocabulary", "a26_agreement_by_question", "f32_digits", "j12_round_robin", "x04_merged_scores", "w06_balanced_batches"]
 
 
 @pytest.fixture(scope="module")

@@ -48,7 +48,7 @@ def test_strict_lists(spark, tmp_path):
 def test_existing_records(spark, tmp_path):
     for name in ("21000/21837_hr.hea", "21000/21837_hr.dat", "21000/21838_hr.hea"):
         (tmp_path / "r" / name).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / "r" / name).write_text("")
+        (tmp_path / "r" / name).write_text("x")
     ids = spark.createDataFrame([(21837,), (21838,), (1,)], "id long").select("id", L.path_of_record(F.col("id")).alias("path"))
     there, lacking = readers.existing_records(spark, ids, "path", str(tmp_path / "r"))
     assert [r["id"] for r in there.collect()] == [21837] and {r["id"]: r["missing"] for r in lacking.collect()} == {21838: [".dat"], 1: [".hea", ".dat"]}

@@ -175,12 +175,13 @@ class Part(InputPartition):
 class TsReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.missing = options["path"], options.get("missing", "nan")
+        self.suffix = options.get("suffix", ".ts")
         self.step, self.equal = int(options.get("rangebytes", 64 << 20)), options.get("equallength", "false") == "true"
 
     def partitions(self) -> list[Part]:
         store, _ = files.opened(self.path)
         out = []
-        for f in files.listed(self.path, ".ts"):
+        for f in files.listed(self.path, self.suffix):
             head = read_head(store, f.path, f.size, self.missing, self.equal)
             out += [Part(r, head) for r in files.ranges(f.path, head.start, f.size, self.step)]
         return out
@@ -208,7 +209,7 @@ class TsReader(DataSourceReader):
 
 class TsSource(DataSource):
     """spark.read.format("ts_archive").load(file or folder). Options: `missing` (what `?` is; default NaN),
-    `rangeBytes` (of a task), `equalLength` (true: lengths must be equal, whatever the tags say)."""
+    `rangeBytes` (of a task), `suffix` (of the files of a folder; default .ts), `equalLength` (true: lengths must be equal, whatever the tags say)."""
 
     @classmethod
     def name(cls) -> str:

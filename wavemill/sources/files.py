@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,9 @@ READ_BYTES = 1 << 20
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    if re.match(r"[a-z][a-z0-9+.-]+:", path) and not path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
 
 
 def listed(path: str, suffix: str) -> list[fs.FileInfo]:

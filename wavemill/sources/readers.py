@@ -60,14 +60,15 @@ def all_frequencies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
 
     A file is broken as a whole if its head isn't `id,series`, or a row of it has no id or no list. Files that vanish are skipped."""
     read = spark.read.schema("id string, series string").options(header=False, quote='"', escape='"', multiLine=True, ignoreMissingFiles=True)
-    file, series = F.col("_metadata.file_name"), F.from_json("series", "array<double>")
+    name = r"([^/]+)_series\.csv(?:/[^/]*)?$"  # a file, or a folder that Spark has written
+    file, series = F.regexp_extract("_metadata.file_path", name, 1), F.from_json("series", "array<double>")
     rows = read.csv(f"{folder}/*_series.csv").select(file.alias("file"), "id", F.col("series").alias("text"), series.alias("series"), (F.col("id").eqNullSafe(F.lit("id")) & F.col("series").eqNullSafe(F.lit("series"))).alias("head"))
     bad = ~F.col("head") & (F.col("id").isNull() | F.col("series").isNull())
     state = rows.groupBy("file").agg(F.max("head").alias("head"), F.sum(bad.cast("long")).alias("bad"))
     broken = state.where(~F.col("head") | (F.col("bad") > 0))
     reason = F.when(~F.col("head"), "no head of id and series").otherwise(F.format_string("%d rows without id or list of numbers", "bad"))
     good = rows.where(~F.col("head")).join(broken.select("file"), "file", "left_anti")
-    return good.select("id", "series", F.regexp_extract("file", r"^(.*)_series\.csv$", 1).alias("frequency")), broken.select("file", reason.alias("reason"))
+    return good.select("id", "series", F.col("file").alias("frequency")), broken.select(F.concat("file", F.lit("_series.csv")).alias("file"), reason.alias("reason"))
 
 
 def reasoning_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -94,10 +95,10 @@ def template_answers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sensor_log(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Numbers between blanks, one row a tick, entity from the digits of the file name; NaN text is null."""
+    """Numbers between blanks, one row a tick, entity from the last digits of its path (a part that Spark has written: of its folder); NaN text is null."""
     parts = F.split(strip(F.col("value")), r"\s+")
     number = lambda k: F.nanvl(F.expr(f"try_cast(try_element_at(parts, {k + 1}) AS double)"), F.lit(None)).alias(columns[k])
-    raw = spark.read.text(path).select(F.regexp_extract("_metadata.file_name", r"(\d+)", 1).cast("int").alias("entity"), parts.alias("parts"))
+    raw = spark.read.text(path).select(F.regexp_extract("_metadata.file_path", r"(\d+)\D*?(?:/part-[^/]*)?$", 1).cast("int").alias("entity"), parts.alias("parts"))
     return raw.select("entity", *[number(k) for k in range(len(columns))])
 
 
@@ -170,7 +171,7 @@ def memory_runs(spark: SparkSession, path: str) -> DataFrame:
 def existing_records(spark: SparkSession, paths: DataFrame, path: str, folder: str, suffixes: tuple[str, ...] = (".hea", ".dat")) -> tuple[DataFrame, DataFrame]:
     """The rows whose record (a path without suffix, below a folder) has a file of each suffix, and the others with `missing`, the suffixes that lack.
 
-    The folder is listed once, by Spark's file source, which reads no contents here."""
+    The folder is listed once, by Spark's file source, which reads no contents here; it leaves out empty files."""
     try:
         below = rf"\Q{re.sub(r'^[a-z0-9]+:(//[^/]*)?', '', folder).rstrip('/')}\E/(.*?)(\.[^./]+)$"
         found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_extract("path", below, 1).alias("record"), F.regexp_extract("path", below, 2).alias("suffix"))
