@@ -291,7 +291,7 @@ def test_licenses(spark, docs, corpus):
     out = rows(licenses.scan(df))
     assert {k: tuple(r[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels")) for k, r in out.items()} == {k: licenses.brute_force(t) for k, t in texts.items()}
     assert out[100]["labels"] == "apache-2.0,reserved" and out[101]["base_labels"] == "cc-by,gpl,reserved"
-    assert len(licenses.RULES) > 200
+    assert len(licenses.RULES) > 300
     assert licenses.scan(empty(spark)).count() == 0
 
 
@@ -308,6 +308,51 @@ def test_licenses_without_a_common_word(spark):
     assert [licenses.brute_force(t)[5] for t in wanted] == list(wanted.values())
 
 
+def spelled(tree, rng):
+    """A text that a parsed expression matches, whichever a generator draws; assertions of place are left out."""
+    out = ""
+    for kind, value in tree:
+        match str(kind):
+            case "LITERAL":
+                out += chr(value)
+            case "ANY" | "NOT_LITERAL":
+                out += rng.choice("xyz")
+            case "IN":
+                if str(value[0][0]) == "NEGATE":
+                    out += rng.choice("xyz")
+                    continue
+                choice = rng.choice(value)
+                out += {"LITERAL": lambda v: chr(v), "RANGE": lambda v: chr(rng.randint(*v)), "CATEGORY": lambda v: {"DIGIT": "7", "WORD": "w", "SPACE": " "}.get(str(v).rsplit("_", 1)[-1], "q") if "NOT" not in str(v) else "q"}[str(choice[0])](choice[1])
+            case "BRANCH":
+                out += spelled(rng.choice(value[1]), rng)
+            case "SUBPATTERN":
+                out += spelled(value[3], rng)
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                out += "".join(spelled(value[2], rng) for _ in range(rng.randint(value[0], min(value[1], value[0] + 2))))
+    return out
+
+
+def test_every_match_of_a_rule_holds_its_keyword():
+    import re
+
+    rng = random.Random(21)
+    for level, label, keyword, regex in licenses.RULES:
+        assert level in (1, 2, 3) and keyword == keyword.lower() and label == label.lower()
+        texts = [spelled(re._parser.parse(regex), rng) for _ in range(60)]
+        assert all(keyword in t for t in texts), (label, keyword, next(t for t in texts if keyword not in t))
+        assert sum(bool(re.search(regex, t, re.ASCII)) for t in texts) > 30, (label, regex)
+
+
+def test_licenses_of_many_rules_in_one_text(spark):
+    """Texts made of what rules match, with crossing and nested hits, against all rules without their keywords."""
+    import re
+
+    rng = random.Random(22)
+    texts = ["".join(spelled(re._parser.parse(rng.choice(licenses.RULES)[3]), rng) + rng.choice((" ", ". ", ", and ", "\n", "")) for _ in range(rng.randint(1, 8))) for _ in range(150)]
+    out = rows(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {k: tuple(r[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels")) for k, r in out.items()} == {k: licenses.brute_force(t) for k, t in enumerate(texts)}
+
+
 def test_licenses_make_only_ascii_small(spark):
     texts = ["\u212aind, CC BY \u0130", "ALL RIGHTS RESERVED\u0130", "\u00c4CC BY", "CC\u212aBY", None]
     out = rows(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))

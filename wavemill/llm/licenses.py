@@ -1,6 +1,6 @@
 """License scans: ordered signature rules with a keyword prefilter and containment suppression.
 
-A rule is a regular expression with a keyword that every match contains, a label and a level (1 is
+A rule is a regular expression with a keyword that every match contains (small, as the text is), a label and a level (1 is
 strongest). Only rules whose keyword occurs in the text run. A hit is suppressed if a hit of the same or a stronger level contains its
 interval: of equal intervals the stronger level wins, then the earlier rule.
 
@@ -111,6 +111,92 @@ OTHERS = [
     (3, "public-domain", "public domain", r"\bpublic domain\b"),
     (3, "copyleft", "copyleft", r"\bcopyleft\b"),
     (3, "trademark", "trademark", r"\b(?:registered )?trademarks?\b"),
+    # Clauses and notices, one by one.
+    (1, "mit", "above copyright notice and this permission notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions"),
+    (1, "bsd-3-clause", "endorse or promote", r"neither the name of [^\n]{1,120}? nor the names of its contributors may be used to endorse or promote"),
+    (1, "bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display"),
+    (1, "bsd-2-clause", "redistributions of source code", r"redistributions of source code must retain the above copyright notice"),
+    (1, "gpl-2.0", "either version 2 of the license", r"either version 2 of the license(?:,? or \(at your option\) any later version)?"),
+    (1, "gpl-3.0", "either version 3 of the license", r"either version 3 of the license(?:,? or \(at your option\) any later version)?"),
+    (1, "gpl", "you should have received a copy of the gnu", r"you should have received a copy of the gnu general public licen[sc]e"),
+    (1, "lgpl", "gnu lesser general public", r"you should have received a copy of the gnu lesser general public licen[sc]e"),
+    (1, "agpl-3.0", "gnu affero", r"you should have received a copy of the gnu affero general public licen[sc]e"),
+    (1, "gpl-classpath-exception", "as a special exception", r"as a special exception, the copyright holders (?:of this library )?give you permission to link"),
+    (1, "gcc-exception", "gcc runtime library exception", r"gcc runtime library exception(?:,? version 3\.1)?"),
+    (1, "mpl-2.0", "this source code form is subject to", r"this source code form is subject to the terms of the mozilla public licen[sc]e"),
+    (1, "mpl-1.1", "contents of this file are subject to the mozilla", r"the contents of this file are subject to the mozilla public licen[sc]e"),
+    (1, "cddl-1.0", "subject to the terms of the common development", r"subject to the terms of the common development and distribution licen[sc]e"),
+    (1, "epl", "this program and the accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e"),
+    (1, "bsl-1.0", "boost software", r"distributed under the boost software licen[sc]e, version 1\.0"),
+    (1, "artistic", "standard version", r"you may make and give away verbatim copies of the source form of the standard version"),
+    (1, "afl-3.0", "academic free", r"licensed under the academic free licen[sc]e version 3\.0"),
+    (1, "osl-3.0", "open software licen", r"licensed under the open software licen[sc]e version 3\.0"),
+    (1, "ofl-1.1", "font software", r"this font software is licensed under the sil open font licen[sc]e"),
+    (1, "ofl-1.1", "reserved font name", r"with reserved font names?"),
+    (1, "cc0-1.0", "to the extent possible under law", r"to the extent possible under law, [^\n]{1,120}? waived all copyright"),
+    (1, "cc0-1.0", "no rights reserved", r"\bcc0[^\n]{0,20}no rights reserved|no rights reserved \(cc0"),
+    (1, "cc-by-4.0", "attribution 4.0 international", r"creative commons attribution 4\.0 international(?: public)?(?: licen[sc]e)?"),
+    (1, "cc-by-sa-4.0", "sharealike 4.0 international", r"attribution-sharealike 4\.0 international(?: public)?(?: licen[sc]e)?"),
+    (1, "cc-by-nc-4.0", "noncommercial 4.0 international", r"attribution-noncommercial 4\.0 international(?: public)?(?: licen[sc]e)?"),
+    (1, "cc-by-nd-4.0", "noderivatives 4.0 international", r"attribution-(?:noncommercial-)?noderivatives 4\.0 international(?: public)?(?: licen[sc]e)?"),
+    (1, "cc-by-sa-3.0", "3.0 unported", r"attribution-share ?alike 3\.0 unported"),
+    (1, "cc-by-3.0", "3.0 unported", r"attribution 3\.0 unported"),
+    (1, "wtfpl", "you just do what", r"you just do what the f\w+ you want to"),
+    (1, "beerware", "beer", r"\bbeer-?ware licen[sc]e|buy me a beer in return"),
+    (1, "json", "shall be used for good", r"the software shall be used for good, not evil"),
+    (1, "ijg", "independent jpeg group", r"this software is based in part on the work of the independent jpeg group"),
+    (1, "openssl", "openssl toolkit", r"includes software developed by the openssl project for use in the openssl toolkit"),
+    (1, "curl", "curl licen", r"\bcurl licen[sc]e\b"),
+    (1, "vim", "vim licen", r"\bvim licen[sc]e\b"),
+    (1, "ruby", "ruby licen", r"\bruby licen[sc]e\b"),
+    (1, "tcl", "tcl/tk", r"tcl/tk licen[sc]e"),
+    (1, "x11", "x consortium", r"the x consortium shall not be used in advertising"),
+    (1, "hpnd", "historical permission notice", r"historical permission notice and disclaimer"),
+    (1, "icu", "unicode, inc", r"unicode, inc\.? licen[sc]e agreement|unicode, inc\. data files"),
+    (1, "w3c", "w3c", r"w3c software (?:and document )?(?:notice and )?licen[sc]e"),
+    (1, "libpng", "png reference library", r"png reference library licen[sc]e"),
+    (1, "bzip2", "bzip2", r"bzip2 and libbzip2 licen[sc]e|\bbzip2 licen[sc]e"),
+    (1, "sleepycat", "sleepycat", r"sleepycat (?:software )?(?:public )?licen[sc]e"),
+    (1, "elastic-2.0", "elastic licen", r"elastic licen[sc]e(?: version)? 2\.0"),
+    (1, "sspl-1.0", "server side public", r"server side public licen[sc]e"),
+    (1, "busl-1.1", "business source", r"business source licen[sc]e(?: 1\.1)?"),
+    (1, "polyform", "polyform", r"polyform (?:noncommercial|strict|shield|small business|free trial) licen[sc]e"),
+    (1, "openrail", "openrail", r"\bopenrail(?:\+\+|-m|-s|-d)?(?: licen[sc]e)?"),
+    (1, "llama-community", "community licen", r"llama \d(?:\.\d)? community licen[sc]e"),
+    (2, "source-available", "source-available", r"\bsource-available\b"),
+    (2, "no-liability", "in no event shall", r"in no event shall [^\n]{1,160}? be liable"),
+    (2, "no-fitness", "fitness for a particular purpose", r"(?:merchantability (?:or|and) )?fitness for a particular purpose"),
+    (2, "notice-kept", "must retain", r"must retain (?:the above|this|all) (?:copyright )?notices?"),
+    (2, "royalty-free", "royalty-free", r"(?:perpetual|worldwide|non-exclusive)(?:, (?:worldwide|non-exclusive|no-charge))*,? royalty-free"),
+    (2, "attribution-asked", "with attribution", r"(?:free to use|may be used|reuse[d]?) with attribution"),
+    (2, "credit-asked", "give appropriate credit", r"you must give appropriate credit"),
+    (2, "share-alike-asked", "under the same licen", r"distribute (?:your contributions|it|them) under the same licen[sc]e"),
+    (2, "non-commercial", "non-commercial", r"(?:for )?non-commercial (?:use|purposes?|research)(?: only)?"),
+    (2, "research-only", "research purposes only", r"(?:for )?(?:academic|scientific|non-profit)? ?research purposes only"),
+    (2, "personal-use", "personal use only", r"(?:for )?(?:your )?personal use only"),
+    (2, "educational-use", "educational", r"(?:for )?educational (?:use|purposes) only"),
+    (2, "internal-use", "internal use only", r"(?:for )?internal use only"),
+    (2, "evaluation-only", "evaluation", r"(?:for )?evaluation (?:use|purposes) only"),
+    (2, "permission-asked", "prior written", r"without (?:the )?(?:express )?prior written (?:permission|consent)"),
+    (2, "no-derivatives", "derivative works", r"(?:no|not create|may not create|not make) derivative works"),
+    (2, "no-resale", "resale", r"not for resale"),
+    (2, "confidential", "confidential", r"(?:strictly |company )?confidential and proprietary|this (?:document|message|file) is (?:strictly )?confidential"),
+    (2, "trade-secret", "trade secret", r"(?:contains|constitutes) (?:valuable )?trade secrets?"),
+    (2, "government-rights", "u.s. government", r"u\.s\. government (?:restricted rights|end users)"),
+    (2, "government-work", "work of the", r"work of the (?:u\.s\.|united states) government"),
+    (2, "crown-copyright", "crown copyright", r"(?:© )?crown copyright"),
+    (2, "ogl-3.0", "open government", r"open government licen[sc]e(?: v?3\.0)?"),
+    (2, "etalab", "licence ouverte", r"licence ouverte(?: / open licence)?"),
+    (2, "dl-de", "datenlizenz deutschland", r"datenlizenz deutschland(?: [-–] \w+)?"),
+    (2, "subject-to-licence", "see the license for", r"see the license for the specific language governing permissions"),
+    (2, "licence-file", "see licen", r"see licen[sc]e(?:\.txt|\.md| file)? (?:in the project root )?for (?:license information|details|more information)"),
+    (2, "terms-accepted", "by using this", r"by using this (?:software|site|website|file),? you (?:agree|accept)"),
+    (3, "terms-of-use", "terms of", r"\bterms of (?:use|service)\b"),
+    (3, "eula", "end user licen", r"\bend user licen[sc]e agreement\b|\bend user license\b"),
+    (3, "open-source", "open source", r"\bopen source (?:software|licen[sc]e|initiative)\b"),
+    (3, "shareware", "shareware", r"\bshareware\b"),
+    (3, "freeware", "freeware", r"\bfreeware\b"),
+    (3, "patent-pending", "patent pending", r"\bpatent pending\b"),
 ]
 
 
@@ -127,7 +213,7 @@ def _rules() -> list[tuple[int, str, str, str]]:
     return out + OTHERS
 
 
-#: 229 ordered rules: (level, label, keyword, expression).
+#: Ordered rules, over 300: (level, label, keyword, expression).
 RULES = _rules()
 #: Each keyword is looked for once in a text, however many rules have it.
 KEYWORDS = sorted({keyword for _, _, keyword, _ in RULES})
