@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Numbered, chunks, gathered, table
+from .common import Numbered, chunks, gathered, give_back, table
 
 #: Above any rank: the pair doesn't merge.
 _NEVER = np.int32(2**31 - 1)
@@ -223,6 +223,12 @@ class Encoder:
         ends = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))
         return gathered((np.cumsum(n) - n)[at], n[at], flat), np.diff(total[ends], prepend=0)
 
+    def forget(self) -> None:
+        """The vocabulary stays; segments met in a task go with it, as its worker goes on to other stages."""
+        self.known.clear()
+        self.known.held = 0
+        self.flat, self.starts, self.sizes = self.flat[:0].copy(), self.starts[:0].copy(), self.sizes[:0].copy()
+
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         segments = [self._segments(t or "") for t in texts]
@@ -243,7 +249,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def worker_encoder(path: str, pattern: str) -> Encoder:
-    """One for a worker process, which Spark uses for many tasks."""
+    """One for a worker process, which Spark uses for many tasks; the tables of the vocabulary are what it keeps."""
     return Encoder(vocabulary(path, pattern))
 
 
@@ -261,6 +267,8 @@ def encoded(path: str, pattern: str):
                 for ids in encoder.encode(chunk):
                     rows.append((ids.astype("<u4").tobytes(), len(ids), encoder.vocab.decode(ids)))
             yield pd.DataFrame(rows, columns=["ids", "n_tokens", "decoded"])
+        encoder.forget()
+        give_back()
 
     return run
 

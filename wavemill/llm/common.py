@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import zlib
@@ -9,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +41,16 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(setting, f"{BATCH_BYTES}b")
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: a Python worker lives through the tasks of many stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):  # where the C library has it
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -97,6 +109,7 @@ def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     squeeze = zstandard.ZstdCompressor(level=3).compress
     for texts in batches:
         yield texts.map(lambda t: squeeze(t.encode("utf-8", "surrogatepass")) if isinstance(t, str) else None)
+    give_back()
 
 
 def unpacker():
@@ -110,6 +123,7 @@ def unpacked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     read = unpacker()
     for data in batches:
         yield data.map(lambda x: read(x).decode("utf-8", "surrogatepass") if x is not None else None)
+    give_back()
 
 
 def held_out(doc_id: Column) -> Column:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import SHINGLE_WORDS, WordHashes, checkpointed, gathered, mixed, shingles, table, words
+from .common import SHINGLE_WORDS, WordHashes, checkpointed, gathered, give_back, mixed, shingles, table, words
 
 SIMILARITY = 0.8
 RADIUS = 20
@@ -257,6 +257,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("
                 columns = [*(batch[c].take(pa.array(row, pa.int64())) for c in keep), names.take(pa.array(place, pa.int64()))]
                 columns += [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(rest, PAIRS.fields, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=kinds.names)
+            give_back()
 
         return docs.select(*keep, "text").mapInArrow(run, kinds)
 

@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, SHINGLE_WORDS, WordHashes, beside, checkpointed, mixed, packed, shingles, table, unpacker, words
+from .common import NULL_ID, SHINGLE_WORDS, WordHashes, beside, checkpointed, give_back, mixed, packed, shingles, table, unpacker, words
 
 SIMILARITY, RECALL = 0.8, 0.9999
 SMALL, BLOCK, BLOCK_GRAMS = 12, 512, 1 << 19
-_CELLS, _COLUMNS = 1 << 22, 2048
+_CELLS, _COLUMNS = 1 << 20, 2048
 #: Bits of a bucket's number below the band.
 _BAND_BITS = 56
 #: A row's doc_id as a number and 128 bits of its text.
@@ -101,6 +101,7 @@ def _sketches(bands: int, rows: int):
                 keys = [pa.array(_sums(mixed(flat * np.uint64(m)), sizes)) for m in (3, 5)]
                 own = [batch.column(c) for c in ("id", "text_key", "text_key2", "missing")]
                 yield pa.RecordBatch.from_arrays([*own, *keys, pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(ends, values)], names=["id", "text_key", "text_key2", "missing", "key", "key2", "size", "bands"])
+        give_back()
 
     return run
 
@@ -180,6 +181,9 @@ def _verified(similarity: float):
             sides.append((b["node"].to_numpy(), linked.sum(axis=0), a["copies"].to_numpy() @ linked))
         tops = _smallest_linked(linked, a["node"].to_numpy(), b["node"].to_numpy())
         out = [pd.DataFrame({"node": ids, "other": pd.array(top, dtype="Int64"), "links": links, "weight": weight}) for (ids, links, weight), top in zip(sides, tops, strict=False)]
+        if len(group) > BLOCK:
+            del sets_a, sets_b, both, linked, maybe
+            give_back()
         return pd.concat(out).query("links > 0").astype({"links": "int64", "weight": "int64"})
 
     return run

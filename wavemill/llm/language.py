@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, held_out, table
+from .common import chunks, give_back, held_out, table
 
 UNKNOWN = "und"
 #: Labelled documents that the model is fitted on at most (one of each language at least), and windows drawn from each.
@@ -246,6 +246,7 @@ def predicted(net: BiGru | None):
             texts = [t if isinstance(t, str) else None for t in batch]
             rows = [x for chunk in chunks(texts) for x in pooled(net, chunk)] if net else [(UNKNOWN, 0.0)] * len(texts)
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])
+        give_back()
 
     return run
 
