@@ -259,7 +259,7 @@ def _undigits_sql(column: str, minus: str, separator: str) -> str:
 )
 def _(t):
     """Back from the texts of f32, to the half step."""
-    shown = lambda form: F.concat(F.lit("["), F.array_join(F.transform(S.undigits(S.digits(_prices(), form), form), lambda x: F.format_string("%.4f", x)), ", "), F.lit("]"))
+    shown = lambda form: S.decimals(S.undigits(S.digits(_prices(), form), form), 4)
     return t.lineitem.select("l_orderkey", "l_linenumber", shown(S.SPACED).alias("spaced"), shown(S.COMPACT).alias("compact"))
 
 
