@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -58,7 +59,9 @@ class _EntityWindows(StatefulProcessor):
 
     The origin is the earliest time, so it is certain only once the watermark has reached it: no earlier row
     can be accepted after that. Until then rows are kept by time, which is as long as rows may be late. Then
-    they, and later rows, are counted in windows, and a window leaves when the watermark reaches its end."""
+    they, and later rows, are counted in windows, and a window leaves when the watermark reaches its end.
+    Each call to the state store is a message to the JVM, so rows go there as one list, windows that are over
+    when their rows are counted never go there, and open windows come as one map."""
 
     def __init__(self, width: int):
         self.width = width
@@ -66,52 +69,52 @@ class _EntityWindows(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.origin = handle.getValueState("origin", "origin long, certain boolean")
-        self.early = handle.getMapState("early", "at long", "n long, total double")
+        self.early = handle.getListState("early", "at long, n long, total double")
         self.open = handle.getMapState("open", "window_id long", "n long, total double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
-        origin, certain = self.origin.get() if self.origin.exists() else (int(batch["at"].min()), False)
-        if not certain:
-            origin = min(origin, int(batch["at"].min()))
-            self.origin.update((origin, False))
-        self._add(self.open if certain else self.early, (batch["at"] - origin) // self.width if certain else batch["at"], batch["value"])
-        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
+        times, of = np.unique(batch["at"].to_numpy(), return_inverse=True)
+        new = zip(times.tolist(), np.bincount(of).tolist(), np.bincount(of, batch["value"].to_numpy()).tolist(), strict=True)
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), list(new))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
-
-    def _add(self, state, by: pd.Series, values: pd.Series) -> None:
-        for k, n, total in values.groupby(by.to_numpy()).agg(["size", "sum"]).itertuples():
-            old = state.getValue((int(k),)) or (0, 0.0)
-            state.updateValue((int(k),), (old[0] + int(n), old[1] + float(total)))
-
-    def _advance(self, key, watermark: int) -> pd.DataFrame:
-        origin, certain = self.origin.get()
-        now, done = watermark * 1000, []
-        if not certain and origin <= now:
-            at, counts = [], []
-            for k, v in self.early.iterator():
-                at.append(k[0])
-                counts.append(v)
-            for t, (n, total) in zip(at, counts, strict=True):
-                window = ((t - origin) // self.width,)
-                old = self.open.getValue(window) or (0, 0.0)
-                self.open.updateValue(window, (old[0] + n, old[1] + total))
-            self.early.clear()
-            self.origin.update((origin, True))
-            certain = True
-        if not certain:
-            self.handle.registerTimer(-(-origin // 1000))
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), [])
+
+    def _advance(self, key, watermark: int, new: list[tuple[int, int, float]]) -> Iterator[pd.DataFrame]:
+        now, windows, stored = watermark * 1000, {}, set()
+        known = self.origin.get() if new == [] or self.origin.exists() else None
+        origin, certain = known or (new[0][0], False)  # new rows are in order of time
+        if certain:
+            windows = {k[0]: tuple(v) for k, v in self.open.iterator()}
+            stored = set(windows)
         else:
-            ends = {k[0]: origin + (k[0] + 1) * self.width for k in list(self.open.keys())}
-            for k in sorted(k for k, end in ends.items() if end <= now):
-                done.append((key[0], k, *self.open.getValue((k,))))
+            origin = min([origin, *(at for at, _, _ in new[:1])])
+            if origin > now:
+                self.early.appendList(new)
+                self.origin.update((origin, False))
+                self.handle.registerTimer(-(-origin // 1000))
+                return
+            if known:
+                new = [*self.early.get(), *new]
+                self.early.clear()
+            self.origin.update((origin, True))
+        changed = set()
+        for at, n, total in new:
+            k = (at - origin) // self.width
+            old = windows.get(k, (0, 0.0))
+            windows[k] = (old[0] + n, old[1] + total)
+            changed.add(k)
+        done = sorted(k for k in windows if origin + (k + 1) * self.width <= now)
+        for k in done:
+            if k in stored:
                 self.open.removeKey((k,))
-                del ends[k]
-            if ends:
-                self.handle.registerTimer(-(-min(ends.values()) // 1000))
-        return pd.DataFrame(done, columns=["entity", "window_id", "n", "total"])
+        for k in changed.difference(done):
+            self.open.updateValue((k,), windows[k])
+        if len(done) < len(windows):
+            self.handle.registerTimer(-(-(origin + (min(windows.keys() - set(done)) + 1) * self.width) // 1000))
+        if done:
+            yield pd.DataFrame([(key[0], k, *windows[k]) for k in done], columns=["entity", "window_id", "n", "total"])
 
     def close(self) -> None:
         pass
