@@ -229,10 +229,16 @@ def disagreements(df: DataFrame, sample: str, reviewer: str, answer: str) -> Dat
 def kappa(df: DataFrame, sample: str, reviewer: str, answer: str) -> DataFrame:
     """Q15: Cohen's kappa over the pairs of reviewers of a sample, the one of smaller name first, an extension: observed
     agreement against that of independent answers. Without pairs: reviewers before and after each are counted by ranks."""
-    rows = df.where(F.col(answer).isNotNull()).select(F.col(sample).alias("s"), F.col(reviewer).alias("r"), F.col(answer).alias("x"))
-    ahead = lambda order, *keys: (F.rank().over(W.partitionBy(*keys).orderBy(order)) - 1).cast("long")
-    each = rows.select("x", ahead(F.desc("r"), "s").alias("later"), ahead(F.asc("r"), "s").alias("earlier"), ahead(F.desc("r"), "s", "x").alias("same"))
-    by = each.groupBy("x").agg(*[F.sum(c).alias(c) for c in ("later", "earlier", "same")])  # a row for each answer
+    rows = df.where(F.col(answer).isNotNull()).select(F.col(sample).alias("s"), F.col(reviewer).alias("r"), F.col(answer).alias("x")).repartition("s")
+    names = ("later", "earlier", "same")
+
+    def ahead(name: str, order: Column, *keys: str) -> DataFrame:
+        """Each ranking in tasks of its own, over the same shuffle, so that no task holds more than one sort."""
+        n = (F.rank().over(W.partitionBy(*keys).orderBy(order)) - 1).cast("long")
+        return rows.select("x", n.alias("n")).select("x", *[(F.col("n") if k == name else F.lit(0).cast("long")).alias(k) for k in names]).groupBy("x").agg(*[F.sum(k).alias(k) for k in names])
+
+    each = ahead("later", F.desc("r"), "s").unionByName(ahead("earlier", F.asc("r"), "s")).unionByName(ahead("same", F.desc("r"), "s", "x"))
+    by = each.groupBy("x").agg(*[F.sum(k).alias(k) for k in names])  # a row for each answer
     total = by.agg(F.sum("later").alias("n"), F.sum("same").alias("same"), F.sum(F.col("later").cast("double") * F.col("earlier")).alias("c"))
     po, pe = F.col("same") / F.col("n"), F.col("c") / (F.col("n").cast("double") * F.col("n"))
     return total.where("n > 0").select("n", po.alias("observed"), pe.alias("expected"), F.when(pe < 1, (po - pe) / (1 - pe)).otherwise(1.0).alias("kappa"))
