@@ -226,8 +226,7 @@ def _(t):
     at = f"{_folder(t, 'k02')}/d.json"
     parts = [t.orders.where(F.col("o_orderkey") % 3 == k).select("o_orderkey").orderBy("o_orderkey") for k in range(3)]
     documents.write_document(R.ordered_union(*parts), at, field="rows")
-    rows = t._spark.read.schema("rows array<struct<part: long, o_orderkey: long>>").option("multiLine", True).json(at).select(F.posexplode("rows").alias("place", "r"))
-    return rows.select("r.part", F.col("place").cast("long").alias("place"), "r.o_orderkey")
+    return readers.document_rows(t._spark, at, "part long, o_orderkey long").select("r.part", "place", "r.o_orderkey")
 
 
 @query("k03_one_document", "SELECT 'm' AS model_name, s_suppkey::INT AS sample_idx, s_name AS target_answer, (SELECT count(*) FROM supplier) AS n FROM supplier")

@@ -139,6 +139,12 @@ def detailed_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path).select("model_name", "dataset_name", F.inline("detailed_results"))
 
 
+def document_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """place (from 0) and r of each row of a document of our own sink, which has a line for each row: read by splits, like other lines."""
+    lines = numbered_lines(spark, path).where("line > 1 AND value NOT IN ('', ']}')")  # the first line is the head
+    return lines.select((F.col("line") - 2).alias("place"), F.from_json(F.regexp_replace("value", ",$", ""), schema, {"mode": "FAILFAST"}).alias("r"))
+
+
 def scraped_pairs(spark: SparkSession, path: str) -> DataFrame:
     """`generated` and `gold` values of a whole text, paired by position; the shorter list decides."""
     raw = spark.read.text(path, wholetext=True)
